@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from codeloom.llm import chat, mixing, url_filter
+from codeloom.llm import chat, media, mixing, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op4_chat_format": chat.op4_chat_format,
+    "op7_warc": warc.op7_warc,
+    "op9_media_columns": media.op9_media_columns,
     "op10_mixing": mixing.op10_mixing,
 }
 
 ORACLE_SQL = {
     "op1_url_filter": url_filter.SQL,
     "op4_chat_format": chat.SQL,
+    "op7_warc": warc.SQL,
     "op10_mixing": mixing.sql(),
 }
