@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from codeloom.llm import chat, media, mixing, pii, quality, toxicity, url_filter, warc
+from codeloom.llm import chat, media, mixing, ngram_join, pii, quality, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_ngram_join": ngram_join.op3_ngram_join,
     "op4_chat_format": chat.op4_chat_format,
     "op5_quality": quality.op5_quality,
     "op7_warc": warc.op7_warc,
