@@ -30,9 +30,9 @@ SEED = "mix-1"
 DIGITS = 8
 
 
-def sizes(docs: DataFrame, seed: str = SEED) -> DataFrame:
+def sizes(docs: DataFrame, seed: str = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
     return docs.select(
-        "doc_id", "source",
+        "doc_id", "source", *carry,
         F.when(F.col("text").isNull(), 0).otherwise(F.size(F.regexp_extract_all("text", F.lit(WORD), 0))).cast("long").alias("size"),
         F.sha2(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256).alias("key"),
     )
@@ -62,10 +62,10 @@ def targets(rows: DataFrame) -> DataFrame:
     return by.select("source", "source_rows", "source_size", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
-def mix(docs: DataFrame, seed: str = SEED, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """doc_id, source, size, source_size, target, budget, taken for every document."""
-    rows = materialize(sizes(docs, seed), "mix-sizes")
-    goal = materialize(targets(rows), "mix-targets")
+def mix(docs: DataFrame, seed: str = SEED, range_rows: int = RANGE_ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, budget, taken for every document, and the columns to carry."""
+    rows = materialize(sizes(docs, seed, carry), "mix-sizes")
+    goal = materialize(targets(rows.select("source", "size")), "mix-targets")
     # The number of ranges is a power of 16, as they are told apart by digits of the key.
     digits = F.least(F.lit(DIGITS), F.greatest(F.lit(0), F.ceil(F.log(16.0, F.col("source_rows") / range_rows)))).cast("int")
     goal = goal.withColumns({"budget": F.least(F.round("target").cast("long"), F.col("source_size") * MOST_EPOCHS), "digits": digits})
@@ -80,7 +80,7 @@ def mix(docs: DataFrame, seed: str = SEED, range_rows: int = RANGE_ROWS) -> Data
     placed = placed.withColumn("ahead", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     placed = placed.join(small(sums), F.col("source").eqNullSafe(F.col("_s")) & (F.col("range") == F.col("_r")))
     extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("base") - F.col("ahead")))
-    return placed.select("doc_id", "source", "size", "source_size", "target", "budget", (F.col("epochs") * F.col("size") + extra).cast("long").alias("taken"))
+    return placed.select("doc_id", "source", *carry, "size", "source_size", "target", "budget", (F.col("epochs") * F.col("size") + extra).cast("long").alias("taken"))
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:

@@ -476,5 +476,20 @@ def classes(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs with one document of each class: the one with the smallest id. Texts without shingles all stay.
+
+    Rows with a null id stay unless their class has a row with an id. An id that occurs in several rows stays once, with its
+    smallest text.
+    """
+    found = materialize(classes(docs), "join-classes")
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_d")).distinct()
+    out = docs.join(small(materialize(kept, "join-kept"), 1_000_000), F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
+    if found.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").isEmpty():
+        return out
+    one = out.filter("doc_id is not null").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), "text").alias("_row")).select("_row.*")
+    return out.filter("doc_id is null").unionByName(one)
+
+
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:
     return classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codeloom.llm import chat, media, mixing, ngram_join, pii, quality, toxicity, url_filter, warc
+from codeloom.llm import chat, decontaminate, media, mixing, ngram_join, pii, quality, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_ngram_join": ngram_join.op3_ngram_join,
     "op4_chat_format": chat.op4_chat_format,
     "op5_quality": quality.op5_quality,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_warc": warc.op7_warc,
     "op8_pii": pii.op8_pii,
     "op9_media_columns": media.op9_media_columns,
