@@ -133,22 +133,19 @@ def resolve_calls(calls: DataFrame, routines: DataFrame) -> DataFrame:
 def nearest_names(missing: DataFrame, routines: DataFrame, edits: int = NEAR_EDITS, most: int = NEAR_MOST) -> DataFrame:
     """raw, name, distance, rank: the closest names within an edit distance.
 
-    Names meet on pieces instead of in a cross join: of edits + 1 pieces of a name one is left whole by so many edits, at most
-    so many places off. A name too short for that many pieces is held only against names of about its length.
+    Names meet on pairs of adjacent characters instead of in a cross join: an edit breaks two pairs at most, so longer names
+    within the distance share one. A short name is held against the names of about its length.
     """
 
-    def keys(c: Column, probe: bool) -> Column:
-        n = F.length(c)
-        return F.transform(F.sequence(F.greatest(F.lit(1), n - (edits if probe else 0)), n + (edits if probe else 0)), lambda m: F.concat(F.lit("n"), m.cast("string"))) if probe else F.array(F.concat(F.lit("n"), n.cast("string")))
-
     a = missing.select("raw", F.lower("raw").alias("x")).distinct().filter("x <> ''")
     b = routines.select("name", F.lower("name").alias("y")).distinct().filter("y <> ''")
-    # Equal lengths within the edits, and a shared first or last character or a shared middle: pieces of the shorter name.
     grams = lambda c: F.array_distinct(F.concat(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 1)), lambda i: F.substring(c, i, F.lit(2))), F.array(F.lit(""))))
-    long = lambda c: F.length(c) > 2 * edits + 1
+    size_key = lambda n: F.concat(F.lit("n"), n.cast("string"))
+    sizes = F.transform(F.sequence(F.greatest(F.lit(1), F.length("x") - edits), F.length("x") + edits), size_key)
+    pairs = lambda c: F.filter(grams(c), lambda g: g != "")
     # Two names of more than 2 * edits + 1 characters within the distance share a pair of adjacent characters.
-    pa = a.select("raw", "x", F.explode(F.when(long("x"), F.filter(grams(F.col("x")), lambda g: g != "")).otherwise(keys(F.col("x"), True))).alias("k"))
-    pb = b.select("name", "y", F.explode(F.concat(F.filter(grams(F.col("y")), lambda g: g != ""), keys(F.col("y"), False))).alias("k"))
+    pa = a.select("raw", "x", F.explode(F.when(F.length("x") > 2 * edits + 1, pairs(F.col("x"))).otherwise(sizes)).alias("k"))
+    pb = b.select("name", "y", F.explode(F.concat(pairs(F.col("y")), F.array(size_key(F.length("y"))))).alias("k"))
     met = pa.join(pb, "k").filter(F.abs(F.length("x") - F.length("y")) <= edits).select("raw", "x", "name", "y").distinct()
     d = met.withColumn("distance", F.levenshtein("x", "y", edits)).filter("distance >= 0")
     rank = F.row_number().over(Window.partitionBy("raw").orderBy("distance", "name"))

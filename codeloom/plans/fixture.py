@@ -5,8 +5,9 @@ The same views exist as DataFrames and as SQL for the oracle.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # The views in SQL that both engines run.
 VIEWS = {
@@ -52,9 +53,7 @@ def views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def _bind(text: str, name: str) -> str:
-    import re
-
-    return re.sub(rf"\b(FROM|JOIN|,)\s+{name}\b(?!\})", rf"\1 {{{name}}}", text)
+    return re.sub(rf"(\bFROM|\bJOIN|,) +{name}\b", rf"\1 {{{name}}}", text)
 
 
 def with_sql(*names: str, recursive: str = "") -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from codeloom.plans import queries
 
-QUERIES: dict[str, Callable] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = queries.QUERIES
+ORACLE_SQL = queries.ORACLE_SQL
