@@ -582,3 +582,120 @@ def _stores(spark, sf):
 @query("merge_nodes", "WITH " + _STORES + "SELECT canonical AS node_key, ord AS store_ord, payload FROM (SELECT *, row_number() OVER (PARTITION BY canonical ORDER BY ord, k) AS r FROM c) WHERE r = 1")
 def _(spark, sf):
     return merge.merge_nodes(_stores(spark, sf)).select("node_key", "store_ord", "payload")
+
+
+# ---- sources and exports --------------------------------------------------------------------------------------------
+
+
+def _sources(spark: SparkSession, sf: str) -> DataFrame:
+    """A source text for each supplier: a procedure whose statements are its line items of the first orders, and its calls."""
+    v = views(spark, sf)
+    use = F.concat(
+        F.when(F.col("mode").bitwiseAND(7) == 1, F.concat(F.lit("SELECT count(*) INTO v FROM p"), "table_id", F.lit(" t WHERE t.id = 1;")))
+        .when(F.col("mode").bitwiseAND(7) == 2, F.concat(F.lit("UPDATE p"), "table_id", F.lit(" SET qty = qty + 1 WHERE id = 5;")))
+        .otherwise(F.concat(F.lit("SELECT 1 INTO v FROM p"), "table_id", F.lit(" FOR UPDATE;"))),
+        F.when(F.col("mode") >= 8, F.concat(F.lit(" TRUNCATE TABLE p"), "table_id", F.lit(";"))).otherwise(""),
+    )
+    lines = v["g_raw"].groupBy("proc_id", "table_id", "mode").agg(F.count(F.lit(1)).alias("n"))
+    body = lines.select("proc_id", use.alias("use")).groupBy("proc_id").agg(F.array_join(F.array_sort(F.collect_list("use")), "\n  ").alias("body"))
+    calls = v["g_call"].groupBy(F.col("src").alias("proc_id")).agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("s"), "dst", F.lit("(1);")))), " ").alias("calls"))
+    p = v["g_proc"].select(F.col("id").alias("proc_id"), "name", "file")
+    text = F.concat(F.lit("CREATE OR REPLACE PROCEDURE "), "name", F.lit("(a INT) AS\n  v INT; -- FROM nothing\nBEGIN\n  "), F.coalesce("body", F.lit("")), F.lit("\n  "), F.coalesce("calls", F.lit("")), F.lit("\nEND;\n/\n"))
+    return p.join(body, "proc_id", "left").join(calls, "proc_id", "left").select(F.concat("name", F.lit(".sql")).alias("path"), F.lit("sql").alias("kind"), text.cast("binary").alias("content"))
+
+
+@query(
+    "parse_sources",
+    with_sql("g_raw") + "SELECT 'proc:s' || proc_id AS owner, 'p' || table_id AS \"table\", CAST(bit_or(CASE WHEN mode & 7 = 1 THEN 1 WHEN mode & 7 = 2 THEN 2 ELSE 5 END | (mode & 8)) AS BIGINT) AS modes FROM g_raw GROUP BY proc_id, table_id",
+)
+def _(spark, sf):
+    from codeloom.sources.ingest import parse
+
+    rows = parse(_sources(spark, sf)).filter("record = 'access'")
+    return rows.groupBy(F.col("a").alias("owner"), F.col("b").alias("table")).agg(F.bit_or("n").alias("modes"))
+
+
+@query("parse_calls", with_sql("g_call") + "SELECT DISTINCT 'proc:s' || src AS caller, 's' || dst AS callee FROM g_call")
+def _(spark, sf):
+    from codeloom.sources.ingest import parse
+
+    return parse(_sources(spark, sf)).filter("record = 'call'").select(F.col("a").alias("caller"), F.col("b").alias("callee")).distinct()
+
+
+@query("build_graph", with_sql("g_call") + "SELECT DISTINCT 'proc:s' || src AS src_key, 'proc:s' || dst AS dst_key FROM g_call")
+def _(spark, sf):
+    from codeloom.sources.ingest import build, parse
+    from codeloom.work import materialize
+
+    return build(materialize(parse(_sources(spark, sf)), "parsed"))[1].filter("edge_type = 'DirectCall'").select("src_key", "dst_key")
+
+
+_DOC_N = "n AS (SELECT 'd' || (p_partkey % 3) AS doc, 'i' || (p_partkey // 2) AS id, CASE p_partkey % 4 WHEN 0 THEN 'table' WHEN 1 THEN 'view' WHEN 2 THEN 'report' ELSE 'odd' END AS type FROM part WHERE p_partkey <= 300)"
+_DOC_E = "e AS (SELECT 'd' || (l_partkey % 3) AS doc, 'i' || (l_partkey // 2) AS source, 'i' || (l_suppkey % 200) AS target, CASE WHEN l_linenumber = 1 THEN 'feeds' WHEN l_linenumber = 2 THEN 'wrong' ELSE 'DependsOn' END AS type FROM lineitem WHERE l_orderkey <= 200 AND l_partkey <= 300)"
+
+
+def _document(spark, sf):
+    k = F.col("p_partkey")
+    doc = lambda c: F.concat(F.lit("d"), c % 3)
+    half = lambda c: F.concat(F.lit("i"), F.floor(c / 2))
+    kind = F.when(k % 4 == 0, "table").when(k % 4 == 1, "view").when(k % 4 == 2, "report").otherwise("odd")
+    key = F.when(k % 8 == 2, F.create_map(F.lit("other"), F.lit("x"))).otherwise(F.create_map(F.lit("name"), k.cast("string")))
+    nodes = spark.read.parquet(f"{sf}/part.parquet").filter(k <= 300).select(doc(k).alias("doc"), half(k).alias("id"), kind.alias("type"), key.alias("key"))
+    li = spark.read.parquet(f"{sf}/lineitem.parquet").filter("l_orderkey <= 200 AND l_partkey <= 300")
+    p, n = F.col("l_partkey"), F.col("l_linenumber")
+    edges = li.select(doc(p).alias("doc"), half(p).alias("source"), F.concat(F.lit("i"), F.col("l_suppkey") % 200).alias("target"), F.when(n == 1, "feeds").when(n == 2, "wrong").otherwise("DependsOn").alias("type"))
+    custom = spark.createDataFrame([(f"d{i}", w, t, ["name"] if w == "node" else None) for i in range(3) for w, t in (("node", "report"), ("edge", "feeds"))], "doc string, what string, type string, key_fields array<string>")
+    return nodes, edges, custom
+
+
+@query(
+    "validate_document",
+    "WITH " + _DOC_N + ", " + _DOC_E + """ SELECT doc, 'error' AS level, 'duplicate-id' AS rule, id AS subject FROM n GROUP BY doc, id HAVING count(*) > 1
+UNION ALL SELECT doc, 'error', 'dangling-end', id FROM (SELECT doc, source AS id FROM e UNION SELECT doc, target FROM e) x WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.doc = x.doc AND n.id = x.id)
+UNION ALL SELECT DISTINCT doc, 'error', 'undeclared-node-type', type FROM n WHERE type = 'odd' UNION ALL SELECT DISTINCT doc, 'error', 'undeclared-edge-type', type FROM e WHERE type = 'wrong'
+UNION ALL SELECT 'd' || (p_partkey % 3), 'error', 'missing-key-field', 'i' || (p_partkey // 2) FROM part WHERE p_partkey <= 300 AND p_partkey % 8 = 2""",
+)
+def _(spark, sf):
+    from codeloom.sources.interchange import validate
+
+    return validate(*_document(spark, sf))
+
+
+@query(
+    "export_ndjson",
+    with_sql("g_nodes", "g_edges") + """SELECT '1 ' || node_key AS ord, '{"record":"node","id":"' || node_key || '","type_tag":"' || type_tag || '","name":"' || name || '"}' AS line FROM g_nodes
+UNION ALL SELECT '2 ' || src_key || ' ' || dst_key || ' ' || edge_type, '{"record":"edge","source":"' || src_key || '","target":"' || dst_key || '","type":"' || edge_type || '"}' FROM g_edges""",
+)
+def _(spark, sf):
+    from codeloom.sources.export import ndjson
+
+    n, e, _v = _graph(spark, sf)
+    return ndjson(n, e)
+
+
+_FILTERED = """seed AS (SELECT node_key FROM g_nodes WHERE contains(node_key, 'proc:s1')), keep AS (SELECT node_key FROM seed UNION SELECT dst_key FROM g_edges WHERE src_key IN (SELECT node_key FROM seed) UNION SELECT src_key FROM g_edges WHERE dst_key IN (SELECT node_key FROM seed))
+"""
+
+
+@query("export_filtered", with_sql("g_nodes", "g_edges").rstrip() + ", " + _FILTERED + "SELECT src_key, dst_key, edge_type FROM g_edges WHERE src_key IN (SELECT node_key FROM keep) AND dst_key IN (SELECT node_key FROM keep)")
+def _(spark, sf):
+    from codeloom.sources.export import filtered
+
+    n, e, _v = _graph(spark, sf)
+    return filtered(n, e, "proc:s1")[1].select("src_key", "dst_key", "edge_type")
+
+
+@query("export_thin", with_sql("g_edges") + "SELECT src_key, dst_key, edge_type, CASE WHEN modes IS NOT NULL THEN concat_ws(',', CASE WHEN modes & 1 <> 0 THEN 'read' END, CASE WHEN modes & 2 <> 0 THEN 'write' END, CASE WHEN modes & 4 <> 0 THEN 'lock' END) END AS modes FROM g_edges")
+def _(spark, sf):
+    from codeloom.sources.export import thin
+
+    n, e, _v = _graph(spark, sf)
+    return thin(n, e)[1].withColumn("modes", F.array_join("modes", ","))
+
+
+@query("export_dot")
+def _(spark, sf):
+    from codeloom.sources.export import dot
+
+    n, e, v = _graph(spark, sf)
+    return dot(n.filter("type_tag = 'proc'"), e.filter("category = 'call'"), v["g_proc"].select("node_key", F.col("pkg_key").alias("cluster")))
