@@ -124,6 +124,8 @@ def _found_rows(path: str, f) -> Iterator[tuple]:
         yield ("filter", path, owner, table, column, op, value, None, None, line)
     for owner, lt, lc, rt, rc, line in f.joins:
         yield ("join", path, owner, lt, lc, rt, rc, None, None, line)
+    for owner, pid, table, column, op, value, confidence, _, line in f.predicates:
+        yield ("predicate", path, owner, f"{pid}|{confidence}", table, column, op, value, None, line)
     for src, dst, kind, line in f.edges:
         yield ("edge", path, src, dst, kind, None, None, None, None, line)
     for line, message in f.errors:

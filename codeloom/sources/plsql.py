@@ -77,6 +77,9 @@ class Routine:
     params: list[tuple[str, str, str]] = field(default_factory=list)
     locals: set[str] = field(default_factory=set)
     body: list[tuple[str, str, int]] = field(default_factory=list)
+    into: dict[str, tuple[str, str]] = field(default_factory=dict)  # variable: table and column it was read from
+    records: dict[str, str] = field(default_factory=dict)  # loop record: the one table of its query
+    count: int = 0
     partial: bool = False
 
 
@@ -90,6 +93,7 @@ class Found:
     mappings: list[tuple] = field(default_factory=list)  # owner_key, target_table, target_column, source_kind, source_table, source_column, mapping_kind, expression, line
     filters: list[tuple] = field(default_factory=list)  # owner_key, table, column, op, value, line
     joins: list[tuple] = field(default_factory=list)  # owner_key, left_table, left_column, right_table, right_column, line
+    predicates: list[tuple] = field(default_factory=list)  # owner_key, predicate_id, table, column, op, value, confidence, text, line
     edges: list[tuple] = field(default_factory=list)  # src_key, dst_key, edge_type, line
     errors: list[tuple] = field(default_factory=list)  # line, message
 
@@ -387,6 +391,8 @@ class Reader:
                         break
                     self.i += 1
                 self.expression(self.t[start : self.i], r, self.t[start].line if start < len(self.t) else r.line)
+                if w != "while":
+                    self.predicate(self.t[start : self.i], r)
                 self.i += 1
             elif w in ("else", "loop", "exception", "<<", ">>"):
                 self.i += 1
@@ -407,6 +413,9 @@ class Reader:
                     self.i += 1
                 head = self.t[start + 1 : self.i]
                 if any(x.low == "select" for x in head):
+                    tables = set(self.aliases(head).values())
+                    if len(tables) == 1:
+                        r.records[self.t[start].low] = next(iter(tables))
                     self.dml([x for x in head if x.low != "in" or x is not head[0]], r.key, r.schema, r.locals, r)
                 else:
                     self.expression(head, r, self.t[start].line)
@@ -423,6 +432,8 @@ class Reader:
         if w in ("select", "insert", "update", "delete", "merge", "with", "truncate", "lock", "alter", "drop", "vacuum", "analyze", "cluster", "reindex", "create"):
             r.body.append((" ".join(x.text for x in s), w, line))
             self.dml(s, r.key, r.schema, r.locals, r)
+            if w == "select":
+                self.remember_into(s, r)
         elif w in ("call", "perform"):
             parts, k = _name_at(s, 1)
             if parts and (k >= len(s) or s[k].text in ("(", ";") or w == "call"):
@@ -464,6 +475,48 @@ class Reader:
                     self.call(r, parts, line)
                 self.expression(s[j:], r, line)
 
+    def remember_into(self, s: list[Token], r: Routine) -> None:
+        k = next((j for j, x in enumerate(s) if x.low == "into"), None)
+        if k is None:
+            return
+        items, alias, only = self.select_items(s)
+        for names, item in zip(_split_commas(s[k + 1 : next((j for j in range(k, len(s)) if s[j].low == "from"), len(s))]), items):
+            cols, kind = self.source(item, alias, only)
+            if len(names) == 1 and kind == "direct" and len(cols) == 1 and cols[0][0] == "column" and cols[0][1]:
+                r.into[names[0].low] = (cols[0][1], cols[0][2])
+
+    def predicate(self, s: list[Token], r: Routine) -> None:
+        """One row a comparison of a condition. high: a loop record's column; medium: a variable read from a column; low: neither.
+
+        AND is split; a condition with OR or NOT stays one row without a table.
+        """
+        if not s:
+            return
+        text = " ".join(x.text for x in s)
+        parts: list[list[Token]] = [[]]
+        for x in s:
+            if x.low == "and" and not any(y.low == "between" for y in parts[-1]):
+                parts.append([])
+            else:
+                parts[-1].append(x)
+        if any(x.low in ("or", "not") for x in s):
+            parts = [s]
+        flip = {"<": ">", ">": "<", "<=": ">=", ">=": "<="}
+        for part in parts:
+            r.count += 1
+            k = next((j for j, x in enumerate(part) if x.text in ("=", "<>", "!=", "<", ">", "<=", ">=") or x.low in ("in", "like")), None)
+            left = _name_at(part, 0)[0] if k and len(parts) >= 1 and not any(x.low in ("or", "not") for x in part) else []
+            value, op = " ".join(x.text for x in part[k + 1 :]) if k is not None else None, part[k].low if k is not None else None
+            if k == 1 and not left and part[0].kind in ("string", "number"):  # a literal on the left
+                left, value, op = _name_at(part, 2)[0], part[0].text, flip.get(op, op)
+            table = column = None
+            confidence = "low"
+            if len(left) == 2 and left[0] in r.records:
+                table, column, confidence = r.records[left[0]], left[1], "high"
+            elif len(left) == 1 and left[0] in r.into:
+                (table, column), confidence = r.into[left[0]], "medium"
+            self.out.predicates.append((r.key, f"B{r.count:03}", table, column, op, value, confidence, text[:500], s[0].line))
+
     def possible(self, s: list[Token], values: dict[str, set[str] | None]) -> set[str] | None:
         """All strings that an expression of literals, known variables and || can be; None if unknown."""
         out = {""}
