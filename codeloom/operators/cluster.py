@@ -5,7 +5,6 @@ from __future__ import annotations
 import heapq
 from collections import defaultdict
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,7 +118,9 @@ def cnm(graph: DataFrame, units: DataFrame, gamma: float = 1.0, least: float = 0
     rows = graph.join(comp.select(F.col("node_key").alias("a"), "component"), "a")
     alone = units.join(rows.select(F.explode(F.array("a", "b")).alias("unit")).distinct(), "unit", "left_anti").select("unit", F.col("unit").alias("cluster"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf):
+        import pandas as pd
+
         edges = list(pdf[["a", "b", "weight"]].itertuples(index=False, name=None))
         names = sorted(set(pdf["a"]) | set(pdf["b"]))
         root = {u: u for u in names}

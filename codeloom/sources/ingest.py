@@ -9,7 +9,6 @@ import json
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -135,7 +134,9 @@ def _found_rows(path: str, f) -> Iterator[tuple]:
 def parse(files: DataFrame) -> DataFrame:
     """Rows of all files (path, kind, content); a file is parsed by one task, and files are spread by the scan."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
         names = [x.split()[0] for x in RAW.split(", ")]
         for pdf in batches:
             for path, kind, content in zip(pdf["path"], pdf["kind"], pdf["content"]):
