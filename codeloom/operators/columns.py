@@ -25,6 +25,28 @@ def predicates(rows: DataFrame) -> DataFrame:
     return rows.filter("record = 'predicate'").select(F.col("a").alias("owner_key"), part[0].alias("predicate_id"), F.col("c").alias("table"), F.col("d").alias("column"), F.col("e").alias("op"), F.col("f").alias("value"), part[1].alias("confidence"), "file", "line")
 
 
+def table_schemas(rows: DataFrame) -> DataFrame:
+    """table_key, columns: an array of name, data_type, nullable, primary_key, default, comment in the order of definition.
+
+    Comments may stand in any file; the first one of a column stays.
+    """
+    c = rows.filter("record = 'column'").select(F.col("a").alias("table_key"), "n", F.col("b").alias("name"), F.col("c").alias("data_type"), (F.col("d") == "null").alias("nullable"), F.col("e").isNotNull().alias("primary_key"), F.col("f").alias("default"))
+    said = rows.filter("record = 'comment' AND b IS NOT NULL").groupBy(F.col("a").alias("table_key"), F.col("b").alias("name")).agg(F.min(F.struct("file", "line", F.col("c").alias("comment"))).alias("x"))
+    c = c.join(said.select("table_key", "name", "x.comment"), ["table_key", "name"], "left")
+    return c.groupBy("table_key").agg(F.array_sort(F.collect_list(F.struct("n", "name", "data_type", "nullable", "primary_key", "default", "comment"))).alias("columns"))
+
+
+def schema_diagnostics(rows: DataFrame) -> DataFrame:
+    """rule, subject: tables that several statements define, and statements that could not be read."""
+    twice = rows.filter("record = 'node' AND b = 'table'").groupBy("a").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select(F.lit("duplicate-table").alias("rule"), F.col("a").alias("subject"))
+    return twice.unionByName(rows.filter("record = 'error'").select(F.lit("unread-statement").alias("rule"), F.concat_ws(":", "file", "line").alias("subject")))
+
+
+def enum_mappings(rows: DataFrame) -> DataFrame:
+    """owner_key, table, column, literal, result of CASE and DECODE."""
+    return rows.filter("record = 'enum'").select(F.col("a").alias("owner_key"), F.col("b").alias("table"), F.col("c").alias("column"), F.col("d").alias("literal"), F.col("e").alias("result"), "file", "line").distinct()
+
+
 def table_operations(edges: DataFrame, owners: DataFrame | None = None) -> DataFrame:
     """table, operations: read and the write kinds of all accesses of the owners (src_key), sorted."""
     e = edges.filter("edge_type = 'TableAccess'")

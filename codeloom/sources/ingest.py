@@ -125,6 +125,12 @@ def _found_rows(path: str, f) -> Iterator[tuple]:
         yield ("join", path, owner, lt, lc, rt, rc, None, None, line)
     for owner, pid, table, column, op, value, confidence, _, line in f.predicates:
         yield ("predicate", path, owner, f"{pid}|{confidence}", table, column, op, value, None, line)
+    for table, i, name, kind, nullable, pk, default, line in f.columns:
+        yield ("column", path, table, name, kind, "null" if nullable else "not null", "pk" if pk else None, default, i, line)
+    for table, column, text, line in f.comments:
+        yield ("comment", path, table, column, text, None, None, None, None, line)
+    for owner, table, column, literal, result, line in f.enums:
+        yield ("enum", path, owner, table, column, literal, result, None, None, line)
     for src, dst, kind, line in f.edges:
         yield ("edge", path, src, dst, kind, None, None, None, None, line)
     for line, message in f.errors:

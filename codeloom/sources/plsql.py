@@ -95,6 +95,9 @@ class Found:
     joins: list[tuple] = field(default_factory=list)  # owner_key, left_table, left_column, right_table, right_column, line
     predicates: list[tuple] = field(default_factory=list)  # owner_key, predicate_id, table, column, op, value, confidence, text, line
     edges: list[tuple] = field(default_factory=list)  # src_key, dst_key, edge_type, line
+    columns: list[tuple] = field(default_factory=list)  # table_key, position, name, data_type, nullable, primary_key, default, line
+    comments: list[tuple] = field(default_factory=list)  # table_key, column or None, text, line
+    enums: list[tuple] = field(default_factory=list)  # owner_key, table, column, literal, result, line
     errors: list[tuple] = field(default_factory=list)  # line, message
 
 
@@ -188,6 +191,16 @@ class Reader:
                 self.declarations(r)
             self.body(r)
             return
+        if self.take("comment", "on"):
+            what = self.at()
+            self.i += 1
+            parts = self.name()
+            said = next((x.text[1:-1].replace("''", "'") for x in self.statement() if x.kind == "string"), "")
+            if what == "column" and len(parts) > 1:
+                self.out.comments.append((f"table:{'.'.join(parts[:-1])}", parts[-1], said, line))
+            elif what in ("table", "view"):
+                self.out.comments.append((f"{what}:{'.'.join(parts)}", None, said, line))
+            return
         self.dml(self.statement(), f"file:{self.file}", None, set())
 
     def node(self, tag: str, parts: list[str], line: int, **more) -> str:
@@ -248,10 +261,47 @@ class Reader:
             if to is not None:
                 self.out.edges.append((key, ".".join(_name_at(rest, to + 1)[0]), "AliasesObject", line))
         elif tag == "table":
+            self.columns(key, parts, rest, line)
             as_ = next((k for k, x in enumerate(rest[:-1]) if x.low == "as" and rest[k + 1].low in ("select", "with", "(")), None)
             if as_ is not None:
                 self.dml(rest[as_ + 1 :], key, None, set())
 
+    def columns(self, key: str, parts: list[str], s: list[Token], line: int) -> None:
+        """Columns and keys of a table's definition. A primary key or a unique constraint also gives an index node."""
+        if not s or s[0].text != "(":
+            return
+        keyed: set[str] = set()
+        rows = []
+
+        def index(kind: str, names: list[str]) -> None:
+            node = self.node("index", [f"{parts[-1]}_{kind}_{'_'.join(names)}"], line)
+            self.out.edges.append((node, key, "IndexesTable", line))
+
+        for item in _split_commas(s[1 : _closing(s, 0)]):
+            words = [x.low for x in item]
+            if not item or words[0] in ("like", "check", "foreign", "exclude", "partial"):
+                continue
+            if words[0] in ("constraint", "primary", "unique"):
+                for kind, word in (("pk", "primary"), ("uk", "unique")):
+                    if word in words and "(" in words:
+                        names = [x.low for x in item[words.index("(") : _closing(item, words.index("("))] if x.kind in ("name", "quoted")]
+                        keyed |= set(names) if kind == "pk" else set()
+                        index(kind, names)
+                continue
+            ends = ("not", "null", "primary", "unique", "default", "constraint", "references", "check", "generated", "collate", "comment", "encode", "enable")
+            stop = next((k for k in range(1, len(item)) if words[k] in ends), len(item))
+            at = words.index("default") + 1 if "default" in words else len(item)
+            end = next((k for k in range(at + 1, len(item)) if words[k] in ends), len(item))
+            kind = re.sub(r"\s*([(),.%])\s*", r"\1", " ".join(x.text for x in item[1:stop]))
+            pk = "primary" in words
+            needed = any(words[k : k + 2] == ["not", "null"] for k in range(len(words)))
+            rows.append((words[0], kind, not (pk or needed), pk, " ".join(x.text for x in item[at:end]) or None, item[0].line))
+            for short, word in (("pk", "primary"), ("uk", "unique")):
+                if word in words:
+                    index(short, [words[0]])
+        for i, (name, kind, nullable, pk, default, at) in enumerate(rows):
+            self.out.columns.append((key, i, name, kind, nullable and name not in keyed, pk or name in keyed, default, at))
+
     def package(self, parts: list[str], body: bool, line: int) -> None:
         schema, pkg = (parts[-2] if len(parts) > 1 else None), parts[-1]
         key = self.node("pkg", parts, line)
@@ -621,7 +671,10 @@ class Reader:
             self.insert_columns(owner, s)
         elif w == "update":
             self.update_columns(owner, s)
+        elif w == "merge":
+            self.merge_columns(owner, s)
         self.conditions(owner, s)
+        self.enum_values(owner, s)
         return reads
 
     def query(self, s: list[Token], owner: str, local: set[str], add, r: Routine | None) -> None:
@@ -807,6 +860,51 @@ class Reader:
             if eq:
                 self.map(owner, ".".join(parts), _name_at(item, 0)[0][-1] if _name_at(item, 0)[0] else "", item[eq + 1 :], alias, ".".join(parts))
 
+    def merge_columns(self, owner: str, s: list[Token]) -> None:
+        """The assignments of the update arm and the pairs of the insert arm; a delete arm gives none."""
+        k = next((j for j, x in enumerate(s) if x.low == "into"), None)
+        if k is None:
+            return
+        table, _ = _name_at(s, k + 1)
+        target, alias = ".".join(table), self.aliases(s)
+        for j, x in enumerate(s):
+            if x.low == "set":
+                end = next((i for i in range(j, len(s)) if s[i].low in ("when", "where")), len(s))
+                for item in _split_commas(s[j + 1 : end]):
+                    eq = next((i for i, y in enumerate(item) if y.text == "="), None)
+                    if eq and _name_at(item, 0)[0]:
+                        self.map(owner, target, _name_at(item, 0)[0][-1], item[eq + 1 :], alias, None)
+            if x.low == "insert" and j + 1 < len(s) and s[j + 1].text == "(":
+                close = _closing(s, j + 1)
+                names = [y.low for y in s[j + 2 : close] if y.kind in ("name", "quoted")]
+                at = next((i for i in range(close, len(s)) if s[i].text == "("), None)
+                for n, v in zip(names, _split_commas(s[at + 1 : _closing(s, at)]) if at else []):
+                    if v:
+                        self.map(owner, target, n, v, alias, None)
+
+    def enum_values(self, owner: str, s: list[Token]) -> None:
+        """CASE column WHEN literal THEN literal, and DECODE(column, literal, result, ...)."""
+        alias = self.aliases(s)
+        tables = set(alias.values())
+        only = next(iter(tables)) if len(tables) == 1 else None
+        place = lambda parts: alias.get(parts[-2]) if len(parts) > 1 else only
+        literal = lambda x: x.kind in ("string", "number")
+        for k, x in enumerate(s):
+            if x.low == "case" and x.kind == "name":
+                parts, j = _name_at(s, k + 1)
+                if not parts or parts[0] in KEYWORDS:
+                    continue
+                while j + 3 < len(s) and s[j].low == "when" and literal(s[j + 1]) and s[j + 2].low == "then":
+                    if literal(s[j + 3]):
+                        self.out.enums.append((owner, place(parts), parts[-1], s[j + 1].text, s[j + 3].text, x.line))
+                    j = next((i for i in range(j + 3, len(s)) if s[i].low in ("when", "else", "end")), len(s))
+            elif x.low == "decode" and k + 1 < len(s) and s[k + 1].text == "(":
+                args = _split_commas(s[k + 2 : _closing(s, k + 1)])
+                parts, _ = _name_at(args[0], 0)
+                for a, b in zip(args[1::2], args[2::2]) if parts else ():
+                    if len(a) == len(b) == 1 and literal(a[0]) and literal(b[0]):
+                        self.out.enums.append((owner, place(parts), parts[-1], a[0].text, b[0].text, x.line))
+
     def view_columns(self, key: str, view: str, declared: list[str], s: list[Token]) -> None:
         for branch in _branches(s):
             items, alias, only = self.select_items(branch)
