@@ -1,15 +1,15 @@
-"""Shared helpers: the work folder, materialised tables, bounded broadcasts."""
+"""Shared helpers of this subpackage."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A small side is broadcast up to this many rows; beyond it the join is shuffled.
-BROADCAST_ROWS = 200_000
+from codeloom.work import BROADCAST_ROWS, materialize, new_path, small, work_dir  # noqa: F401
+
 #: White space and words of the contracts: ASCII white space only.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -19,41 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir where it is set.
-
-    Where it is unset, a local session gets a temporary folder and any other one a folder of the warehouse.
-    """
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-            root = f"file://{tempfile.mkdtemp(prefix='codeloom-')}"
-        else:
-            root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared work folder and reads it back, which cuts its lineage.
-
-    Files there survive the loss of any executor, unlike cached blocks or shuffle files.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has no more than the given number of rows, else df as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of a few rows, so that a worker never holds many texts as Python values."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
 
 
 def ascii_lower(c: Column) -> Column:

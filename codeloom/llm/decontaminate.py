@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.llm.common import slices
+
 #: Edits allowed for each character of an item.
 RATE = 0.06
 #: Characters of items that one automaton holds.
@@ -139,7 +141,7 @@ def find(docs: DataFrame, items: DataFrame, rate: float = RATE, chars: int = BLO
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(block, rate)
-            for b in batches:
+            for b in slices(batches):
                 rows = [(d, i, *x) for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for i, x in sorted(matcher.find(text).items())]
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int64()))], ["doc_id", "item_id", "distance", "ends"])
 
@@ -154,7 +156,7 @@ def clean(docs: DataFrame, items: DataFrame, rate: float = RATE, chars: int = BL
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(block, rate)
-            for b in batches:
+            for b in slices(batches):
                 yield b.filter(pa.array([not matcher.find(t) for t in b.column(at).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.llm.common import slices
+
 WIDTH = 64
 #: Side of the NPY tile.
 TILE = 16
@@ -159,7 +161,7 @@ def store(docs: DataFrame, kind: str = "pgm") -> DataFrame:
     """doc_id, n_bytes and media: each text as an image file in a binary column."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, texts), pa.int64()), pa.array([to_image(x, kind) for x in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
 
@@ -170,7 +172,7 @@ def features(stored: DataFrame) -> DataFrame:
     """stored plus samples digests, tile (NPY) and hash, all from the decoded image; media itself is left out."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out = []
             for data in b.column(2):
                 data = data.as_buffer()

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import held_out
+from codeloom.llm.common import held_out, slices
 from codeloom.llm.sampling import labelled
 
 #: Bounds of the fit: documents of each class, bytes of each document that may go into a dictionary, bytes of a dictionary.
@@ -108,7 +108,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(b.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(run, "doc_id long, score double")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import held_out
+from codeloom.llm.common import held_out, slices
 from codeloom.llm.quality import logistic
 from codeloom.llm.sampling import labelled
 
@@ -42,7 +42,9 @@ WORD_BITS, GRAM_BITS = 18, 18
 GRAMS = (3, 4, 5)
 INPUTS = 4
 #: Words whose inputs a worker keeps; beyond that it starts anew.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 100_000
+#: Words whose n-grams are laid out at a time.
+CHUNK_WORDS = 10_000
 THRESHOLD = 0.5
 _WORDS = re.compile(r"\w+").findall
 
@@ -62,7 +64,7 @@ def _grams(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts = np.cumsum(lengths) - lengths
     codes = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.uint32)
     left = np.repeat(starts + lengths, lengths) - np.arange(len(codes))
-    hashes, valid = np.zeros((len(GRAMS), len(codes)), np.int64), np.zeros((len(GRAMS), len(codes)), bool)
+    hashes, valid = np.zeros((len(GRAMS), len(codes)), np.int32), np.zeros((len(GRAMS), len(codes)), bool)
     h = np.zeros(len(codes), np.uint32)
     for k in range(max(GRAMS)):
         h[: len(codes) - k] = h[: len(codes) - k] * np.uint32(0x01000193) + codes[k:]
@@ -76,19 +78,22 @@ def _grams(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Tables:
     """Log-odds of words and of character n-grams."""
 
-    def __init__(self, docs: list[set[str]], y: np.ndarray):
-        vocabulary = sorted(set().union(*docs)) if docs else []
-        at = {w: i for i, w in enumerate(vocabulary)}
-        hashes, valid, starts = _grams(vocabulary) if vocabulary else (None, None, None)
-        ends = np.append(starts[1:], hashes.shape[1]) if vocabulary else []
-        own = [np.unique(hashes[:, a:b][valid[:, a:b]]) for a, b in zip(starts, ends)] if vocabulary else []
-        word_ids = _word_hash(vocabulary)
+    def __init__(self, docs: list[np.ndarray], vocabulary: list[str], y: np.ndarray):
+        """docs: the distinct words of each document as places in the vocabulary."""
         count = np.zeros((2, 1 << WORD_BITS), np.float32), np.zeros((2, 1 << GRAM_BITS), np.float32)
+        word_ids = _word_hash(vocabulary)
+        own, begin = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+        for a in range(0, len(vocabulary), CHUNK_WORDS):
+            hashes, valid, starts = _grams(vocabulary[a : a + CHUNK_WORDS])
+            word = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, hashes.shape[1])))
+            pairs = np.unique((np.broadcast_to(word, hashes.shape)[valid].astype(np.int64) << GRAM_BITS) | hashes[valid])
+            own.append((pairs & ((1 << GRAM_BITS) - 1)).astype(np.int32))
+            begin.append(begin[-1][-1] + np.cumsum(np.bincount(pairs >> GRAM_BITS, minlength=len(starts))))
+        grams, begin = np.concatenate(own), np.concatenate(begin)
         for d, label in zip(docs, y):
-            ids = [at[w] for w in d]
-            if ids:
-                count[0][int(label)][np.unique(word_ids[ids])] += 1
-                count[1][int(label)][np.unique(np.concatenate([own[i] for i in ids]))] += 1
+            if len(d):
+                count[0][int(label)][np.unique(word_ids[d])] += 1
+                count[1][int(label)][np.unique(np.concatenate([grams[begin[i] : begin[i + 1]] for i in d]))] += 1
         n = np.bincount(y.astype(int), minlength=2)
         self.word, self.gram = (self._odds(c, n) for c in count)
 
@@ -99,9 +104,11 @@ class Tables:
         return (odds * seen / (seen + 4) / 3).astype(np.float32)
 
     def inputs(self, vocabulary: list[str]) -> np.ndarray:
+        parts = [self._inputs(vocabulary[a : a + CHUNK_WORDS]) for a in range(0, len(vocabulary), CHUNK_WORDS)]
+        return np.concatenate(parts) if parts else np.zeros((0, INPUTS), np.float32)
+
+    def _inputs(self, vocabulary: list[str]) -> np.ndarray:
         out = np.zeros((len(vocabulary), INPUTS), np.float32)
-        if not vocabulary:
-            return out
         hashes, valid, starts = _grams(vocabulary)
         v = self.gram[hashes]
         n = np.maximum(np.add.reduceat(valid.sum(axis=0), starts), 1)
@@ -265,18 +272,20 @@ def fit(rows: list[tuple[str, int]], rate: float, rounds: int = 3, epochs: int =
     y = np.array([k for _, k in rows], np.float32)
     if min((y == 0).sum(), (y == 1).sum()) < 4:
         return model
-    docs = [words(t) for t, _ in rows]
+    places: dict[str, int] = {}  # each distinct word is kept once
+    docs = [np.fromiter((places.setdefault(w, len(places)) for w in words(t)), np.int32) for t, _ in rows]
+    vocabulary = list(places)
+    del places
     rank = np.zeros(len(y), np.int64)
     for k in (0, 1):
         rank[y == k] = np.arange((y == k).sum())
     counted = rank % 2 == 0
-    model.tables = Tables([set(d) for d, c in zip(docs, counted) if c], y[counted])
+    model.tables = Tables([np.unique(d) for d, c in zip(docs, counted) if c], vocabulary, y[counted])
     model.net = net = Network(seed)
     own, label = [d for d, c in zip(docs, counted) if not c], y[~counted]
-    vocabulary = sorted({w for d in own for w in d})
-    at = {w: i + 1 for i, w in enumerate(vocabulary)}
     inputs = np.concatenate([np.zeros((1, INPUTS), np.float32), model.tables.inputs(vocabulary)])
-    ids = np.array([0] + [at[w] for d in own for w in d], np.int64)
+    ids = np.concatenate([np.zeros(1, np.int32), *(d + 1 for d in own)])
+    del docs, vocabulary
     doc, first, n = windows(np.array(list(map(len, own)), np.int64))
     step = np.arange(WINDOW)[:, None]
     place = lambda i: np.where(step < n[i], first[i] + 1 + step, 0)
@@ -304,11 +313,12 @@ def fit(rows: list[tuple[str, int]], rate: float, rounds: int = 3, epochs: int =
                     moment[name] = 0.9 * moment[name] + 0.1 * d
                     square[name] = 0.99 * square[name] + 0.01 * d * d
                     net.p[name] -= (0.02 * moment[name] / (1 - 0.9**t) / (np.sqrt(square[name] / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
-    logit, count = model.logits(own)
+    gates = net.gates(inputs)
+    value = np.concatenate([net.forward(gates, ids[place(i)], step < n[i]) for i in np.array_split(np.arange(len(doc)), -(-len(doc) // 4096))])
+    logit, count = np.full(len(own), -np.inf), np.bincount(doc, minlength=len(own))
+    np.maximum.at(logit, doc, value)
     share = label.mean()
     model.calibration = logistic(np.column_stack([logit, np.log(count)]), label, np.where(label == 1, rate / share, (1 - rate) / (1 - share)))
-    for k in ("at", "known"):
-        model.__dict__.pop(k, None)
     return model
 
 
@@ -316,7 +326,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(b.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, score double")
@@ -331,7 +341,7 @@ def reject(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = [x or "" for x in b.column(names.index("text")).to_pylist()]
             yield b.filter(pa.array(model.score(texts) < threshold))
 
