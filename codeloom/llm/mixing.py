@@ -56,8 +56,10 @@ def targets(rows: DataFrame) -> DataFrame:
     })
     # A source is full if the share that is left for it and all after it reaches its cap.
     by = by.withColumn("full", F.col("cap") * F.col("left_w") <= (F.col("total") - F.col("before")) * F.col("w"))
-    rest = by.groupBy().agg(F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0)).alias("full_caps"), F.sum(F.when(~F.col("full"), F.col("w")).otherwise(0)).alias("rest_w"))
-    by = by.join(F.broadcast(rest))  # one row
+    by = by.withColumns({
+        "full_caps": F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0)).over(every),
+        "rest_w": F.sum(F.when(~F.col("full"), F.col("w")).otherwise(0)).over(every),
+    })
     share = (F.col("total") - F.col("full_caps")).cast("double") * F.col("w") / F.col("rest_w")
     return by.select("source", "source_rows", "source_size", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(share).alias("target"))
 
