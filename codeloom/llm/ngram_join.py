@@ -6,10 +6,11 @@ Two documents link if 100 * |A and B| >= 75 * |A or B|. Every document gets the
    pass counts in how many documents each shingle occurs.
 2. Light sets (few shingles) enumerate fixed-size subsets: linked sets of at most s shingles share a subset of
    ceil(0.75 s). Heavy sets scan inverted lists of their prefixes: in an order with frequent shingles last, linked sets
-   share one of the first n - ceil(0.75 n) + 1. Both kinds of keys go into the same lists. The boundary between light and
-   heavy is where the number of subsets exceeds the expected cost of scanning lists.
-3. Lists of up to ALL_PAIRS sets give all their pairs, with the number of shared prefix shingles, which bounds the overlap
-   and drops most pairs that cannot link. Longer lists give a star first.
+   share one of the first n - ceil(0.75 n) + 1; for a partner of known size m they share one within the first
+   n - ceil(3/7 (n + m)) + 1 of each, so entries carry their place. Both kinds of keys go into the same lists. The boundary
+   between light and heavy is where the number of subsets exceeds the expected cost of scanning lists.
+3. Lists of up to ALL_PAIRS sets give all pairs that sizes and places allow. Longer lists give a star first, around the set
+   in which the shingle stands first: that is the one with the fewest rare shingles of its own.
 4. The best partner of each set is verified exactly. What links is merged. Pairs within a merged class need no look; pairs
    across classes, from short lists and from long ones that still hold several classes, are verified exactly too. So no link
    between different texts is lost, and large groups of near copies cost a star instead of all pairs.
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import materialize, small
+from codeloom.llm.common import materialize, slices, small
 
 WORDS = 5
 #: The threshold as a fraction of whole numbers.
@@ -47,7 +48,7 @@ ALL_PAIRS = 24
 #: Sets above this size never enumerate subsets, whatever the costs.
 LIGHT_MOST = 14
 #: Shingles gathered by a task before it sends them on, and shingles that one bucket of lists should hold.
-FLUSH, PER_BUCKET = 1_500_000, 1_500_000
+FLUSH, PER_BUCKET = 1_000_000, 1_500_000
 #: Pairs that one group of the verification should hold.
 PER_GROUP = 200
 PIECE = 1 << 20
@@ -227,7 +228,7 @@ def _first_pass(docs: DataFrame, bits: int) -> DataFrame:
                 x.clear()
 
         held = 0
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist())):
                 sid = set_digest(s) if len(s) else None
                 ids.append(doc_id)
@@ -270,40 +271,44 @@ def _first_pass(docs: DataFrame, bits: int) -> DataFrame:
 
 
 def _lists(docs: DataFrame, order: _Order, light: int) -> DataFrame:
-    """a, b, na, nb, shared: pairs of short lists, and stars of long ones (star); key, a, na: members of long lists (b null)."""
+    """kind 0: pairs (a, b) of short lists; -1: stars (a, b) of long ones, both with the number of lists; -2: members of long
+    lists (key, a) with size n and place."""
     held_order = docs.sparkSession.sparkContext.broadcast((order.keys, order.counts, order.bits))
     bits = order.bits
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = _Order(*held_order.value)
-        keys, owners, sizes, seen = [], [], [], set()
+        keys, places, owners, sizes, seen = [], [], [], [], set()
 
         def flush() -> pa.RecordBatch:
             k = np.concatenate(keys)
             count = list(map(len, keys))
-            o, n = np.repeat(np.array(owners, np.int64), count), np.repeat(np.array(sizes, np.uint32), count)
+            o, n, p = np.repeat(np.array(owners, np.int64), count), np.repeat(np.array(sizes, np.uint32), count), np.concatenate(places)
             at = np.argsort(k, kind="stable")
             where, first, low = _split(k[at], bits)
-            o, n = o[at], n[at]
+            o, n, p = o[at], n[at], p[at]
             cut = list(zip(first[:-1], first[1:]))
-            out = [pa.array(where, pa.int32()), *(pa.array([x[a:b].tobytes() for a, b in cut], pa.binary()) for x in (low, o, n))]
-            for x in (keys, owners, sizes, seen):
+            out = [pa.array(where, pa.int32()), *(pa.array([x[a:b].tobytes() for a, b in cut], pa.binary()) for x in (low, o, n, p))]
+            for x in (keys, places, owners, sizes, seen):
                 x.clear()
-            return pa.RecordBatch.from_arrays(out, ["bucket", "keys", "sids", "sizes"])
+            return pa.RecordBatch.from_arrays(out, ["bucket", "keys", "sids", "sizes", "places"])
 
         held = 0
-        for batch in batches:
+        for batch in slices(batches):
             for s in shingle_sets(batch.column(0).to_pylist()):
                 n = len(s)
                 if not n or (sid := set_digest(s)) in seen:
                     continue
                 seen.add(sid)
-                own = []
+                own, at = [], []
                 if n <= light:
                     own.append(_subset_keys(s))
+                    at.append(np.zeros(len(own[-1]), np.uint32))
                 if n > light or DEN * n // NUM > light:
                     own.append(order.prefix(s, prefix_length(n)))
-                keys.append(np.concatenate(own) if len(own) > 1 else own[0])
+                    at.append(np.arange(1, len(own[-1]) + 1, dtype=np.uint32))
+                keys.append(np.concatenate(own))
+                places.append(np.concatenate(at))
                 owners.append(sid)
                 sizes.append(n)
                 held += len(keys[-1])
@@ -315,58 +320,70 @@ def _lists(docs: DataFrame, order: _Order, light: int) -> DataFrame:
 
     def meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         bucket = key[0].as_py()
-        k, o, n = (np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in (("keys", np.uint32), ("sids", np.int64), ("sizes", np.uint32)))
-        at = np.lexsort((o, k))
-        k, o, n = k[at], o[at], n[at].astype(np.int64)
+        read = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()])
+        k, o, n, p = read("keys", np.uint32), read("sids", np.int64), read("sizes", np.uint32).astype(np.int64), read("places", np.uint32).astype(np.int64)
+        at = np.lexsort((p, o, k))
+        k, o, n, p = k[at], o[at], n[at], p[at]
         new = np.concatenate([[True], (k[1:] != k[:-1]) | (o[1:] != o[:-1])])
-        k, o, n = k[new], o[new], n[new]
-        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        k, o, n, p = k[new], o[new], n[new], p[new]
+        # A member whose shingle stands too far back for the smallest set of the list that could link with it is dropped.
+        scale = np.int64(1 << 31)
+        by_size = np.sort(k.astype(np.int64) * scale + n)
+        least = by_size[np.searchsorted(by_size, k.astype(np.int64) * scale - (-NUM * n // DEN))] % scale
+        keep = p <= _place_most(n, least)
+        k, o, n, p = k[keep], o[keep], n[keep], p[keep]
+        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
         length = np.diff(np.append(first, len(k)))
-        found, parts = [], []
+        parts = []
         for size in np.unique(length[(length > 1) & (length <= ALL_PAIRS)]):
             rows = first[length == size]
             i, j = np.triu_indices(size, 1)
-            found.append(((rows[:, None] + i).ravel(), (rows[:, None] + j).ravel()))
-        if found:
-            i, j = (np.concatenate(x) for x in zip(*found))
-            fit = DEN * np.minimum(n[i], n[j]) >= NUM * np.maximum(n[i], n[j])
-            parts.append((i[fit], j[fit], False))
-        long = length > ALL_PAIRS
-        members = np.repeat(long, length)
-        # A star around the first member of each size class: sets whose sizes differ by a third cannot link.
-        if members.any():
-            at = np.flatnonzero(members)
-            band = np.floor(np.log(n[at]) / math.log(DEN / NUM)).astype(np.int64)
-            again = np.lexsort((o[at], band, k[at]))
-            at, band = at[again], band[again]
+            i, j = (rows[:, None] + i).ravel(), (rows[:, None] + j).ravel()
+            fit = (DEN * np.minimum(n[i], n[j]) >= NUM * np.maximum(n[i], n[j])) & (p[i] <= _place_most(n[i], n[j])) & (p[j] <= _place_most(n[j], n[i]))
+            parts.append((i[fit], j[fit], 0))
+        m = np.flatnonzero(np.repeat(length > ALL_PAIRS, length))
+        if len(m):
+            # A star in each size class: sets whose sizes differ by a third cannot link.
+            band = np.floor(np.log(n[m]) / math.log(DEN / NUM)).astype(np.int64)
+            again = np.lexsort((o[m], p[m], band, k[m]))
+            at, band = m[again], band[again]
             begin = np.concatenate([[True], (k[at][1:] != k[at][:-1]) | (band[1:] != band[:-1])])
             pivot = at[np.flatnonzero(begin)[np.cumsum(begin) - 1]]
-            keep = pivot != at
-            parts.append((pivot[keep], at[keep], True))
-        cols = [[np.zeros(0, np.int64)] for _ in range(7)]
-        for i, j, star in parts:
-            if not len(i):
-                continue
-            a, b = np.minimum(o[i], o[j]), np.maximum(o[i], o[j])
-            na, nb = np.where(o[i] <= o[j], n[i], n[j]), np.where(o[i] <= o[j], n[j], n[i])
-            at = np.lexsort((b, a))
-            a, b, na, nb = a[at], b[at], na[at], nb[at]
-            start = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-            shared = np.diff(np.append(start, len(a)))
-            for c, x in zip(cols, (a[start], b[start], na[start], nb[start], shared, np.full(len(start), -int(star)), np.full(len(start), -1))):
-                c.append(x)
-        if members.any():
-            m = np.flatnonzero(members)
-            for c, x in zip(cols, (o[m], o[m], n[m], n[m], np.ones(len(m), np.int64), np.full(len(m), -2), (np.int64(bucket) << np.int64(32)) | k[m].astype(np.int64))):
+            other = pivot != at
+            parts.append((pivot[other], at[other], -1))
+        cols = [[np.zeros(0, np.int64)] for _ in range(6)]
+
+        def put(*values: np.ndarray) -> None:
+            for c, x in zip(cols, values):
                 c.append(x)
-        return pa.Table.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in cols], ["a", "b", "na", "nb", "shared", "kind", "key"])
+
+        for kind in (0, -1):
+            found = [x for x in parts if x[2] == kind and len(x[0])]
+            if found:
+                i, j = (np.concatenate([x[c] for x in found]) for c in (0, 1))
+                a, b = np.minimum(o[i], o[j]), np.maximum(o[i], o[j])
+                at = np.lexsort((b, a))
+                a, b = a[at], b[at]
+                start = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+                shared = np.diff(np.append(start, len(a)))
+                none = np.zeros(len(start), np.int64)
+                put(a[start], b[start], shared, none + kind, none - 1, none)
+        if len(m):
+            none = np.zeros(len(m), np.int64)
+            put(o[m], p[m], none, none - 2, (np.int64(bucket) << np.int64(32)) | k[m].astype(np.int64), n[m])
+        return pa.Table.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in cols], ["a", "b", "shared", "kind", "key", "n"])
 
     rows = docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    sent = rows.mapInArrow(send, "bucket int, keys binary, sids binary, sizes binary")
-    got = sent.groupBy("bucket").applyInArrow(meet, "a long, b long, na long, nb long, shared long, kind long, key long")
+    sent = rows.mapInArrow(send, "bucket int, keys binary, sids binary, sizes binary, places binary")
+    got = sent.groupBy("bucket").applyInArrow(meet, "a long, b long, shared long, kind long, key long, n long")
     return materialize(got, "join-lists")
 
 
+def _place_most(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The last place at which a set of n must share a shingle with a set of m that it links with."""
+    return n - (-(-NUM * (n + m) // (NUM + DEN))) + 1
+
+
 def _verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) that link, exactly: texts are brought together in groups of about PER_GROUP pairs."""
     n = pairs.count()
@@ -437,30 +454,23 @@ def classes(docs: DataFrame) -> DataFrame:
     lists = _lists(docs, order, light)
     reps = materialize(rows.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep")), "join-reps")
 
-    pairs = lists.filter("kind >= -1").groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("shared").alias("shared"), F.min("kind").alias("kind"))
-    inlong = lists.filter("kind = -2").groupBy(F.col("a").alias("_m")).agg(F.count(F.lit(1)).alias("long"))
-    # Shared prefix shingles plus what stands behind the prefixes bounds the overlap. Shared members of long lists are not
-    # in the count, so they are added; light sets have subsets among their keys and are not bounded.
-    inlong = materialize(inlong, "join-inlong")
-    for side in ("a", "b"):
-        pairs = pairs.join(small(inlong.withColumnRenamed("long", f"l{side}")), F.col(side) == F.col("_m"), "left").drop("_m")
-    least = F.expr(f"ceil({NUM} * (na + nb) / {NUM + DEN}.0)")
-    behind = lambda n: F.expr(f"ceil({NUM} * {n} / {DEN}.0) - 1")
-    most = F.col("shared") + F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0))) + F.greatest(behind("na"), behind("nb"))
-    pairs = materialize(pairs.filter((F.col("kind") < 0) | (F.least("na", "nb") <= light) | (most >= least)).select("a", "b", "shared", "kind"), "join-pairs")
+    pairs = materialize(lists.filter("kind >= -1").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("kind").alias("kind")), "join-pairs")
 
     # One partner for each set first: the one with most in common.
-    best = pairs.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
+    either = pairs.select("shared", F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e"))
+    best = either.groupBy("e.x").agg(F.max(F.struct("shared", "e.y")).alias("m")).select(F.least("x", "m.y").alias("a"), F.greatest("x", "m.y").alias("b")).distinct()
+    best = materialize(best, "join-best")
     links = _verify(docs, reps, best)
     roots = components(links)
     # Then all pairs across classes.
     label = lambda df, c: df.join(roots.select(F.col("node").alias("_n"), F.col("root").alias(f"r{c}")), F.col(c) == F.col("_n"), "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c)).drop("_n")
     across = label(label(pairs.filter("kind = 0").select("a", "b"), "a"), "b").filter("ra <> rb").select("a", "b")
-    long = materialize(label(lists.filter("kind = -2").select("key", "a", F.col("na").alias("n")), "a"), "join-long")
+    long = materialize(label(lists.filter("kind = -2").select("key", "a", F.col("b").alias("p"), "n"), "a"), "join-long")
     mixed = long.groupBy("key").agg(F.min("ra").alias("x"), F.max("ra").alias("y")).filter("x <> y").select(F.col("key").alias("_k"))
-    long = long.join(mixed, F.col("key") == F.col("_k"), "left_semi")
-    other = long.select(F.col("key").alias("_k"), F.col("a").alias("b"), F.col("n").alias("nb"), F.col("ra").alias("rb"))
-    fits = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.least("n", "nb") * DEN >= F.greatest("n", "nb") * NUM)
+    long = materialize(long.join(mixed, F.col("key") == F.col("_k"), "left_semi"), "join-mixed")
+    other = long.select(F.col("key").alias("_k"), F.col("a").alias("b"), F.col("p").alias("pb"), F.col("n").alias("nb"), F.col("ra").alias("rb"))
+    last = f"1 - ceil({NUM} * (n + nb) / {NUM + DEN}.0)"
+    fits = F.expr(f"a < b AND ra <> rb AND {DEN} * least(n, nb) >= {NUM} * greatest(n, nb) AND p <= n + {last} AND pb <= nb + {last}")
     across = across.unionByName(long.join(other, (F.col("key") == F.col("_k")) & fits).select("a", "b")).distinct()
     across = materialize(across.join(best.select(F.col("a").alias("_a"), F.col("b").alias("_b")), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti"), "join-across")
     if not across.isEmpty():
@@ -487,7 +497,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     out = docs.join(small(materialize(kept, "join-kept"), 1_000_000), F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
     if found.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").isEmpty():
         return out
-    one = out.filter("doc_id is not null").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), "text").alias("_row")).select("_row.*")
+    one = out.filter("doc_id is not null").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct(F.col("text").isNull(), F.coalesce("text", F.lit("")))).alias("_row")).select("_row.*")
     return out.filter("doc_id is null").unionByName(one)
 
 
