@@ -104,26 +104,28 @@ def resolve_calls(calls: DataFrame, routines: DataFrame) -> DataFrame:
     strategies are one equi-join and one aggregation.
     """
     low = lambda c: F.lower(F.coalesce(c, F.lit("")))
-    r = routines.select("routine_key", F.col("schema_name").alias("schema"), low(F.col("package_name")).alias("p"), low(F.col("name")).alias("n"))
-    s = F.lower(F.coalesce("schema", F.lit("")))
+    r = routines.select("routine_key", F.lower("schema_name").alias("schema"), low(F.col("package_name")).alias("p"), low(F.col("name")).alias("n"))
+    s = F.coalesce("schema", F.lit(""))
     full = F.concat_ws(".", F.when(s != "", s), F.when(F.col("p") != "", F.col("p")), F.col("n"))
-    many = F.count(F.lit(1)).over(Window.partitionBy("n"))
-    r = r.withColumns({"full": full, "many": many})
-    by_full = r.select(F.lit("full").alias("by"), F.col("full").alias("text"), "routine_key", F.lit(None).cast("string").alias("schema"), F.lit(1).cast("long").alias("many"))
-    by_pkg = r.filter("p <> ''").select(F.lit("pkg").alias("by"), F.concat_ws(".", "p", "n").alias("text"), "routine_key", F.lit(None).cast("string").alias("schema"), F.lit(1).cast("long").alias("many"))
-    by_name = r.select(F.lit("name").alias("by"), F.col("n").alias("text"), "routine_key", F.lower("schema").alias("schema"), "many")
-    table = by_full.unionByName(by_pkg).unionByName(by_name)
+    own = lambda schema, name: F.concat(schema, F.lit("\x01"), name)
+    # A strategy takes the first routine by key, so each text keeps that one only and a call meets one row of each kind.
+    keys = r.select("routine_key", F.explode(F.array(
+        F.struct(F.lit("full").alias("by"), full.alias("text")), F.struct(F.lit("pkg").alias("by"), F.when(F.col("p") != "", F.concat_ws(".", "p", "n")).alias("text")), F.struct(F.lit("name").alias("by"), F.col("n").alias("text")),
+        F.struct(F.lit("own").alias("by"), own(F.col("schema"), F.col("n")).alias("text")), F.struct(F.lit("none").alias("by"), F.when(F.col("schema").isNull(), F.col("n")).alias("text")),
+    )).alias("a")).select("routine_key", "a.by", "a.text")
+    table = keys.filter("text is not null").groupBy("by", "text").agg(F.min("routine_key").alias("routine_key"), F.count(F.lit(1)).alias("many"))
     c = calls.select("call_id", "raw", F.lower("caller_schema").alias("caller"), F.lower(F.trim("raw")).alias("t")).filter(noise(F.col("raw")).isNull())
     bare = F.substring_index("t", ".", -1)
-    asked = c.select("call_id", "raw", "caller", "t", F.explode(F.array(
+    asked = c.select("call_id", "t", F.explode(F.array(
         F.struct(F.lit("full").alias("by"), F.col("t").alias("text")), F.struct(F.lit("pkg").alias("by"), F.col("t").alias("text")), F.struct(F.lit("name").alias("by"), bare.alias("text")),
-    )).alias("a")).select("call_id", "raw", "caller", "t", "a.by", "a.text")
-    met = asked.join(table, ["by", "text"])
+        F.struct(F.lit("own").alias("by"), own(F.col("caller"), bare).alias("text")), F.struct(F.lit("none").alias("by"), bare.alias("text")),
+    )).alias("a")).select("call_id", "t", "a.by", "a.text")
+    met = asked.join(small(table), ["by", "text"])
     dotted = F.instr("t", ".") > 0
     one = F.col("many") == 1
     rank = (
         F.when(F.col("by") == "full", 1).when((F.col("by") == "name") & dotted & one, 2).when((F.col("by") == "pkg") & dotted, 3).when((F.col("by") == "name") & ~dotted & one, 4)
-        .when((F.col("by") == "name") & (F.col("schema") == F.col("caller")), 5).when((F.col("by") == "name") & F.col("schema").isNull(), 6).when(F.col("by") == "name", 7)
+        .when(F.col("by") == "own", 5).when(F.col("by") == "none", 6).when(F.col("by") == "name", 7)
     )
     best = met.withColumn("rank", rank).filter("rank is not null").groupBy("call_id").agg(F.min(F.struct("rank", "routine_key")).alias("b"))
     out = c.select("call_id", "raw").join(best, "call_id", "left")

@@ -512,14 +512,25 @@ _ROUTINES = """r AS (SELECT 'proc:r' || p_partkey AS routine_key, CASE p_partkey
   CASE WHEN p_partkey % 7 = 0 THEN 'only' || p_partkey ELSE 'fn' || (p_partkey % 40) END AS n FROM part WHERE p_partkey <= 400)"""
 
 
-def _routines(spark, sf):
+def _routines(spark, sf, most: int | None = None):
     p = F.col("p_partkey")
-    return spark.read.parquet(f"{sf}/part.parquet").filter(p <= 400).select(
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    return (part if most is None else part.filter(p <= most)).select(
         F.concat(F.lit("proc:r"), p).alias("routine_key"), F.when(p % 4 != 0, F.concat(F.lit("sch"), p % 4)).alias("schema_name"), F.when(p % 3 == 0, F.concat(F.lit("pkg"), p % 5)).alias("package_name"),
         F.when(p % 7 == 0, F.concat(F.lit("only"), p)).otherwise(F.concat(F.lit("fn"), p % 40)).alias("name"),
     )
 
 
+def _calls(spark, sf):
+    k, p = F.col("l_linenumber"), F.col("l_partkey")
+    raw = (
+        F.when(k == 1, F.concat(F.lit("only"), p % 50 * 7)).when(k == 2, F.concat(F.lit("SCH"), p % 5, F.lit(".FN"), p % 45)).when(k == 3, F.concat(F.lit("pkg"), p % 6, F.lit(".fn"), p % 45))
+        .when(k == 4, "self.x").otherwise(F.concat(F.lit("fn"), p % 60))
+    )
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    return li.select((F.col("l_orderkey") * 10 + k).alias("call_id"), raw.alias("raw"), F.concat(F.lit("sch"), F.col("l_suppkey") % 5).alias("caller_schema"))
+
+
 @query(
     "resolve_calls",
     "WITH " + _ROUTINES + """, f AS (SELECT *, concat_ws('.', sch, pkg, n) AS f, count(*) OVER (PARTITION BY n) AS many FROM r),
@@ -531,14 +542,16 @@ m AS (SELECT c.call_id, min(struct_pack(k := CASE WHEN f.f = lower(c.raw) THEN 1
 SELECT c.call_id, c.raw, 'S' || m.b.k AS strategy, m.b.key AS routine_key FROM c LEFT JOIN m ON c.call_id = m.call_id WHERE c.raw <> 'self.x'""",
 )
 def _(spark, sf):
-    li = spark.read.parquet(f"{sf}/lineitem.parquet").filter("l_orderkey <= 300")
-    k, p = F.col("l_linenumber"), F.col("l_partkey")
-    raw = (
-        F.when(k == 1, F.concat(F.lit("only"), p % 50 * 7)).when(k == 2, F.concat(F.lit("SCH"), p % 5, F.lit(".FN"), p % 45)).when(k == 3, F.concat(F.lit("pkg"), p % 6, F.lit(".fn"), p % 45))
-        .when(k == 4, "self.x").otherwise(F.concat(F.lit("fn"), p % 60))
-    )
-    calls = li.select((F.col("l_orderkey") * 10 + k).alias("call_id"), raw.alias("raw"), F.concat(F.lit("sch"), F.col("l_suppkey") % 5).alias("caller_schema"))
-    return search.resolve_calls(calls, _routines(spark, sf))
+    return search.resolve_calls(_calls(spark, sf).filter("call_id < 3010"), _routines(spark, sf, 400))  # the ids of the SQL
+
+
+@query("resolve_calls_whole")
+def _(spark, sf):
+    return search.resolve_calls(_calls(spark, sf), _routines(spark, sf))
+
+
+def _missing(spark, sf):
+    return spark.read.parquet(f"{sf}/part.parquet").select(F.concat(F.lit("onlx"), F.col("p_partkey") % 30).alias("raw"))
 
 
 @query(
@@ -547,8 +560,12 @@ def _(spark, sf):
 k AS (SELECT *, row_number() OVER (PARTITION BY raw ORDER BY distance, name) AS rank FROM d) SELECT raw, name, CAST(distance AS INT) AS distance, CAST(rank AS INT) AS rank FROM k WHERE rank <= 3""",
 )
 def _(spark, sf):
-    missing = spark.read.parquet(f"{sf}/part.parquet").select(F.concat(F.lit("onlx"), F.col("p_partkey") % 30).alias("raw"))
-    return search.nearest_names(missing, _routines(spark, sf))
+    return search.nearest_names(_missing(spark, sf), _routines(spark, sf, 400))  # the ids of the SQL
+
+
+@query("nearest_names_whole")
+def _(spark, sf):
+    return search.nearest_names(_missing(spark, sf), _routines(spark, sf))
 
 
 # ---- stores ---------------------------------------------------------------------------------------------------------
