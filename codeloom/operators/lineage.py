@@ -29,40 +29,37 @@ def table_hops(access: DataFrame, depends: DataFrame | None = None) -> DataFrame
     return hops
 
 
+def _walk(e: DataFrame, start: str, depth: int) -> DataFrame:
+    """node, by, path, n: every way of 1 to depth edges (src, by, dst) from the start that repeats no node.
+
+    One join for each step; a recursive query would stop with an error at a million rows.
+    """
+    front = e.sparkSession.range(1).select(F.lit(start).alias("node"), F.lit(None).cast("string").alias("by"), F.array(F.lit(start)).alias("path"), F.lit(0).alias("n"))
+    out = front.filter("n > 0")
+    for _ in range(depth):
+        step = front.select("node", "path", "n").join(e, F.col("node") == F.col("src")).filter(~F.array_contains("path", F.col("dst")))
+        front = materialize(step.select(F.col("dst").alias("node"), e["by"].cast("string").alias("by"), F.array_append("path", F.col("dst")).alias("path"), (F.col("n") + 1).alias("n")), "walk")
+        if front.isEmpty():
+            break
+        out = out.unionByName(front)
+    return out
+
+
 def lineage_tables(hops: DataFrame, start: str, direction: str = "up", depth: int = 3) -> DataFrame:
     """path, routine, table, depth: every way from the start, without repeating a table on it. up goes to sources."""
     a, b = ("parent", "child") if direction == "up" else ("child", "parent")
-    e = materialize(hops.select(F.col(a).alias("src"), "routine", F.col(b).alias("dst")), "hops")
-    walk = hops.sparkSession.sql(
-        f"""
-        WITH RECURSIVE walk(node, routine, path, n) AS (
-          SELECT '{start}', CAST(NULL AS STRING), array('{start}'), 0
-          UNION ALL
-          SELECT e.dst, e.routine, array_append(w.path, e.dst), w.n + 1 FROM walk w JOIN {{e}} e ON w.node = e.src
-          WHERE w.n < {depth} AND NOT array_contains(w.path, e.dst))
-        SELECT * FROM walk WHERE n > 0""",
-        e=e,
-    )
-    return walk.select(F.array_join("path", " < " if direction == "up" else " > ").alias("path"), "routine", F.col("node").alias("table"), F.col("n").alias("depth"))
+    e = materialize(hops.select(F.col(a).alias("src"), F.col("routine").alias("by"), F.col(b).alias("dst")), "hops")
+    walk = _walk(e, start, depth)
+    return walk.select(F.array_join("path", " < " if direction == "up" else " > ").alias("path"), F.col("by").alias("routine"), F.col("node").alias("table"), F.col("n").alias("depth"))
 
 
 def lineage_columns(mappings: DataFrame, table: str, column: str, direction: str = "up", depth: int = 5) -> DataFrame:
     """path, owner, col, depth over column mappings (target_table, target_column, source_table, source_column, owner_key)."""
     t, s = F.concat_ws(".", "target_table", "target_column"), F.concat_ws(".", "source_table", "source_column")
     a, b = (t, s) if direction == "up" else (s, t)
-    e = materialize(mappings.filter("source_column is not null").select(a.alias("src"), F.col("owner_key").alias("owner"), b.alias("dst")).distinct(), "columns")
-    start = f"{table}.{column}"
-    walk = mappings.sparkSession.sql(
-        f"""
-        WITH RECURSIVE walk(node, owner, path, n) AS (
-          SELECT '{start}', CAST(NULL AS STRING), array('{start}'), 0
-          UNION ALL
-          SELECT e.dst, e.owner, array_append(w.path, e.dst), w.n + 1 FROM walk w JOIN {{e}} e ON w.node = e.src
-          WHERE w.n < {depth} AND NOT array_contains(w.path, e.dst))
-        SELECT * FROM walk WHERE n > 0""",
-        e=e,
-    )
-    return walk.select(F.array_join("path", " < ").alias("path"), "owner", F.col("node").alias("col"), F.col("n").alias("depth"))
+    e = materialize(mappings.filter("source_column is not null").select(a.alias("src"), F.col("owner_key").alias("by"), b.alias("dst")).distinct(), "columns")
+    walk = _walk(e, f"{table}.{column}", depth)
+    return walk.select(F.array_join("path", " < ").alias("path"), F.col("by").alias("owner"), F.col("node").alias("col"), F.col("n").alias("depth"))
 
 
 def role(overlap: Column, total: Column, known: Column) -> Column:

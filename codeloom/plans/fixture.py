@@ -29,6 +29,7 @@ VIEWS = {
     "g_colmap": "SELECT DISTINCT 'p' || l_partkey AS target_table, 'c' || (l_partkey % 3) AS target_column, 'p' || (l_partkey * 3 % 97 + 1) AS source_table, 'c' || ((l_partkey * 3 % 97 + 1) % 3) AS source_column, "
     "'proc:s' || (l_partkey % 10 + 1) AS owner_key FROM lineitem WHERE l_partkey <= 97",
 }
+VIEWS["g_colmap_whole"] = VIEWS["g_colmap"].removesuffix(" WHERE l_partkey <= 97")
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -314,6 +314,11 @@ def _(spark, sf):
     return lineage.table_hops(a)
 
 
+@query("table_hops_whole")
+def _(spark, sf):
+    return lineage.table_hops(_graph(spark, sf)[2]["g_access"].select(F.col("proc_id").alias("routine"), F.col("table_id").alias("table"), "modes"))
+
+
 @query(
     "table_lineage",
     with_sql("g_access", recursive=_HOPS + ", w(k, r, p, n) AS (SELECT 't7', CAST(NULL AS VARCHAR), ['t7'], 0 UNION ALL SELECT 't' || h.c, 's' || h.r, list_append(w.p, 't' || h.c), w.n + 1 FROM w JOIN h ON w.k = 't' || h.p WHERE w.n < 3 AND NOT list_contains(w.p, 't' || h.c))")
@@ -324,6 +329,12 @@ def _(spark, sf):
     return lineage.lineage_tables(lineage.table_hops(a), "t7", "up", 3)
 
 
+@query("table_lineage_whole")
+def _(spark, sf):
+    a = _graph(spark, sf)[2]["g_access"].select(F.concat(F.lit("s"), "proc_id").alias("routine"), F.concat(F.lit("t"), "table_id").alias("table"), "modes")
+    return lineage.lineage_tables(lineage.table_hops(a), "t7", "up", 3)
+
+
 @query(
     "column_lineage",
     with_sql("g_colmap", recursive="m AS (SELECT DISTINCT target_table || '.' || target_column AS t, owner_key AS o, source_table || '.' || source_column AS s FROM g_colmap), w(k, o, p, n) AS (SELECT 'p5.c2', CAST(NULL AS VARCHAR), ['p5.c2'], 0 UNION ALL SELECT m.s, m.o, list_append(w.p, m.s), w.n + 1 FROM w JOIN m ON w.k = m.t WHERE w.n < 8 AND NOT list_contains(w.p, m.s))")
@@ -333,6 +344,11 @@ def _(spark, sf):
     return lineage.lineage_columns(_graph(spark, sf)[2]["g_colmap"], "p5", "c2", "up", 8)
 
 
+@query("column_lineage_whole")
+def _(spark, sf):
+    return lineage.lineage_columns(_graph(spark, sf)[2]["g_colmap_whole"], "p5", "c2", "up", 8)
+
+
 _ROLES = """ddl AS (SELECT DISTINCT source_table AS t, source_column AS c FROM g_colmap WHERE CAST(substr(source_table, 2) AS INT) % 3 <> 0),
 tot AS (SELECT target_table AS t, count(DISTINCT target_column) AS total FROM g_colmap GROUP BY 1),
 u AS (SELECT DISTINCT target_table, source_table, source_column FROM g_colmap),
@@ -342,8 +358,8 @@ z AS (SELECT target_table, source_table, overlap, total, CASE WHEN NOT known THE
 """
 
 
-def _roles(spark, sf):
-    m = _graph(spark, sf)[2]["g_colmap"]
+def _roles(spark, sf, mappings: str = "g_colmap"):
+    m = _graph(spark, sf)[2][mappings]
     ddl = m.select(F.col("source_table").alias("table"), F.col("source_column").alias("column")).filter("CAST(substr(table, 2) AS INT) % 3 <> 0")
     return lineage.edge_roles(m, ddl)
 
@@ -353,11 +369,21 @@ def _(spark, sf):
     return _roles(spark, sf)
 
 
+@query("lineage_roles_whole")
+def _(spark, sf):
+    return _roles(spark, sf, "g_colmap_whole")
+
+
 @query("lineage_rollup", with_sql("g_colmap").rstrip() + ", " + _ROLES + "SELECT source_table, CASE WHEN bool_or(role = 'flow') THEN 'flow' WHEN bool_or(role = 'reference') THEN 'reference' ELSE 'unknown' END AS role, max(overlap) AS overlap FROM z GROUP BY source_table")
 def _(spark, sf):
     return lineage.roll_up(_roles(spark, sf))
 
 
+@query("lineage_rollup_whole")
+def _(spark, sf):
+    return lineage.roll_up(_roles(spark, sf, "g_colmap_whole"))
+
+
 # ---- clustering -----------------------------------------------------------------------------------------------------
 
 _TFIDF = """v0 AS (SELECT proc_id, table_id FROM g_access WHERE table_id <= 300), n AS (SELECT count(DISTINCT proc_id) AS n FROM v0), df AS (SELECT table_id, count(*) AS df FROM v0 GROUP BY 1),

@@ -82,3 +82,62 @@ def test_nearest_names_whole(spark, small_tables):
     got = run(spark, "nearest_names_whole", small_tables)
     assert got == sorted(want, key=repr)
     assert {"only406", "only413"} & {r[1] for r in got}
+
+
+def accesses(small_tables):
+    out = {}
+    for x in small_tables[1]["lineitem"]:
+        key = x["l_suppkey"], x["l_partkey"]
+        out[key] = out.get(key, 0) | {"N": 1, "R": 2, "A": 4}[x["l_returnflag"]] | (8 if x["l_quantity"] >= 50 else 0)
+    return out
+
+
+def hops(small_tables):
+    a = accesses(small_tables)
+    return {(p, r, c) for (r, p), m in a.items() for (q, c), k in a.items() if r == q and p != c and m & 2 and k & 1}
+
+
+def ways(edges, start, depth):
+    out, front = [], [(start, None, (start,))]
+    for n in range(1, depth + 1):
+        front = [(c, r, (*path, c)) for node, _, path in front for p, r, c in edges if p == node and c not in path]
+        out += [(" < ".join(path), r, node, n) for node, r, path in front]
+    return sorted(out, key=repr)
+
+
+def test_table_hops_whole(spark, small_tables):
+    want = hops(small_tables)
+    assert run(spark, "table_hops_whole", small_tables) == sorted(want, key=repr)
+    assert any(p > 40 for p, _, _ in want)
+
+
+def test_table_lineage_whole(spark, small_tables):
+    want = ways([(f"t{p}", f"s{r}", f"t{c}") for p, r, c in hops(small_tables)], "t7", 3)
+    assert run(spark, "table_lineage_whole", small_tables) == want
+    assert any(int(x[2][1:]) > 40 for x in want)
+
+
+def mappings(small_tables):
+    of = lambda p: p * 3 % 97 + 1
+    return {(f"p{p}", f"c{p % 3}", f"p{of(p)}", f"c{of(p) % 3}", f"proc:s{p % 10 + 1}") for p in (x["l_partkey"] for x in small_tables[1]["lineitem"])}
+
+
+def roles(small_tables):
+    m = mappings(small_tables)
+    ddl = {(s, c) for _, _, s, c, _ in m if int(s[1:]) % 3}
+    for t, s in sorted({(x[0], x[2]) for x in m}):
+        total = len({x[1] for x in m if x[0] == t})
+        overlap = len({x[3] for x in m if x[0] == t and x[2] == s and (s, x[3]) in ddl})
+        known = any(s == y for y, _ in ddl)
+        yield t, s, overlap, total, "unknown" if not known else "flow" if overlap >= min(total, 8) else "reference"
+
+
+def test_column_lineage_and_roles_whole(spark, small_tables):
+    m = mappings(small_tables)
+    assert run(spark, "column_lineage_whole", small_tables) == ways([(f"{a}.{b}", o, f"{c}.{d}") for a, b, c, d, o in m], "p5.c2", 8)
+    want = sorted(roles(small_tables), key=repr)
+    assert run(spark, "lineage_roles_whole", small_tables) == want
+    assert any(int(r[0][1:]) > 97 for r in want)
+    rank = ["flow", "reference", "unknown"]
+    rolled = [(s, min((r[4] for r in want if r[1] == s), key=rank.index), max(r[2] for r in want if r[1] == s)) for s in {r[1] for r in want}]
+    assert run(spark, "lineage_rollup_whole", small_tables) == sorted(rolled, key=repr)
