@@ -400,6 +400,11 @@ def _(spark, sf):
     return cluster.tfidf(a).select("proc_a", "proc_b", F.round("sim", 6).alias("sim"))
 
 
+@query("tfidf_neighbours_whole")
+def _(spark, sf):
+    return cluster.tfidf(_access(_graph(spark, sf)[2]).select("proc_key", "table_key")).select("proc_a", "proc_b", F.round("sim", 6).alias("sim"))
+
+
 def _units(spark, sf):
     n, e, v = _graph(spark, sf)
     members = v["g_proc"].select("node_key", F.col("node_key").alias("unit"))

@@ -1,5 +1,6 @@
 """Queries over whole tables against plain Python, on rows with ids beyond those that the SQL of their namesakes takes."""
 
+import math
 import random
 
 import pyarrow as pa
@@ -141,3 +142,20 @@ def test_column_lineage_and_roles_whole(spark, small_tables):
     rank = ["flow", "reference", "unknown"]
     rolled = [(s, min((r[4] for r in want if r[1] == s), key=rank.index), max(r[2] for r in want if r[1] == s)) for s in {r[1] for r in want}]
     assert run(spark, "lineage_rollup_whole", small_tables) == sorted(rolled, key=repr)
+
+
+def test_tfidf_neighbours_whole(spark, small_tables):
+    a = accesses(small_tables)
+    procs = {r for r, _ in a}
+    df = {t: sum(u == t for _, u in a) for _, t in a}
+    idf = {t: math.log(len(procs) / n) for t, n in df.items() if n < len(procs)}
+    v = {r: {t: idf[t] for q, t in a if q == r and t in idf} for r in procs}
+    norm = {r: math.sqrt(sum(x * x for x in v[r].values())) for r in procs}
+    want = {}
+    for r in procs:
+        sims = [(sum(x * v[q][t] for t, x in v[r].items() if t in v[q]) / (norm[r] * norm[q]), q) for q in procs if q != r]
+        for sim, q in sorted((-round(s, 9), f"proc:s{q}") for s, q in sims if s >= 0.1)[:10]:
+            want[tuple(sorted((f"proc:s{r}", q)))] = -sim
+    got = {(x, y): s for x, y, s in run(spark, "tfidf_neighbours_whole", small_tables)}
+    assert got.keys() == want.keys() and want
+    assert all(got[k] == pytest.approx(want[k], abs=2e-6) for k in want)
