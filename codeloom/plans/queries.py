@@ -69,6 +69,12 @@ def _(spark, sf):
     return a.crossJoin(b).select("modes_a", "modes_b", acc.locks_conflict(F.col("modes_a"), F.col("modes_b")).alias("conflict"))  # a fixed grid of mode values
 
 
+@query("lock_matrix_whole")
+def _(spark, sf):
+    m = spark.range(1, 256).select(F.col("id").cast("int").alias("modes"))
+    return m.select(F.col("modes").alias("modes_a")).crossJoin(m.select(F.col("modes").alias("modes_b"))).withColumn("conflict", acc.locks_conflict(F.col("modes_a"), F.col("modes_b")))  # all 255 x 255 pairs
+
+
 @query("lock_levels", with_sql("g_access") + f"SELECT modes, {LEVEL('modes')} AS level, count(*) AS n FROM g_access GROUP BY modes")
 def _(spark, sf):
     return _graph(spark, sf)[2]["g_access"].groupBy("modes").agg(F.count(F.lit(1)).alias("n")).select("modes", acc.lock_level(F.col("modes")).alias("level"), "n")
@@ -526,6 +532,12 @@ def _(spark, sf):
     return search.trace_sql(v["g_proc"].filter("id % 7 = 1").select("node_key", F.lit(1.0).alias("score")), e)
 
 
+@query("trace_sql_whole")
+def _(spark, sf):
+    _n, e, v = _graph(spark, sf)
+    return search.trace_sql(v["g_proc"].select("node_key", F.lit(1.0).alias("score")), e)
+
+
 @query(
     "mark_statements",
     with_sql("g_edges", "g_proc", recursive=_CALLS + ", w(k, n) AS (SELECT 'proc:s8', 0 UNION SELECT c.s, w.n + 1 FROM w JOIN c ON w.k = c.d WHERE w.n < 10), r AS (SELECT k, min(n) AS n FROM w WHERE n > 0 GROUP BY k), x AS (SELECT 'q' || id AS unique_sql_id, 'call ' || name || '(1)' AS sql_text, node_key FROM g_proc)")

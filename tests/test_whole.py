@@ -8,6 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from codeloom import registry
+from codeloom.model import CONFLICTS
 
 PARTS = [*range(1, 13), *range(401, 441)]
 
@@ -159,3 +160,18 @@ def test_tfidf_neighbours_whole(spark, small_tables):
     got = {(x, y): s for x, y, s in run(spark, "tfidf_neighbours_whole", small_tables)}
     assert got.keys() == want.keys() and want
     assert all(got[k] == pytest.approx(want[k], abs=2e-6) for k in want)
+
+
+def test_lock_matrix_whole(spark, small_tables):
+    level = {1: 1, 4: 2, 2: 3, 16: 4, 32: 5, 64: 6, 128: 7, 8: 8}
+    held = {m: {v for b, v in level.items() if m & b} for m in range(1, 256)}
+    want = [(a, b, any(y in CONFLICTS.get(x, ()) for x in held[a] for y in held[b])) for a in held for b in held]
+    assert len(want) == 65025
+    assert run(spark, "lock_matrix_whole", small_tables) == sorted(want, key=repr)
+
+
+def test_trace_sql_whole(spark, small_tables):
+    calls = {(s, s * 7 % 8 + 1) for s in range(1, 9) if s % 3} | {(s, s * 5 % 8 + 1) for s in range(1, 9) if s % 4 == 0}
+    callers = {s: [f"proc:s{a}" for a, b in calls if b == s] or [None] for s in range(1, 9)}
+    want = [(f"proc:s{s}", 1.0, c) for s in callers for c in callers[s]]
+    assert run(spark, "trace_sql_whole", small_tables) == sorted(want, key=repr)
