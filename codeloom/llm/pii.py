@@ -282,7 +282,7 @@ def redact(docs: DataFrame) -> DataFrame:
     """docs with every span in text replaced by its kind in brackets; n_chars follows if it is there.
 
     Rows are numbered in a copy of the table, which carries each text along with its candidates, so no join is needed. Where
-    spans overlap, the one that starts first (then the longer) is replaced.
+    spans overlap, their union is replaced, by the kind of the one that starts first (then the longer).
     """
     names = docs.columns
     rows = docs.select(F.struct("*").alias("_row"), F.col("text").alias("text"))
@@ -294,7 +294,8 @@ def redact(docs: DataFrame) -> DataFrame:
     def put(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["pos"]
         text = F.substring(F.col("_row.text"), acc["pos"] + 1, s["start"] - acc["pos"])
-        return F.when(fresh, F.struct((-s["back"]).alias("pos"), F.array_append(acc["out"], F.concat(text, F.lit("<"), F.upper(s["kind"]), F.lit(">"))).alias("out"))).otherwise(acc)
+        out = F.when(fresh, F.array_append(acc["out"], F.concat(text, F.lit("<"), F.upper(s["kind"]), F.lit(">")))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["pos"], -s["back"]).alias("pos"), out.alias("out"))
 
     done = F.aggregate("_all", F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out")), put)
     got = got.withColumn("_done", F.when(F.size("_all") > 0, done))
