@@ -694,14 +694,16 @@ _DOC_N = "n AS (SELECT 'd' || (p_partkey % 3) AS doc, 'i' || (p_partkey // 2) AS
 _DOC_E = "e AS (SELECT 'd' || (l_partkey % 3) AS doc, 'i' || (l_partkey // 2) AS source, 'i' || (l_suppkey % 200) AS target, CASE WHEN l_linenumber = 1 THEN 'feeds' WHEN l_linenumber = 2 THEN 'wrong' ELSE 'DependsOn' END AS type FROM lineitem WHERE l_orderkey <= 200 AND l_partkey <= 300)"
 
 
-def _document(spark, sf):
+def _document(spark, sf, whole: bool = False):
     k = F.col("p_partkey")
     doc = lambda c: F.concat(F.lit("d"), c % 3)
     half = lambda c: F.concat(F.lit("i"), F.floor(c / 2))
     kind = F.when(k % 4 == 0, "table").when(k % 4 == 1, "view").when(k % 4 == 2, "report").otherwise("odd")
     key = F.when(k % 8 == 2, F.create_map(F.lit("other"), F.lit("x"))).otherwise(F.create_map(F.lit("name"), k.cast("string")))
-    nodes = spark.read.parquet(f"{sf}/part.parquet").filter(k <= 300).select(doc(k).alias("doc"), half(k).alias("id"), kind.alias("type"), key.alias("key"))
-    li = spark.read.parquet(f"{sf}/lineitem.parquet").filter("l_orderkey <= 200 AND l_partkey <= 300")
+    part, li = spark.read.parquet(f"{sf}/part.parquet"), spark.read.parquet(f"{sf}/lineitem.parquet")
+    if not whole:  # the ids of the SQL
+        part, li = part.filter(k <= 300), li.filter("l_orderkey <= 200 AND l_partkey <= 300")
+    nodes = part.select(doc(k).alias("doc"), half(k).alias("id"), kind.alias("type"), key.alias("key"))
     p, n = F.col("l_partkey"), F.col("l_linenumber")
     edges = li.select(doc(p).alias("doc"), half(p).alias("source"), F.concat(F.lit("i"), F.col("l_suppkey") % 200).alias("target"), F.when(n == 1, "feeds").when(n == 2, "wrong").otherwise("DependsOn").alias("type"))
     custom = spark.createDataFrame([(f"d{i}", w, t, ["name"] if w == "node" else None) for i in range(3) for w, t in (("node", "report"), ("edge", "feeds"))], "doc string, what string, type string, key_fields array<string>")
@@ -721,6 +723,13 @@ def _(spark, sf):
     return validate(*_document(spark, sf))
 
 
+@query("validate_document_whole")
+def _(spark, sf):
+    from codeloom.sources.interchange import validate
+
+    return validate(*_document(spark, sf, whole=True))
+
+
 @query(
     "export_ndjson",
     with_sql("g_nodes", "g_edges") + """SELECT '1 ' || node_key AS ord, '{"record":"node","id":"' || node_key || '","type_tag":"' || type_tag || '","name":"' || name || '"}' AS line FROM g_nodes

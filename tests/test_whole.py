@@ -175,3 +175,16 @@ def test_trace_sql_whole(spark, small_tables):
     callers = {s: [f"proc:s{a}" for a, b in calls if b == s] or [None] for s in range(1, 9)}
     want = [(f"proc:s{s}", 1.0, c) for s in callers for c in callers[s]]
     assert run(spark, "trace_sql_whole", small_tables) == sorted(want, key=repr)
+
+
+def test_validate_document_whole(spark, small_tables):
+    kinds = ["table", "view", "report", "odd"]
+    nodes = [(f"d{p % 3}", f"i{p // 2}", kinds[p % 4]) for p in PARTS]
+    edges = [(f"d{x['l_partkey'] % 3}", f"i{x['l_partkey'] // 2}", f"i{x['l_suppkey'] % 200}", {1: "feeds", 2: "wrong"}.get(x["l_linenumber"], "DependsOn")) for x in small_tables[1]["lineitem"]]
+    ids = [n[:2] for n in nodes]
+    want = {(d, "error", "duplicate-id", i) for d, i in ids if ids.count((d, i)) > 1}
+    want |= {(d, "error", "dangling-end", i) for d, a, b, _ in edges for i in (a, b) if (d, i) not in ids}
+    want |= {(d, "error", "undeclared-node-type", t) for d, _, t in nodes if t == "odd"} | {(d, "error", "undeclared-edge-type", t) for d, _, _, t in edges if t == "wrong"}
+    got = run(spark, "validate_document_whole", small_tables)
+    assert got == sorted([*want, *((f"d{p % 3}", "error", "missing-key-field", f"i{p // 2}") for p in PARTS if p % 8 == 2)], key=repr)
+    assert any(r[3] in {f"i{p // 2}" for p in PARTS if p > 300} for r in got)
