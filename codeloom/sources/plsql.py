@@ -246,7 +246,7 @@ class Reader:
             return
         rest = self.statement()
         sql = " ".join(x.text for x in rest)
-        key = self.node(tag, parts, line, sql=sql[:20000])
+        key = self.node(tag, parts, line, sql=sql)
         if tag in ("view", "mview"):
             begin = next((k for k, x in enumerate(rest) if x.low == "as"), None)
             if begin is not None:

@@ -104,3 +104,8 @@ def test_dollar_quoted_function():
     sql = "CREATE FUNCTION f(a int) RETURNS int AS $$ DECLARE b int; BEGIN SELECT x INTO b FROM t1; RETURN g(b); END; $$ LANGUAGE plpgsql;"
     f = read_sql(sql, "f.sql")
     assert [c[:2] for c in f.calls] == [("func:f", "g")] and accesses(sql) == {("t1", READ, None)}
+
+
+def test_text_of_long_view_is_whole():
+    sql = "CREATE VIEW v AS SELECT " + ", ".join(f"column_{i}" for i in range(3000)) + " FROM t_last WHERE last_word = 1;"
+    assert any("last_word = 1" in str(x) for x in read_sql(sql, "f.sql").nodes)
