@@ -118,8 +118,7 @@ class Project:
         if command == "query":
             return queryspec.execute(n, e, name)
         if command == "partition":
-            keep = n.filter(F.col("type_tag").isin(*cluster.PARTICIPANTS)).select("node_key", F.col("node_key").alias("unit"))
-            return cluster.cnm(cluster.condensed(e, keep), keep.select("unit"))
+            return cluster.partition(n, e)
         if command == "cycles":
             return traverse.cycles(e.filter("category = 'call'"), n)
         if command == "dedup":

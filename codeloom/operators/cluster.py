@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.model import CATEGORY_WEIGHT, DYNAMIC_WEIGHT
-from codeloom.operators.traverse import components
+from codeloom.operators.traverse import components, strong_components
 from codeloom.work import materialize, small
 
 PARTICIPANTS = ("proc", "func", "method", "mapper", "class")
@@ -137,6 +137,16 @@ def cnm(graph: DataFrame, units: DataFrame, gamma: float = 1.0, least: float = 0
     return rows.groupBy("component").applyInPandas(run, "unit string, cluster string").unionByName(alone)
 
 
+def partition(nodes: DataFrame, edges: DataFrame, gamma: float = 1.0) -> DataFrame:
+    """unit, cluster of every participant. Strongly connected components of the whole graph are condensed first, so the members
+    of a cycle share a cluster.
+    """
+    keep = nodes.filter(F.col("type_tag").isin(*PARTICIPANTS)).select("node_key")
+    members = materialize(strong_components(edges, nodes).join(keep, "node_key", "left_semi").select("node_key", F.col("scc").alias("unit")), "members")
+    found = cnm(condensed(edges, members), members.select("unit").distinct(), gamma)
+    return members.join(found, "unit").select(F.col("node_key").alias("unit"), "cluster")
+
+
 def cluster_stats(nodes: DataFrame, clusters: DataFrame, graph: DataFrame) -> DataFrame:
     """cluster, members, internal and external weight."""
     a, b = clusters.select(F.col("unit").alias("a"), F.col("cluster").alias("ca")), clusters.select(F.col("unit").alias("b"), F.col("cluster").alias("cb"))

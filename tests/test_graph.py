@@ -200,3 +200,14 @@ def test_agglomeration_never_lowers_modularity(rows):
         now = q(root)
         assert now == pytest.approx(last + gain, abs=1e-6) and now > last
         last = now
+
+
+def test_partition_keeps_a_cycle_together(spark):
+    cliques = [[f"{c}{i}" for i in range(5)] for c in "xyz"]
+    n, e = graph(spark, [(a, b) for c in cliques for i, a in enumerate(c) for b in c[i + 1 :]] + [("x4", "y0"), ("y4", "x0"), ("x0", "z0")])
+    alone = n.select("node_key", F.col("node_key").alias("unit"))
+    apart = {r.unit: r.cluster for r in cluster.cnm(cluster.condensed(e, alone), alone.select("unit")).collect()}
+    assert apart["x4"] != apart["y0"]
+    got = {r.unit: r.cluster for r in cluster.partition(n, e).collect()}
+    assert sorted(got) == sorted(x for c in cliques for x in c)
+    assert len({got[x] for c in cliques[:2] for x in c}) == 1
