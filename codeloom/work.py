@@ -7,13 +7,25 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A small side is broadcast up to this many rows; beyond it the join is shuffled.
-BROADCAST_ROWS = 200_000
+#: A small side is broadcast up to this many rows and bytes; beyond either the join is shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
+
+_made: set[str] = set()
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """The file system of a path and the path, by Hadoop's own interface, so any file system of Spark will do."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
 def work_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir where it is set; else a temporary folder of a local session, or a folder of the warehouse."""
+    """A folder of this application below spark.checkpoint.dir, which goes when the application ends.
+
+    Where that is unset: below a temporary folder of a local session, or below a folder of the warehouse.
+    """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
@@ -21,21 +33,44 @@ def work_dir(spark: SparkSession) -> str:
         else:
             root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
         spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    own = f"{root.rstrip('/')}/codeloom-{spark.sparkContext.applicationId}"
+    if own not in _made:
+        fs, p = _hadoop(spark, own)
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        _made.add(own)
+    return own
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Writes df as Parquet to the work folder and reads it back, which cuts its lineage and survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    writer = df.write if compression is None else df.write.option("compression", compression)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has no more than the given number of rows, else df as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def release(df: DataFrame) -> None:
+    """Deletes the files of a materialised table that nothing will read again; other tables are left alone."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if f"/codeloom-{spark.sparkContext.applicationId}/" in folder:
+            fs, p = _hadoop(spark, folder)
+            fs.delete(p, True)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it has no more than the given numbers of rows and bytes, else df as it is."""
+    width = F.lit(16 * len(df.columns))
+    for f in df.schema:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            width = width + F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0))
+        elif not isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DatetimeType, T.NullType)):
+            width = width + F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{f.name}`")))), F.lit(0))
+    n, total = df.limit(rows + 1).agg(F.count(F.lit(1)), F.sum(width)).first()
+    return F.broadcast(df) if n <= rows and (total or 0) <= size else df
