@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.work import BROADCAST_ROWS, materialize, new_path, small, work_dir  # noqa: F401
+from codeloom.work import materialize, new_path, release, small  # noqa: F401
 
 #: White space and words of the contracts: ASCII white space only.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,11 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of a few rows, so that a worker never holds many texts as Python values."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of a few rows and bytes (or one row), so that a worker never holds many texts as Python values."""
     for b in batches:
-        for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
+        left = [b]
+        while left:
+            b = left.pop()
+            if b.num_rows > 1 and (b.num_rows > rows or b.nbytes > size):
+                half = b.num_rows // 2
+                left += [b.slice(half), b.slice(0, half)]
+            elif b.num_rows:
+                yield b
 
 
 def ascii_lower(c: Column) -> Column:
