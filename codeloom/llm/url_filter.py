@@ -49,16 +49,17 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     ).groupBy("_digest").agg(F.max("_hit").alias("_hit")).withColumn("_short", F.substring("_digest", 1, SHORT))
     urls = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"))
     urls = urls.withColumns({"_host": url_host(F.col("_url")), "_path": url_path(F.col("_url"))}).withColumn("_labels", F.split("_host", r"\."))
-    forms = [
-        F.when(
-            (F.size("_labels") >= s.labels) & (F.length("_path") >= s.chars) & (F.col("_host") != ""),
-            F.concat(F.array_join(F.slice("_labels", -s.labels, s.labels), "."), F.substring(F.col("_path"), 1, s.chars)),
-        )
-        for s in shapes
-    ]
+    # The shapes are one literal array, so the plan does not grow with the rules.
+    codes = F.lit([s.labels << 32 | s.chars for s in shapes]).cast("array<long>") if shapes else F.array().cast("array<long>")
+
+    def form(code: Column) -> Column:
+        labels, chars = F.shiftright(code, 32).cast("int"), code.bitwiseAND(0xFFFFFFFF).cast("int")
+        fits = (F.size("_labels") >= labels) & (F.length("_path") >= chars) & (F.col("_host") != "")
+        return F.when(fits, F.concat(F.array_join(F.slice("_labels", -labels, labels), "."), F.substring(F.col("_path"), F.lit(1), chars)))
+
     # Entry 0 is null, so that each row stays even if it has no expression; it also counts the rows that are equal.
     # The digests are made after the explode: in a left join's condition they would be computed twice.
-    exprs = F.concat(F.array(F.lit(None).cast("string")), F.filter(F.array(*forms), lambda x: x.isNotNull()) if forms else F.array().cast("array<string>"))
+    exprs = F.concat(F.array(F.lit(None).cast("string")), F.filter(F.transform(codes, form), lambda x: x.isNotNull()))
     wide = urls.select("_id", "_url", F.posexplode(exprs).alias("_pos", "_expr")).withColumn("_full", F.sha2(F.col("_expr"), 256))
     wide = wide.withColumn("_key", F.substring("_full", 1, SHORT))
     rules_side = small(keyed)
