@@ -3,16 +3,19 @@
 Writing. Every capture becomes three records: a request, a response (or a revisit) and a metadata record; request and
 metadata name the response in WARC-Concurrent-To. Of captures with equal payloads of at least min_bytes, the one with the
 largest id keeps its payload as a response; the others become identical-payload-digest revisits that name it in
-WARC-Refers-To and keep their HTTP header. Spark's own text writer writes the records (gzip), so that any file system that
-Spark reaches will do, and a task that is run again replaces its file.
+WARC-Refers-To and keep their HTTP header. Identifiers are digests of id, URL, payload and a number among equal captures,
+so no two records share one and a task that runs again writes the same. Every record is a gzip member of its own. Spark's
+text writer writes the files, so that any file system that Spark reaches will do; a file holds FILE_CHUNKS pieces of about
+CHUNK_BYTES and the captures that reach over them.
 
 Reading. Files come through the binaryFile source and are walked by Content-Length, so payloads may hold anything.
 
 Assembly. Requests, responses and metadata are joined on the concurrent-to identifier.
 
-Defined cases: a null payload is empty; a null URL is written as about:blank; line ends in URLs are percent-encoded; rows
-that repeat both id and payload are all written as responses under one identifier, and come back as so many rows; a null id
-is never the one that others refer to; an empty table gives an empty result; other columns are not read.
+Defined cases: a null payload is empty; a null URL is written as about:blank; line ends in URLs are percent-encoded;
+captures of one id and payload are all responses, whether their URLs differ or not, and others refer to the one with the
+largest URL; captures that are equal in all three come back as so many rows; a null id is never the one that others refer
+to; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,13 +27,13 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import materialize, new_path, small
+from codeloom.llm.common import materialize, new_path, slices, small
 
-#: Captures in a file; the one bound on a file's size besides the payloads' own.
-CAPTURES_PER_FILE = 2000
+#: Compressed bytes after which a piece of an archive ends, and pieces in a file.
+CHUNK_BYTES, FILE_CHUNKS = 4 << 20, 16
 #: Payloads shorter than this are never stored as revisits.
 MIN_REVISIT_BYTES = 0
 #: The tables have no times, so all records carry this one.
@@ -39,70 +42,100 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_SCHEMA = "record_type string, record_id string, concurrent_to string, refers_to string, target_uri string, page_id long, payload_bytes long, payload_digest string, payload binary"
 
 
-def base32_of_sha1(hex_digest: Column) -> Column:
-    """Upper-case base32 of a SHA-1 digest in hexadecimal: 40 bits are 10 and 8 digits."""
-    part = lambda i: F.translate(F.lpad(F.conv(F.substring(hex_digest, 10 * i + 1, 10), 16, 32), 8, "0"), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
-    return F.concat(*(part(i) for i in range(4)))
+def with_owners(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
+    """page_id, url, payload, digest (SHA-256), turn, owner, owner_url: of a payload that several captures have, its response.
 
+    turn numbers captures that are equal in all. Payloads do not move, but for one of each group of equal captures.
+    """
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha2(F.col("payload"), 256))
+    # Ids and digests are counted before the shuffle, first by capture and then by payload.
+    same = rows.groupBy("digest", "page_id", "url").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("payload")).alias("size"))
+    same = materialize(same, "warc-captures")
+    first = F.max(F.when(F.col("page_id").isNotNull(), F.struct("page_id", F.col("url").isNotNull().alias("named"), "url")))
+    shared = same.filter(F.col("size") >= min_bytes).groupBy("digest").agg(first.alias("o"), F.sum("n").alias("all")).filter("`all` > 1")
+    shared = materialize(shared.select(F.col("digest").alias("_d"), F.col("o.page_id").alias("owner"), F.col("o.url").alias("owner_url")), "warc-shared")
+    again = same.filter("n > 1").select(F.col("digest").alias("_d"), F.col("page_id").alias("_p"), F.col("url").alias("_u"), "n")
+    turn = F.lit(0).cast("long").alias("turn")
+    if again.isEmpty():
+        out = rows.select("page_id", "url", "payload", "digest", turn)
+    else:
+        # Equal captures are one row while they move and are given back as so many with numbers.
+        again = small(materialize(again, "warc-again"))
+        hit = (F.col("digest") == F.col("_d")) & F.col("page_id").eqNullSafe(F.col("_p")) & F.col("url").eqNullSafe(F.col("_u"))
+        many = rows.join(again, hit).groupBy("page_id", "url", "digest", "n").agg(F.any_value("payload").alias("payload"))
+        many = many.select("page_id", "url", "payload", "digest", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("turn"))
+        out = rows.join(again, hit, "left_anti").select("page_id", "url", "payload", "digest", turn).unionByName(many)
+    return out.join(small(shared), F.col("digest") == F.col("_d"), "left").drop("_d")
+
+
+def urn(kind: str, page_id: int | None, url: str | None, digest: str, turn: int) -> str:
+    h = hashlib.md5(repr((kind, page_id, url, digest, turn)).encode()).hexdigest()
+    return f"<urn:uuid:{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}>"
+
+
+def member(headers: list[tuple[str, str | None]], block: bytes) -> bytes:
+    """One record as a gzip member. A header without a value is left out."""
+    head = "".join(f"{k}: {v}\r\n" for k, v in headers if v is not None)
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return b"".join([z.compress(f"WARC/1.1\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode()), z.compress(block), z.compress(b"\r\n\r\n"), z.flush()])
+
+
+def capture(page_id: int | None, url: str | None, payload: bytes, digest: str, turn: int, owner: int | None, owner_url: str | None) -> bytes:
+    """The three records of a capture."""
+    again = owner is not None and page_id != owner
+    uri = "about:blank" if url is None else url.replace("\r", "%0D").replace("\n", "%0A")
+    own = (page_id, url, digest, turn)
+    name = urn("response", *own)
+    common = [("WARC-Date", DATE), ("WARC-Target-URI", uri)]
+    sha1 = "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    beside = lambda kind, media: [("WARC-Type", kind), ("WARC-Record-ID", urn(kind, *own)), ("WARC-Concurrent-To", name), *common, ("Content-Type", media)]
+    response = [("WARC-Type", "revisit" if again else "response"), ("WARC-Record-ID", name), *common, ("WARC-Payload-Digest", sha1)]
+    if again:
+        response += [("WARC-Refers-To", urn("response", owner, owner_url, digest, 0)), ("WARC-Profile", PROFILE)]
+    response.append(("Content-Type", "application/http; msgtype=response"))
+    return (
+        member(beside("request", "application/http; msgtype=request"), f"GET {uri} HTTP/1.1\r\n\r\n".encode())
+        + member(response, http if again else http + payload)
+        + member(beside("metadata", "application/warc-fields"), b"" if page_id is None else b"page-id: %d\r\n" % page_id)
+    )
 
-def _urn(kind: str, page_id: Column, digest: Column) -> Column:
-    h = F.md5(F.concat_ws("|", F.lit(kind), F.coalesce(page_id.cast("string"), F.lit("null")), digest))
-    cut = [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]
-    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *(F.substring(h, a, n) for a, n in cut)), F.lit(">"))
 
+def write_archives(pages: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES, min_bytes: int = MIN_REVISIT_BYTES) -> None:
+    """Archives under path.
 
-def _record(kind: Column, headers: list[tuple[str, Column | None]], block: Column) -> Column:
-    lines = [F.concat(F.lit("WARC/1.1\r\nWARC-Type: "), kind, F.lit("\r\n"))]
-    # A header whose value is null is left out, as concat gives null then.
-    lines += [F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit("")) for name, value in headers]
-    return F.concat(*lines, F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"), block, F.lit("\r\n\r\n"))
+    The text writer adds a separator after each value. Here it is the zero byte in which a gzip member below 16 MB ends (the
+    top byte of its length); the last member of a piece is the small metadata record, whose own zero byte is left off.
+    """
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
 
-def with_owners(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """page_id, url, payload, digest (SHA-256), owner: the id of the response that holds an equal payload, if several do."""
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload")).withColumn("digest", F.sha2(F.col("payload"), 256))
-    # Payloads do not move: only ids and digests are grouped, and sums are taken before the shuffle.
-    groups = rows.filter(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("owner"), F.count(F.lit(1)).alias("n"))
-    shared = materialize(groups.filter("n > 1").select(F.col("digest").alias("_d"), "owner"), "warc-shared")
-    return rows.join(small(shared), F.col("digest") == F.col("_d"), "left").drop("_d")
-
-
-def records(rows: DataFrame) -> DataFrame:
-    """One string a capture: its three records, without the very last line feed, which the text writer adds."""
-    c = F.col
-    again = c("owner").isNotNull() & ~c("page_id").eqNullSafe(c("owner"))
-    uri = F.coalesce(F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")), F.lit("about:blank"))
-    digest = F.concat(F.lit("sha1:"), base32_of_sha1(F.sha1("payload")))
-    head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("payload").cast("string"), F.lit("\r\n\r\n"))
-    rows = rows.select(
-        "page_id", "payload", again.alias("again"), uri.alias("uri"), digest.alias("sha1"), head.alias("head"),
-        _urn("response", c("page_id"), c("digest")).alias("id"), F.when(again, _urn("response", c("owner"), c("digest"))).alias("first_id"),
-        _urn("request", c("page_id"), c("digest")).alias("request_id"), _urn("metadata", c("page_id"), c("digest")).alias("metadata_id"),
-    )
-    common = [("WARC-Date", F.lit(DATE)), ("WARC-Target-URI", c("uri"))]
-    get = F.concat(F.lit("GET "), c("uri"), F.lit(" HTTP/1.1\r\n\r\n"))
-    request = _record(F.lit("request"), [("WARC-Record-ID", c("request_id")), ("WARC-Concurrent-To", c("id")), *common, ("Content-Type", F.lit("application/http; msgtype=request"))], get)
-    response = _record(
-        F.when(c("again"), "revisit").otherwise("response"),
-        [("WARC-Record-ID", c("id")), *common, ("WARC-Payload-Digest", c("sha1")), ("WARC-Refers-To", c("first_id")), ("WARC-Profile", F.when(c("again"), PROFILE)), ("Content-Type", F.lit("application/http; msgtype=response"))],
-        F.concat(c("head"), F.when(c("again"), "").otherwise(c("payload"))),
-    )
-    metadata = _record(F.lit("metadata"), [("WARC-Record-ID", c("metadata_id")), ("WARC-Concurrent-To", c("id")), *common, ("Content-Type", F.lit("application/warc-fields"))], F.coalesce(F.concat(F.lit("page-id: "), c("page_id").cast("string"), F.lit("\r\n")), F.lit("")))
-    whole = F.concat(request, response, metadata)
-    return rows.select(F.left(whole, F.length(whole) - 1).alias("value"))
+        def piece() -> pa.RecordBatch:
+            data = b"".join(held)
+            data = data[:-1] if data.endswith(b"\0") else data + zlib.compress(b"", wbits=31)[:-1]
+            return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["value"])
 
+        for b in slices(batches):
+            for row in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "turn", "owner", "owner_url"))):
+                held.append(capture(*row))
+                size += len(held[-1])
+                if size >= chunk_bytes:
+                    yield piece()
+                    held, size = [], 0
+        if held:
+            yield piece()
 
-def write_archives(pages: DataFrame, path: str, captures_per_file: int = CAPTURES_PER_FILE, min_bytes: int = MIN_REVISIT_BYTES) -> None:
-    """Archives under path: gzip files of whole WARC records."""
-    records(with_owners(pages, min_bytes)).write.option("compression", "gzip").option("maxRecordsPerFile", captures_per_file).text(path)
+    packed = with_owners(pages, min_bytes).mapInArrow(pack, "value binary")
+    packed.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", FILE_CHUNKS).text(path)
 
 
 class _Stream(io.RawIOBase):
     """Bytes of a file, inflated piece by piece if it is gzip of one or more members."""
 
-    def __init__(self, content: bytes, piece: int = 1 << 18):
+    def __init__(self, content: bytes | memoryview, piece: int = 1 << 18):
         self.left, self.piece, self.at = memoryview(content), piece, 0
-        self.zip = zlib.decompressobj(31) if content[:2] == b"\x1f\x8b" else None
+        self.zip = zlib.decompressobj(31) if bytes(content[:2]) == b"\x1f\x8b" else None
 
     def readable(self) -> bool:
         return True
@@ -132,7 +165,7 @@ class _Stream(io.RawIOBase):
             return len(got)
 
 
-def parse(content: bytes) -> Iterator[tuple[dict, bytes]]:
+def parse(content: bytes | memoryview) -> Iterator[tuple[dict, bytes]]:
     """Headers (lower-case names) and block of each record of an archive."""
     f = io.BufferedReader(_Stream(content), 1 << 18)
     while True:
@@ -178,7 +211,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True, row
         for b in batches:
             for content in b.column(0):
                 rows = []
-                for h, block in parse(content.as_buffer().to_pybytes()):
+                for h, block in parse(memoryview(content.as_buffer())):
                     rows.append(_row(h, block, with_payload))
                     if len(rows) == rows_per_batch:
                         yield batch(rows)
@@ -193,9 +226,8 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True, row
 def assemble(found: DataFrame) -> DataFrame:
     """One row for each capture: capture_id and the structs request, response and metadata.
 
-    Each side is first brought to one row for each identifier with the number of its records, so that repeated captures
-    do not multiply in the joins; they are given back as so many rows afterwards. A capture whose request or metadata is
-    missing has null there.
+    A capture whose request or metadata is missing has null there. Archives of other writers may repeat identifiers: each
+    side is first brought to one row for each with the number of its records, so that they do not multiply in the joins.
     """
     body = F.struct(*(F.col(x) for x in found.columns))
     cap = F.when(F.col("record_type").isin("response", "revisit"), F.col("record_id")).otherwise(F.col("concurrent_to"))
