@@ -75,6 +75,17 @@ def myers(peq: dict[str, int], m: int, text: str) -> tuple[int, int]:
     return best, end
 
 
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Unions of spans in order of their starts."""
+    out: list[tuple[int, int]] = []
+    for a, b in spans:
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 class Matcher:
     """One block of items."""
 
@@ -106,11 +117,10 @@ class Matcher:
         out: dict[int, tuple[int, int]] = {}
         for i, starts in windows.items():
             item, ids, k, peq = self.items[i]
+            # The item begins within k of where the piece puts it, and is at most k longer. Places that overlap are walked once.
             best = None
-            for s in sorted(set(starts)):
-                # The item begins within k of where the piece puts it, and is at most k longer.
-                a = max(0, s - k)
-                distance, end = myers(peq, len(item), t[a : s + len(item) + 2 * k])
+            for a, b in _merged([(max(0, s - k), s + len(item) + 2 * k) for s in sorted(set(starts))]):
+                distance, end = myers(peq, len(item), t[a:b])
                 if distance <= k and (best is None or distance < best[0]):
                     best = (distance, a + end)
                 if best and best[0] == 0:
