@@ -3,11 +3,12 @@
 Images are resized by area with integral images, so that the cost of a resize does not depend on the scale, and written
 as NPY tiles next to a 64-bit difference hash.
 
-The registered query stores each text as the samples of a grey image 64 pixels wide, reads the stored file back, and
-computes everything from what it has read.
+The registered query stores each text as the samples of a grey image 64 pixels wide in a Parquet table of media, reads that
+table back, stores hashes and tiles next to it, and reads those back too; everything comes from what it has read.
 
 Defined cases: a null text is empty, and an empty payload is padded to one row of zeros; texts of any length are one image
-each; equal texts give equal values; an empty table gives an empty result; other columns are not read. A file that is no
+each; equal texts give equal values and repeated rows stay; an empty table gives an empty result; other columns are not read
+and may have any name. A file that is no
 image of these formats raises ValueError.
 """
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import slices
+from codeloom.llm.common import materialize, slices
 
 WIDTH = 64
 #: Side of the NPY tile.
@@ -124,13 +125,20 @@ def _edges(n: int, m: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def resize_area(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean over each cell of a height by width grid. The integral image is read at fractional places by interpolation."""
-    grey = image.mean(axis=2) if image.ndim == 3 else image
-    h, w = grey.shape
-    total = np.zeros((h + 1, w + 1))
-    np.cumsum(np.cumsum(grey, axis=0, dtype=np.float64), axis=1, out=total[1:, 1:])
+    """Mean over each cell of a height by width grid, from the integral image read at fractional places by interpolation.
+
+    Of the integral image only the rows at the edges of cells are made, so memory does not grow with the image.
+    """
+    h, w = image.shape[:2]
+    flat = image.reshape(h, -1)
     i, f = _edges(h, height)
-    rows = total[i] * (1 - f)[:, None] + total[i + 1] * f[:, None]
+    begin = np.unique(np.append(i, 0))
+    above = np.zeros((len(begin), flat.shape[1]))
+    np.cumsum(np.add.reduceat(flat, begin, axis=0, dtype=np.float64)[:-1], axis=0, out=above[1:])
+    rows = above[np.searchsorted(begin, i)] + flat[i] * f[:, None]
+    if image.ndim == 3:
+        rows = rows.reshape(len(rows), w, -1).mean(axis=2)
+    rows = np.cumsum(np.pad(rows, ((0, 0), (1, 0))), axis=1)
     i, f = _edges(w, width)
     both = rows[:, i] * (1 - f) + rows[:, i + 1] * f
     cells = both[1:, 1:] - both[:-1, 1:] - both[1:, :-1] + both[:-1, :-1]
@@ -188,6 +196,7 @@ def features(stored: DataFrame) -> DataFrame:
 
 
 def op9_media_columns(spark, sf_dir: str) -> DataFrame:
-    got = features(store(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    media = materialize(store(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media", "zstd")
+    got = materialize(features(media), "media-tiles", "zstd")
     feature = F.concat_ws(":", "dhash", F.sha2("tile", 256))
     return got.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
