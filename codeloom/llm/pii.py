@@ -197,13 +197,21 @@ def candidates(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
     return rows.select(*(F.col(f"`{k}`") for k in keep), *(c.alias(k) for k, c in out.items()))
 
 
+def _named(kind: str) -> Callable[[Column], Column]:
+    return lambda c: F.struct(F.lit(kind).alias("kind"), c.alias("c"))
+
+
+def _every(found: DataFrame) -> DataFrame:
+    """kind and the fields of every candidate."""
+    return found.select(F.explode(F.concat(*(F.transform(f"c_{k}", _named(k)) for k in PATTERNS))).alias("x")).select("x.kind", "x.c.*")
+
+
 def patterns(found: DataFrame) -> dict[str, list[tuple[tuple[int, ...], int]]]:
     """For each kind the distinct vote patterns and how often each occurs: at most 3 to the number of labelers."""
-    out = {}
-    for kind in PATTERNS:
-        rows = found.select(F.explode(f"c_{kind}").alias("c")).groupBy(*(F.col(f"c.{v}").alias(v) for v in LABELERS)).agg(F.count(F.lit(1)).alias("n"))
-        out[kind] = sorted((tuple(r[v] for v in LABELERS), r.n) for r in rows.collect())
-    return out
+    out: dict[str, list] = {kind: [] for kind in PATTERNS}
+    for r in _every(found).groupBy("kind", *LABELERS).agg(F.count(F.lit(1)).alias("n")).collect():
+        out[r.kind].append((tuple(r[v] for v in LABELERS), r.n))
+    return {kind: sorted(rows) for kind, rows in out.items()}
 
 
 def reliabilities(counts: list[tuple[tuple[int, ...], int]], steps: int = EM_STEPS) -> tuple[float, list[dict[int, tuple[float, float]]]]:
@@ -245,20 +253,18 @@ def _lookup(values: dict[str, float], key: Column) -> Column:
 def train(found: DataFrame) -> dict[str, tuple[float, dict[str, float]]]:
     """For each kind the prior log-odds and those of each feature value, from the labels that the labelers' votes suggest."""
     counts = patterns(found)
+    fits = {kind: reliabilities(seen) for kind, seen in counts.items() if seen}
+    votes = lambda kind, v: f"{kind}{','.join(map(str, v))}"
+    label = {votes(kind, v): posterior(v, *fits[kind]) for kind in fits for v, _ in counts[kind]}
+    rows = _every(found).withColumn("y", _lookup(label, F.concat("kind", F.concat_ws(",", *(F.col(v).cast("string") for v in LABELERS)))))
+    rows = rows.select("kind", "y", F.explode(F.array(*FEATURES)).alias("f")).groupBy("kind", "f").agg(F.sum("y").alias("yes"), F.count(F.lit(1)).alias("n"))
+    # The values of a feature are few by construction: lengths and counts are cut off.
+    sums = sorted((r.kind, r.f, r.yes, r.n) for r in rows.collect())
     out = {}
-    for kind, seen in counts.items():
-        if not seen:
-            continue
-        prior, table = reliabilities(seen)
-        label = {"".join(map(str, v)): posterior(v, prior, table) for v, _ in seen}
-        rows = found.select(F.explode(f"c_{kind}").alias("c")).select("c.*")
-        rows = rows.withColumn("y", _lookup(label, F.concat(*(F.col(v).cast("string") for v in LABELERS))))
-        rows = rows.select("y", F.explode(F.array(*FEATURES)).alias("f")).groupBy("f").agg(F.sum("y").alias("yes"), F.count(F.lit(1)).alias("n"))
-        # The values of a feature are few by construction: lengths and counts are cut off.
-        sums = sorted((r.f, r.yes, r.n) for r in rows.collect())
-        n = sum(k for _, k in seen)
-        yes = sum(k * label["".join(map(str, v))] for v, k in seen)
-        odds = {f: math.log((a + 1) / (yes + 2)) - math.log((k - a + 1) / (n - yes + 2)) for f, a, k in sums}
+    for kind in fits:
+        n = sum(k for _, k in counts[kind])
+        yes = sum(k * label[votes(kind, v)] for v, k in counts[kind])
+        odds = {f: math.log((a + 1) / (yes + 2)) - math.log((k - a + 1) / (n - yes + 2)) for x, f, a, k in sums if x == kind}
         out[kind] = (math.log((yes + 1) / (n - yes + 1)), odds)
     return out
 
@@ -291,16 +297,24 @@ def redact(docs: DataFrame) -> DataFrame:
     every = F.concat(*(F.transform(f"s_{k}", _place(k)) for k in PATTERNS))
     got = got.select("_row", F.array_sort(every).alias("_all"))
 
-    def put(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["pos"]
-        text = F.substring(F.col("_row.text"), acc["pos"] + 1, s["start"] - acc["pos"])
-        out = F.when(fresh, F.array_append(acc["out"], F.concat(text, F.lit("<"), F.upper(s["kind"]), F.lit(">")))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["pos"], -s["back"]).alias("pos"), out.alias("out"))
-
-    done = F.aggregate("_all", F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out")), put)
-    got = got.withColumn("_done", F.when(F.size("_all") > 0, done))
-    new = F.concat(F.array_join("_done.out", ""), F.substring(F.col("_row.text"), F.col("_done.pos") + 1, F.length("_row.text")))
-    got = got.withColumn("_new", F.when(F.col("_done").isNull(), F.col("_row.text")).otherwise(new))
+    # Spans are taken in chunks, each with its own piece of the text, so a text with many spans is not copied for each of them.
+    def chunk(acc: Column, c: Column) -> Column:
+        end = F.greatest(acc["pos"], F.array_max(F.transform(c, lambda s: -s["back"])))
+        piece = F.left(acc["rest"], end - acc["pos"])
+
+        def put(inner: Column, s: Column) -> Column:
+            text = F.substring(piece, inner["pos"] - acc["pos"] + 1, s["start"] - inner["pos"])
+            out = F.when(s["start"] >= inner["pos"], F.array_append(inner["out"], F.concat(text, F.lit("<"), F.upper(s["kind"]), F.lit(">")))).otherwise(inner["out"])
+            return F.struct(F.greatest(inner["pos"], -s["back"]).alias("pos"), out.alias("out"))
+
+        done = F.aggregate(c, F.struct(acc["pos"].alias("pos"), F.array().cast("array<string>").alias("out")), put)
+        rest = F.substring(acc["rest"], end - acc["pos"] + 1, F.length(acc["rest"]))
+        return F.struct(end.alias("pos"), rest.alias("rest"), F.array_append(acc["out"], F.array_join(done["out"], "")).alias("out"))
+
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size("_all") - 1) / CHUNK).cast("int")), _slicer(F.col("_all")))
+    begin = F.struct(F.lit(0).alias("pos"), F.col("_row.text").alias("rest"), F.array().cast("array<string>").alias("out"))
+    got = got.withColumn("_done", F.when(F.size("_all") > 0, F.aggregate(chunks, begin, chunk)))
+    got = got.withColumn("_new", F.when(F.col("_done").isNull(), F.col("_row.text")).otherwise(F.concat(F.array_join("_done.out", ""), F.col("_done.rest"))))
     value = {"text": F.col("_new")} | ({"n_chars": F.when(F.col("_done").isNull(), F.col("_row.n_chars")).otherwise(F.length("_new").cast(docs.schema["n_chars"].dataType))} if "n_chars" in names else {})
     return got.select(*((value[n] if n in value else F.col(f"_row.`{n}`")).alias(n) for n in names))
 
