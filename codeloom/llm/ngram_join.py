@@ -3,19 +3,20 @@
 Two documents link if 100 * |A and B| >= 75 * |A or B|. Every document gets the smallest doc_id that links reach.
 
 1. Sets. Words are lower-cased (A-Z), shingles are 64-bit hashes; equal sets are one node, named by a digest (sid). The same
-   pass counts in how many documents each shingle occurs.
+   pass counts in how many documents each shingle occurs. Names are 128-bit digests.
 2. Light sets (few shingles) enumerate fixed-size subsets: linked sets of at most s shingles share a subset of
    ceil(0.75 s). Heavy sets scan inverted lists of their prefixes: in an order with frequent shingles last, linked sets
    share one of the first n - ceil(0.75 n) + 1; for a partner of known size m they share one within the first
    n - ceil(3/7 (n + m)) + 1 of each, so entries carry their place. Both kinds of keys go into the same lists. The boundary
    between light and heavy is where the number of subsets exceeds the expected cost of scanning lists.
 3. Lists of up to ALL_PAIRS sets give all pairs that sizes and places allow. Longer lists give a star first, around the set
-   in which the shingle stands first: that is the one with the fewest rare shingles of its own.
+   in which the shingle stands first: that is the one with the fewest rare shingles of its own. The list of a shingle of more
+   than SPLIT documents is dealt to parts by its members' names, each with a star of its own.
 4. The best partner of each set is verified exactly. What links is merged. Pairs within a merged class need no look; pairs
    across classes, from short lists and from long ones that still hold several classes, are verified exactly too. So no link
    between different texts is lost, and large groups of near copies cost a star instead of all pairs.
-5. Classes come from alternating large-star and small-star steps on the links, with each round written to the shared
-   folder. Nothing about documents is gathered on the driver besides counts and the most frequent shingles, which are a
+5. Classes come from alternating large-star and small-star steps on the links until nothing changes, with each round written
+   to the shared folder. A set is known there by its smallest doc_id and its name, so the root of a class holds its answer. Nothing about documents is gathered on the driver besides counts and the most frequent shingles, which are a
    bounded list and only order the prefixes.
 
 Defined cases: a null, empty or white text has 0 shingles and links with nothing, itself included in its class; fewer than
@@ -28,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -35,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codeloom.llm.common import materialize, slices, small
 
@@ -45,12 +48,14 @@ NUM, DEN = 75, 100
 FREQUENT, MOST_FREQUENT = 8, 1_000_000
 #: Lists up to this length give all pairs at once.
 ALL_PAIRS = 24
-#: Sets above this size never enumerate subsets, whatever the costs.
-LIGHT_MOST = 14
+#: Documents of a shingle above which its list is split.
+SPLIT = 100_000
 #: Shingles gathered by a task before it sends them on, and shingles that one bucket of lists should hold.
 FLUSH, PER_BUCKET = 1_000_000, 1_500_000
-#: Pairs that one group of the verification should hold.
-PER_GROUP = 200
+#: Ids that may be broadcast; their bytes are checked too.
+MOST_IDS = 1_000_000
+#: Pairs, and bytes of texts, that one group of the verification should hold.
+PER_GROUP, GROUP_BYTES = 200, 16 << 20
 PIECE = 1 << 20
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -137,8 +142,21 @@ def shingle_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
         i = j
 
 
-def set_digest(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
+def _numbered(names: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct digests in order, and of each of the given ones its number."""
+    high, low = np.frombuffer(names, ">u8").reshape(-1, 2).astype(np.uint64).T
+    _, first, number = np.unique(high, return_index=True, return_inverse=True)
+    if (low[first][number] == low).all():
+        return np.frombuffer(names, "V16")[first], number
+    order = np.lexsort((low, high))
+    new = np.concatenate([[True], (np.diff(high[order]) != 0) | (np.diff(low[order]) != 0)])
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return np.frombuffer(names, "V16")[order[new]], number
 
 
 def least_overlap(n: int) -> int:
@@ -158,7 +176,7 @@ def subset_sizes(n: int) -> list[int]:
 def boundary(list_length: float) -> int:
     """The largest size for which enumerating subsets is no dearer than scanning the lists of a prefix."""
     best = 0
-    for n in range(1, LIGHT_MOST + 1):
+    for n in range(1, 65):  # subsets outgrow any list long before
         if sum(math.comb(n, c) for c in subset_sizes(n)) <= prefix_length(n) * (1 + list_length):
             best = n
     return best
@@ -193,6 +211,15 @@ class _Order:
             return s[:k]
         return s[np.argsort(often, kind="stable")[:k]]
 
+    def parts(self, keys: np.ndarray) -> np.ndarray:
+        """Into how many parts the list of each key is split; 0 for one that stays whole."""
+        if not len(self.keys) or self.counts.max() <= SPLIT:
+            return np.zeros(len(keys), np.int64)
+        key = keys >> np.uint64(32 - self.bits)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        count = np.where(self.keys[at] == key, self.counts[at], 0)
+        return np.where(count > SPLIT, -(-count // SPLIT) * 2, 0)
+
 
 def _split(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of sorted 64-bit keys: the buckets, where each begins, and the 32 bits that tell keys of a bucket apart."""
@@ -203,37 +230,40 @@ def _split(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def _first_pass(docs: DataFrame, bits: int) -> DataFrame:
-    """doc_id, sid, n of every row; and key, df of every frequent shingle; and sums for the cost of lists."""
+    """doc_id, sid, n, bytes of every row; and key, df of every frequent shingle; and sums for the cost of lists."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["bucket", "keys", "counts", "doc_id", "sid", "n"]
+        names = ["bucket", "keys", "counts", "doc_id", "sid", "n", "bytes"]
+        kinds = [pa.list_(t) for t in (pa.int64(), pa.binary(), pa.int64(), pa.int64())]
         state = {"turn": 0}
-        sets, seen, ids, sids, sizes = [], set(), [], [], []
+        sets, seen, ids, sids, sizes, lengths = [], set(), [], [], [], []
 
         def flush() -> Iterator[pa.RecordBatch]:
             turn = state["turn"] = state["turn"] + 1
             # The documents of a flush go to a bucket of their own with a negative name.
-            mark = -1 - (set_digest(np.array(sids[:64] + [turn], dtype=np.int64)) & 0xFFFF)
+            mark = -1 - (zlib.crc32(b"".join(x or b"" for x in sids[:64]) + b"%d" % turn) & 0xFFFF)
             empty = pa.array([None], pa.binary())
-            rows = [pa.array([mark], pa.int32()), empty, empty, *(pa.array([x], pa.list_(pa.int64())) for x in (ids, sids, sizes))]
+            rows = [pa.array([mark], pa.int32()), empty, empty, *(pa.array([x], t) for x, t in zip((ids, sids, sizes, lengths), kinds))]
             yield pa.RecordBatch.from_arrays(rows, names)
             if sets:
                 keys, counts = np.unique(np.concatenate(sets), return_counts=True)
                 where, first, low = _split(keys, bits)
                 counts = np.minimum(counts, 65535).astype(np.uint16)
                 cut = list(zip(first[:-1], first[1:]))
-                blank = pa.array([None] * len(where), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array([low[a:b].tobytes() for a, b in cut]), pa.array([counts[a:b].tobytes() for a, b in cut]), blank, blank, blank], names)
-            for x in (sets, seen, ids, sids, sizes):
+                blank = [pa.array([None] * len(where), t) for t in kinds]
+                yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array([low[a:b].tobytes() for a, b in cut]), pa.array([counts[a:b].tobytes() for a, b in cut]), *blank], names)
+            for x in (sets, seen, ids, sids, sizes, lengths):
                 x.clear()
 
         held = 0
         for batch in slices(batches):
-            for doc_id, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist())):
+            texts = batch.column(1).to_pylist()
+            for doc_id, text, s in zip(batch.column(0).to_pylist(), texts, shingle_sets(texts)):
                 sid = set_digest(s) if len(s) else None
                 ids.append(doc_id)
-                sids.append(sid or 0)
+                sids.append(sid)
                 sizes.append(len(s))
+                lengths.append(len(text))
                 if sid is not None and sid not in seen:
                     seen.add(sid)
                     sets.append(s)
@@ -246,9 +276,10 @@ def _first_pass(docs: DataFrame, bits: int) -> DataFrame:
 
     def gather(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         bucket = key[0].as_py()
-        names = ["doc_id", "sid", "n", "key", "df"]
+        names = ["doc_id", "sid", "n", "bytes", "key", "df"]
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64()]
         if bucket < 0:
-            cols = [pa.array([y for x in table.column(c).to_pylist() for y in x], pa.int64()) for c in ("doc_id", "sid", "n")]
+            cols = [pa.array([y for x in table.column(c).to_pylist() for y in x], t) for c, t in zip(names, kinds)]
             n = len(cols[0])
             return pa.Table.from_arrays([*cols, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
         low = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("keys").to_pylist()])
@@ -262,17 +293,17 @@ def _first_pass(docs: DataFrame, bits: int) -> DataFrame:
         # Two rows of sums, marked by negative keys: how often a shingle occurs, and how long the list is that it meets.
         keys = np.concatenate([keys, [-1, -2]])
         df = np.concatenate([df[often], [df.sum(), (df * np.minimum(df, FREQUENT)).sum()]])
-        return pa.Table.from_arrays([*(pa.nulls(len(keys), pa.int64()) for _ in range(3)), pa.array(keys, pa.int64()), pa.array(df, pa.int64())], names)
+        return pa.Table.from_arrays([*(pa.nulls(len(keys), t) for t in kinds), pa.array(keys, pa.int64()), pa.array(df, pa.int64())], names)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    sent = rows.mapInArrow(send, "bucket int, keys binary, counts binary, doc_id array<long>, sid array<long>, n array<long>")
-    got = sent.groupBy("bucket").applyInArrow(gather, "doc_id long, sid long, n long, key long, df long")
+    sent = rows.mapInArrow(send, "bucket int, keys binary, counts binary, doc_id array<long>, sid array<binary>, n array<long>, bytes array<long>")
+    got = sent.groupBy("bucket").applyInArrow(gather, "doc_id long, sid binary, n long, bytes long, key long, df long")
     return materialize(got, "join-first")
 
 
 def _lists(docs: DataFrame, order: _Order, light: int) -> DataFrame:
-    """kind 0: pairs (a, b) of short lists; -1: stars (a, b) of long ones, both with the number of lists; -2: members of long
-    lists (key, a) with size n and place."""
+    """kind 0: pairs (a, b) of short lists; -1: stars (a, b) of long ones, both with the number of lists; -2: members (a) of
+    long lists (key) with size n and place."""
     held_order = docs.sparkSession.sparkContext.broadcast((order.keys, order.counts, order.bits))
     bits = order.bits
 
@@ -280,18 +311,28 @@ def _lists(docs: DataFrame, order: _Order, light: int) -> DataFrame:
         order = _Order(*held_order.value)
         keys, places, owners, sizes, seen = [], [], [], [], set()
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             k = np.concatenate(keys)
             count = list(map(len, keys))
-            o, n, p = np.repeat(np.array(owners, np.int64), count), np.repeat(np.array(sizes, np.uint32), count), np.concatenate(places)
+            names = np.frombuffer(b"".join(owners), "V16")
+            o, n, p = np.repeat(np.arange(len(owners)), count), np.repeat(np.array(sizes, np.uint32), count), np.concatenate(places)
             at = np.argsort(k, kind="stable")
-            where, first, low = _split(k[at], bits)
-            o, n, p = o[at], n[at], p[at]
-            cut = list(zip(first[:-1], first[1:]))
-            out = [pa.array(where, pa.int32()), *(pa.array([x[a:b].tobytes() for a, b in cut], pa.binary()) for x in (low, o, n, p))]
+            k, o, n, p = k[at], o[at], n[at], p[at]
+            of = order.parts(k)
+            parts = np.zeros(len(k), np.int32)
+            if of.any():
+                # Parts of a list go by what is left of their members' names, and to groups of their own by their keys.
+                salt = mix(np.frombuffer(b"".join(owners), "<u8")[1::2][o].copy())
+                parts = np.where(of > 0, 1 + (mix(k) + salt % np.maximum(of, 1).astype(np.uint64)) % np.uint64(1 << 30), 0).astype(np.int32)
+            for part in np.unique(parts):
+                own = np.flatnonzero(parts == part) if len(parts) and parts.any() else slice(None)
+                where, first, low = _split(k[own], bits)
+                cut = list(zip(first[:-1], first[1:]))
+                out = [pa.array(where, pa.int32()), pa.array(np.full(len(where), part), pa.int32())]
+                out += [pa.array([x[a:b].tobytes() for a, b in cut], pa.binary()) for x in (low, names[o[own]], n[own], p[own])]
+                yield pa.RecordBatch.from_arrays(out, ["bucket", "part", "keys", "sids", "sizes", "places"])
             for x in (keys, places, owners, sizes, seen):
                 x.clear()
-            return pa.RecordBatch.from_arrays(out, ["bucket", "keys", "sids", "sizes", "places"])
 
         held = 0
         for batch in slices(batches):
@@ -313,35 +354,38 @@ def _lists(docs: DataFrame, order: _Order, light: int) -> DataFrame:
                 sizes.append(n)
                 held += len(keys[-1])
                 if held >= FLUSH // 2:
-                    yield flush()
+                    yield from flush()
                     held = 0
         if keys:
-            yield flush()
+            yield from flush()
 
     def meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        bucket = key[0].as_py()
+        bucket, part = key[0].as_py(), key[1].as_py()
         read = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()])
-        k, o, n, p = read("keys", np.uint32), read("sids", np.int64), read("sizes", np.uint32).astype(np.int64), read("places", np.uint32).astype(np.int64)
+        k, n, p = read("keys", np.uint32), read("sizes", np.uint32).astype(np.int64), read("places", np.uint32).astype(np.int64)
+        names, o = _numbered(b"".join(table.column("sids").to_pylist()))
         at = np.lexsort((p, o, k))
         k, o, n, p = k[at], o[at], n[at], p[at]
         new = np.concatenate([[True], (k[1:] != k[:-1]) | (o[1:] != o[:-1])])
         k, o, n, p = k[new], o[new], n[new], p[new]
-        # A member whose shingle stands too far back for the smallest set of the list that could link with it is dropped.
-        scale = np.int64(1 << 31)
-        by_size = np.sort(k.astype(np.int64) * scale + n)
-        least = by_size[np.searchsorted(by_size, k.astype(np.int64) * scale - (-NUM * n // DEN))] % scale
-        keep = p <= _place_most(n, least)
-        k, o, n, p = k[keep], o[keep], n[keep], p[keep]
+        if not part:
+            # A member whose shingle stands too far back for the smallest set of the list that could link with it is dropped.
+            scale = np.int64(1 << 31)
+            by_size = np.sort(k.astype(np.int64) * scale + n)
+            least = by_size[np.searchsorted(by_size, k.astype(np.int64) * scale - (-NUM * n // DEN))] % scale
+            keep = p <= _place_most(n, least)
+            k, o, n, p = k[keep], o[keep], n[keep], p[keep]
         first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
         length = np.diff(np.append(first, len(k)))
+        short = (length <= ALL_PAIRS) & (not part)  # what is left of a split list is long as a whole
         parts = []
-        for size in np.unique(length[(length > 1) & (length <= ALL_PAIRS)]):
+        for size in np.unique(length[(length > 1) & short]):
             rows = first[length == size]
             i, j = np.triu_indices(size, 1)
             i, j = (rows[:, None] + i).ravel(), (rows[:, None] + j).ravel()
             fit = (DEN * np.minimum(n[i], n[j]) >= NUM * np.maximum(n[i], n[j])) & (p[i] <= _place_most(n[i], n[j])) & (p[j] <= _place_most(n[j], n[i]))
             parts.append((i[fit], j[fit], 0))
-        m = np.flatnonzero(np.repeat(length > ALL_PAIRS, length))
+        m = np.flatnonzero(np.repeat(~short, length))
         if len(m):
             # A star in each size class: sets whose sizes differ by a third cannot link.
             band = np.floor(np.log(n[m]) / math.log(DEN / NUM)).astype(np.int64)
@@ -351,7 +395,7 @@ def _lists(docs: DataFrame, order: _Order, light: int) -> DataFrame:
             pivot = at[np.flatnonzero(begin)[np.cumsum(begin) - 1]]
             other = pivot != at
             parts.append((pivot[other], at[other], -1))
-        cols = [[np.zeros(0, np.int64)] for _ in range(6)]
+        cols = [[np.zeros(0, np.int64)] for _ in range(7)]
 
         def put(*values: np.ndarray) -> None:
             for c, x in zip(cols, values):
@@ -367,15 +411,17 @@ def _lists(docs: DataFrame, order: _Order, light: int) -> DataFrame:
                 start = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
                 shared = np.diff(np.append(start, len(a)))
                 none = np.zeros(len(start), np.int64)
-                put(a[start], b[start], shared, none + kind, none - 1, none)
+                put(a[start], b[start], shared, none + kind, none - 1, none, none)
         if len(m):
             none = np.zeros(len(m), np.int64)
-            put(o[m], p[m], none, none - 2, (np.int64(bucket) << np.int64(32)) | k[m].astype(np.int64), n[m])
-        return pa.Table.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in cols], ["a", "b", "shared", "kind", "key", "n"])
+            put(o[m], o[m], none, none - 2, (np.int64(bucket) << np.int64(32)) | k[m].astype(np.int64), n[m], p[m])
+        a, b, *rest = (np.concatenate(c).astype(np.int64) for c in cols)
+        called = [pa.array(names[x].astype(object), pa.binary()) if len(x) else pa.nulls(0, pa.binary()) for x in (a, b)]
+        return pa.Table.from_arrays([*called, *map(pa.array, rest)], ["a", "b", "shared", "kind", "key", "n", "place"])
 
     rows = docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    sent = rows.mapInArrow(send, "bucket int, keys binary, sids binary, sizes binary, places binary")
-    got = sent.groupBy("bucket").applyInArrow(meet, "a long, b long, shared long, kind long, key long, n long")
+    sent = rows.mapInArrow(send, "bucket int, part int, keys binary, sids binary, sizes binary, places binary")
+    got = sent.groupBy("bucket", "part").applyInArrow(meet, "a binary, b binary, shared long, kind long, key long, n long, place long")
     return materialize(got, "join-lists")
 
 
@@ -385,43 +431,53 @@ def _place_most(n: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 
 def _verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link, exactly: texts are brought together in groups of about PER_GROUP pairs."""
-    n = pairs.count()
-    groups = max(1, math.ceil(n / PER_GROUP))
+    """The pairs (a, b) that link, exactly, as x and y: texts come together in groups of about PER_GROUP pairs or GROUP_BYTES."""
+    named = lambda c: reps.select(F.col("sid").alias(f"_{c}"), F.col("rep").alias(f"rep_{c}"), F.col("bytes").alias(f"bytes_{c}"))
+    pairs = pairs.select("a", "b").join(named("a"), F.col("a") == F.col("_a")).join(named("b"), F.col("b") == F.col("_b")).drop("_a", "_b")
+    pairs = materialize(pairs, "join-asked")
+    cost = F.greatest(F.count(F.lit(1)) / PER_GROUP, F.sum(F.col("bytes_a") + F.col("bytes_b")) / GROUP_BYTES)
+    groups = max(1, math.ceil(pairs.agg(cost).first()[0] or 0))
     # A set with many partners is spread over groups by its partners' hashes.
-    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PER_GROUP).alias("salts")).filter("salts > 1").withColumnRenamed("a", "_a")
+    many = pairs.groupBy("a").agg(F.ceil(F.greatest(F.count(F.lit(1)) / PER_GROUP, F.sum("bytes_b") / GROUP_BYTES)).alias("salts")).filter("salts > 1").withColumnRenamed("a", "_a")
     pairs = pairs.join(small(many), F.col("a") == F.col("_a"), "left").drop("_a")
     salt = F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1)))
-    pairs = pairs.select("a", "b", F.pmod(F.xxhash64("a", salt), F.lit(groups)).alias("g"))
-    need = pairs.select("g", "a", F.col("b").alias("sid"), F.lit(False).alias("first")).unionByName(pairs.select("g", "a", F.col("a").alias("sid"), F.lit(True).alias("first")).distinct())
-    need = materialize(need.join(reps.select(F.col("sid").alias("_s"), "rep"), F.col("sid") == F.col("_s")).drop("_s"), "join-need")
+    pairs = pairs.withColumn("g", F.pmod(F.xxhash64("a", salt), F.lit(groups)))
+    need = pairs.select("g", "a", F.col("b").alias("sid"), F.col("rep_b").alias("rep"), F.lit(False).alias("first"))
+    need = materialize(need.unionByName(pairs.select("g", "a", F.col("a").alias("sid"), F.col("rep_a").alias("rep"), F.lit(True).alias("first")).distinct()), "join-need")
     texts = docs.select(F.col("doc_id").cast("long").alias("_d"), F.col("text").cast("binary").alias("text"))
     # Only texts that take part are moved: the ids are broadcast while they are few, and filter the scan otherwise.
-    texts = texts.join(small(need.select("rep").distinct(), 1_000_000), F.col("_d") == F.col("rep"), "left_semi")
-    rows = small(need, 1_000_000).join(texts, F.col("rep") == F.col("_d")).select("g", "a", "sid", "first", "text")
+    texts = texts.join(small(need.select("rep").distinct(), MOST_IDS), F.col("_d").eqNullSafe(F.col("rep")), "left_semi")
+    rows = small(need, MOST_IDS).join(texts, F.col("rep").eqNullSafe(F.col("_d"))).select("g", "a", "sid", "rep", "first", "text")
 
     def look(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        a, sid, first = (table.column(c).to_pylist() for c in ("a", "sid", "first"))
-        sets: dict[int, np.ndarray] = {}
+        a, sid, rep, first = (table.column(c).to_pylist() for c in ("a", "sid", "rep", "first"))
+        sets: dict[bytes, np.ndarray] = {}
         for s, x in zip(sid, shingle_sets(table.column("text").to_pylist())):
             if s not in sets and set_digest(x) == s:  # an id may stand for several texts
                 sets[s] = x
+        ids = dict(zip(sid, rep))
         out = set()
         for p, s, f in zip(a, sid, first):
             if not f and (p, s) not in out and p in sets and s in sets:
                 both = len(np.intersect1d(sets[p], sets[s], assume_unique=True))
                 if DEN * both >= NUM * (len(sets[p]) + len(sets[s]) - both):
                     out.add((p, s))
-        return pa.Table.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+        cols = [pa.array(c, t) for c, t in zip(zip(*((ids[p], p, ids[s], s) for p, s in out)), (pa.int64(), pa.binary()) * 2)] or [pa.nulls(0, t) for t in (pa.int64(), pa.binary()) * 2]
+        return pa.Table.from_arrays(cols, ["rep_a", "a", "rep_b", "b"])
 
-    return materialize(rows.groupBy("g").applyInArrow(look, "a long, b long"), "join-links")
+    found = rows.groupBy("g").applyInArrow(look, "rep_a long, a binary, rep_b long, b binary")
+    node = lambda c: F.struct(F.col(f"rep_{c}").isNull().alias("none"), F.col(f"rep_{c}").alias("rep"), F.col(c).alias("sid"))
+    return materialize(found.select(node("a").alias("x"), node("b").alias("y")), "join-links")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, root for every node of the edges (a, b): the smallest node of its component, by large-star and small-star."""
-    edges = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
+def components(edges: DataFrame) -> DataFrame:
+    """node, root for every node of the edges (x, y): the smallest node of its component, by large-star and small-star.
+
+    The steps end when a round changes nothing; their number follows the logarithm of the size.
+    """
+    edges = materialize(edges.filter("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "cc")
     last = None
-    for _ in range(rounds):
+    while True:
         # Large star: of all neighbours, the larger ones move to the smallest.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("u", "m").alias("m"))
@@ -438,21 +494,20 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs."""
-    spark = docs.sparkSession
+def _classes(docs: DataFrame) -> DataFrame:
+    """doc_id, n, sid and root (none, rep, sid) of every row of docs; sid and root are null without shingles."""
     # About as many shingles as words; this only sets the number of buckets.
     total = docs.select(F.sum(F.octet_length("text") / 6)).first()[0] or 0
     bits = _buckets(int(total))
     first = _first_pass(docs, bits)
-    rows = first.filter("sid is not null").select("doc_id", "sid", "n")
+    rows = first.filter("key is null").select("doc_id", "sid", "n", "bytes")
     sums = {r.key: r.s for r in first.filter("key < 0").groupBy("key").agg(F.sum("df").alias("s")).collect()}
     light = boundary(sums.get(-2, 0) / max(1, sums.get(-1, 0)))
     # Frequent shingles only order the prefixes, so a bounded list of them is enough for any corpus.
     often = first.filter("key >= 0").select("key", "df").orderBy(F.desc("df"), "key").limit(MOST_FREQUENT).toArrow()
     order = _Order(often.column("key").to_numpy().astype(np.uint64), often.column("df").to_numpy(), bits)
     lists = _lists(docs, order, light)
-    reps = materialize(rows.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep")), "join-reps")
+    reps = materialize(rows.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("bytes").alias("bytes")), "join-reps")
 
     pairs = materialize(lists.filter("kind >= -1").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("kind").alias("kind")), "join-pairs")
 
@@ -463,9 +518,9 @@ def classes(docs: DataFrame) -> DataFrame:
     links = _verify(docs, reps, best)
     roots = components(links)
     # Then all pairs across classes.
-    label = lambda df, c: df.join(roots.select(F.col("node").alias("_n"), F.col("root").alias(f"r{c}")), F.col(c) == F.col("_n"), "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c)).drop("_n")
+    label = lambda df, c: df.join(roots.select(F.col("node.sid").alias("_n"), F.col("root.sid").alias(f"r{c}")), F.col(c) == F.col("_n"), "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c)).drop("_n")
     across = label(label(pairs.filter("kind = 0").select("a", "b"), "a"), "b").filter("ra <> rb").select("a", "b")
-    long = materialize(label(lists.filter("kind = -2").select("key", "a", F.col("b").alias("p"), "n"), "a"), "join-long")
+    long = materialize(label(lists.filter("kind = -2").select("key", "a", F.col("place").alias("p"), "n"), "a"), "join-long")
     mixed = long.groupBy("key").agg(F.min("ra").alias("x"), F.max("ra").alias("y")).filter("x <> y").select(F.col("key").alias("_k"))
     long = materialize(long.join(mixed, F.col("key") == F.col("_k"), "left_semi"), "join-mixed")
     other = long.select(F.col("key").alias("_k"), F.col("a").alias("b"), F.col("p").alias("pb"), F.col("n").alias("nb"), F.col("ra").alias("rb"))
@@ -478,27 +533,50 @@ def classes(docs: DataFrame) -> DataFrame:
         if not more.isEmpty():
             roots = components(links.unionByName(more))
 
-    named = reps.join(roots, F.col("sid") == F.col("node"), "left").select("sid", "rep", F.coalesce("root", "sid").alias("root"))
-    least_id = named.groupBy("root").agg(F.min("rep").alias("component_id")).withColumnRenamed("root", "_r")
-    # Only sets that link with others have another smallest id than their own.
-    named = named.join(least_id, F.col("root") == F.col("_r")).select(F.col("sid").alias("_s"), "component_id")
-    out = rows.join(named, (F.col("sid") == F.col("_s")) & (F.col("n") > 0), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    # The root is the smallest node, and its doc_id the smallest of the class.
+    named = reps.join(roots.select(F.col("node.sid").alias("_n"), "root"), F.col("sid") == F.col("_n"), "left")
+    named = named.select(F.col("sid").alias("_s"), F.coalesce("root", F.struct(F.col("rep").isNull().alias("none"), "rep", "sid")).alias("root"))
+    return rows.join(named, F.col("sid") == F.col("_s"), "left").select("doc_id", "n", "sid", "root")
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs."""
+    out = _classes(docs)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNotNull(), F.col("root.rep")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _with_sid(docs: DataFrame) -> DataFrame:
+    """_row, a struct of all columns of docs, and the name of its set, null without words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            names = [set_digest(s) if len(s) else None for s in shingle_sets([x or b"" for x in b.column(1).to_pylist()])]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.binary())], ["_row", "_sid"])
+
+    rows = docs.select(F.struct("*").alias("_row"), F.col("text").cast("binary").alias("_text"))
+    return rows.mapInArrow(run, T.StructType([T.StructField("_row", docs.schema), T.StructField("_sid", T.BinaryType())]))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one document of each class: the one with the smallest id. Texts without shingles all stay.
 
-    Rows with a null id stay unless their class has a row with an id. An id that occurs in several rows stays once, with its
-    smallest text.
+    A document is a row: of rows that share an id, each stays or goes with its own class. Where the smallest id of a class is
+    on several of its rows, or all its ids are null, the smallest set of shingles stays, and of equal sets the smallest text.
     """
-    found = materialize(classes(docs), "join-classes")
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_d")).distinct()
-    out = docs.join(small(materialize(kept, "join-kept"), 1_000_000), F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
-    if found.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").isEmpty():
+    found = materialize(_classes(docs), "join-classes")
+    kept = found.filter("sid is null OR (doc_id <=> root.rep AND sid = root.sid)").select(F.col("doc_id").alias("_d"), F.col("sid").alias("_s"))
+    # Most ids are on one row; only rows whose id is on several, or null, are told apart by their sets.
+    twice = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_t"))
+    twice = small(materialize(twice, "join-twice"), MOST_IDS)
+    ids = kept.join(twice, F.col("_d").eqNullSafe(F.col("_t")), "left_anti").select("_d")
+    nested = docs.select(F.struct("*").alias("_row"))  # columns of docs may have any name
+    out = nested.join(small(materialize(ids, "join-kept"), MOST_IDS), F.col("_row.doc_id") == F.col("_d"), "left_semi").select("_row.*")
+    if twice.isEmpty():
         return out
-    one = out.filter("doc_id is not null").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct(F.col("text").isNull(), F.coalesce("text", F.lit("")))).alias("_row")).select("_row.*")
-    return out.filter("doc_id is null").unionByName(one)
+    rows = _with_sid(nested.join(twice, F.col("_row.doc_id").eqNullSafe(F.col("_t")), "left_semi").select("_row.*"))
+    one = kept.filter("_s is not null").select("_s", "_d").distinct()
+    one = rows.filter("_sid is not null").join(one, (F.col("_sid") == F.col("_s")) & F.col("_row.doc_id").eqNullSafe(F.col("_d"))).groupBy("_sid").agg(F.min_by("_row", "_row.text").alias("_row"))
+    return out.unionByName(one.select("_row.*")).unionByName(rows.filter("_sid is null").select("_row.*"))
 
 
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:
