@@ -1,17 +1,19 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained and run in numpy.
 
-Inputs. A word gives a vector of four: the log-odds of the word itself, and the largest, smallest and mean log-odds of its
-character 3- to 5-grams with its ends marked. Both tables are hashed and fitted by counting documents.
+Inputs. A word gives a vector of two learned parts and four statistics. Learned are an embedding of the word and the mean
+embedding of its character 3- to 5-grams with its ends marked; both tables are hashed and trained with the network. The
+statistics are the log-odds of the word and the largest, smallest and mean log-odds of its n-grams, by counting documents.
+Characters that mask letters (@ $ * # and ! within a word) belong to words.
 
 Network. A GRU in each direction reads a window of words; attention pools the states; a linear layer gives the logit. It is
 trained by back-propagation through time on the windows of labelled documents: of a toxic document on the window with the
 highest logit so far, of a clean one on its highest and one other.
 
-Scoring. Windows of 40 words start every 32 words, so they overlap and cover every word. A document's score is that of its highest window, calibrated on its
-logit and the number of windows, at the base rate of all labels that may be used.
+Scoring. Windows of 40 words start every 32 words, so they overlap and cover every word. A document's score is that of its
+highest window, calibrated on its logit and the number of windows, at the base rate of all labels that may be used.
 
-The tables and the network are fitted on different halves of the sample, so the network does not trust log-odds that its
-own training documents made.
+The statistics, the network and the calibration are fitted on different parts of the sample (two, two and one of five
+documents of a class), so none trusts what its own documents made.
 
 Defined cases: a null or empty text, or one of white space only, is one empty window and has a low score of its own; texts
 of any length are scored whole; repeated rows get equal scores; without labels of both classes all scores are the base
@@ -40,13 +42,15 @@ HIDDEN, ATTENTION = 8, 8
 #: Bits of the hashed tables.
 WORD_BITS, GRAM_BITS = 18, 18
 GRAMS = (3, 4, 5)
-INPUTS = 4
+#: Statistics of a word, length of each of its two embeddings, and bits of their hashed tables.
+STATISTICS, EMBEDDING, EMBEDDING_BITS = 4, 6, 14
+INPUTS = STATISTICS + 2 * EMBEDDING
 #: Words whose inputs a worker keeps; beyond that it starts anew.
 CACHE_WORDS = 100_000
 #: Words whose n-grams are laid out at a time.
 CHUNK_WORDS = 10_000
 THRESHOLD = 0.5
-_WORDS = re.compile(r"\w+").findall
+_WORDS = re.compile(r"[\w@$*#]+(?:[!'][\w@$*#]+)*").findall
 
 
 def words(text: str) -> list[str]:
@@ -75,21 +79,34 @@ def _grams(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes, valid, starts
 
 
+def layout(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each word, the distinct hashes of its n-grams laid end to end, and where those of each word begin and end."""
+    own, begin = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+    for a in range(0, len(vocabulary), CHUNK_WORDS):
+        hashes, valid, starts = _grams(vocabulary[a : a + CHUNK_WORDS])
+        word = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, hashes.shape[1])))
+        pairs = np.unique((np.broadcast_to(word, hashes.shape)[valid].astype(np.int64) << GRAM_BITS) | hashes[valid])
+        own.append((pairs & ((1 << GRAM_BITS) - 1)).astype(np.int32))
+        begin.append(begin[-1][-1] + np.cumsum(np.bincount(pairs >> GRAM_BITS, minlength=len(starts))))
+    return _word_hash(vocabulary), np.concatenate(own), np.concatenate(begin)
+
+
+def _part(of: tuple[np.ndarray, np.ndarray, np.ndarray], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The layout of some words."""
+    word, grams, begin = of
+    n = begin[rows + 1] - begin[rows]
+    end = np.cumsum(n)
+    at = np.arange(end[-1] if len(end) else 0) + np.repeat(begin[rows] - end + n, n)
+    return word[rows], grams[at], np.append(0, end)
+
+
 class Tables:
     """Log-odds of words and of character n-grams."""
 
-    def __init__(self, docs: list[np.ndarray], vocabulary: list[str], y: np.ndarray):
-        """docs: the distinct words of each document as places in the vocabulary."""
+    def __init__(self, docs: list[np.ndarray], of: tuple[np.ndarray, np.ndarray, np.ndarray], y: np.ndarray):
+        """docs: the distinct words of each document as places in the vocabulary, whose layout is given."""
         count = np.zeros((2, 1 << WORD_BITS), np.float32), np.zeros((2, 1 << GRAM_BITS), np.float32)
-        word_ids = _word_hash(vocabulary)
-        own, begin = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
-        for a in range(0, len(vocabulary), CHUNK_WORDS):
-            hashes, valid, starts = _grams(vocabulary[a : a + CHUNK_WORDS])
-            word = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, hashes.shape[1])))
-            pairs = np.unique((np.broadcast_to(word, hashes.shape)[valid].astype(np.int64) << GRAM_BITS) | hashes[valid])
-            own.append((pairs & ((1 << GRAM_BITS) - 1)).astype(np.int32))
-            begin.append(begin[-1][-1] + np.cumsum(np.bincount(pairs >> GRAM_BITS, minlength=len(starts))))
-        grams, begin = np.concatenate(own), np.concatenate(begin)
+        word_ids, grams, begin = of
         for d, label in zip(docs, y):
             if len(d):
                 count[0][int(label)][np.unique(word_ids[d])] += 1
@@ -105,10 +122,10 @@ class Tables:
 
     def inputs(self, vocabulary: list[str]) -> np.ndarray:
         parts = [self._inputs(vocabulary[a : a + CHUNK_WORDS]) for a in range(0, len(vocabulary), CHUNK_WORDS)]
-        return np.concatenate(parts) if parts else np.zeros((0, INPUTS), np.float32)
+        return np.concatenate(parts) if parts else np.zeros((0, STATISTICS), np.float32)
 
     def _inputs(self, vocabulary: list[str]) -> np.ndarray:
-        out = np.zeros((len(vocabulary), INPUTS), np.float32)
+        out = np.zeros((len(vocabulary), STATISTICS), np.float32)
         hashes, valid, starts = _grams(vocabulary)
         v = self.gram[hashes]
         n = np.maximum(np.add.reduceat(valid.sum(axis=0), starts), 1)
@@ -141,6 +158,25 @@ class Network:
         # Gates in the order update, reset, candidate; index 0 reads forwards and 1 backwards.
         self.p = {f"{n}{i}": x for i in (0, 1) for n, x in (("wx", make(d, 3 * h)), ("wh", make(h, 3 * h)), ("b", np.zeros(3 * h, np.float32)))}
         self.p |= {"u": make(2 * h, a), "v": make(a, 1)[:, 0], "w": make(2 * h, 1)[:, 0], "c": np.zeros(1, np.float32)}
+        self.e = {n: (0.1 * r.normal(size=(1 << EMBEDDING_BITS, EMBEDDING))).astype(np.float32) for n in ("word", "gram")}
+
+    def embed(self, statistics: np.ndarray, of: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        """The inputs of words, whose layout is given: statistics, embedding, mean embedding of n-grams."""
+        word, grams, begin = of
+        if not len(word):
+            return np.zeros((0, INPUTS), np.float32)
+        # Every word has an n-gram, as its marked ends make it three characters long at least.
+        mean = np.add.reduceat(self.e["gram"][grams >> (GRAM_BITS - EMBEDDING_BITS)], begin[:-1]) / np.diff(begin)[:, None]
+        return np.concatenate([statistics, self.e["word"][word >> (WORD_BITS - EMBEDDING_BITS)], mean], axis=1).astype(statistics.dtype, copy=False)
+
+    def embedding_gradient(self, of: tuple[np.ndarray, np.ndarray, np.ndarray], d: np.ndarray) -> dict[str, np.ndarray]:
+        """By both tables, from d by the inputs of words."""
+        word, grams, begin = of
+        out = {k: np.zeros_like(v) for k, v in self.e.items()}
+        np.add.at(out["word"], word >> (WORD_BITS - EMBEDDING_BITS), d[:, STATISTICS : STATISTICS + EMBEDDING])
+        n = np.diff(begin)
+        np.add.at(out["gram"], grams >> (GRAM_BITS - EMBEDDING_BITS), np.repeat(d[:, STATISTICS + EMBEDDING :] / n[:, None], n, axis=0))
+        return out
 
     def gates(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """What the inputs add to the gates, for each direction; made once for each word of a vocabulary."""
@@ -184,11 +220,12 @@ class Network:
         return (logit, (states, kept, e, a, pooled)) if keep else logit
 
     def gradient(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the weighted logistic loss by all parameters. x: time by window by inputs."""
+        """Of the weighted logistic loss by all parameters, and by x. x: time by window by inputs."""
         h, (t, n) = HIDDEN, mask.shape
         gates = self.gates(x.reshape(t * n, -1))
         logit, (states, kept, e, a, pooled) = self.forward(gates, np.arange(t * n).reshape(t, n), mask, keep=True)
         p, g = self.p, {k: np.zeros_like(v) for k, v in self.p.items()}
+        g["x"] = np.zeros_like(x)
         d = ((_sigmoid(logit) - y) * weight).astype(np.float32)
         g["w"], g["c"] = pooled.T @ d, d.sum(keepdims=True)
         dp = d[:, None] * p["w"]
@@ -211,6 +248,7 @@ class Network:
             dr = drs * s * r * (1 - r)
             dg = np.concatenate([dz, dr, dc], axis=1)
             g[f"wx{i}"] += x[k].T @ dg
+            g["x"][k] += dg @ p[f"wx{i}"].T
             g[f"b{i}"] += dg.sum(axis=0)
             g[f"wh{i}"][:, : 2 * h] += s.T @ dg[:, : 2 * h]
             g[f"wh{i}"][:, 2 * h :] += rs.T @ dc
@@ -228,7 +266,7 @@ class Model:
     def _ids(self, docs: list[list[str]]) -> np.ndarray:
         """Numbers of all words, whose gates are in self.known; number 0 is padding."""
         if "at" not in self.__dict__ or len(self.at) > CACHE_WORDS:
-            self.at, self.known = {}, [g[:1] for g in self.net.gates(np.zeros((1, INPUTS), np.float32))]
+            self.at, self.known = {}, [np.repeat(g, 1024, axis=0) for g in self.net.gates(np.zeros((1, INPUTS), np.float32))]
         at, new, out = self.at, [], []
         for d in docs:
             try:
@@ -240,7 +278,13 @@ class Model:
                         new.append(w)
                 out.extend([at[w] for w in d])
         if new:
-            self.known = [np.concatenate([old, g]) for old, g in zip(self.known, self.net.gates(self.tables.inputs(new)))]
+            while len(at) >= len(self.known[0]):  # room is doubled, so that growth copies little
+                self.known = [np.concatenate([g, np.zeros_like(g)]) for g in self.known]
+            for a in range(0, len(new), CHUNK_WORDS):
+                some = new[a : a + CHUNK_WORDS]
+                first = len(at) + 1 - len(new) + a
+                for known, g in zip(self.known, self.net.gates(self.net.embed(self.tables.inputs(some), layout(some)))):
+                    known[first : first + len(some)] = g
         return np.array(out, np.int64)
 
     def logits(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
@@ -270,32 +314,45 @@ class Model:
 def fit(rows: list[tuple[str, int]], rate: float, rounds: int = 3, epochs: int = 5, batch: int = 128, seed: int = 5) -> Model:
     model = Model(rate)
     y = np.array([k for _, k in rows], np.float32)
-    if min((y == 0).sum(), (y == 1).sum()) < 4:
+    if min((y == 0).sum(), (y == 1).sum()) < 5:
         return model
     places: dict[str, int] = {}  # each distinct word is kept once
     docs = [np.fromiter((places.setdefault(w, len(places)) for w in words(t)), np.int32) for t, _ in rows]
-    vocabulary = list(places)
-    del places
+    of = layout(list(places))
     rank = np.zeros(len(y), np.int64)
     for k in (0, 1):
         rank[y == k] = np.arange((y == k).sum())
-    counted = rank % 2 == 0
-    model.tables = Tables([np.unique(d) for d, c in zip(docs, counted) if c], vocabulary, y[counted])
+    turn = rank % 5
+    counted, kept = turn < 2, turn == 4
+    model.tables = Tables([np.unique(d) for d, c in zip(docs, counted) if c], of, y[counted])
     model.net = net = Network(seed)
-    own, label = [d for d, c in zip(docs, counted) if not c], y[~counted]
-    inputs = np.concatenate([np.zeros((1, INPUTS), np.float32), model.tables.inputs(vocabulary)])
+    statistics = model.tables.inputs(list(places))
+    del places
+    own, label = [d for d, c in zip(docs, (turn == 2) | (turn == 3)) if c], y[(turn == 2) | (turn == 3)]
+    # Word 0 is padding, which the masks hide.
     ids = np.concatenate([np.zeros(1, np.int32), *(d + 1 for d in own)])
-    del docs, vocabulary
     doc, first, n = windows(np.array(list(map(len, own)), np.int64))
     step = np.arange(WINDOW)[:, None]
     place = lambda i: np.where(step < n[i], first[i] + 1 + step, 0)
+    padded = np.concatenate([np.zeros((1, INPUTS), np.float32), np.zeros((len(statistics), INPUTS), np.float32)])
+
+    def inputs() -> np.ndarray:
+        for a in range(0, len(statistics), CHUNK_WORDS):
+            rows = np.arange(a, min(a + CHUNK_WORDS, len(statistics)))
+            padded[1 + rows] = net.embed(statistics[rows], _part(of, rows))
+        return padded
+
+    def values() -> np.ndarray:
+        gates = net.gates(inputs())
+        return np.concatenate([net.forward(gates, ids[place(i)], step < n[i]) for i in np.array_split(np.arange(len(doc)), -(-len(doc) // 4096))])
+
     rng = np.random.default_rng(seed)
-    value = np.concatenate([inputs[ids[place(np.arange(b, min(b + 8192, len(doc))))]][:, :, :2].sum(axis=2).max(axis=0) for b in range(0, len(doc), 8192)])
-    moment, square, t = {k: 0.0 for k in net.p}, {k: 0.0 for k in net.p}, 0
+    plain = np.concatenate([[0], statistics[:, :2].sum(axis=1)])
+    value = np.concatenate([plain[ids[place(np.arange(b, min(b + 8192, len(doc))))]].max(axis=0) for b in range(0, len(doc), 8192)])
+    moment, square, t = {}, {}, 0
     for turn in range(rounds):
         if turn:
-            gates = net.gates(inputs)
-            value = np.concatenate([net.forward(gates, ids[place(i)], step < n[i]) for i in np.array_split(np.arange(len(doc)), -(-len(doc) // 4096))])
+            value = values()
         order = np.lexsort((-value, doc))
         top = order[np.r_[True, doc[order][1:] != doc[order][:-1]]]
         clean = np.flatnonzero(label[doc] == 0)
@@ -306,19 +363,26 @@ def fit(rows: list[tuple[str, int]], rate: float, rounds: int = 3, epochs: int =
         for _ in range(epochs if turn else 2 * epochs):
             for i in np.array_split(rng.permutation(len(chosen)), -(-len(chosen) // batch)):
                 k = chosen[i]
-                g = net.gradient(inputs[ids[place(k)]], step < n[k], target[i], weight[i] / len(i))
+                used, back = np.unique(ids[place(k)], return_inverse=True)
+                known = used[used > 0] - 1
+                some = _part(of, known)
+                x = np.zeros((len(used), INPUTS), np.float32)
+                x[used > 0] = net.embed(statistics[known], some)
+                g = net.gradient(x[back.reshape(WINDOW, -1)], step < n[k], target[i], weight[i] / len(i))
+                dx = np.zeros_like(x)
+                np.add.at(dx, back.ravel(), g.pop("x").reshape(-1, INPUTS))
                 t += 1
-                for name, d in g.items():
-                    d = d + 1e-4 * net.p[name]
-                    moment[name] = 0.9 * moment[name] + 0.1 * d
-                    square[name] = 0.99 * square[name] + 0.01 * d * d
-                    net.p[name] -= (0.02 * moment[name] / (1 - 0.9**t) / (np.sqrt(square[name] / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
-    gates = net.gates(inputs)
-    value = np.concatenate([net.forward(gates, ids[place(i)], step < n[i]) for i in np.array_split(np.arange(len(doc)), -(-len(doc) // 4096))])
-    logit, count = np.full(len(own), -np.inf), np.bincount(doc, minlength=len(own))
-    np.maximum.at(logit, doc, value)
-    share = label.mean()
-    model.calibration = logistic(np.column_stack([logit, np.log(count)]), label, np.where(label == 1, rate / share, (1 - rate) / (1 - share)))
+                # Embeddings of rare words move slowly, or they would learn their few documents by heart.
+                for table, grads, pace in ((net.p, g, 0.02), (net.e, net.embedding_gradient(some, dx[used > 0]), 0.002)):
+                    for name, d in grads.items():
+                        d = d + 1e-4 * table[name]
+                        moment[name] = 0.9 * moment.get(name, 0.0) + 0.1 * d
+                        square[name] = 0.99 * square.get(name, 0.0) + 0.01 * d * d
+                        table[name] -= (pace * moment[name] / (1 - 0.9**t) / (np.sqrt(square[name] / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
+    unseen = [words(text) for (text, _), k in zip(rows, kept) if k]
+    logit, count = model.logits(unseen)
+    share = y[kept].mean()
+    model.calibration = logistic(np.column_stack([logit, np.log(count)]), y[kept], np.where(y[kept] == 1, rate / share, (1 - rate) / (1 - share)), ridge=0.05)
     return model
 
 
