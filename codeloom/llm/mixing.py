@@ -9,12 +9,15 @@
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; documents with equal ids are
 ordered by their size, and equal rows are interchangeable; a source of size 0 gets target 0; an empty table gives an
-empty result; other columns are not read.
+empty result; other columns are not read and may have any name.
+
+take() gives the same for whole rows of documents: texts are not sorted, only counted again and held against the place of
+each source's cut. Rows that are equal in id and size at the cut share what is left there evenly, rounded down.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import WORD, materialize, small
@@ -30,12 +33,16 @@ SEED = "mix-1"
 DIGITS = 8
 
 
-def sizes(docs: DataFrame, seed: str = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
-    return docs.select(
-        "doc_id", "source", *carry,
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(F.regexp_extract_all("text", F.lit(WORD), 0))).cast("long").alias("size"),
-        F.sha2(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256).alias("key"),
-    )
+def size_of(text: Column) -> Column:
+    return F.when(text.isNull(), 0).otherwise(F.size(F.regexp_extract_all(text, F.lit(WORD), 0))).cast("long")
+
+
+def key_of(doc_id: Column, seed: str) -> Column:
+    return F.sha2(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit(""))), 256)
+
+
+def sizes(docs: DataFrame, seed: str = SEED) -> DataFrame:
+    return docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), key_of(F.col("doc_id"), seed).alias("key"))
 
 
 def targets(rows: DataFrame) -> DataFrame:
@@ -64,9 +71,9 @@ def targets(rows: DataFrame) -> DataFrame:
     return by.select("source", "source_rows", "source_size", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
-def mix(docs: DataFrame, seed: str = SEED, range_rows: int = RANGE_ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, source, size, source_size, target, budget, taken for every document, and the columns to carry."""
-    rows = materialize(sizes(docs, seed, carry), "mix-sizes")
+def mix(docs: DataFrame, seed: str = SEED, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """doc_id, source, key, size, source_size, target, budget, epochs, extra and taken for every document."""
+    rows = materialize(sizes(docs, seed), "mix-sizes")
     goal = materialize(targets(rows.select("source", "size")), "mix-targets")
     # The number of ranges is a power of 16, as they are told apart by digits of the key.
     digits = F.least(F.lit(DIGITS), F.greatest(F.lit(0), F.ceil(F.log(16.0, F.col("source_rows") / range_rows)))).cast("int")
@@ -82,7 +89,24 @@ def mix(docs: DataFrame, seed: str = SEED, range_rows: int = RANGE_ROWS, carry:
     placed = placed.withColumn("ahead", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     placed = placed.join(small(sums), F.col("source").eqNullSafe(F.col("_s")) & (F.col("range") == F.col("_r")))
     extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("base") - F.col("ahead")))
-    return placed.select("doc_id", "source", *carry, "size", "source_size", "target", "budget", (F.col("epochs") * F.col("size") + extra).cast("long").alias("taken"))
+    placed = placed.withColumn("extra", extra.cast("long"))
+    return placed.select("doc_id", "source", "key", "size", "source_size", "target", "budget", "epochs", "extra", (F.col("epochs") * F.col("size") + F.col("extra")).alias("taken"))
+
+
+def take(docs: DataFrame, seed: str = SEED, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """_row, a struct of all columns of docs, and size, source_size, target and taken of every document."""
+    mixed = materialize(mix(docs, seed, range_rows), "mix-taken")
+    # One row for each source: the last place in its order that gives words, and what the rows there give in all.
+    place = F.struct("key", F.col("doc_id").isNotNull().alias("named"), "doc_id", "size")
+    last = mixed.groupBy("source").agg(F.max(F.when(F.col("extra") > 0, place)).alias("cut"), F.any_value("source_size").alias("source_size"), F.any_value("target").alias("target"), F.any_value("epochs").alias("epochs"))
+    here = mixed.groupBy("source", place.alias("cut")).agg(F.sum("extra").alias("given"), F.count(F.lit(1)).alias("rows")).filter("given > 0")
+    cuts = last.join(here.withColumnRenamed("source", "_h").withColumnRenamed("cut", "_c"), F.col("source").eqNullSafe(F.col("_h")) & (F.col("cut") == F.col("_c")), "left")
+    cuts = materialize(cuts.select(F.col("source").alias("_s"), "cut", "source_size", "target", "epochs", F.expr("given div rows").alias("share")), "mix-cuts")
+    rows = docs.select(F.struct("*").alias("_row"), size_of(F.col("text")).alias("size"), key_of(F.col("doc_id"), seed).alias("key"))
+    met = rows.join(small(cuts), F.col("_row.source").eqNullSafe(F.col("_s")))
+    at = F.struct("key", F.col("_row.doc_id").isNotNull().alias("named"), F.col("_row.doc_id").alias("doc_id"), "size")
+    extra = F.when(at < F.col("cut"), F.col("size")).when(at == F.col("cut"), F.col("share")).otherwise(0)
+    return met.select("_row", "size", "source_size", "target", (F.col("epochs") * F.col("size") + extra).cast("long").alias("taken"))
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:

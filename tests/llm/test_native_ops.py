@@ -106,6 +106,22 @@ def test_mix_takes_exact_budgets(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_take_agrees_with_mix_on_rows_with_any_columns(spark):
+    rows = [(i, "w " * (i % 17), f"s{i % 3}" if i % 10 else None) for i in range(400)] + [(None, "w", "s0"), (500, None, "s0"), (501, "", "s2")]
+    df = docs(spark, rows)
+    want = sorted(((r.doc_id, r.source, r["size"], r.taken) for r in mixing.mix(df, range_rows=8).collect()), key=repr)
+    clash = df.selectExpr("*", "1 AS key", "2 AS size", "3 AS cut", "4 AS _s", "5 AS target", "6 AS _row")
+    out = mixing.take(clash, range_rows=8)
+    assert sorted(((r._row.doc_id, r._row.source, r["size"], r.taken) for r in out.collect()), key=repr) == want
+    assert {r._row.key for r in out.collect()} == {1}
+    # Rows that are equal at a cut share what is left.
+    same = docs(spark, [(1, "w w w", "a")] * 6 + [(2, "w", "b")] * 50)
+    got = [(r._row.source, r.taken, r.target) for r in mixing.take(same).collect()]
+    for source in "ab":
+        assert len({t for s, t, _ in got if s == source}) == 1
+    assert mixing.take(df.limit(0)).count() == 0
+
+
 # ---- personal data
 
 PLAIN = {

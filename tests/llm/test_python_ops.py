@@ -28,7 +28,7 @@ def test_warc_round_trip(spark):
     rows += [(4, "http://again", "same"), (20, "http://twice", "dup"), (20, "http://twice", "dup"), (None, "http://null", "dup")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS payload")
     path = new_path(spark, "warc-test")
-    warc.write_archives(pages, path, captures_per_file=3)
+    warc.write_archives(pages, path, chunk_bytes=1000)
     found = warc.read_archives(spark, path)
     got = warc.assemble(found).collect()
     assert len(got) == len(rows)
@@ -41,10 +41,43 @@ def test_warc_round_trip(spark):
     assert by[5][0].payload_digest == base64.b32encode(hashlib.sha1(b"same").digest()).decode() and by[5][0].payload_bytes == 4
     assert [r.record_type for r in by[20]] == ["response", "response"] and by[None][0].record_type == "revisit"
     assert by[1][0].record_type == "revisit" and by[2][0].record_type == "response"  # empty payloads are equal too
+    ids = [r.record_id for r in found.collect()]
+    assert len(ids) == len(set(ids)) == 3 * len(rows)
     empty = new_path(spark, "warc-empty")
     warc.write_archives(pages.limit(0), empty)
 
 
+def test_warc_keeps_the_urls_of_one_id_and_payload(spark, tmp_path):
+    rows = [(1, "http://a", "x"), (1, "http://b", "x"), (1, None, "x"), (0, "http://c", "x"), (2, "http://d", "y" * 5), (2, "http://d", "y" * 5), (None, "http://e", "y" * 5)]
+    path = str(tmp_path / "w")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    found = warc.read_archives(spark, path)
+    got = sorted((-1 if r.metadata.page_id is None else r.metadata.page_id, r.response.target_uri, r.response.record_type) for r in warc.assemble(found).collect())
+    assert got == [(-1, "http://e", "revisit"), (0, "http://c", "revisit"), (1, "about:blank", "response"), (1, "http://a", "response"), (1, "http://b", "response"), (2, "http://d", "response"), (2, "http://d", "response")]
+    named = {r.record_id: r.target_uri for r in found.collect()}
+    assert {named[r.refers_to] for r in found.filter("record_type = 'revisit'").collect()} == {"http://b", "http://d"}
+    import gzip
+    import pathlib
+
+    # Every record is a member of its own, and the files are plain gzip.
+    for f in pathlib.Path(path).glob("part-*"):
+        data = f.read_bytes()
+        records, left = 0, data
+        while left:
+            z = zlib.decompressobj(31)
+            assert z.decompress(left).startswith(b"WARC/1.1") and z.eof
+            records, left = records + 1, z.unused_data
+        assert records % 3 == 0 and gzip.decompress(data).count(b"WARC/1.1") == records
+
+
+def test_warc_members_of_16_mb(spark, tmp_path):
+    rows = [(i, "http://big", c * n) for i, (c, n) in enumerate([("a", (1 << 24) + 5), ("b", 3), ("c", 1 << 24)])]
+    path = str(tmp_path / "w")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path, chunk_bytes=1)
+    got = {r.page_id: r.payload_bytes for r in warc.assemble(warc.read_archives(spark, path, False)).select("metadata.page_id", "response.payload_bytes").collect()}
+    assert got == {i: len(t) for i, _, t in rows}
+
+
 def test_warc_parser_reads_members_and_plain_files():
     one = b"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <a>\r\nContent-Length: 4\r\n\r\nabcd\r\n\r\n"
     import gzip
@@ -70,6 +103,18 @@ def test_media_round_trip_and_resize(spark):
     assert (got[0].dhash, got[0].media_sha256) == (got[1].dhash, got[1].media_sha256)
 
 
+def test_media_is_stored_and_read_back(spark, tmp_path):
+    rows = [(1, "a b"), (1, "a b"), (2, None), (None, "x" * 1000)]
+    df = docs(spark, rows).selectExpr("*", "1 AS media", "2 AS tile", "3 AS n_bytes")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    out = media.op9_media_columns(spark, str(tmp_path))
+    assert "Scan parquet" in out._jdf.queryExecution().toString() and "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString()
+    got = sorted(map(tuple, out.collect()), key=repr)
+    assert len(got) == 4 and got[0] == got[1] and {r[1] for r in got} == {3, 0, 1000}
+    df.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert media.op9_media_columns(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_media_formats():
     r = np.random.default_rng(1)
     for h, w in ((1, 1), (3, 5), (64, 64), (7, 130)):
@@ -138,6 +183,28 @@ def test_toxicity_on_held_out_text_and_gradient():
         down = loss()
         net.p[name][at] = old
         assert (up - down) / (2 * step) == pytest.approx(grad[name][at], rel=0.02, abs=2e-3), name
+    old, x[1, 0, 5] = x[1, 0, 5], x[1, 0, 5] + 1e-2
+    up = loss()
+    x[1, 0, 5] = old - 1e-2
+    assert (up - loss()) / 2e-2 == pytest.approx(grad["x"][1, 0, 5], rel=0.02, abs=2e-3)
+
+
+def test_toxicity_learns_its_embeddings():
+    words = ["abc", "abd", "x", "f*ck", "abc"]
+    layout = toxicity.layout(words)
+    net, r = toxicity.Network(1), np.random.default_rng(2)
+    net.e = {k: v.astype(np.float64) for k, v in net.e.items()}
+    static, d = r.normal(size=(5, 4)), r.normal(size=(5, toxicity.INPUTS))
+    grad = net.embedding_gradient(layout, d)
+    x = net.embed(static, layout)
+    assert (x[0, 4:] == x[4, 4:]).all() and not (x[0, 4:] == x[1, 4:]).all()
+    for name, row in (("word", layout[0][0] >> 4), ("gram", layout[1][0] >> 4)):
+        net.e[name][row, 2] += 1e-3
+        up = (net.embed(static, layout) * d).sum()
+        net.e[name][row, 2] -= 2e-3
+        assert (up - (net.embed(static, layout) * d).sum()) / 2e-3 == pytest.approx(grad[name][row, 2], rel=1e-4)
+        net.e[name][row, 2] += 1e-3
+    assert toxicity.words("You f*ck! (a$$) don't, sh!t.") == ["you", "f*ck", "a$$", "don't", "sh!t"]
 
 
 def test_toxicity_windows_cover_all_words():
@@ -250,10 +317,11 @@ def corpus(seed=3):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("all_pairs", [24, 3])
-def test_join_equals_brute_force(spark, monkeypatch, all_pairs):
-    # Short lists are made long by a small bound, so that stars and their second look are tried too.
+@pytest.mark.parametrize("all_pairs,split", [(24, 100_000), (3, 100_000), (3, 9)])
+def test_join_equals_brute_force(spark, monkeypatch, all_pairs, split):
+    # Short lists are made long by a small bound and are split, so that stars and their second look are tried too.
     monkeypatch.setattr(ngram_join, "ALL_PAIRS", all_pairs)
+    monkeypatch.setattr(ngram_join, "SPLIT", split)
     rows = corpus()
     df = docs(spark, rows).selectExpr("*", "1 AS sid", "2 AS n")
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.classes(df).collect())
@@ -282,3 +350,20 @@ def test_join_keep_one_and_empty(spark):
     out = ngram_join.keep_one(df)
     assert out.schema == df.schema and sorted(r.doc_id for r in out.collect()) == [3, 7, 8, 9]
     assert ngram_join.classes(df.limit(0)).count() == 0
+
+
+def test_join_keep_one_tells_rows_of_one_id_apart(spark):
+    a, b = " ".join(map(str, range(30))), " ".join(map(str, range(100, 130)))
+    rows = [(1, a), (2, a + " x"), (2, b), (None, b + " y"), (None, "only null"), (None, "only null"), (5, ""), (5, None), (6, "Twice"), (6, "twice")]
+    df = docs(spark, rows).selectExpr("*", "1 AS _d", "2 AS _sid", "3 AS root")
+    out = ngram_join.keep_one(df)
+    assert out.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+    assert got == sorted([(1, a), (2, b), (None, "only null"), (5, ""), (5, None), (6, "Twice")], key=repr)
+
+
+def test_join_numbers_digests_in_order():
+    names = [bytes([1] * 8 + [i] * 8) for i in (3, 1, 2, 1)] + [bytes([0] * 16)]
+    for some in (names, names[1:2] + names[3:]):
+        found, number = ngram_join._numbered(b"".join(some))
+        assert [x.tobytes() for x in found] == sorted(set(some)) and [found[i].tobytes() for i in number] == some

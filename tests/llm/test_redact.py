@@ -4,7 +4,7 @@ import re
 
 from codeloom.llm import pii
 
-TEXTS = ["10.0.0.26 4111 1111 1111 1111", "x 10.0.0.26 4111 1111 1111 1111 y a@b.co", "4111111111111111 then +1 555 123 4567", "none"]
+TEXTS = ["10.0.0.26 4111 1111 1111 1111", "x 10.0.0.26 4111 1111 1111 1111 y a@b.co", "4111111111111111 then +1 555 123 4567", "none", " ".join(f"u{i}@mail.com 10.0.0.{i % 256}" for i in range(700))]
 DOC = "doc_id long, text string, lang string, source string, n_chars int"
 
 
