@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from codeloom.llm import decontaminate, mixing, ngram_join, pii, toxicity
-from codeloom.llm.common import materialize, table
+from codeloom.llm.common import materialize, release, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,9 +32,13 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of documents with size, source_size, target and taken, the words that the mix takes (repeats counted)."""
-    carry = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
-    return mixing.mix(docs, carry=carry).filter("taken > 0").select(*docs.columns, "size", "source_size", "target", "taken")
+    """The columns of documents with size, source_size, target and taken, the words that the mix takes (repeats counted).
+
+    Columns of documents that have one of these names give way.
+    """
+    mixed = mixing.take(docs).filter("taken > 0")
+    own = ("size", "source_size", "target", "taken")
+    return mixed.select(*(mixed._row[c].alias(c) for c in docs.columns if c not in own), *own)
 
 
 STAGES = [
@@ -51,8 +55,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = materialize(docs, f"stage-{name}")
-    return docs
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        if i:
+            release(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
