@@ -55,7 +55,7 @@ CATEGORY = {
     "DirectCall": "call", "DynamicCall": "call", "CallsProcedure": "call", "InvokesMapper": "call", "CallsJava": "call", "UsesBuiltinFunction": "call",
     "ContainsRoutine": "composition", "ContainsMethod": "composition", "ContainsSql": "composition",
     "TableAccess": "dataflow", "DependsOn": "dataflow",
-    "TriggersRoutine": "reference", "ReferencesType": "reference", "UsesSequence": "reference", "IndexesTable": "reference", "AliasesObject": "reference", "AnchorsOn": "reference", "CustomEdge": "reference",
+    "TriggersRoutine": "reference", "TriggersTable": "reference", "ReferencesType": "reference", "UsesSequence": "reference", "IndexesTable": "reference", "AliasesObject": "reference", "AnchorsOn": "reference", "CustomEdge": "reference",
     "Extends": "inheritance", "Implements": "inheritance",
 }
 

@@ -9,14 +9,24 @@ from codeloom.model import READ
 
 
 def filters(rows: DataFrame) -> DataFrame:
-    """owner_key, table, column, op, value, file, line of parsed rows."""
-    return rows.filter("record = 'filter'").select(F.col("a").alias("owner_key"), F.col("b").alias("table"), F.col("c").alias("column"), F.col("d").alias("op"), F.col("e").alias("value"), "file", "line").distinct()
+    """owner_key, table, column, op, value, transform (a function around the column), file, line of parsed rows."""
+    return rows.filter("record = 'filter'").select(F.col("a").alias("owner_key"), F.col("b").alias("table"), F.col("c").alias("column"), F.col("d").alias("op"), F.col("e").alias("value"), F.col("f").alias("transform"), "file", "line").distinct()
+
+
+def _pairs(rows: DataFrame, record: str) -> DataFrame:
+    side = lambda t, c: F.struct(F.col(t).alias("table"), F.col(c).alias("column"))
+    raw = rows.filter(F.col("record") == record).select(F.col("a").alias("owner_key"), side("b", "c").alias("x"), side("d", "e").alias("y"), F.col("f").alias("text"))
+    return raw.select("owner_key", F.least("x", "y").alias("left"), F.greatest("x", "y").alias("right"), "text")
+
+
+def equalities(rows: DataFrame) -> DataFrame:
+    """owner_key, left, right, text: equalities of expressions over one column of each of two tables."""
+    return _pairs(rows, "equality").distinct()
 
 
 def joins(rows: DataFrame) -> DataFrame:
-    """owner_key, the two sides in a fixed order, so that mirrored conditions are one."""
-    raw = rows.filter("record = 'join'").select(F.col("a").alias("owner_key"), F.struct(F.col("b").alias("table"), F.col("c").alias("column")).alias("x"), F.struct(F.col("d").alias("table"), F.col("e").alias("column")).alias("y"))
-    return raw.select("owner_key", F.least("x", "y").alias("left"), F.greatest("x", "y").alias("right")).distinct()
+    """owner_key, the two sides in a fixed order, so that mirrored conditions are one, and source: column or record."""
+    return _pairs(rows, "join").withColumnRenamed("text", "source").distinct()
 
 
 def predicates(rows: DataFrame) -> DataFrame:
@@ -37,9 +47,10 @@ def table_schemas(rows: DataFrame) -> DataFrame:
 
 
 def schema_diagnostics(rows: DataFrame) -> DataFrame:
-    """rule, subject: tables that several statements define, and statements that could not be read."""
+    """rule, subject: tables that several statements define, statements that could not be read, and what was bounded."""
     twice = rows.filter("record = 'node' AND b = 'table'").groupBy("a").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select(F.lit("duplicate-table").alias("rule"), F.col("a").alias("subject"))
-    return twice.unionByName(rows.filter("record = 'error'").select(F.lit("unread-statement").alias("rule"), F.concat_ws(":", "file", "line").alias("subject")))
+    bound = rows.filter("record = 'bound'").select(F.concat(F.lit("only-some-"), "b").alias("rule"), F.col("a").alias("subject"))
+    return twice.unionByName(bound).unionByName(rows.filter("record = 'error'").select(F.lit("unread-statement").alias("rule"), F.concat_ws(":", "file", "line").alias("subject")))
 
 
 def enum_mappings(rows: DataFrame) -> DataFrame:
@@ -83,9 +94,14 @@ def parameters(rows: DataFrame) -> DataFrame:
 
 
 def seed_hints(rows: DataFrame, edges: DataFrame, discriminators: list[str]) -> DataFrame:
-    """One row a routine: parameters, operations by table, filters and discriminator values, each a sorted array of structs."""
+    """One row a routine: parameters, operations by table, filters, discriminator values and cross-table equalities, each a sorted
+    array of structs."""
     sig = parameters(rows).groupBy(F.col("routine_key").alias("owner_key")).agg(F.array_sort(F.collect_list(F.struct("position", "name", "mode", "type"))).alias("parameters"))
     ops = edges.filter("edge_type = 'TableAccess'").groupBy(F.col("src_key").alias("owner_key")).agg(F.array_sort(F.collect_list(F.struct(F.col("dst_key").alias("table"), "modes", "write_kinds"))).alias("tables"))
     hard = filters(rows).groupBy("owner_key").agg(F.array_sort(F.collect_set(F.struct("table", "column", "op", "value"))).alias("filters"))
     values = discriminator_values(rows, discriminators).groupBy("owner_key").agg(F.array_sort(F.collect_set(F.struct("column", "value", "source", "confidence"))).alias("discriminators"))
-    return sig.join(ops, "owner_key", "full").join(hard, "owner_key", "full").join(values, "owner_key", "full")
+    keys = equalities(rows).groupBy("owner_key").agg(F.array_sort(F.collect_set(F.struct("left", "right", "text"))).alias("equalities"))
+    out = sig
+    for part in (ops, hard, values, keys):
+        out = out.join(part, "owner_key", "full")
+    return out

@@ -9,10 +9,11 @@ import json
 import re
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.model import CATEGORY
+from codeloom.model import CATEGORY, WRITE
 from codeloom.operators.search import noise, resolve_calls
 from codeloom.sources.other import read_java, read_jsp, read_mapper
 from codeloom.sources.plsql import read_sql
@@ -24,6 +25,8 @@ KINDS = {".sql": "sql", ".java": "java", ".xml": "xml", ".jsp": "jsp"}
 SYSTEM_SCHEMAS = ("pg_catalog", "information_schema", "sys", "dbe_perf", "snapshot", "blockchain", "cstore", "db4ai", "dbe_pldebugger", "dbe_pldeveloper", "dbe_sql_util", "pkg_service", "sqladvisor")
 SYSTEM_TABLES = ("dual", "sys_dummy")
 
+#: Rows that a parser hands on at a time.
+ROWS_PER_BATCH = 20_000
 RAW = "record string, file string, a string, b string, c string, d string, e string, f string, n long, line int"
 
 
@@ -62,6 +65,8 @@ def _rows(path: str, kind: str, content: bytes) -> Iterator[tuple]:
             yield ("node", path, key, "mapper", s["namespace"], s["statement_id"], s["sql"], s["kind"], None, s["line"])
             for v in s["variants"]:
                 yield ("variant", path, key, v, None, None, None, None, None, s["line"])
+            if s["cut"]:
+                yield ("bound", path, key, "variants", None, None, None, None, s["cut"], s["line"])
             yield from _sql_rows(path, s["sql"], key, s["line"])
         return
     text = decode(content)
@@ -105,24 +110,31 @@ def _sql_rows(path: str, sql: str, owner: str, line: int) -> Iterator[tuple]:
     if called:
         yield ("call", path, owner, called[1].lower(), "CallsProcedure", None, None, None, 0, line)
         return
-    f = read_sql(sql, path)
-    for x in f.accesses:
-        yield ("access", path, owner, x[1], x[3], None, None, None, x[2], line)
-    for x in f.mappings:
-        yield ("mapping", path, owner, x[1], x[2], x[4], x[5], f"{x[3]}|{x[6]}", None, line)
+    # Statements belong to no routine of their own text, so their rows go to the given owner.
+    for record, _, a, *rest, _ in _found_rows(path, read_sql(sql, path)):
+        if a == f"file:{path}":
+            if record == "access":
+                rest[2] = f"{owner}|{rest[2]}"
+            yield (record, path, owner, *rest, line)
 
 
 def _found_rows(path: str, f) -> Iterator[tuple]:
     for caller, raw, dynamic, line in f.calls:
         yield ("call", path, caller, raw, "DynamicCall" if dynamic else "DirectCall", None, None, None, int(dynamic), line)
-    for owner, table, mode, kind, _, line in f.accesses:
-        yield ("access", path, owner, table, kind, None, None, None, mode, line)
-    for owner, tt, tc, sk, st, sc, mk, _, line in f.mappings:
-        yield ("mapping", path, owner, tt, tc, st, sc, f"{sk}|{mk}", None, line)
-    for owner, table, column, op, value, line in f.filters:
-        yield ("filter", path, owner, table, column, op, value, None, None, line)
-    for owner, lt, lc, rt, rc, line in f.joins:
-        yield ("join", path, owner, lt, lc, rt, rc, None, None, line)
+    for owner, table, mode, kind, statement, line in f.accesses:
+        yield ("access", path, owner, table, kind, str(statement), None, None, mode, line)
+    for owner, tt, tc, sk, st, sc, mk, text, line in f.mappings:
+        yield ("mapping", path, owner, tt, tc, st, sc, f"{sk}|{mk}|{text}", None, line)
+    for owner, table, column, op, value, transform, line in f.filters:
+        yield ("filter", path, owner, table, column, op, value, transform, None, line)
+    for owner, lt, lc, rt, rc, source, line in f.joins:
+        yield ("join", path, owner, lt, lc, rt, rc, source, None, line)
+    for owner, lt, lc, rt, rc, text, line in f.equalities:
+        yield ("equality", path, owner, lt, lc, rt, rc, text, None, line)
+    for owner, name, kind, column, site, line in f.anchors:
+        yield ("anchor", path, owner, name, kind, column, site, None, None, line)
+    for owner, name, line in f.types:
+        yield ("type_use", path, owner, name, None, None, None, None, None, line)
     for owner, pid, table, column, op, value, confidence, _, line in f.predicates:
         yield ("predicate", path, owner, f"{pid}|{confidence}", table, column, op, value, None, line)
     for table, i, name, kind, nullable, pk, default, line in f.columns:
@@ -137,33 +149,80 @@ def _found_rows(path: str, f) -> Iterator[tuple]:
         yield ("error", path, message, None, None, None, None, None, None, line)
 
 
-def parse(files: DataFrame) -> DataFrame:
-    """Rows of all files (path, kind, content); a file is parsed by one task, and files are spread by the scan."""
+def parse(files: DataFrame, deal: bool = True) -> DataFrame:
+    """Rows of all files (path, kind, content); a file is parsed by one task.
 
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        names = [x.split()[0] for x in RAW.split(", ")]
-        for pdf in batches:
-            for path, kind, content in zip(pdf["path"], pdf["kind"], pdf["content"]):
+    deal: files come in few partitions and are dealt to four tasks a core by their paths. A scan of a folder is dealt by the
+    sizes of its files already.
+    """
+    names = [x.split()[0] for x in RAW.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string()] * 8 + [pa.int64(), pa.int32()]
+        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+        for b in batches:
+            for path, kind, content in zip(*(b.column(i) for i in range(3))):
+                held = []
                 try:
-                    rows = list(_rows(path, kind, bytes(content)))
-                except Exception as e:  # a file that fails is reported and skipped
-                    rows = [("error", path, f"{type(e).__name__}: {e}", None, None, None, None, None, None, None)]
-                yield pd.DataFrame(rows, columns=names).astype({"n": "Int64", "line": "Int32"})
-
-    return files.select("path", "kind", "content").mapInPandas(run, RAW)
+                    for row in _rows(path.as_py(), kind.as_py(), content.as_py()):
+                        held.append(row)
+                        if len(held) == ROWS_PER_BATCH:
+                            yield batch(held)
+                            held = []
+                except Exception as e:  # a file that fails is reported and what came before stays
+                    held.append(("error", path.as_py(), f"{type(e).__name__}: {e}", *[None] * 7))
+                if held:
+                    yield batch(held)
+
+    rows = files.select("path", "kind", "content")
+    if deal:
+        rows = rows.repartition(4 * files.sparkSession.sparkContext.defaultParallelism, F.xxhash64("path"))
+    return rows.mapInArrow(run, RAW)
 
 
 def category(edge_type: Column) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for kv in CATEGORY.items() for x in kv)), edge_type)
 
 
+RELATIONS = ("table", "view", "mview")
+
+
+def resolve_objects(uses: DataFrame, defined: DataFrame, tags: tuple[str, ...]) -> DataFrame:
+    """text, schema, key: the defined object of each name as it is written (text) in an owner's schema (or null).
+
+    A qualified text is only the object of that name. A bare text is, in this order, the object of the owner's schema, the one
+    without a schema, and the only one of that name in any schema. Synonyms stand for their targets. Of a table and a view of
+    one name the view counts. A text that is nothing of these has no row. One equi-join on (text, how) and one minimum.
+    """
+    own = defined.filter(F.regexp_replace("type_tag", r"\*$", "").isin(*tags)).select("node_key", "type_tag", F.substring_index("node_key", ":", -1).alias("full"), "name")
+    keys = own.select("node_key", (F.col("type_tag") == "table").alias("late"), F.explode(F.array(F.struct(F.lit("full").alias("how"), F.col("full").alias("name")), F.struct(F.lit("name").alias("how"), F.col("name").alias("name")))).alias("x"))
+    # A name counts as the only one if all its objects have one full name.
+    first = F.min(F.struct("late", "node_key"))["node_key"]
+    table = keys.groupBy("x.how", "x.name").agg(first.alias("key"), F.count_distinct(F.substring_index("node_key", ":", -1)).alias("many")).filter("how = 'full' OR many = 1")
+    asked = uses.select("text", "schema").distinct()
+    bare = F.instr("text", ".") == 0
+    ask = F.explode(F.array(
+        F.struct(F.lit(1).alias("rank"), F.lit("full").alias("how"), F.when(bare & F.col("schema").isNotNull(), F.concat_ws(".", "schema", "text")).alias("name")),
+        F.struct(F.lit(2).alias("rank"), F.lit("full").alias("how"), F.col("text").alias("name")),
+        F.struct(F.lit(3).alias("rank"), F.lit("name").alias("how"), F.when(bare, F.col("text")).alias("name")),
+    )).alias("x")
+    met = asked.select("text", "schema", ask).select("text", "schema", "x.*").join(small(table), ["how", "name"])
+    return met.groupBy("text", "schema").agg(F.min(F.struct("rank", "key"))["key"].alias("key"))
+
+
+def _renamed(df: DataFrame, column: str, names: DataFrame, otherwise: Column) -> DataFrame:
+    """df with the key of a name in column and the schema in _schema, or what stands for it if it has none."""
+    hit = names.select(F.col("text").alias("_text"), F.col("schema").alias("_s"), F.col("key").alias("_key"))
+    return df.join(small(hit), (F.col(column) == F.col("_text")) & F.col("_schema").eqNullSafe(F.col("_s")), "left").withColumn(column, F.coalesce("_key", otherwise)).drop("_text", "_s", "_key")
+
+
 def build(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """nodes, edges and column mappings of parsed rows (materialised by the caller).
 
-    Calls are resolved by the cascade of search.resolve_calls; what stays open becomes an unresolved node. Tables that are
-    used and nowhere defined become inferred nodes; a bare name goes to the only qualified definition of it.
+    Every name of a table, view or other object goes through resolve_objects, in accesses, dependencies, anchors, triggers,
+    indexes, synonyms and column mappings alike. Calls are resolved by the cascade of search.resolve_calls; what stays open
+    becomes an unresolved node. Tables and sequences that are used and nowhere defined become inferred nodes. An access edge
+    carries read_tables: what else the statements of its writes access, or what values of theirs come from.
     """
     defined = rows.filter("record = 'node'").select(
         F.col("a").alias("node_key"), F.col("b").alias("type_tag"), F.col("c").alias("schema_name"), F.col("d").alias("name"), F.col("f").alias("package_name"), "file", "line",
@@ -173,29 +232,81 @@ def build(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     defined = defined.groupBy("node_key").agg(F.min(F.struct("partial", "file", "line", "type_tag", "schema_name", "name", "package_name", "explicit", "sql")).alias("x")).select("node_key", "x.*")
     defined = materialize(defined, "defined")
     routines = defined.filter("substr(type_tag, 1, 4) IN ('proc', 'func')").select(F.col("node_key").alias("routine_key"), "schema_name", "package_name", "name")
+    schemas = defined.select(F.col("node_key").alias("_owner"), F.lower("schema_name").alias("_schema"), F.col("package_name").alias("_package"))
+    schemas = materialize(schemas.filter("_schema IS NOT NULL OR _package IS NOT NULL"), "schemas")
+    within = lambda df, owner: df.join(small(schemas), F.col(owner) == F.col("_owner"), "left").drop("_owner")
 
     raw = rows.filter("record = 'call'").select("file", "line", F.col("a").alias("src_key"), F.col("b").alias("raw"), F.col("c").alias("edge_type"))
     one = raw.groupBy("src_key", "raw").agg(F.min(F.struct("line", "file", "edge_type")).alias("x")).select("src_key", "raw", "x.*")  # one edge a caller and text
-    schema = defined.select(F.col("node_key").alias("src_key"), F.col("schema_name").alias("caller_schema"), F.col("package_name").alias("caller_package"))
-    one = materialize(one.join(schema, "src_key", "left").withColumn("call_id", F.xxhash64("src_key", "raw")), "calls")
+    one = within(one, "src_key").withColumnRenamed("_schema", "caller_schema").withColumnRenamed("_package", "caller_package")
+    one = materialize(one.withColumn("call_id", F.xxhash64("src_key", "raw")), "calls")
     # A bare name is looked for in the caller's own package first.
     own = routines.filter("package_name is not null").select(F.lower("package_name").alias("caller_package"), F.lower("name").alias("raw"), F.col("routine_key").alias("own_key"))
     own = own.groupBy("caller_package", "raw").agg(F.min("own_key").alias("own_key"))
     found = resolve_calls(one.select("call_id", "raw", "caller_schema"), routines).select("call_id", "strategy", "routine_key")
     calls = one.join(small(own), ["caller_package", "raw"], "left").join(found, "call_id", "left")
     calls = calls.filter(noise(F.col("raw")).isNull()).withColumn("dst_key", F.coalesce("own_key", "routine_key", F.concat(F.lit("unres:"), "raw")))
-    call_edges = calls.select("src_key", "dst_key", "edge_type", F.lit(None).cast("int").alias("modes"), F.lit(None).cast("array<string>").alias("write_kinds"), "file", "line")
-
-    tables = defined.filter("type_tag IN ('table', 'view', 'mview')").select("node_key", F.substring_index("node_key", ":", -1).alias("full"), "name")
-    alone = tables.groupBy(F.col("name").alias("t")).agg(F.min("node_key").alias("bare_key"), F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
-    by_full = tables.groupBy(F.col("full").alias("t")).agg(F.min("node_key").alias("full_key"))
-    used = rows.filter("record = 'access'").select(F.col("a").alias("src_key"), F.col("b").alias("t"), F.col("c").alias("write_kind"), F.col("n").cast("int").alias("mode"), "file", "line")
-    used = used.join(small(by_full), "t", "left").join(small(alone), "t", "left").withColumn("dst_key", F.coalesce("full_key", "bare_key", F.concat(F.lit("table:"), "t")))
+    none = {"modes": F.lit(None).cast("int"), "write_kinds": F.lit(None).cast("array<string>"), "read_tables": F.lit(None).cast("array<string>"), "detail": F.lit(None).cast("string")}
+    shaped = lambda df: df.select("src_key", "dst_key", "edge_type", *((F.col(c) if c in df.columns else v).alias(c) for c, v in none.items()), "file", "line")
+    call_edges = shaped(calls)
+
+    # Every name of a relation with its owner's schema, wherever it stands.
+    plain = rows.filter("record = 'edge'").select(F.col("a").alias("src_key"), F.col("b").alias("dst_key"), F.col("c").alias("edge_type"), "file", "line")
+    plain = within(plain.dropDuplicates(["src_key", "dst_key", "edge_type"]), "src_key").drop("_package")
+    aliases = plain.filter("edge_type = 'AliasesObject'")
+    anchors = within(rows.filter("record = 'anchor'").select(F.col("a").alias("src_key"), F.col("b").alias("name"), F.concat_ws("|", "c", F.coalesce("d", F.lit("")), "e").alias("detail"), "file", "line"), "src_key").drop("_package")
+    used = rows.filter("record = 'access'").select(F.col("a").alias("src_key"), F.col("b").alias("name"), F.col("c").alias("write_kind"), F.col("d").alias("statement"), F.col("n").cast("int").alias("mode"), "file", "line")
+    used = materialize(within(used, "src_key").drop("_package"), "uses")
+    pointed = plain.filter(F.col("dst_key").startswith("table:")).select(F.substring_index("dst_key", ":", -1).alias("text"), F.col("_schema").alias("schema"))
+    kinds = F.split("f", r"\|", 3)
+    mapped = rows.filter("record = 'mapping'").select(
+        F.col("a").alias("owner_key"), F.col("b").alias("target_table"), F.col("c").alias("target_column"), kinds[0].alias("source_kind"), F.col("d").alias("source_table"), F.col("e").alias("source_column"),
+        kinds[1].alias("mapping_kind"), kinds[2].alias("expression"), "line",
+    ).distinct()
+    mapped = materialize(within(mapped, "owner_key").drop("_package"), "mapped")
+    name_of = lambda df, c: df.filter(F.col(c).isNotNull()).select(F.col(c).alias("text"), F.col("_schema").alias("schema"))
+    uses = name_of(used, "name").unionByName(name_of(anchors, "name")).unionByName(pointed).unionByName(name_of(mapped, "target_table")).unionByName(name_of(mapped, "source_table"))
+    uses = uses.unionByName(name_of(aliases, "dst_key")).distinct()
+    # A synonym's own target first; then a name that is nothing else but a synonym goes where that goes.
+    relations = materialize(resolve_objects(uses, defined, RELATIONS), "relations")
+    others = materialize(resolve_objects(name_of(aliases, "dst_key"), defined, ("proc", "func", "pkg", "seq", "type")), "others")
+    aliases = _renamed(aliases.withColumn("text", F.col("dst_key")), "dst_key", relations, F.lit(None).cast("string"))
+    aliases = _renamed(aliases, "text", others, F.concat(F.lit("table:"), "text")).withColumn("dst_key", F.coalesce("dst_key", "text")).drop("text")
+    aliases = materialize(aliases, "aliases")
+    synonyms = defined.filter("type_tag = 'synonym'")
+    by_synonym = resolve_objects(uses.join(relations, ["text"], "left_anti"), synonyms, ("synonym",))
+    by_synonym = by_synonym.join(aliases.select(F.col("src_key").alias("key"), F.col("dst_key").alias("to")), "key").filter(F.substring_index("to", ":", 1).isin(*RELATIONS)).select("text", "schema", F.col("to").alias("key"))
+    names = materialize(relations.unionByName(by_synonym), "names")
+
+    in_table = lambda c: F.concat(F.lit("table:"), c)
+    used = materialize(_renamed(used, "name", names, in_table("name")).withColumnRenamed("name", "dst_key"), "accesses")
+    # What the statement of a write accesses besides, and the tables that its columns come from.
+    of = mapped.filter("source_table IS NOT NULL")
+    of = _renamed(_renamed(of, "target_table", names, in_table("target_table")), "source_table", names, in_table("source_table"))
+    from_values = of.filter("source_table <> target_table").groupBy(F.col("owner_key").alias("src_key"), F.col("target_table").alias("dst_key")).agg(F.collect_set("source_table").alias("from_values"))
+    beside = used.groupBy("src_key", "file", "statement").agg(F.collect_set("dst_key").alias("beside"))
+    writes = used.filter(F.col("mode").bitwiseAND(WRITE) != 0).select("src_key", "file", "statement", "dst_key").distinct()
+    beside = writes.join(beside, ["src_key", "file", "statement"]).groupBy("src_key", "dst_key").agg(F.array_distinct(F.flatten(F.collect_list("beside"))).alias("beside"))
+    reads = beside.join(from_values, ["src_key", "dst_key"], "left").select("src_key", "dst_key", F.array_sort(F.array_remove(F.array_union("beside", F.coalesce("from_values", F.array().cast("array<string>"))), F.col("dst_key"))).alias("read_tables"))
     access = used.groupBy("src_key", "dst_key").agg(F.bit_or("mode").alias("modes"), F.array_sort(F.collect_set("write_kind")).alias("write_kinds"), F.min("file").alias("file"), F.min("line").alias("line"))
-    access = access.select("src_key", "dst_key", F.lit("TableAccess").alias("edge_type"), "modes", "write_kinds", "file", "line")
-
-    plain = rows.filter("record = 'edge'").select(F.col("a").alias("src_key"), F.col("b").alias("dst_key"), F.col("c").alias("edge_type"), F.lit(None).cast("int").alias("modes"), F.lit(None).cast("array<string>").alias("write_kinds"), "file", "line")
-    edges = call_edges.unionByName(access).unionByName(plain.dropDuplicates(["src_key", "dst_key", "edge_type"])).unionByName(java_edges(rows, defined))
+    access = shaped(access.join(reads, ["src_key", "dst_key"], "left").withColumn("edge_type", F.lit("TableAccess")))
+
+    pointing = plain.filter(F.col("dst_key").startswith("table:")).withColumn("dst_key", F.substring_index("dst_key", ":", -1))
+    pointing = _renamed(pointing, "dst_key", names, in_table("dst_key"))
+    anchored = _renamed(anchors.withColumnRenamed("name", "dst_key"), "dst_key", names, in_table("dst_key")).withColumn("edge_type", F.lit("AnchorsOn"))
+    anchored = anchored.groupBy("src_key", "dst_key", "edge_type", "detail").agg(F.min(F.struct("line", "file")).alias("x")).select("src_key", "dst_key", "edge_type", "detail", "x.*")
+    # A sequence in the owner's schema or of the very name; else an inferred one.
+    seqs = plain.filter("edge_type = 'UsesSequence'").withColumn("dst_key", F.substring_index("dst_key", ":", -1))
+    known = resolve_objects(name_of(seqs, "dst_key"), defined.withColumn("name", F.when(F.instr("node_key", ".") == 0, F.col("name"))), ("seq",))
+    seqs = _renamed(seqs, "dst_key", known, F.concat(F.lit("seq:"), "dst_key"))
+    types = within(rows.filter("record = 'type_use'").groupBy(F.col("a").alias("src_key"), F.col("b").alias("dst_key")).agg(F.min(F.struct("line", "file")).alias("x")).select("src_key", "dst_key", "x.*"), "src_key").drop("_package")
+    types = _renamed(types, "dst_key", resolve_objects(name_of(types, "dst_key"), defined, ("type",)), F.lit(None).cast("string")).filter("dst_key IS NOT NULL").withColumn("edge_type", F.lit("ReferencesType"))
+    rest = plain.filter(~F.col("dst_key").startswith("table:") & ~F.col("edge_type").isin("UsesSequence", "AliasesObject"))
+    plain = [shaped(x) for x in (pointing, anchored, seqs, types, aliases, rest)]
+    edges = call_edges.unionByName(access)
+    for x in plain:
+        edges = edges.unionByName(x)
+    edges = edges.unionByName(shaped(java_edges(rows, defined))).dropDuplicates(["src_key", "dst_key", "edge_type", "detail"])
     edges = materialize(edges.withColumn("category", category(F.col("edge_type"))), "edges")
 
     missing = edges.select(F.col("dst_key").alias("node_key")).distinct().join(defined, "node_key", "left_anti")
@@ -207,18 +318,26 @@ def build(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     )
     nodes = defined.unionByName(inferred)
     nodes = nodes.withColumn("system", F.coalesce(F.lower("schema_name").isin(*SYSTEM_SCHEMAS), F.lit(False)) | (tag.eqNullSafe("table") & F.lower("name").isin(*SYSTEM_TABLES)))
-    kinds = F.split("f", r"\|")
-    mappings = rows.filter("record = 'mapping'").select(
-        F.col("a").alias("owner_key"), F.col("b").alias("target_table"), F.col("c").alias("target_column"), kinds[0].alias("source_kind"), F.col("d").alias("source_table"), F.col("e").alias("source_column"), kinds[1].alias("mapping_kind"), "line",
-    ).distinct()
+    mappings = mapped
+    for c in ("target_table", "source_table"):
+        mappings = _renamed(mappings, c, names, F.col(c)).withColumn(c, F.substring_index(c, ":", -1))
+    mappings = mappings.select("owner_key", "target_table", "target_column", "source_kind", "source_table", "source_column", "mapping_kind", "expression", "line").distinct()
     return nodes, edges, mappings
 
 
+def statements(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node_key, sql_text, indexed: statements of mappers and Java, each variant of a dynamic one, and those of routines."""
+    whole = F.array("sql")
+    of = nodes.filter("sql IS NOT NULL").select("node_key", F.explode(F.when(F.col("sql").startswith("["), F.transform(F.from_json("sql", "array<array<string>>"), lambda x: x[0])).otherwise(whole)).alias("sql_text"), F.col("type_tag").isin("mapper", "sql", "jspsql").alias("indexed"))
+    variants = rows.filter("record = 'variant'").select(F.col("a").alias("node_key"), F.col("b").alias("sql_text"), F.lit(True).alias("indexed"))
+    return of.unionByName(variants).filter("sql_text IS NOT NULL").distinct()
+
+
 def java_edges(rows: DataFrame, defined: DataFrame) -> DataFrame:
     """Inheritance, injection, mapper and method calls. A simple class name goes to the only class of that name."""
     classes = defined.filter("type_tag = 'class'").groupBy(F.col("name").alias("simple")).agg(F.min("node_key").alias("class_key"), F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
     classes = materialize(classes, "classes")
-    none = [F.lit(None).cast("int").alias("modes"), F.lit(None).cast("array<string>").alias("write_kinds"), "file", "line"]
+    none = ["file", "line"]
     refs = rows.filter("record = 'type_ref'").join(small(classes), F.col("b") == F.col("simple")).select(F.col("a").alias("src_key"), F.col("class_key").alias("dst_key"), F.col("c").alias("edge_type"), *none)
     fields = rows.filter("record = 'field'").select(F.col("a").alias("owner"), F.col("b").alias("type"), F.col("c").alias("var"), F.col("d").alias("how"), "file", "line").join(small(classes), F.col("type") == F.col("simple"))
     inject = fields.filter("how IN ('annotated', 'constructor')").select(F.concat(F.lit("class:"), "owner").alias("src_key"), F.col("class_key").alias("dst_key"), F.lit("CallsJava").alias("edge_type"), *none)
@@ -238,4 +357,4 @@ def java_edges(rows: DataFrame, defined: DataFrame) -> DataFrame:
 
 def analyze(spark: SparkSession, root: str, exclude: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """nodes, edges and column mappings of all sources under root."""
-    return build(materialize(parse(scan(spark, root, exclude)), "parsed"))
+    return build(materialize(parse(scan(spark, root, exclude), deal=False), "parsed"))

@@ -7,7 +7,7 @@ import xml.sax
 import xml.sax.handler
 from io import BytesIO
 
-#: Variants of a dynamic statement above this number are not made.
+#: Variants of a dynamic statement above this number are not made; the statement then says so.
 MOST_VARIANTS = 100
 _DYNAMIC = {"if", "when", "otherwise", "choose", "where", "set", "trim", "foreach", "include", "dynamic", "isnotnull", "isnull", "isnotempty", "isempty", "isequal", "isnotequal", "iterate"}
 _STATEMENTS = {"select", "insert", "update", "delete", "procedure", "statement"}
@@ -47,24 +47,30 @@ class _Mapper(xml.sax.handler.ContentHandler):
             self.stack[-1][1].append(content)
 
 
-def _variants(node, fragments: dict, depth: int = 0) -> list[str]:
+def _few(texts: list[str], cut: list[int]) -> list[str]:
+    if len(texts) > MOST_VARIANTS:
+        cut.append(len(texts))
+    return texts[:MOST_VARIANTS]
+
+
+def _variants(node, fragments: dict, cut: list[int], depth: int = 0) -> list[str]:
     """Texts that a node can give: an if is there or not, a choose takes one branch, a foreach runs once."""
     tag, children, attrs = node
     if tag == "include" and depth < 10:
         f = fragments.get(attrs.get("refid", "").split(".")[-1])
-        return _variants(f, fragments, depth + 1) if f else [""]
+        return _variants(f, fragments, cut, depth + 1) if f else [""]
     if tag == "choose":
-        out = [v for c in children if not isinstance(c, str) for v in _variants(c, fragments, depth + 1)]
-        return out[:MOST_VARIANTS] or [""]
+        out = [v for c in children if not isinstance(c, str) for v in _variants(c, fragments, cut, depth + 1)]
+        return _few(out, cut) or [""]
     out = [""]
     for c in children:
         if isinstance(c, str):
             out = [o + c for o in out]
         else:
-            part = _variants(c, fragments, depth + 1)
+            part = _variants(c, fragments, cut, depth + 1)
             if c[0] in ("if", "isnotnull", "isnull", "isnotempty", "isempty", "isequal", "isnotequal"):
                 part = [*part, ""]
-            out = [o + p for o in out for p in part][:MOST_VARIANTS]
+            out = _few([o + p for o in out for p in part], cut)
     if tag == "where":
         out = [("where " + re.sub(r"(?i)^\s*(?:and|or)\s+", "", o)) if o.strip() else "" for o in out]
     elif tag == "set":
@@ -82,7 +88,8 @@ def _flat(text: str) -> str:
 
 
 def read_mapper(content: bytes) -> list[dict]:
-    """namespace, statement_id, kind, line, sql (all dynamic parts in) and variants; empty for XML that is no mapper."""
+    """namespace, statement_id, kind, line, sql (all dynamic parts in) variants, and cut: how many there were
+    where only the first were made, else 0. Empty for XML that is no mapper."""
     h = _Mapper()
     parser = xml.sax.make_parser()
     parser.setFeature(xml.sax.handler.feature_external_ges, False)
@@ -94,9 +101,10 @@ def read_mapper(content: bytes) -> list[dict]:
         return []
     out = []
     for node in h.statements if h.ok else []:
-        variants = list(dict.fromkeys(_flat(v) for v in _variants(node, h.fragments)))
+        cut: list[int] = []
+        variants = list(dict.fromkeys(_flat(v) for v in _variants(node, h.fragments, cut)))
         kind = "procedure" if node[2].get("statementType", "").upper() == "CALLABLE" else node[0]
-        out.append({"namespace": h.namespace, "statement_id": node[2].get("id", ""), "kind": kind, "line": node[2]["_line"], "sql": max(variants, key=len, default=""), "variants": variants})
+        out.append({"namespace": h.namespace, "statement_id": node[2].get("id", ""), "kind": kind, "line": node[2]["_line"], "sql": max(variants, key=len, default=""), "variants": variants, "cut": max(cut, default=0)})
     return out
 
 

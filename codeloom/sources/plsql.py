@@ -34,7 +34,10 @@ BUILTINS = set(
     "sysdate systimestamp now current_date current_timestamp add_months months_between last_day next_day date_trunc date_part age regexp_like regexp_replace regexp_substr regexp_instr regexp_count "
     "nextval currval setval raise_application_error sys_guid userenv sys_context generate_series unnest md5 random xmlagg json_object json_array hextoraw rawtohex dump vsize".split()
 )
-AGGREGATES = {"count", "sum", "avg", "min", "max", "listagg", "string_agg", "array_agg", "stddev", "variance", "median"}
+# Functions that make a mapping an aggregated one.
+AGGREGATES = set(
+    "sum count avg min max stddev stddev_pop stddev_samp variance var_pop var_samp median listagg string_agg array_agg group_concat wm_concat bool_and bool_or".split()
+)
 # Named lock modes.
 LOCK_MODES = {
     "": ACCESS_EXCLUSIVE, "access exclusive": ACCESS_EXCLUSIVE, "access share": READ, "row share": LOCK_READ, "row exclusive": WRITE, "share update exclusive": SHARE_UPDATE_EXCLUSIVE,
@@ -42,26 +45,27 @@ LOCK_MODES = {
 }
 
 
-@dataclass(slots=True)
 class Token:
-    kind: str
-    text: str
-    line: int
+    """A piece of text; low is what names and words are compared by."""
 
-    @property
-    def low(self) -> str:
-        return self.text[1:-1].lower() if self.kind == "quoted" else self.text.lower()
+    __slots__ = ("kind", "text", "low", "line")
+
+    def __init__(self, kind: str, text: str, line: int):
+        self.kind, self.text, self.line = kind, text, line
+        self.low = text.lower() if kind == "name" else text[1:-1].lower() if kind == "quoted" else text
 
 
 def tokenize(text: str) -> list[Token]:
     out, line = [], 1
+    add = out.append
     for m in _TOKEN.finditer(text):
-        kind = m.lastgroup if m.lastgroup != "tag" else "dollar"
-        if m.group("dollar"):
-            kind = "dollar"
-        if kind != "space":
-            out.append(Token(kind, m.group(0), line))
-        line += m.group(0).count("\n")
+        kind, t = m.lastgroup, m[0]
+        if kind == "space":
+            line += t.count("\n")
+            continue
+        add(Token(kind, t, line))
+        if kind != "name" and len(t) > 1:
+            line += t.count("\n")
     return out
 
 
@@ -79,6 +83,9 @@ class Routine:
     body: list[tuple[str, str, int]] = field(default_factory=list)
     into: dict[str, tuple[str, str]] = field(default_factory=dict)  # variable: table and column it was read from
     records: dict[str, str] = field(default_factory=dict)  # loop record: the one table of its query
+    cursors: dict[str, list] = field(default_factory=dict)  # cursor: outputs of its query
+    fields: dict[str, dict] = field(default_factory=dict)  # record: table and column of each of its fields
+    flows: dict[str, tuple[str, str]] = field(default_factory=dict)  # variable: table and column that FETCH gives it
     count: int = 0
     partial: bool = False
 
@@ -91,8 +98,11 @@ class Found:
     calls: list[tuple] = field(default_factory=list)  # caller_key, raw, dynamic, line
     accesses: list[tuple] = field(default_factory=list)  # owner_key, table, mode, write_kind, statement, line
     mappings: list[tuple] = field(default_factory=list)  # owner_key, target_table, target_column, source_kind, source_table, source_column, mapping_kind, expression, line
-    filters: list[tuple] = field(default_factory=list)  # owner_key, table, column, op, value, line
-    joins: list[tuple] = field(default_factory=list)  # owner_key, left_table, left_column, right_table, right_column, line
+    filters: list[tuple] = field(default_factory=list)  # owner_key, table, column, op, value, transform, line
+    joins: list[tuple] = field(default_factory=list)  # owner_key, left_table, left_column, right_table, right_column, source, line
+    equalities: list[tuple] = field(default_factory=list)  # owner_key, left_table, left_column, right_table, right_column, text, line
+    anchors: list[tuple] = field(default_factory=list)  # owner_key, object, kind, column, site, line
+    types: list[tuple] = field(default_factory=list)  # owner_key, name, line
     predicates: list[tuple] = field(default_factory=list)  # owner_key, predicate_id, table, column, op, value, confidence, text, line
     edges: list[tuple] = field(default_factory=list)  # src_key, dst_key, edge_type, line
     columns: list[tuple] = field(default_factory=list)  # table_key, position, name, data_type, nullable, primary_key, default, line
@@ -101,11 +111,16 @@ class Found:
     errors: list[tuple] = field(default_factory=list)  # line, message
 
 
+_BEFORE_TABLE = {"from", "join", "into", "update", "using"}
+
+
 class Reader:
     """Reads the tokens of one file."""
 
     def __init__(self, text: str, file: str):
         self.file, self.out, self.t, self.i = file, Found(), tokenize(text), 0
+        self.known: tuple[list[Token], dict[str, str]] | None = None  # aliases of the last statement
+        self.r: Routine | None = None  # the routine that statements belong to
 
     # -- tokens
 
@@ -131,14 +146,18 @@ class Reader:
 
     def statement(self) -> list[Token]:
         """Tokens up to the next ; or a / alone, outside parentheses."""
-        start, depth = self.i, 0
-        while self.i < len(self.t):
-            x = self.t[self.i].text
-            depth += (x == "(") - (x == ")")
-            self.i += 1
-            if x == ";" and depth <= 0:
-                return self.t[start : self.i - 1]
-        return self.t[start : self.i]
+        start, depth, t = self.i, 0, self.t
+        for i in range(start, len(t)):
+            x = t[i].text
+            if x == "(":
+                depth += 1
+            elif x == ")":
+                depth -= 1
+            elif x == ";" and depth <= 0:
+                self.i = i + 1
+                return t[start:i]
+        self.i = len(t)
+        return t[start:]
 
     # -- top level
 
@@ -251,7 +270,9 @@ class Reader:
             begin = next((k for k, x in enumerate(rest) if x.low == "as"), None)
             if begin is not None:
                 inner = rest[begin + 1 :]
-                declared = [x.low for x in rest[:begin] if x.kind in ("name", "quoted")]
+                open_ = next((k for k, x in enumerate(rest[:begin]) if x.text == "("), None)
+                inside = _split_commas(rest[open_ + 1 : _closing(rest, open_)]) if open_ is not None else []
+                declared = [x[0].low for x in inside if x and x[0].kind in ("name", "quoted")]
                 tables = self.dml(inner, key, None, set())
                 for t in tables:
                     self.out.edges.append((key, f"table:{t}", "DependsOn", line))
@@ -346,8 +367,12 @@ class Reader:
                     part = []
                 else:
                     part.append(x)
+        head = self.i
         while self.i < len(self.t) and self.at() not in ("is", "as", ";", "begin", "declare") and self.t[self.i].kind != "dollar":
             self.i += 1
+        for _, _, kind_ in r.params:
+            self.anchors(r, kind_, "parameter", line)
+        self.anchors(r, " ".join(x.text for x in self.t[head : self.i] if x.low not in ("return", "returns")), "return", line)
         has_body = True
         if self.at() == ";":
             self.i += 1
@@ -396,17 +421,51 @@ class Reader:
                 r.locals.add(s[1].low)
                 start = next((k for k, x in enumerate(s) if x.low in ("is", "for")), None)
                 if start is not None:
-                    self.dml(s[start + 1 :], r.key, r.schema, r.locals)
+                    self.dml(s[start + 1 :], r.key, r.schema, r.locals, r)
+                    r.cursors[s[1].low] = self.outputs(s[start + 1 :])
             elif s[0].low in ("type", "subtype") and len(s) > 1:
                 r.locals.add(s[1].low)
             else:
-                r.locals.add(s[0].low)
-                text = " ".join(x.text for x in s)
-                for m in re.finditer(r"([\w.]+)\s*\.\s*(\w+)\s*%\s*TYPE|([\w.]+)\s*%\s*ROWTYPE", text.replace(" . ", "."), re.I):
-                    table = (m[1] or m[3]).lower()
-                    if table not in r.locals:
-                        self.out.edges.append((r.key, f"table:{table}", "AnchorsOn", s[0].line))
-                self.expression(s[1:], r, s[0].line)
+                self.variable(s, r)
+
+    def variable(self, s: list[Token], r: Routine) -> None:
+        """A declared variable: its anchor or its type, and the fields of a record."""
+        name, line = s[0].low, s[0].line
+        value = next((k for k, x in enumerate(s) if x.text == ":=" or x.low == "default"), len(s))
+        parts, k = _name_at(s, 2 if len(s) > 1 and s[1].low == "constant" else 1)
+        if k < value and s[k].text == "%":
+            self.anchors(r, " ".join(x.text for x in s[1:value]), "variable", line)
+            if k + 1 < len(s) and s[k + 1].low == "rowtype":
+                if len(parts) == 1 and parts[0] in r.cursors:
+                    r.fields[name] = _fields(r.cursors[parts[0]])
+                else:
+                    r.records[name] = ".".join(parts)
+        elif parts and parts[-1] not in KEYWORDS:
+            self.out.types.append((r.key, ".".join(parts), line))
+        r.locals.add(name)
+        if value < len(s):
+            self.expression(s[value + 1 :], r, line)
+
+    def anchors(self, r: Routine, text: str, site: str, line: int) -> None:
+        """%TYPE needs an object and a column, %ROWTYPE an object; cursors and variables of the routine are no objects."""
+        for m in re.finditer(r"([\w$#.]+)\s*%\s*(rowtype|type)\b", re.sub(r"\s*\.\s*", ".", text.lower())):
+            parts = [x for x in m[1].split(".") if x]
+            column = parts.pop() if m[2] == "type" and len(parts) > 1 else None
+            if parts and (column or m[2] == "rowtype") and not (len(parts) == 1 and parts[0] in r.locals):
+                self.out.anchors.append((r.key, ".".join(parts), m[2], column, site, line))
+
+    def outputs(self, s: list[Token]) -> list[tuple[str | None, tuple[str, str] | None]]:
+        """Name and, where it is one column as it stands, source of each column of a query; * stands for all of its one table."""
+        items, alias, only = self.select_items(s)
+        out = []
+        for item in items:
+            if len(item) == 1 and item[0].text == "*":
+                out.append(("*", (only, "*") if only else None))
+                continue
+            cols, kind = self.source(item, alias, only)
+            one = cols[0] if kind == "direct" and len(cols) == 1 and cols[0][0] == "column" and cols[0][1] else None
+            out.append((_output_name(item), (one[1], one[2]) if one else None))
+        return out
 
     def body(self, r: Routine) -> None:
         """Statements from BEGIN to its END. Blocks, branches and loops only nest."""
@@ -456,19 +515,22 @@ class Reader:
             elif w == "for" or w == "forall":
                 self.i += 1
                 r.locals.add(self.at())
+                self.i += 1
                 start = self.i
                 nest = 0
                 while self.i < len(self.t) and not (nest <= 0 and self.at() in ("loop", "insert", "update", "delete", "merge", ";")):
                     nest += (self.t[self.i].text == "(") - (self.t[self.i].text == ")")
                     self.i += 1
-                head = self.t[start + 1 : self.i]
-                if any(x.low == "select" for x in head):
-                    tables = set(self.aliases(head).values())
-                    if len(tables) == 1:
-                        r.records[self.t[start].low] = next(iter(tables))
+                head = self.t[start : self.i]
+                record = self.t[start - 1].low if w == "for" else ""
+                if len(head) == 2 and head[0].low == "in" and head[1].low in r.cursors or len(head) == 1 and head[0].low in r.cursors:
+                    self.record(r, record, r.cursors[head[-1].low])
+                elif any(x.low == "select" for x in head):
+                    k = next(j for j, x in enumerate(head) if x.low in ("select", "with"))
+                    self.record(r, record, self.outputs(head[k:]))
                     self.dml([x for x in head if x.low != "in" or x is not head[0]], r.key, r.schema, r.locals, r)
                 else:
-                    self.expression(head, r, self.t[start].line)
+                    self.expression(head, r, self.t[start - 1].line)
                 self.take("loop")
             elif w == ";":
                 self.i += 1
@@ -477,6 +539,42 @@ class Reader:
                 if s:
                     self.pl(s, r, values, branch > 0)
 
+    def record(self, r: Routine, name: str, outputs: list) -> None:
+        r.fields[name] = _fields(outputs)
+        tables = {x[1][0] for x in outputs if x[1]}
+        if len(tables) == 1:
+            r.records[name] = next(iter(tables))
+
+    def fetch(self, s: list[Token], r: Routine) -> None:
+        """FETCH variables match a cursor's columns by position; a single variable may be a record."""
+        into = next((j for j, x in enumerate(s) if x.low == "into"), None)
+        outputs = next((r.cursors[x.low] for x in s[1:into] if x.low in r.cursors), None)
+        if into is None or outputs is None:
+            return
+        names = [x[0].low for x in _split_commas(s[into + 1 :]) if len(x) == 1]
+        if len(names) == 1 and (names[0] in r.records or names[0] in r.fields or len(outputs) > 1):
+            self.record(r, names[0], outputs)
+            return
+        if len(outputs) == 1 and outputs[0][0] == "*" and outputs[0][1]:
+            outputs = [(n, (outputs[0][1][0], n)) for n in names]
+        for name, (_, source) in zip(names, outputs):
+            if source:
+                r.flows[name] = r.into[name] = source
+
+    def value_of(self, parts: list[str]) -> tuple[str, str] | None:
+        """Table and column that a variable or a record's field of the routine holds."""
+        r = self.r
+        if r is None:
+            return None
+        if len(parts) == 1:
+            return r.flows.get(parts[0])
+        known = r.fields.get(parts[0], {})
+        if parts[1] in known:
+            return known[parts[1]]
+        if known.get("*"):
+            return known["*"][0], parts[1]
+        return (r.records[parts[0]], parts[1]) if parts[0] in r.records and not known else None
+
     def pl(self, s: list[Token], r: Routine, values: dict[str, set[str] | None], branching: bool) -> None:
         w, line = s[0].low, s[0].line
         if w in ("select", "insert", "update", "delete", "merge", "with", "truncate", "lock", "alter", "drop", "vacuum", "analyze", "cluster", "reindex", "create"):
@@ -509,6 +607,9 @@ class Reader:
             if w == "open" and any(x.low == "select" for x in s):
                 k = next(j for j, x in enumerate(s) if x.low == "select")
                 self.dml(s[k:], r.key, r.schema, r.locals, r)
+                r.cursors[s[1].low] = self.outputs(s[k:])
+            elif w == "fetch":
+                self.fetch(s, r)
             else:
                 self.expression(s[1:], r, line)
         else:
@@ -565,7 +666,7 @@ class Reader:
                 table, column, confidence = r.records[left[0]], left[1], "high"
             elif len(left) == 1 and left[0] in r.into:
                 (table, column), confidence = r.into[left[0]], "medium"
-            self.out.predicates.append((r.key, f"B{r.count:03}", table, column, op, value, confidence, text[:500], s[0].line))
+            self.out.predicates.append((r.key, f"B{r.count:03}", table, column, op, value, confidence, text, s[0].line))
 
     def possible(self, s: list[Token], values: dict[str, set[str] | None]) -> set[str] | None:
         """All strings that an expression of literals, known variables and || can be; None if unknown."""
@@ -602,9 +703,10 @@ class Reader:
         self.calls_in(s, r)
 
     def calls_in(self, s: list[Token], r: Routine) -> None:
-        k = 0
-        while k < len(s):
-            if s[k].kind in ("name", "quoted") and not (k and s[k - 1].text == "."):
+        k, n = 0, len(s)
+        while k < n:
+            # A call is a name before a parenthesis; other names are passed over at once.
+            if s[k].kind in ("name", "quoted") and k + 1 < n and s[k + 1].text in "(." and not (k and s[k - 1].text == "."):
                 parts, j = _name_at(s, k)
                 if j < len(s) and s[j].text == "(" and not (k and s[k - 1].low in ("into", "update", "table", "join", "from", "as", "view", "with", ",") and s[k - 1].low in ("into", "update", "table", "with")):
                     if s[j - 1].kind == "quoted" or parts[-1] not in KEYWORDS:
@@ -625,7 +727,9 @@ class Reader:
         if not s:
             return set()
         line, w = s[0].line, s[0].low
+        words = {x.low for x in s if x.kind == "name"}
         number = len(self.out.accesses) + 1
+        self.r = r
         reads: set[str] = set()
 
         def add(parts: list[str], mode: int, kind: str | None = None) -> None:
@@ -667,16 +771,38 @@ class Reader:
             self.query(s, owner, local, add, r)
         if r is not None:
             self.calls_in(s, r)
+            self.operators(s, words, owner)
+        if "cast" in words or any(x.text == "::" for x in s):
+            self.casts(s, owner)
         if w == "insert":
             self.insert_columns(owner, s)
         elif w == "update":
             self.update_columns(owner, s)
         elif w == "merge":
             self.merge_columns(owner, s)
-        self.conditions(owner, s)
-        self.enum_values(owner, s)
+        if words & {"where", "on", "having"}:
+            self.conditions(owner, s)
+        if words & {"case", "decode"}:
+            self.enum_values(owner, s)
         return reads
 
+    def operators(self, s: list[Token], words: set[str], owner: str) -> None:
+        """EXISTS, IN, NOT IN, ANY, SOME and ALL before a subquery count as functions of the database."""
+        if not words & {"exists", "in", "any", "some", "all"}:
+            return
+        for k, x in enumerate(s[:-1]):
+            if x.kind == "name" and x.low in ("exists", "in", "any", "some", "all") and s[k + 1].text == "(" and (x.low == "exists" or s[k + 2].low in ("select", "with")):
+                name = "not_in" if x.low == "in" and k and s[k - 1].low == "not" else x.low
+                self.out.edges.append((owner, f"builtin:{name}", "UsesBuiltinFunction", x.line))
+
+    def casts(self, s: list[Token], owner: str) -> None:
+        """Types of CAST(x AS type) and x::type; only known ones are kept when the graph is built."""
+        for k, x in enumerate(s):
+            if x.text == "::" or (x.low == "as" and x.kind == "name" and _in_cast(s, k)):
+                parts, _ = _name_at(s, k + 1)
+                if parts and parts[-1] not in KEYWORDS:
+                    self.out.types.append((owner, ".".join(parts), x.line))
+
     def query(self, s: list[Token], owner: str, local: set[str], add, r: Routine | None) -> None:
         """Tables after FROM, JOIN, INTO, UPDATE and so on, at any depth; names of WITH are none within their statement."""
         ctes = {s[k].low for k in range(len(s) - 2) if s[k].kind in ("name", "quoted") and s[k + 1].low == "as" and s[k + 2].text == "(" and k and s[k - 1].low in ("with", ",", "recursive")}
@@ -757,9 +883,12 @@ class Reader:
     # -- columns
 
     def aliases(self, s: list[Token]) -> dict[str, str]:
+        if self.known and self.known[0] is s:
+            return self.known[1]
         out: dict[str, str] = {}
+        self.known = (s, out)
         for k, x in enumerate(s):
-            if x.low in ("from", "join", "into", "update", "using") and x.kind == "name" or (x.text == "," and out):
+            if x.low in _BEFORE_TABLE and x.kind == "name" or (x.text == "," and out):
                 parts, j = _name_at(s, k + 1)
                 if not parts or parts[-1] in KEYWORDS or (j < len(s) and s[j].text in ("(", ".", "=")):
                     if not (x.low == "into" and parts):
@@ -781,15 +910,28 @@ class Reader:
             s = s[:-2] if s[-2].low == "as" else s[:-1]
         if len(s) == 1 and s[0].kind in ("string", "number"):
             return [("literal", None, s[0].text)], "direct"
+        if len(s) > 2 and s[0].text == "(" and s[1].low == "select" and _closing(s, 0) == len(s) - 1:
+            # A scalar subquery is its first output, with names of its own.
+            items, inner, one = self.select_items(s[1:-1])
+            return self.source(items[0], inner, one) if items and items[0] else ([], "derived")
         cols, k, fn = [], 0, None
         while k < len(s):
-            if s[k].kind in ("name", "quoted"):
+            if s[k].text == "(" and k + 1 < len(s) and s[k + 1].low == "select":
+                end = _closing(s, k)
+                cols += self.source(s[k : end + 1], alias, only)[0]
+                k = end + 1
+            elif s[k].kind in ("name", "quoted"):
                 parts, j = _name_at(s, k)
                 if j < len(s) and s[j].text == "(":
                     fn = fn or parts[-1]
                 elif parts[-1] not in KEYWORDS:
-                    table = alias.get(parts[-2]) if len(parts) > 1 else only
-                    cols.append(("column", table, parts[-1]))
+                    known = self.value_of(parts) if parts[0] not in alias else None
+                    if known:
+                        cols.append(("column", *known))
+                    elif len(parts) == 1 and self.r is not None and parts[0] in self.r.locals:
+                        cols.append(("column", None, parts[0]))
+                    else:
+                        cols.append(("column", alias.get(parts[-2]) if len(parts) > 1 else only, parts[-1]))
                 k = max(j, k + 1)
             else:
                 k += 1
@@ -800,7 +942,7 @@ class Reader:
         cols, kind = self.source(value, alias, only)
         text = " ".join(x.text for x in value)
         for source_kind, t, c in cols:
-            self.out.mappings.append((owner, table, column, source_kind, t, c, kind, text[:500], value[0].line if value else 0))
+            self.out.mappings.append((owner, table, column, source_kind, t, c, kind, text, value[0].line if value else 0))
 
     def insert_columns(self, owner: str, s: list[Token]) -> None:
         k = next((j for j, x in enumerate(s) if x.low == "into"), None)
@@ -914,29 +1056,164 @@ class Reader:
                     self.map(key, view, n, v, alias, only)
 
     def conditions(self, owner: str, s: list[Token]) -> None:
-        """column = column of another table is a join; column op literal is a filter. OR is not split."""
+        """Conditions of WHERE, ON and HAVING at any depth. Only AND is split; what holds an OR gives nothing.
+
+        column = column of another table is a join; column op literal, function(column) op literal, IN with literals, BETWEEN,
+        LIKE and IS NULL are filters, with their negation; an expression over one column = one over another table's column is
+        a cross-table equality.
+        """
         alias = self.aliases(s)
         tables = set(alias.values())
         only = next(iter(tables)) if len(tables) == 1 else None
-        begun = False
         for k, x in enumerate(s):
-            begun = begun or x.low in ("where", "on", "having")
-            if not begun or x.text not in ("=", "<>", "!=", "<", ">", "<=", ">=") and x.low not in ("like", "in", "between"):
-                continue
-            left = _name_before(s, k - (s[k - 1].low == "not"))
-            if not left:
-                continue
-            table = alias.get(left[-2]) if len(left) > 1 else only
-            negated = "not " if s[k - 1].low == "not" else ""
-            right, j = _name_at(s, k + 1)
-            if k + 1 < len(s) and s[k + 1].kind in ("string", "number"):
-                self.out.filters.append((owner, table, left[-1], negated + x.low, s[k + 1].text, x.line))
-            elif x.low == "in" and k + 1 < len(s) and s[k + 1].text == "(" and all(y.kind in ("string", "number") or y.text == "," for y in s[k + 2 : _closing(s, k + 1)]):
-                self.out.filters.append((owner, table, left[-1], negated + "in", "".join(y.text for y in s[k + 2 : _closing(s, k + 1)]), x.line))
-            elif x.text == "=" and right and not (j < len(s) and s[j].text == "("):
-                other = alias.get(right[-2]) if len(right) > 1 else None
-                if table and other and table != other:
-                    self.out.joins.append((owner, table, left[-1], other, right[-1], x.line))
+            if x.kind == "name" and x.low in ("where", "on", "having"):
+                self.conjuncts(owner, _condition(s, k + 1), alias, only)
+
+    def conjuncts(self, owner: str, s: list[Token], alias: dict[str, str], only: str | None) -> None:
+        while len(s) > 1 and s[0].text == "(" and _closing(s, 0) == len(s) - 1 and s[1].low != "select":
+            s = s[1:-1]
+        parts, depth, between = [[]], 0, False
+        for x in s:
+            depth += (x.text == "(") - (x.text == ")")
+            if depth == 0 and x.kind == "name":
+                if x.low == "or":
+                    return
+                if x.low == "between":
+                    between = True
+                elif x.low == "and":
+                    if not between:
+                        parts.append([])
+                        continue
+                    between = False
+            parts[-1].append(x)
+        if len(parts) > 1:
+            for part in parts:
+                self.conjuncts(owner, part, alias, only)
+        elif s:
+            self.conjunct(owner, s, alias, only)
+
+    def side(self, s: list[Token], alias: dict[str, str], only: str | None) -> tuple[list[tuple[str | None, str, str | None]], str | None, bool]:
+        """Distinct columns (table, column, prefix) of an expression, its outer function, and whether it is a bare column."""
+        cols, fn, k = [], None, 0
+        while k < len(s):
+            if s[k].kind in ("name", "quoted"):
+                parts, j = _name_at(s, k)
+                if j < len(s) and s[j].text == "(":
+                    fn = fn or parts[-1]
+                elif parts[-1] not in KEYWORDS or s[k].kind == "quoted":
+                    prefix = ".".join(parts[:-1]) or None
+                    known = self.value_of(parts) if parts[0] not in alias else None
+                    table = alias.get(parts[-2]) if len(parts) > 1 else only
+                    if known:
+                        one = (*known, f"record {parts[0]}")
+                    elif table is None and len(parts) > 2:
+                        one = (parts[-2], parts[-1], prefix)
+                    else:
+                        one = (None if len(parts) == 1 and self.r is not None and parts[0] in self.r.locals else table, parts[-1], prefix)
+                    if one not in cols:
+                        cols.append(one)
+                k = max(j, k + 1)
+            else:
+                k += 1
+        parts, j = _name_at(s, 0)
+        return cols, fn, bool(parts) and j >= len(s)
+
+    def conjunct(self, owner: str, s: list[Token], alias: dict[str, str], only: str | None) -> None:
+        k = _operator_at(s)
+        if not k or s[k - 1].kind == "op" and s[k - 1].text not in (")", "]"):
+            return
+        negated = s[k - 1].low == "not"
+        left, right = s[: k - negated], s[k + 1 :]
+        op, line = s[k].low, s[0].line
+        cols, fn, bare = self.side(left, alias, only)
+        literal = lambda x: x.kind in ("string", "number")
+        value = None
+        if op == "is":
+            op = "is not null" if right and right[0].low == "not" else "is null"
+            if right and right[-1].low != "null":
+                return
+        elif op == "in":
+            inside = right[1:-1]
+            if len(right) < 3 or not all(literal(x) or x.text == "," for x in inside):
+                return
+            value = "".join(x.text for x in inside)
+        elif op == "between":
+            at = next((j for j, x in enumerate(right) if x.low == "and"), None)
+            if at is None or not all(literal(x) or x.text == "-" for x in right[:at] + right[at + 1 :]):
+                return
+            value = " ".join(x.text for x in right)
+        elif len(right) == 1 and literal(right[0]):
+            value = right[0].text
+        elif len(left) == 1 and literal(left[0]) and _name_at(right, 0)[1] >= len(right):
+            # A literal on the left turns the comparison round.
+            (cols, fn, bare), value = self.side(right, alias, only), left[0].text
+            op = {"<": ">", ">": "<", "<=": ">=", ">=": "<="}.get(op, op)
+        else:
+            if op == "=" and len(cols) == 1:
+                self.equality(owner, left, right, cols[0], bare, alias, only, line)
+            return
+        if len(cols) == 1 and (bare or fn) and not (cols[0][2] or "").startswith("record "):
+            name = "not " + op if negated else op
+            self.out.filters.append((owner, cols[0][0], cols[0][1], name, value, None if bare else fn, line))
+
+    def equality(self, owner: str, left: list[Token], right: list[Token], a: tuple, bare: bool, alias: dict[str, str], only: str | None, line: int) -> None:
+        cols, _, other = self.side(right, alias, only)
+        if len(cols) != 1 or not a[0] or not cols[0][0]:
+            return
+        b = cols[0]
+        if bare and other:
+            if a[0] != b[0]:
+                record = (a[2] or "").startswith("record ") or (b[2] or "").startswith("record ")
+                self.out.joins.append((owner, a[0], a[1], b[0], b[1], "record" if record else "column", line))
+        elif not (a[2] and a[2] == b[2]) and (a[2] or b[2] or a[0] != b[0]):
+            self.out.equalities.append((owner, a[0], a[1], b[0], b[1], " ".join(x.text for x in left) + " = " + " ".join(x.text for x in right), line))
+
+
+# Words that end a condition.
+_ENDS = set("group order having limit union except intersect minus join inner left right full cross natural where on when returning start connect for loop fetch offset window set using then model".split())
+
+
+def _condition(s: list[Token], k: int) -> list[Token]:
+    """The tokens from k to the end of a condition."""
+    depth = 0
+    for j in range(k, len(s)):
+        x = s[j]
+        if x.text == "(":
+            depth += 1
+        elif x.text == ")":
+            depth -= 1
+            if depth < 0:
+                return s[k:j]
+        elif depth == 0 and x.kind == "name" and x.low in _ENDS and not (j + 1 < len(s) and s[j + 1].text == "("):
+            return s[k:j]
+    return s[k:]
+
+
+def _operator_at(s: list[Token]) -> int | None:
+    """Where the comparison of a condition stands, outside parentheses and CASE."""
+    depth = 0
+    for k, x in enumerate(s):
+        if x.text == "(" or x.low == "case" and x.kind == "name":
+            depth += 1
+        elif x.text == ")" or x.low == "end" and x.kind == "name":
+            depth -= 1
+        elif depth == 0 and (x.text in ("=", "<>", "!=", "<", ">", "<=", ">=") or x.kind == "name" and x.low in ("like", "in", "between", "is")):
+            return k
+    return None
+
+
+def _in_cast(s: list[Token], k: int) -> bool:
+    """Whether the AS at k belongs to a CAST."""
+    depth = 0
+    for j in range(k - 1, -1, -1):
+        depth += (s[j].text == ")") - (s[j].text == "(")
+        if depth < 0:
+            return j > 0 and s[j - 1].low == "cast"
+    return False
+
+
+def _fields(outputs: list) -> dict:
+    return {name: source for name, source in outputs if name and source}
 
 
 def _name_at(s: list[Token], k: int) -> tuple[list[str], int]:
@@ -950,17 +1227,6 @@ def _name_at(s: list[Token], k: int) -> tuple[list[str], int]:
     return parts, k
 
 
-def _name_before(s: list[Token], k: int) -> list[str]:
-    parts: list[str] = []
-    k -= 1
-    while k >= 0 and s[k].kind in ("name", "quoted") and s[k].low not in KEYWORDS:
-        parts.insert(0, s[k].low)
-        if not (k and s[k - 1].text == "."):
-            break
-        k -= 2
-    return parts
-
-
 def _names(s: list[Token], k: int) -> list[list[str]]:
     out = []
     while True:
