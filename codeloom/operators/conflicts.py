@@ -7,23 +7,46 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.access import locks_conflict, severity
 
+#: Parts into which the routines of a table are dealt when pairs are made.
+BLOCKS = 4
 
-def find_conflicts(access: DataFrame, least: str = "medium", table: str | None = None) -> DataFrame:
-    """table_key, proc_a, proc_b, modes_a, modes_b, severity for every unordered pair whose locks exclude each other.
 
-    access: proc_key, table_key, modes, one row a pair. The self-join meets on the table. A table that a third of all
-    routines access would give a quadratic join input, so rows are first reduced to combinations of modes: a table has at
-    most 255 of them, and only combinations that do exclude each other are expanded to routines again.
+def modes_in_conflict(access: DataFrame, least: str = "medium", table: str | None = None) -> DataFrame:
+    """table_key, modes_a, modes_b, severity, pairs: combinations of modes that exclude each other, and how many pairs they are.
+
+    A combination stands once in each direction; pairs counts unordered pairs of different routines, split over both. At most
+    255 by 255 rows a table, whatever the number of routines: the size of find_conflicts can be read from it beforehand.
     """
     kinds = access.groupBy("table_key", "modes").agg(F.count(F.lit(1)).alias("n"))
-    x = kinds.select("table_key", F.col("modes").alias("modes_a"))
-    y = kinds.select("table_key", F.col("modes").alias("modes_b"))
+    if table is not None:
+        kinds = kinds.filter(F.col("table_key") == table)
+    x = kinds.select("table_key", F.col("modes").alias("modes_a"), F.col("n").alias("na"))
+    y = kinds.select("table_key", F.col("modes").alias("modes_b"), F.col("n").alias("nb"))
     hit = x.join(y, "table_key").filter(locks_conflict(F.col("modes_a"), F.col("modes_b")))
+    hit = hit.withColumn("severity", severity(F.col("modes_a"), F.col("modes_b")))
     if least == "high":
-        hit = hit.filter(severity(F.col("modes_a"), F.col("modes_b")) == "high")
-    if table is not None:
-        hit = hit.filter(F.col("table_key") == table)
-    a = access.select("table_key", F.col("modes").alias("modes_a"), F.col("proc_key").alias("proc_a"))
-    b = access.select("table_key", F.col("modes").alias("modes_b"), F.col("proc_key").alias("proc_b"))
-    out = hit.join(a, ["table_key", "modes_a"]).join(b, ["table_key", "modes_b"]).filter("proc_a < proc_b")
-    return out.select("table_key", "proc_a", "proc_b", "modes_a", "modes_b", severity(F.col("modes_a"), F.col("modes_b")).alias("severity"))
+        hit = hit.filter("severity = 'high'")
+    pairs = F.when(F.col("modes_a") == F.col("modes_b"), F.col("na") * (F.col("na") - 1) / 2).otherwise(F.col("na") * F.col("nb") / 2)
+    return hit.select("table_key", "modes_a", "modes_b", "severity", pairs.alias("pairs"))
+
+
+def find_conflicts(access: DataFrame, least: str = "medium", table: str | None = None) -> DataFrame:
+    """table_key, proc_a, proc_b, modes_a, modes_b, severity for every unordered pair whose locks exclude each other.
+
+    access: proc_key, table_key, modes, one row a pair. Rows are first reduced to combinations of modes that do exclude each
+    other, and only those are expanded to routines again. Pairs are the output, so a table with many routines in conflict has
+    many; its rows are dealt by routine, not by table, so that one table is no single key.
+    """
+    hit = modes_in_conflict(access, least, table).select("table_key", "modes_a", "modes_b", "severity")
+    wide = access.select("table_key", F.col("modes").alias("modes_a"), F.col("proc_key").alias("proc_a"))
+    # Each routine's rows meet the combinations first (few), then the other side in BLOCKS of routines.
+    block = F.pmod(F.xxhash64("proc_b"), F.lit(BLOCKS)).cast("int")
+    other = access.select("table_key", F.col("modes").alias("modes_b"), F.col("proc_key").alias("proc_b")).withColumn("block", block)
+    one = wide.join(hit, ["table_key", "modes_a"]).withColumn("block", F.explode(F.array(*map(F.lit, range(BLOCKS)))))
+    out = one.join(other, ["table_key", "modes_b", "block"]).filter("proc_a < proc_b")
+    return out.select("table_key", "proc_a", "proc_b", "modes_a", "modes_b", "severity")
+
+
+def ordered(found: DataFrame) -> DataFrame:
+    """Conflicts, the severe first, then by table and routines."""
+    return found.orderBy(F.when(F.col("severity") == "high", 0).otherwise(1), "table_key", "proc_a", "proc_b")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.model import READ, WRITE
+from codeloom.operators.traverse import walk
 from codeloom.work import materialize
 
 #: A write counts as a flow of a table if it takes so many of the table's columns, or this share of the written ones.
@@ -18,31 +19,24 @@ def table_hops(access: DataFrame, depends: DataFrame | None = None) -> DataFrame
     A routine's reads meet its writes; if the write's statement names the tables it reads, only those count. Views depend on
     tables without a routine (depends: view, table).
     """
-    w = access.filter(F.col("modes").bitwiseAND(WRITE) != 0).select("routine", F.col("table").alias("parent"), *(["read_tables"] if "read_tables" in access.columns else []))
+    w = access.filter(F.col("modes").bitwiseAND(WRITE) != 0)
     r = access.filter(F.col("modes").bitwiseAND(READ) != 0).select("routine", F.col("table").alias("child")).distinct()
-    hops = w.join(r, "routine").filter("parent <> child")
+    out = lambda df: df.select(F.col("table").alias("parent"), "routine", "child").filter("parent <> child")
     if "read_tables" in access.columns:
-        hops = hops.filter(F.col("read_tables").isNull() | F.array_contains("read_tables", F.col("child")))
-    hops = hops.select("parent", "routine", "child").distinct()
+        # The tables of a statement meet the routine's reads one by one; only writes without them meet all reads.
+        some = w.filter("read_tables IS NOT NULL").select("routine", "table", F.explode("read_tables").alias("child")).distinct()
+        hops = out(some.join(r, ["routine", "child"])).unionByName(out(w.filter("read_tables IS NULL").join(r, "routine"))).distinct()
+    else:
+        hops = out(w.join(r, "routine")).distinct()
     if depends is not None:
         hops = hops.unionByName(depends.select(F.col("view").alias("parent"), F.lit(None).cast("string").alias("routine"), F.col("table").alias("child")))
     return hops
 
 
 def _walk(e: DataFrame, start: str, depth: int) -> DataFrame:
-    """node, by, path, n: every way of 1 to depth edges (src, by, dst) from the start that repeats no node.
-
-    One join for each step; a recursive query would stop with an error at a million rows.
-    """
-    front = e.sparkSession.range(1).select(F.lit(start).alias("node"), F.lit(None).cast("string").alias("by"), F.array(F.lit(start)).alias("path"), F.lit(0).alias("n"))
-    out = front.filter("n > 0")
-    for _ in range(depth):
-        step = front.select("node", "path", "n").join(e, F.col("node") == F.col("src")).filter(~F.array_contains("path", F.col("dst")))
-        front = materialize(step.select(F.col("dst").alias("node"), e["by"].cast("string").alias("by"), F.array_append("path", F.col("dst")).alias("path"), (F.col("n") + 1).alias("n")), "walk")
-        if front.isEmpty():
-            break
-        out = out.unionByName(front)
-    return out
+    """node, by, path, n: every way of 1 to depth edges (src, by, dst) from the start that repeats no node."""
+    front = e.sparkSession.createDataFrame([(start, [start], 0)], "node string, path array<string>, n int")
+    return walk(e, front, depth, carry=("by",)).filter("n > 0")
 
 
 def lineage_tables(hops: DataFrame, start: str, direction: str = "up", depth: int = 3) -> DataFrame:
@@ -62,14 +56,20 @@ def lineage_columns(mappings: DataFrame, table: str, column: str, direction: str
     return walk.select(F.array_join("path", " < ").alias("path"), F.col("by").alias("owner"), F.col("node").alias("col"), F.col("n").alias("depth"))
 
 
-def role(overlap: Column, total: Column, known: Column) -> Column:
+def role(overlap: Column, total: Column, known: Column, least_columns: int = LEAST_COLUMNS, least_share: float = LEAST_SHARE) -> Column:
     """flow, reference or unknown. The threshold never exceeds the written columns; without any it is the fixed one."""
-    need = F.when(total == 0, LEAST_COLUMNS).otherwise(F.least(total, F.greatest(F.lit(LEAST_COLUMNS), F.ceil(total * LEAST_SHARE))))
+    need = F.when(total == 0, least_columns).otherwise(F.least(total, F.greatest(F.lit(least_columns), F.ceil(total * least_share))))
     return F.when(~known, "unknown").when(overlap >= need, "flow").otherwise("reference")
 
 
-def edge_roles(mappings: DataFrame, columns: DataFrame) -> DataFrame:
-    """target_table, source_table, overlap, total, role. columns: table, column of tables whose definition is known."""
+def edge_roles(mappings: DataFrame, columns: DataFrame, least_columns: int = LEAST_COLUMNS, least_share: float = LEAST_SHARE, ignore: tuple[str, ...] = ()) -> DataFrame:
+    """target_table, source_table, overlap, total, role. columns: table, column of tables whose definition is known.
+
+    Columns of the names to ignore (such as those of housekeeping) count on neither side.
+    """
+    if ignore:
+        mappings = mappings.filter(~F.coalesce(F.lower("source_column").isin(*ignore), F.lit(False)) & ~F.lower("target_column").isin(*ignore))
+        columns = columns.filter(~F.lower("column").isin(*ignore))
     total = mappings.groupBy("target_table").agg(F.count_distinct("target_column").alias("total"))
     used = mappings.filter("source_column is not null").select("target_table", "source_table", F.col("source_column").alias("column")).distinct()
     ddl = columns.select(F.col("table").alias("source_table"), "column").distinct()
@@ -77,10 +77,43 @@ def edge_roles(mappings: DataFrame, columns: DataFrame) -> DataFrame:
     known = ddl.select("source_table").distinct().withColumn("known", F.lit(True))
     out = used.select("target_table", "source_table").distinct().join(both, ["target_table", "source_table"], "left").join(total, "target_table").join(known, "source_table", "left")
     out = out.withColumns({"overlap": F.coalesce("overlap", F.lit(0)).cast("long"), "known": F.coalesce("known", F.lit(False))})
-    return out.select("target_table", "source_table", "overlap", "total", role(F.col("overlap"), F.col("total"), F.col("known")).alias("role"))
+    return out.select("target_table", "source_table", "overlap", "total", role(F.col("overlap"), F.col("total"), F.col("known"), least_columns, least_share).alias("role"))
 
 
 def roll_up(roles: DataFrame) -> DataFrame:
     """source_table, role, overlap: flow if any is, else reference if any is; the largest overlap."""
     any_of = lambda r: F.bool_or(F.col("role") == r)
     return roles.groupBy("source_table").agg(F.when(any_of("flow"), "flow").when(any_of("reference"), "reference").otherwise("unknown").alias("role"), F.max("overlap").alias("overlap"))
+
+
+def steps(access: DataFrame) -> DataFrame:
+    """parent, child, routines of table hops: one step a routine, with its modes joined and its write kinds as a sorted set.
+
+    access: routine, table, modes, write_kinds; hops come from table_hops over the same rows.
+    """
+    kinds = access.groupBy("routine", F.col("table").alias("parent")).agg(F.bit_or("modes").alias("modes"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("write_kinds")))).alias("write_kinds"))
+    met = table_hops(access).join(kinds, ["routine", "parent"])
+    return met.groupBy("parent", "child").agg(F.array_sort(F.collect_list(F.struct("routine", "modes", "write_kinds"))).alias("routines"))
+
+
+def children(hops: DataFrame, roles: DataFrame) -> DataFrame:
+    """parent, child, role, overlap, total, place: the sources of each table in order of role, overlap and key.
+
+    roles: target_table, source_table, overlap, total, role; hops without a mapping are unknown.
+    """
+    pairs = hops.select("parent", "child").distinct()
+    r = roles.select(F.col("target_table").alias("parent"), F.col("source_table").alias("child"), "role", "overlap", "total")
+    met = pairs.join(r, ["parent", "child"], "left").withColumns({"role": F.coalesce("role", F.lit("unknown")), "overlap": F.coalesce("overlap", F.lit(0)).cast("long")})
+    rank = F.when(F.col("role") == "flow", 0).when(F.col("role") == "reference", 1).otherwise(2)
+    place = F.row_number().over(Window.partitionBy("parent").orderBy(rank, F.desc("overlap"), "child"))
+    return met.select("parent", "child", "role", "overlap", "total", place.alias("place"))
+
+
+def external_sources(hops: DataFrame) -> DataFrame:
+    """table: sources that no hop writes, so their data comes from outside."""
+    return hops.select(F.col("child").alias("table")).distinct().join(hops.select(F.col("parent").alias("table")).distinct(), "table", "left_anti")
+
+
+def relations(hops: DataFrame) -> DataFrame:
+    """parent, child, routines, n: one row a pair of tables, with the routines between them."""
+    return hops.groupBy("parent", "child").agg(F.array_sort(F.collect_set("routine")).alias("routines"), F.count_distinct("routine").alias("n"))

@@ -65,9 +65,12 @@ def parse_sort(spec: str) -> list[Column]:
 
 def list_nodes(
     nodes: DataFrame, edges: DataFrame, search: str | None = None, tag_prefix: str | None = None, tag: str | None = None, inferred: bool = False,
-    most_degree: int | None = None, sort: str = "name", offset: int = 0, limit: int | None = 100,
+    most_degree: int | None = None, sort: str = "name", offset: int = 0, limit: int | None = 100, system: bool | None = None, known: DataFrame | None = None,
 ) -> DataFrame:
-    """A page of nodes with their degrees. The cheap filters come before the degree join."""
+    """A page of nodes with their degrees. The cheap filters come before the degree join.
+
+    known: degrees that are stored beside the graph; without them they are counted from all edges.
+    """
     out = nodes
     if search:
         out = out.filter(F.lower("node_key").contains(search.lower()))
@@ -77,7 +80,9 @@ def list_nodes(
         out = out.filter(node_filter(tag))
     if inferred:
         out = out.filter(~F.col("explicit"))
-    out = out.join(degrees(out, edges), "node_key")
+    if system is not None:
+        out = out.filter(F.coalesce("system", F.lit(False)) == system)
+    out = out.join(degrees(out, edges) if known is None else known, "node_key")
     if most_degree is not None:
         out = out.filter(F.col("total") <= most_degree)
     out = out.orderBy(*parse_sort(sort))
@@ -126,3 +131,12 @@ def merge_access(raw: DataFrame, keys: list[str]) -> DataFrame:
 def edge_labels(edges: DataFrame, label: Column) -> DataFrame:
     """src_key, dst_key and the distinct labels of all edges between them."""
     return edges.select("src_key", "dst_key", label.alias("label")).filter("label is not null").groupBy("src_key", "dst_key").agg(F.array_join(F.array_sort(F.collect_set("label")), ";").alias("labels"))
+
+
+def drop_identical(edges: DataFrame) -> DataFrame:
+    """Edges without repeats of the same ends, type and payload; of several places the first stays."""
+    payload = [c for c in edges.columns if c not in ("file", "line")]
+    place = [c for c in ("file", "line") if c in edges.columns]
+    if not place:
+        return edges.dropDuplicates()
+    return edges.groupBy(*payload).agg(F.min(F.struct(*place)).alias("_p")).select(*payload, "_p.*")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.sqltext import fingerprint, lock_clause, matches, normalize, relevance
-from codeloom.operators.traverse import paths, reachable
+from codeloom.operators.traverse import nearest_paths
+from codeloom.sources.plsql import BUILTINS
 from codeloom.work import small
 
 #: Rounds of edit distance and number of suggestions for a name that resolves to nothing.
@@ -40,19 +43,25 @@ def search_sql(statements: DataFrame, query: str) -> DataFrame:
 
     Equal fingerprints of indexed statements are enough (1.0); else a lock clause that is asked for (0.9); else all texts are
     matched, and a node has the score of its best statement. Each step is one scan, and a step runs only if those before
-    found nothing.
+    found nothing. Statements that went through index() bring their fingerprints and lock clauses, so none is made anew.
     """
     q = F.lit(query)
-    exact = statements.filter("indexed").filter(fingerprint(F.col("sql_text")) == fingerprint(q))
+    made = "fingerprint" in statements.columns
+    exact = statements.filter("indexed").filter((F.col("fingerprint") if made else fingerprint(F.col("sql_text"))) == fingerprint(q))
     if not exact.isEmpty():
         return exact.select("node_key", F.lit(1.0).alias("score")).distinct()
-    locks = statements.filter("indexed").filter(lock_clause(F.col("sql_text")) == lock_clause(q))
+    locks = statements.filter("indexed").filter((F.col("lock") if made else lock_clause(F.col("sql_text"))) == lock_clause(q))
     if not locks.isEmpty():
         return locks.select("node_key", F.lit(0.9).alias("score")).distinct()
     hit = statements.filter(matches(F.col("sql_text"), q))
     return hit.groupBy("node_key").agg(F.max(relevance(normalize(F.lower(q)), normalize(F.lower("sql_text")))).alias("score"))
 
 
+def index(statements: DataFrame) -> DataFrame:
+    """statements with fingerprint and lock, to be stored beside a graph."""
+    return statements.withColumns({"fingerprint": fingerprint(F.col("sql_text")), "lock": lock_clause(F.col("sql_text"))})
+
+
 def ordered(hits: DataFrame) -> DataFrame:
     return hits.orderBy(F.desc("score"), F.substring_index("node_key", ":", 1), "node_key")
 
@@ -67,32 +76,28 @@ def mark(statements: DataFrame, edges: DataFrame, routines: DataFrame, target: s
     """statements (unique_sql_id, sql_text) with mark and path for one target.
 
     direct: the text names the target; indirect: it names a routine (node_key, name) that leads to the target, of which the
-    nearest is taken, then the first by key. The set of callers is what reaches the target, found by one reverse search.
+    nearest is taken, then the first by key, and a shortest way from it. One search back from the target finds all callers.
     """
-    word = lambda name: F.concat(F.lit(r"(?i)(?<![A-Za-z0-9_])"), name, F.lit(r"(?![A-Za-z0-9_])"))
-    spark = statements.sparkSession
-    goal = spark.createDataFrame([(target,)], "node_key string")
-    callers = reachable(edges, goal, "in").join(routines, "node_key").select("node_key", "name", "depth")
-    ways = paths(edges, callers.select("node_key"), "out", 12, target).withColumn("node_key", F.col("path")[0])
-    rank = F.row_number().over(Window.partitionBy("node_key").orderBy("n", F.array_join("path", ">")))
-    ways = ways.withColumn("r", rank).filter("r = 1").select("node_key", F.array_join("path", " > ").alias("path"))
+    callers = nearest_paths(edges, target).join(routines, "node_key").select("node_key", "name", "depth", F.array_join("path", " > ").alias("path"))
     # Words of a text meet names in an equi-join, so no text is held against every caller.
-    words = statements.select("unique_sql_id", "sql_text", F.explode(F.array_distinct(F.split(F.lower("sql_text"), "[^a-z0-9_]+"))).alias("word"))
-    named = words.join(small(callers.withColumn("word", F.lower("name"))), "word").groupBy("unique_sql_id").agg(F.min(F.struct("depth", "node_key")).alias("best"))
-    named = named.select("unique_sql_id", F.col("best.node_key").alias("node_key")).join(ways, "node_key", "left")
-    direct = F.col("sql_text").rlike(rf"(?i)(?<![A-Za-z0-9_]){target_name}(?![A-Za-z0-9_])")
+    words = statements.select("unique_sql_id", F.explode(F.array_distinct(F.split(F.lower("sql_text"), "[^a-z0-9_]+"))).alias("word"))
+    named = words.join(small(callers.withColumn("word", F.lower("name"))), "word").groupBy("unique_sql_id").agg(F.min(F.struct("depth", "node_key", "path")).alias("best"))
+    direct = F.col("sql_text").rlike(rf"(?i)(?<![A-Za-z0-9_]){re.escape(target_name)}(?![A-Za-z0-9_])")
     out = statements.join(named, "unique_sql_id", "left")
-    m = F.when(direct, f"direct to {target}").when(F.col("node_key").isNotNull(), f"indirect to {target}")
-    return out.select("unique_sql_id", "sql_text", m.alias("mark"), F.when(direct, target).otherwise(F.col("path")).alias("path"))
+    m = F.when(direct, F.lit(f"direct to {target}")).when(F.col("best").isNotNull(), F.lit(f"indirect to {target}"))
+    return out.select("unique_sql_id", "sql_text", m.alias("mark"), F.when(direct, F.lit(target)).otherwise(F.col("best.path")).alias("path"))
 
 
 COLLECTION_METHODS = ("EXTEND", "TRIM", "DELETE", "COUNT", "FIRST", "LAST", "NEXT", "PRIOR", "EXISTS")
 
 
 def noise(raw: Column) -> Column:
-    """self-member, collection-method or null: call texts that are no calls of routines."""
-    up = F.upper(F.trim(raw))
-    return F.when(up.startswith("SELF."), "self-member").when(up.rlike(rf"\.(?:{'|'.join(COLLECTION_METHODS)})$"), "collection-method")
+    """syntax-dump, self-member, collection-method, builtin-function or null: call texts that are no calls of routines."""
+    text = F.trim(raw)
+    up = F.upper(text)
+    dump = text.rlike(r"^(?:PlVariable\(|BinaryOp[ {]|FunctionCall[ {]|Literal\(|ColumnRef\()")
+    kind = F.when(dump, "syntax-dump").when(up.startswith("SELF."), "self-member").when(up.rlike(rf"\.(?:{'|'.join(COLLECTION_METHODS)})$"), "collection-method")
+    return kind.when(F.lower(text).isin(*sorted(BUILTINS)), "builtin-function")
 
 
 def resolve_calls(calls: DataFrame, routines: DataFrame) -> DataFrame:

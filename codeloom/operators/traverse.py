@@ -1,12 +1,13 @@
-"""Traversals: reachability by frontier loops, paths by recursive queries, components by star contraction.
+"""Traversals: reachability and paths by frontier loops, components by star contraction.
 
 Reachability visits every node once at its smallest depth: the frontier joins the edges, and what was seen is anti-joined.
-Each round is written to the work folder, so the plan stays short and a lost executor costs one round.
+Paths carry the nodes they have passed as an array. Each round is written to the work folder, so the plan stays short, a
+lost executor costs one round, and there is no limit on depth or rows. Keys are data and never part of a query's text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.work import materialize, small
@@ -36,7 +37,7 @@ def reachable(edges: DataFrame, starts: DataFrame, direction: str = "out", depth
         new = materialize(step.join(seen.select("node_key"), "node_key", "left_anti").withColumn("depth", F.lit(level)), "front")
         if new.isEmpty():
             break
-        seen = seen.unionByName(new)
+        seen = _short(seen.unionByName(new), level)
         front = new.select("node_key") if until is None else new.filter(~until).select("node_key")
     if with_start:
         return seen
@@ -46,96 +47,179 @@ def reachable(edges: DataFrame, starts: DataFrame, direction: str = "out", depth
     return out.groupBy("node_key").agg(F.min("depth").alias("depth"))
 
 
-def paths(edges: DataFrame, starts: DataFrame, direction: str = "out", depth: int = 10, target: str | None = None, until: str | None = None) -> DataFrame:
-    """Simple paths as arrays, longest first met: maximal ones, or cut at depth, or ending at target or where until (SQL on dst) holds.
+def _short(seen: DataFrame, level: int) -> DataFrame:
+    """A growing union, written as one table every few rounds, so that its plan stays short."""
+    return seen if level % 8 else materialize(seen, "seen")
 
-    With a target, edges are first reduced to those on some way from a start to it, which prunes the enumeration.
+
+def _start(edges: DataFrame, keys: list[str]) -> DataFrame:
+    return edges.sparkSession.createDataFrame([(k,) for k in keys], "node_key string")
+
+
+def walk(hops: DataFrame, front: DataFrame, depth: int, stop: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """node, path, n, done and the columns of hops to carry: every way along hops (src, dst) that repeats no node.
+
+    front: node, path, n. stop: a condition on dst; ways that meet it are done and go no further. If hops has a column left,
+    the least number of steps from dst to a goal, ways that cannot reach it within depth are not followed.
+    """
+    has_goal = "left" in hops.columns
+    front = front.select("node", "path", "n", F.lit(False).alias("done"), *(F.lit(None).cast(hops.schema[c].dataType).alias(c) for c in carry))
+    out, level = front, 0
+    for _ in range(depth):
+        open_ = front.filter("NOT done").select("node", "path", "n")
+        step = open_.join(hops, F.col("node") == F.col("src")).filter(~F.array_contains("path", F.col("dst")))
+        if has_goal:
+            step = step.filter(F.col("n") + 1 + F.col("left") <= depth)
+        done = F.lit(False) if stop is None else stop
+        front = materialize(step.select(F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path"), (F.col("n") + 1).alias("n"), done.alias("done"), *carry), "walk")
+        if front.isEmpty():
+            break
+        level += 1
+        out = _short(out.unionByName(front), level)
+    return out
+
+
+def _from(starts: DataFrame) -> DataFrame:
+    return starts.select("node_key").distinct().select(F.col("node_key").alias("node"), F.array("node_key").alias("path"), F.lit(0).alias("n"))
+
+
+def _towards(edges: DataFrame, goals: DataFrame, direction: str, depth: int) -> DataFrame:
+    """src, dst, left of the edges on some way of at most depth to a goal."""
+    opposite = {"out": "in", "in": "out", "both": "both"}[direction]
+    near = reachable(edges, goals, opposite, depth, with_start=True).select(F.col("node_key").alias("dst"), F.col("depth").alias("left"))
+    return materialize(directed(edges, direction).distinct().join(small(materialize(near, "near")), "dst"), "hops")
+
+
+def paths(edges: DataFrame, starts: DataFrame, direction: str = "out", depth: int = 10, target: str | None = None, until: Column | None = None) -> DataFrame:
+    """path, n of simple paths as arrays: maximal ones, or cut at depth, or ending at target or where until (a condition on dst) holds.
+
+    With a target, only edges from which it can still be reached in time are followed.
     """
-    spark = edges.sparkSession
-    hops = directed(edges, direction).distinct()
     if target is not None:
-        opposite = {"out": "in", "in": "out", "both": "both"}[direction]
-        goal = spark.createDataFrame([(target,)], "node_key string")
-        near = materialize(reachable(edges, goal, opposite, depth, with_start=True).select("node_key"), "near")
-        hops = hops.join(near.withColumnRenamed("node_key", "src"), "src", "left_semi").join(near.withColumnRenamed("node_key", "dst"), "dst", "left_semi").select("src", "dst")
-    hops = materialize(hops, "hops")
-    stop = " OR ".join(x for x in (f"dst = '{target}'" if target is not None else "", f"({until})" if until else "") if x) or "false"
-    walk = spark.sql(
-        f"""
-        WITH RECURSIVE walk(node, path, n, done) AS (
-          SELECT node_key, array(node_key), 0, false FROM {{starts}}
-          UNION ALL
-          SELECT h.dst, array_append(w.path, h.dst), w.n + 1, {stop.replace('dst', 'h.dst')}
-          FROM walk w JOIN {{hops}} h ON w.node = h.src WHERE NOT w.done AND w.n < {depth} AND NOT array_contains(w.path, h.dst))
-        SELECT * FROM walk""",
-        starts=starts.select("node_key").distinct(), hops=hops,
-    )
-    walk = materialize(walk, "walk")
+        hops = _towards(edges, _start(edges, [target]), direction, depth)
+    else:
+        hops = materialize(directed(edges, direction).distinct(), "hops")
+    stop = until
+    if target is not None:
+        stop = F.col("dst") == target if until is None else (F.col("dst") == target) | until
+    found = walk(hops, _from(starts), depth, stop)
     if target is not None:
-        return walk.filter("done").select("path", "n")
+        return found.filter("done").select("path", "n")
     # A path is maximal if it is done, cut, or has no edge to a node that is not on it.
-    onward = walk.filter(f"NOT done AND n < {depth}").join(hops, F.col("node") == F.col("src")).filter("NOT array_contains(path, dst)").select("path").distinct()
-    return walk.filter("n > 0").join(onward, "path", "left_anti").select("path", "n")
+    onward = found.filter(~F.col("done") & (F.col("n") < depth)).join(hops, F.col("node") == F.col("src")).filter(~F.array_contains("path", F.col("dst"))).select("path").distinct()
+    return found.filter("n > 0").join(onward, "path", "left_anti").select("path", "n")
+
+
+def nearest_paths(edges: DataFrame, goal: str, direction: str = "out") -> DataFrame:
+    """node_key, depth, path: for every node that leads to the goal a shortest way there, of several the first by its keys.
+
+    One search back from the goal in which each node takes over the way of its next node, so no ways are enumerated.
+    """
+    back = materialize(directed(edges, {"out": "in", "in": "out", "both": "both"}[direction]).distinct(), "hops")
+    front = _start(edges, [goal]).select("node_key", F.lit(0).alias("depth"), F.array("node_key").alias("path"))
+    seen, level = front, 0
+    while True:
+        level += 1
+        step = back.join(small(front.select(F.col("node_key").alias("src"), "path")), "src").groupBy(F.col("dst").alias("node_key")).agg(F.min("path").alias("path"))
+        step = step.join(seen.select("node_key"), "node_key", "left_anti").select("node_key", F.lit(level).alias("depth"), F.concat(F.array("node_key"), "path").alias("path"))
+        front = materialize(step, "front")
+        if front.isEmpty():
+            return seen.filter("depth > 0")
+        seen = _short(seen.unionByName(front), level)
 
 
 def trace_rows(edges: DataFrame, start: str, direction: str = "out", depth: int = 5) -> DataFrame:
     """path, node_key, depth, more: a call tree as rows; more counts the distinct neighbours of a node cut off by depth."""
-    spark = edges.sparkSession
     hops = materialize(directed(edges, direction).distinct(), "hops")
-    walk = spark.sql(
-        f"""
-        WITH RECURSIVE walk(node, path, n) AS (
-          SELECT '{start}', array('{start}'), 0
-          UNION ALL
-          SELECT h.dst, array_append(w.path, h.dst), w.n + 1 FROM walk w JOIN {{hops}} h ON w.node = h.src
-          WHERE w.n < {depth} AND NOT array_contains(w.path, h.dst))
-        SELECT * FROM walk""",
-        hops=hops,
-    )
-    walk = materialize(walk, "walk")
-    cut = walk.filter(F.col("n") == depth).join(hops, F.col("node") == F.col("src")).filter("NOT array_contains(path, dst)").groupBy("path").agg(F.count(F.lit(1)).alias("more"))
-    return walk.join(cut, "path", "left").select(F.array_join("path", " > ").alias("path"), F.col("node").alias("node_key"), F.col("n").alias("depth"), F.coalesce("more", F.lit(0)).cast("long").alias("more"))
+    found = walk(hops, _from(_start(edges, [start])), depth)
+    cut = found.filter(F.col("n") == depth).join(hops, F.col("node") == F.col("src")).filter(~F.array_contains("path", F.col("dst"))).groupBy("path").agg(F.count(F.lit(1)).alias("more"))
+    return found.join(cut, "path", "left").select(F.array_join("path", " > ").alias("path"), F.col("node").alias("node_key"), F.col("n").alias("depth"), F.coalesce("more", F.lit(0)).cast("long").alias("more"))
+
+
+def trace(edges: DataFrame, start: str, depth: int = 5, most: int = 200, skip_builtins: bool = True) -> DataFrame:
+    """direction, path, node_key, depth, more: callers (in) and callees (out) that share one budget of most nodes.
+
+    Nodes come by depth, direction and path; more counts the distinct neighbours of a node that depth or the budget leaves out.
+    The budget holds at every depth, so a tree of any width costs no more than its part of it.
+    """
+    ways = [directed(edges, d).distinct().withColumn("direction", F.lit(d)) for d in ("in", "out")]
+    hops = ways[0].unionByName(ways[1])
+    if skip_builtins:
+        hops = hops.filter(~F.col("dst").startswith("builtin:"))
+    hops = materialize(hops, "hops")
+    two = _start(edges, [start]).crossJoin(edges.sparkSession.createDataFrame([("in",), ("out",)], "direction string"))  # two rows
+    front = two.select("direction", F.col("node_key").alias("node"), F.array("node_key").alias("path"), F.lit(0).alias("n"))
+    out, eligible, left = front, None, most
+    for _ in range(depth + 1):
+        step = front.join(hops.withColumnRenamed("direction", "_d"), (F.col("node") == F.col("src")) & (F.col("direction") == F.col("_d"))).filter(~F.array_contains("path", F.col("dst")))
+        step = materialize(step.select("direction", F.col("dst").alias("node"), F.col("path").alias("parent"), F.array_append("path", F.col("dst")).alias("path"), (F.col("n") + 1).alias("n")), "trace")
+        eligible = step.select("direction", "parent") if eligible is None else eligible.unionByName(step.select("direction", "parent"))
+        front = step.filter(F.col("n") <= depth).orderBy("direction", "path").limit(left).select("direction", "node", "path", "n")
+        front = materialize(front, "front")
+        got = front.count()
+        left -= got
+        if not got:
+            break
+        out = out.unionByName(front)
+    of = eligible.groupBy("direction", F.col("parent").alias("path")).agg(F.count(F.lit(1)).alias("all"))
+    shown = out.filter("n > 0").groupBy("direction", F.slice("path", 1, F.col("n")).alias("path")).agg(F.count(F.lit(1)).alias("shown"))
+    met = out.join(of, ["direction", "path"], "left").join(shown, ["direction", "path"], "left")
+    more = (F.coalesce("all", F.lit(0)) - F.coalesce("shown", F.lit(0))).cast("long")
+    return met.select("direction", F.array_join("path", " > ").alias("path"), F.col("node").alias("node_key"), F.col("n").alias("depth"), more.alias("more"))
+
+
+def chain_files(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """file, nodes, n: the files of what a trace (node_key) touches, those with most nodes first."""
+    met = found.select("node_key").distinct().join(nodes.select("node_key", "file").filter("file IS NOT NULL"), "node_key")
+    return met.groupBy("file").agg(F.array_sort(F.collect_set("node_key")).alias("nodes"), F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "file")
+
+
+def in_files(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted, file, node_key: the nodes of the files that a path (wanted) names: the very path, else every file that ends in it.
+
+    Every file is expanded into its own suffixes at separators, so the two sides meet in an equi-join.
+    """
+    files = nodes.filter("file IS NOT NULL").select("file").distinct()
+    parts = F.split("file", "/")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+    met = files.select("file", F.explode(ends).alias("end")).join(small(wanted.select("wanted").distinct()), F.col("end") == F.regexp_replace("wanted", "^(?:\\./|/)+", ""))
+    exact = F.max(F.when(F.col("file") == F.col("wanted"), 1).otherwise(0)).over(Window.partitionBy("wanted"))
+    met = met.withColumn("_exact", exact).filter("_exact = 0 OR file = wanted")
+    return met.select("wanted", "file").join(nodes.select("file", "node_key"), "file").select("wanted", "file", "node_key")
+
+
+def impact(edges: DataFrame, nodes: DataFrame, starts: DataFrame, depth: int = 1) -> DataFrame:
+    """direction, node_key, file, depth: what the starts (node_key) reach and what reaches them, each node once a direction."""
+    sides = [reachable(edges, starts, d, depth).join(starts.select("node_key").distinct(), "node_key", "left_anti").withColumn("direction", F.lit(d)) for d in ("in", "out")]
+    met = sides[0].unionByName(sides[1]).join(nodes.select("node_key", "file"), "node_key", "left")
+    return met.select("direction", "node_key", "file", "depth")
 
 
 def inspect(edges: DataFrame, targets: list[str], depth: int = 6, per_pair: int = 10, total: int = 100) -> tuple[DataFrame, DataFrame]:
     """Paths between every ordered pair of the given targets, shortest first; and how many there are of each pair, zeros included.
 
-    The targets are a list that a user names, so a query a target is no loop over data.
+    All pairs share one walk; ways from which no target can be reached in time are not followed.
     """
-    spark = edges.sparkSession
-    ends = spark.createDataFrame([(t,) for t in targets], "node_key string")
-    hops = materialize(directed(edges, "out").distinct(), "hops")
-    near = materialize(reachable(edges, ends, "in", depth, with_start=True).select("node_key"), "near")
-    hops = materialize(hops.join(near.withColumnRenamed("node_key", "dst"), "dst", "left_semi").select("src", "dst"), "hops")
-    walk = spark.sql(
-        f"""
-        WITH RECURSIVE walk(start, node, path, n) AS (
-          SELECT node_key, node_key, array(node_key), 0 FROM {{ends}}
-          UNION ALL
-          SELECT w.start, h.dst, array_append(w.path, h.dst), w.n + 1 FROM walk w JOIN {{hops}} h ON w.node = h.src
-          WHERE w.n < {depth} AND NOT array_contains(w.path, h.dst))
-        SELECT * FROM walk""",
-        ends=ends, hops=hops,
-    )
-    hit = walk.filter("n > 0").join(F.broadcast(ends.withColumnRenamed("node_key", "node")), "node", "left_semi")
-    hit = materialize(hit.select(F.col("start").alias("from_key"), F.col("node").alias("to_key"), "n", F.array_join("path", " > ").alias("path")), "inspect")
-    from pyspark.sql import Window
-
+    ends = _start(edges, targets).distinct()
+    hops = _towards(edges, ends, "out", depth)
+    hit = walk(hops, _from(ends), depth).filter("n > 0").join(F.broadcast(ends.withColumnRenamed("node_key", "node")), "node", "left_semi")  # a list that a user names
+    hit = materialize(hit.select(F.col("path")[0].alias("from_key"), F.col("node").alias("to_key"), "n", F.array_join("path", " > ").alias("path")), "inspect")
     rank = F.row_number().over(Window.partitionBy("from_key", "to_key").orderBy("n", "path"))
     best = hit.withColumn("rank", rank).filter(F.col("rank") <= per_pair).orderBy("n", "from_key", "to_key", "path").limit(total)
-    pairs = spark.createDataFrame([(a, b) for a in targets for b in targets if a != b], "from_key string, to_key string")
+    pairs = edges.sparkSession.createDataFrame([(a, b) for a in targets for b in targets if a != b], "from_key string, to_key string")
     matrix = pairs.join(hit.groupBy("from_key", "to_key").agg(F.count(F.lit(1)).alias("n")), ["from_key", "to_key"], "left").select("from_key", "to_key", F.coalesce("n", F.lit(0)).cast("long").alias("n_paths"))
     return best.select("from_key", "to_key", "n", "path", "rank"), matrix
 
 
-def components(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """node_key, component: the smallest key that undirected edges (src_key, dst_key) reach. Nodes without edges are their own.
 
-    Alternating large-star and small-star steps; the number of rounds follows the logarithm of the size, not the diameter.
+    Alternating large-star and small-star steps until nothing changes; the number of rounds follows the logarithm of the size,
+    not the diameter.
     """
     e = materialize(edges.filter("src_key <> dst_key").select(F.greatest("src_key", "dst_key").alias("u"), F.least("src_key", "dst_key").alias("v")).distinct(), "cc")
     last = None
-    for _ in range(rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("u", "m").alias("m"))
         large = both.join(least, F.col("u") == F.col("_u")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

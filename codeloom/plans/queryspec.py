@@ -87,7 +87,7 @@ def execute(nodes: DataFrame, edges: DataFrame, spec: QuerySpec | str) -> DataFr
         if t.node_type:  # in paths the filter prunes
             ok = nodes.filter(F.lower("type_tag") == t.node_type.lower()).select(F.col("node_key").alias("dst_key"))
             e = e.join(ok, "dst_key", "left_semi")
-        out = paths(e, starts(nodes, spec.start), t.direction, t.depth or 10, t.target, f"dst = '{t.until}'" if t.until else None)
+        out = paths(e, starts(nodes, spec.start), t.direction, t.depth or 10, t.target, F.col("dst") == t.until if t.until else None)
         return out.select(F.array_join("path", " > ").alias("path"), "n")
     found = reachable(e, starts(nodes, spec.start), t.direction, t.depth, F.col("node_key") == t.until if t.until else None)
     out = found.select("node_key").distinct().join(nodes.select("node_key", "type_tag"), "node_key")

@@ -249,7 +249,7 @@ class Reader:
                     on = self.name()
                     continue
                 self.i += 1
-            key = self.node("trigger", parts[-1:], line)
+            key = self.node("trigger", parts[-1:], line, schema_name=parts[-2] if len(parts) > 1 else None)
             if on:
                 self.out.edges.append((key, f"table:{'.'.join(on)}", "TriggersTable", line))
             if self.take("execute"):

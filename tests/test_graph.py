@@ -71,7 +71,55 @@ def test_paths_stop_at_cycles_targets_and_until(spark):
     assert show(traverse.paths(e, start, "out", 9)) == ["a>b>c", "a>b>d>e"]
     assert show(traverse.paths(e, start, "out", 2)) == ["a>b>c", "a>b>d"]
     assert show(traverse.paths(e, start, "out", 9, target="d")) == ["a>b>d"]
-    assert show(traverse.paths(e, start, "out", 9, until="dst = 'd'")) == ["a>b>c", "a>b>d"]
+    assert show(traverse.paths(e, start, "out", 9, until=F.col("dst") == "d")) == ["a>b>c", "a>b>d"]
+
+
+def test_paths_take_any_key_and_any_depth(spark):
+    odd = ["table:dst_x", "proc:it's", "n.dst", 'q"\\', "%s {hops}"]
+    _, e = graph(spark, list(zip(odd, odd[1:])))
+    start = spark.createDataFrame([(odd[0],)], "node_key string")
+    assert [r.path for r in traverse.paths(e, start, "out", 9, target=odd[-1]).collect()] == [odd]
+    back = spark.createDataFrame([(odd[-1],)], "node_key string")
+    assert [r.path for r in traverse.paths(e, back, "in", 9, target=odd[0]).collect()] == [odd[::-1]]
+    assert [r.path for r in traverse.trace_rows(e, odd[1], "out", 1).orderBy("depth").collect()] == [odd[1], " > ".join(odd[1:3])]
+    assert traverse.inspect(e, [odd[0], odd[2]])[1].filter("n_paths = 1").count() == 1
+    m = spark.createDataFrame([("it's", "c'1", "s", "c2", "o")], "target_table string, target_column string, source_table string, source_column string, owner_key string")
+    assert [r.path for r in lineage.lineage_columns(m, "it's", "c'1").collect()] == ["it's.c'1 < s.c2"]
+    long = [(f"k{i:03}", f"k{i + 1:03}") for i in range(30)]
+    _, e = graph(spark, long)
+    (row,) = traverse.paths(e, spark.createDataFrame([("k000",)], "node_key string"), "out", 25).collect()
+    assert row.n == 25
+    got = {r.node_key: r.depth for r in traverse.nearest_paths(e, "k030").collect()}
+    assert got == {f"k{i:03}": 30 - i for i in range(30)}
+
+
+def test_trace_shares_its_budget(spark):
+    _, e = graph(spark, [("a", "m"), ("b", "m"), ("m", "x"), ("m", "y"), ("m", "builtin:f"), ("x", "z"), ("z", "m")])
+    rows = {(r.direction, r.path): r.more for r in traverse.trace(e, "m", 2, 5).collect()}
+    assert rows == {("in", "m"): 0, ("out", "m"): 0, ("in", "m > a"): 0, ("in", "m > b"): 0, ("in", "m > z"): 1, ("out", "m > x"): 1, ("out", "m > y"): 0}
+    few = {(r.direction, r.path): r.more for r in traverse.trace(e, "m", 2, 1).collect()}
+    assert few == {("in", "m"): 2, ("out", "m"): 2, ("in", "m > a"): 0}
+
+
+def test_files_are_found_by_their_ends(spark):
+    n = spark.createDataFrame([("a", "src/x/f.sql"), ("b", "lib/f.sql"), ("c", "f.sql"), ("d", "src/x/xf.sql")], "node_key string, file string")
+    want = spark.createDataFrame([("f.sql",), ("x/f.sql",), ("./lib/f.sql",)], "wanted string")
+    assert sorted((r.wanted, r.node_key) for r in traverse.in_files(n, want).collect()) == [("./lib/f.sql", "b"), ("f.sql", "c"), ("x/f.sql", "a")]
+    files = traverse.chain_files(n.select("node_key"), n.withColumn("file", F.when(F.col("node_key") < "c", F.lit("one")).otherwise(F.col("file"))))
+    assert [(r.file, r.n) for r in files.collect()] == [("one", 2), ("f.sql", 1), ("src/x/xf.sql", 1)]
+
+
+def test_dedup_rewires(spark):
+    nodes = spark.createDataFrame([("table:t", "table:t", False, None), ("table:S.t", "table:t", True, "f"), ("table:s.T", "table:t", True, None), ("proc:p", "proc:p", True, "f")], "node_key string, relaxed_key string, explicit boolean, file string").withColumn("partial", F.lit(False))
+    edges = spark.createDataFrame(
+        [("proc:p", "table:t", "TableAccess", 1, None), ("proc:p", "table:s.T", "TableAccess", 2, None), ("table:t", "table:S.t", "DependsOn", None, None), ("proc:p", "proc:p", "DirectCall", None, None),
+         ("proc:p", "table:t", "AnchorsOn", None, "type|c|variable"), ("proc:p", "table:S.t", "AnchorsOn", None, "type|c|variable"), ("proc:p", "table:t", "AnchorsOn", None, "type|d|variable")],
+        "src_key string, dst_key string, edge_type string, modes int, detail string",
+    )
+    n2, e2, _ = merge.dedup(nodes, edges)
+    assert sorted(r.node_key for r in n2.collect()) == ["proc:p", "table:S.t"]
+    assert sorted((r.src_key, r.dst_key, r.edge_type, r.modes, r.detail) for r in e2.collect() if r.edge_type != "AnchorsOn") == [("proc:p", "proc:p", "DirectCall", None, None), ("proc:p", "table:S.t", "TableAccess", 3, None)]
+    assert e2.filter("edge_type = 'AnchorsOn'").count() == 2
 
 
 def test_query_documents(spark):
@@ -163,7 +211,7 @@ def test_merge_is_idempotent_and_dedup_keeps_the_richer(spark):
     nodes = spark.createDataFrame([("k", True, False, None), ("k", False, False, "f"), ("k", True, True, "f")], "node_key string, explicit boolean, partial boolean, file string")
     edges = spark.createDataFrame([("k", "k", "TableAccess"), ("k", "j", "DirectCall"), ("k", "j", "DirectCall")], "src_key string, dst_key string, edge_type string")
     n2, e2, report = merge.dedup(nodes, edges)
-    assert n2.collect()[0].partial is False and e2.count() == 1 and {r.what: r.n for r in report.collect()}["edges_before"] == 3
+    assert n2.collect()[0].partial is False and e2.count() == 2 and {r.what: r.n for r in report.collect()}["edges_before"] == 3
     merge.merge_edges(edges.selectExpr("*", "0 AS store_ord", "1 AS modes"), spark.createDataFrame([("k", "k"), ("j", "j")], "node_key string, canonical string")).collect()
 
 
