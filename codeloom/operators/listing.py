@@ -140,3 +140,11 @@ def drop_identical(edges: DataFrame) -> DataFrame:
     if not place:
         return edges.dropDuplicates()
     return edges.groupBy(*payload).agg(F.min(F.struct(*place)).alias("_p")).select(*payload, "_p.*")
+
+
+def tags(nodes: DataFrame) -> DataFrame:
+    """node_key, tag, sub_tag (defined, inferred or partial) and display, what a node is called in listings."""
+    tag = F.regexp_replace("type_tag", r"\*$", "")
+    partial = F.col("partial") if "partial" in nodes.columns else F.lit(False)
+    sub = F.when(partial, "partial").when(F.col("type_tag").endswith("*"), "inferred").otherwise("defined")
+    return nodes.select("node_key", tag.alias("tag"), sub.alias("sub_tag"), F.concat_ws(" ", tag, F.coalesce("name", "node_key")).alias("display"))

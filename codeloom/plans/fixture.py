@@ -27,9 +27,12 @@ VIEWS = {
     "UNION ALL SELECT pkg_key AS src_key, node_key AS dst_key, 'ContainsRoutine' AS edge_type, 'composition' AS category, CAST(NULL AS INT) AS modes FROM g_proc",
     # Column c of part p is written by the routine of its lines from column c of the next part.
     "g_colmap": "SELECT DISTINCT 'p' || l_partkey AS target_table, 'c' || (l_partkey % 3) AS target_column, 'p' || (l_partkey * 3 % 97 + 1) AS source_table, 'c' || ((l_partkey * 3 % 97 + 1) % 3) AS source_column, "
-    "'proc:s' || (l_partkey % 10 + 1) AS owner_key FROM lineitem WHERE l_partkey <= 97",
+    "'proc:s' || (l_partkey % 10 + 1) AS owner_key FROM lineitem",
+    # Statements: an order is a statement of one of 997 routines that accesses the parts of its lines.
+    "g_stmt": "SELECT l_orderkey AS statement, 'o' || (l_orderkey % 997) AS routine, 'p' || l_partkey AS tab, CAST(bit_or(CASE l_returnflag WHEN 'R' THEN 2 ELSE 1 END) AS INT) AS modes FROM lineitem GROUP BY l_orderkey, l_partkey",
+    # A statement for each routine, so that a search by text finds routines that others call.
+    "g_body": "SELECT node_key, 'SELECT name FROM part_' || (id % 20) || ' WHERE size = ' || id AS sql_text FROM g_proc",
 }
-VIEWS["g_colmap_whole"] = VIEWS["g_colmap"].removesuffix(" WHERE l_partkey <= 97")
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

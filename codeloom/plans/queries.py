@@ -61,18 +61,30 @@ _PAIRS = ", ".join(f"({a}, {b})" for a, others in CONFLICTS.items() for b in oth
 @query(
     "lock_matrix",
     f"WITH m(a, b) AS (VALUES {_PAIRS}), bit(l, v) AS (VALUES (1, 1), (2, 4), (3, 2), (4, 16), (5, 32), (6, 64), (7, 128), (8, 8)), n AS (SELECT CAST(range AS INT) AS x FROM range(1, 256)) "
-    "SELECT p.x AS modes_a, q.x AS modes_b, EXISTS (SELECT 1 FROM m JOIN bit u ON u.l = m.a JOIN bit w ON w.l = m.b WHERE p.x & u.v <> 0 AND q.x & w.v <> 0) AS conflict FROM n p, n q WHERE p.x % 5 = 0 AND q.x % 7 = 0",
+    "SELECT p.x AS modes_a, q.x AS modes_b, EXISTS (SELECT 1 FROM m JOIN bit u ON u.l = m.a JOIN bit w ON w.l = m.b WHERE p.x & u.v <> 0 AND q.x & w.v <> 0) AS conflict FROM n p, n q",
 )
 def _(spark, sf):
-    a = spark.range(5, 256, 5).select(F.col("id").cast("int").alias("modes_a"))
-    b = spark.range(7, 256, 7).select(F.col("id").cast("int").alias("modes_b"))
-    return a.crossJoin(b).select("modes_a", "modes_b", acc.locks_conflict(F.col("modes_a"), F.col("modes_b")).alias("conflict"))  # a fixed grid of mode values
+    m = spark.range(1, 256).select(F.col("id").cast("int").alias("modes"))
+    return m.select(F.col("modes").alias("modes_a")).crossJoin(m.select(F.col("modes").alias("modes_b"))).withColumn("conflict", acc.locks_conflict(F.col("modes_a"), F.col("modes_b")))  # all 255 x 255 pairs
 
 
-@query("lock_matrix_whole")
+@query(
+    "conflict_modes",
+    with_sql("g_access").rstrip() + """, k AS (SELECT 'table:p' || table_id AS t, modes, count(*) AS n FROM g_access GROUP BY 1, 2)
+SELECT x.t AS table_key, x.modes AS modes_a, y.modes AS modes_b, CASE WHEN (x.modes | y.modes) & 8 <> 0 THEN 'high' ELSE 'medium' END AS severity,
+  CASE WHEN x.modes = y.modes THEN x.n * (x.n - 1) / 2 ELSE x.n * y.n / 2 END::DOUBLE AS pairs FROM k x JOIN k y ON x.t = y.t WHERE (x.modes & 8 <> 0) OR (y.modes & 8 <> 0)""",
+)
 def _(spark, sf):
-    m = spark.range(1, 256).select(F.col("id").cast("int").alias("modes"))
-    return m.select(F.col("modes").alias("modes_a")).crossJoin(m.select(F.col("modes").alias("modes_b"))).withColumn("conflict", acc.locks_conflict(F.col("modes_a"), F.col("modes_b")))  # all 255 x 255 pairs
+    return conflicts.modes_in_conflict(_access(_graph(spark, sf)[2])).withColumn("pairs", F.col("pairs").cast("double"))
+
+
+@query("conflict_order", with_sql("g_access").rstrip() + ", " + _CONFLICT.split(")\nSELECT")[0] + "), z AS (SELECT" + _CONFLICT.split(")\nSELECT")[1] + ") SELECT row_number() OVER (ORDER BY CASE severity WHEN 'high' THEN 0 ELSE 1 END, table_key, proc_a, proc_b) AS place, table_key, proc_a, proc_b FROM z ORDER BY place LIMIT 500")
+def _(spark, sf):
+    from pyspark.sql import Window
+
+    top = conflicts.ordered(conflicts.find_conflicts(_access(_graph(spark, sf)[2]))).limit(500)  # the first page of a report
+    place = F.row_number().over(Window.orderBy(F.when(F.col("severity") == "high", 0).otherwise(1), "table_key", "proc_a", "proc_b"))
+    return top.select(place.cast("long").alias("place"), "table_key", "proc_a", "proc_b")
 
 
 @query("lock_levels", with_sql("g_access") + f"SELECT modes, {LEVEL('modes')} AS level, count(*) AS n FROM g_access GROUP BY modes")
@@ -190,7 +202,7 @@ def _(spark, sf):
 
 @query("identical_edges", with_sql("g_raw") + "SELECT DISTINCT proc_id, table_id, mode, write_kind FROM g_raw")
 def _(spark, sf):
-    return _graph(spark, sf)[2]["g_raw"].dropDuplicates(["proc_id", "table_id", "mode", "write_kind"]).select("proc_id", "table_id", "mode", "write_kind")
+    return listing.drop_identical(_graph(spark, sf)[2]["g_raw"]).select("proc_id", "table_id", "mode", "write_kind")
 
 
 # ---- traversal ------------------------------------------------------------------------------------------------------
@@ -311,34 +323,50 @@ def _(spark, sf):
 
 # ---- lineage --------------------------------------------------------------------------------------------------------
 
-_HOPS = "h AS (SELECT DISTINCT w.table_id AS p, w.proc_id AS r, c.table_id AS c FROM g_access w JOIN g_access c ON w.proc_id = c.proc_id AND w.table_id <> c.table_id WHERE w.modes & 2 <> 0 AND c.modes & 1 <> 0 AND w.table_id <= 40 AND c.table_id <= 40)"
+_HOPS = """r AS (SELECT DISTINCT routine, tab FROM g_stmt WHERE modes & 1 <> 0),
+h AS (SELECT DISTINCT w.tab AS p, w.routine AS r, a.tab AS c FROM g_stmt w JOIN g_stmt a ON w.statement = a.statement AND w.tab <> a.tab JOIN r ON r.routine = w.routine AND r.tab = a.tab WHERE w.modes & 2 <> 0)
+"""
 
 
-@query("table_hops", with_sql("g_access").rstrip() + ", " + _HOPS + "SELECT p AS parent, r AS routine, c AS child FROM h")
-def _(spark, sf):
-    a = _graph(spark, sf)[2]["g_access"].filter("table_id <= 40").select(F.col("proc_id").alias("routine"), F.col("table_id").alias("table"), "modes")
-    return lineage.table_hops(a)
+def _statements(spark, sf) -> DataFrame:
+    """routine, table, modes, read_tables: what each statement accesses, and for its writes what else it does."""
+    st = _graph(spark, sf)[2]["g_stmt"]
+    beside = st.groupBy("statement").agg(F.collect_set("tab").alias("all"))
+    reads = F.when(F.col("modes").bitwiseAND(2) != 0, F.array_remove("all", F.col("tab")))
+    return st.join(beside, "statement").select("routine", F.col("tab").alias("table"), "modes", reads.alias("read_tables"), "statement")
 
 
-@query("table_hops_whole")
+@query("table_hops", with_sql("g_stmt").rstrip() + ", " + _HOPS + "SELECT p AS parent, r AS routine, c AS child FROM h")
 def _(spark, sf):
-    return lineage.table_hops(_graph(spark, sf)[2]["g_access"].select(F.col("proc_id").alias("routine"), F.col("table_id").alias("table"), "modes"))
+    return lineage.table_hops(_statements(spark, sf))
 
 
 @query(
     "table_lineage",
-    with_sql("g_access", recursive=_HOPS + ", w(k, r, p, n) AS (SELECT 't7', CAST(NULL AS VARCHAR), ['t7'], 0 UNION ALL SELECT 't' || h.c, 's' || h.r, list_append(w.p, 't' || h.c), w.n + 1 FROM w JOIN h ON w.k = 't' || h.p WHERE w.n < 3 AND NOT list_contains(w.p, 't' || h.c))")
+    with_sql("g_stmt", recursive=_HOPS + ", w(k, r, p, n) AS (SELECT 'p7', CAST(NULL AS VARCHAR), ['p7'], 0 UNION ALL SELECT h.c, h.r, list_append(w.p, h.c), w.n + 1 FROM w JOIN h ON w.k = h.p WHERE w.n < 3 AND NOT list_contains(w.p, h.c))")
     + "SELECT array_to_string(p, ' < ') AS path, r AS routine, k AS \"table\", n AS depth FROM w WHERE n > 0",
 )
 def _(spark, sf):
-    a = _graph(spark, sf)[2]["g_access"].filter("table_id <= 40").select(F.concat(F.lit("s"), "proc_id").alias("routine"), F.concat(F.lit("t"), "table_id").alias("table"), "modes")
-    return lineage.lineage_tables(lineage.table_hops(a), "t7", "up", 3)
+    return lineage.lineage_tables(lineage.table_hops(_statements(spark, sf)), "p7", "up", 3)
+
+
+@query(
+    "lineage_steps",
+    with_sql("g_stmt").rstrip() + ", " + _HOPS + ", k AS (SELECT routine, tab, bit_or(modes) AS m FROM g_stmt GROUP BY 1, 2) SELECT p AS parent, c AS child, string_agg(r || ':' || m, ',' ORDER BY r || ':' || m) AS routines FROM h JOIN k ON k.routine = h.r AND k.tab = h.p GROUP BY 1, 2",
+)
+def _(spark, sf):
+    s = lineage.steps(_statements(spark, sf).withColumn("write_kinds", F.array().cast("array<string>")))
+    return s.select("parent", "child", F.array_join(F.array_sort(F.transform("routines", lambda x: F.concat_ws(":", x["routine"], x["modes"].cast("string")))), ",").alias("routines"))
 
 
-@query("table_lineage_whole")
+@query("lineage_relations", with_sql("g_stmt").rstrip() + ", " + _HOPS + "SELECT p AS parent, c AS child, string_agg(DISTINCT r, ',' ORDER BY r) AS routines, count(DISTINCT r) AS n FROM h GROUP BY 1, 2")
 def _(spark, sf):
-    a = _graph(spark, sf)[2]["g_access"].select(F.concat(F.lit("s"), "proc_id").alias("routine"), F.concat(F.lit("t"), "table_id").alias("table"), "modes")
-    return lineage.lineage_tables(lineage.table_hops(a), "t7", "up", 3)
+    return lineage.relations(lineage.table_hops(_statements(spark, sf))).withColumn("routines", F.array_join("routines", ","))
+
+
+@query("external_sources", with_sql("g_stmt").rstrip() + ", " + _HOPS + "SELECT DISTINCT c AS \"table\" FROM h WHERE c NOT IN (SELECT p FROM h)")
+def _(spark, sf):
+    return lineage.external_sources(lineage.table_hops(_statements(spark, sf)))
 
 
 @query(
@@ -350,11 +378,6 @@ def _(spark, sf):
     return lineage.lineage_columns(_graph(spark, sf)[2]["g_colmap"], "p5", "c2", "up", 8)
 
 
-@query("column_lineage_whole")
-def _(spark, sf):
-    return lineage.lineage_columns(_graph(spark, sf)[2]["g_colmap_whole"], "p5", "c2", "up", 8)
-
-
 _ROLES = """ddl AS (SELECT DISTINCT source_table AS t, source_column AS c FROM g_colmap WHERE CAST(substr(source_table, 2) AS INT) % 3 <> 0),
 tot AS (SELECT target_table AS t, count(DISTINCT target_column) AS total FROM g_colmap GROUP BY 1),
 u AS (SELECT DISTINCT target_table, source_table, source_column FROM g_colmap),
@@ -364,8 +387,8 @@ z AS (SELECT target_table, source_table, overlap, total, CASE WHEN NOT known THE
 """
 
 
-def _roles(spark, sf, mappings: str = "g_colmap"):
-    m = _graph(spark, sf)[2][mappings]
+def _roles(spark, sf):
+    m = _graph(spark, sf)[2]["g_colmap"]
     ddl = m.select(F.col("source_table").alias("table"), F.col("source_column").alias("column")).filter("CAST(substr(table, 2) AS INT) % 3 <> 0")
     return lineage.edge_roles(m, ddl)
 
@@ -375,24 +398,26 @@ def _(spark, sf):
     return _roles(spark, sf)
 
 
-@query("lineage_roles_whole")
-def _(spark, sf):
-    return _roles(spark, sf, "g_colmap_whole")
-
-
 @query("lineage_rollup", with_sql("g_colmap").rstrip() + ", " + _ROLES + "SELECT source_table, CASE WHEN bool_or(role = 'flow') THEN 'flow' WHEN bool_or(role = 'reference') THEN 'reference' ELSE 'unknown' END AS role, max(overlap) AS overlap FROM z GROUP BY source_table")
 def _(spark, sf):
     return lineage.roll_up(_roles(spark, sf))
 
 
-@query("lineage_rollup_whole")
+@query(
+    "lineage_children",
+    with_sql("g_colmap", "g_stmt").rstrip() + ", " + _ROLES.rstrip() + ", " + _HOPS + ", e AS (SELECT DISTINCT target_table AS p, source_table AS c FROM g_colmap WHERE target_table <> source_table), "
+    "y AS (SELECT e.p, e.c, coalesce(z.role, 'unknown') AS role, CAST(coalesce(z.overlap, 0) AS BIGINT) AS overlap, z.total FROM e LEFT JOIN z ON z.target_table = e.p AND z.source_table = e.c) "
+    "SELECT p AS parent, c AS child, role, overlap, total, CAST(row_number() OVER (PARTITION BY p ORDER BY CASE role WHEN 'flow' THEN 0 WHEN 'reference' THEN 1 ELSE 2 END, overlap DESC, c) AS INT) AS place FROM y",
+)
 def _(spark, sf):
-    return lineage.roll_up(_roles(spark, sf, "g_colmap_whole"))
+    m = _graph(spark, sf)[2]["g_colmap"]
+    hops = m.select(F.col("target_table").alias("parent"), F.col("owner_key").alias("routine"), F.col("source_table").alias("child")).filter("parent <> child")
+    return lineage.children(hops, _roles(spark, sf))
 
 
 # ---- clustering -----------------------------------------------------------------------------------------------------
 
-_TFIDF = """v0 AS (SELECT proc_id, table_id FROM g_access WHERE table_id <= 300), n AS (SELECT count(DISTINCT proc_id) AS n FROM v0), df AS (SELECT table_id, count(*) AS df FROM v0 GROUP BY 1),
+_TFIDF = """v0 AS (SELECT proc_id, table_id FROM g_access), n AS (SELECT count(DISTINCT proc_id) AS n FROM v0), df AS (SELECT table_id, count(*) AS df FROM v0 GROUP BY 1),
 idf AS (SELECT table_id, ln(n.n / df) AS idf FROM df, n WHERE df < n.n), x AS (SELECT 'proc:s' || proc_id AS p, v0.table_id AS t, idf FROM v0 JOIN idf ON v0.table_id = idf.table_id),
 no AS (SELECT p, sqrt(sum(idf * idf)) AS norm FROM x GROUP BY p),
 s AS (SELECT a.p AS a, b.p AS b, sum(a.idf * b.idf) / (na.norm * nb.norm) AS sim FROM x a JOIN x b ON a.t = b.t AND a.p <> b.p JOIN no na ON na.p = a.p JOIN no nb ON nb.p = b.p GROUP BY a.p, b.p, na.norm, nb.norm),
@@ -401,12 +426,6 @@ SELECT least(a, b) AS proc_a, greatest(a, b) AS proc_b, round(max(sim), 6) AS si
 
 
 @query("tfidf_neighbours", with_sql("g_access").rstrip() + ", " + _TFIDF)
-def _(spark, sf):
-    a = _access(_graph(spark, sf)[2]).filter("CAST(substr(table_key, 8) AS BIGINT) <= 300").select("proc_key", "table_key")
-    return cluster.tfidf(a).select("proc_a", "proc_b", F.round("sim", 6).alias("sim"))
-
-
-@query("tfidf_neighbours_whole")
 def _(spark, sf):
     return cluster.tfidf(_access(_graph(spark, sf)[2]).select("proc_key", "table_key")).select("proc_a", "proc_b", F.round("sim", 6).alias("sim"))
 
@@ -452,7 +471,22 @@ def _(spark, sf):
     return cluster.coupling(e, v["g_proc"].select("node_key", F.col("pkg_key").alias("cluster")))
 
 
-@query("clusters")
+@query("clusters", with_sql("g_proc") + "SELECT count(*) AS units, count(*) AS placed, 0::BIGINT AS torn, true AS better FROM g_proc")
+def _(spark, sf):
+    """Properties that clusters must have: every unit has one, none reaches over components, modularity is not below that of units alone."""
+    from codeloom.work import materialize
+
+    g, u, _c = _units(spark, sf)
+    found = materialize(cluster.cnm(g, u), "clusters")
+    comp = traverse.components(g.select(F.col("a").alias("src_key"), F.col("b").alias("dst_key")), u.withColumnRenamed("unit", "node_key"))
+    torn = found.join(comp, F.col("unit") == F.col("node_key")).groupBy("cluster").agg(F.count_distinct("component").alias("k")).filter("k > 1").agg(F.count(F.lit(1)).alias("torn"))
+    before, after = cluster.modularity(g, u.withColumn("cluster", F.col("unit"))), cluster.modularity(g, found)
+    better = before.select(F.col("modularity").alias("m")).crossJoin(after).select((F.col("modularity") >= F.col("m")).alias("better"))  # one row each
+    counts = found.agg(F.count(F.lit(1)).alias("placed"), F.count_distinct("unit").alias("units"))
+    return counts.crossJoin(torn).crossJoin(better).select("units", "placed", "torn", "better")
+
+
+@query("cluster_assignments")
 def _(spark, sf):
     g, u, _c = _units(spark, sf)
     return cluster.cnm(g, u)
@@ -525,17 +559,12 @@ _CALLERS = "c AS (SELECT DISTINCT src_key AS s, dst_key AS d FROM g_edges WHERE
 
 @query(
     "trace_sql",
-    with_sql("g_edges", "g_proc").rstrip() + ", " + _CALLERS + "SELECT node_key, 1.0::DOUBLE AS score, c.s AS caller FROM g_proc LEFT JOIN c ON node_key = c.d WHERE id % 7 = 1",
+    with_sql("g_edges", "g_proc", "g_body").rstrip() + ", " + _CALLERS + f", hit AS (SELECT node_key FROM g_body WHERE {_NORM('lower(sql_text)')} = 'select name from part_7 where size=?') SELECT node_key, 1.0::DOUBLE AS score, c.s AS caller FROM hit LEFT JOIN c ON node_key = c.d",
 )
 def _(spark, sf):
     _n, e, v = _graph(spark, sf)
-    return search.trace_sql(v["g_proc"].filter("id % 7 = 1").select("node_key", F.lit(1.0).alias("score")), e)
-
-
-@query("trace_sql_whole")
-def _(spark, sf):
-    _n, e, v = _graph(spark, sf)
-    return search.trace_sql(v["g_proc"].select("node_key", F.lit(1.0).alias("score")), e)
+    hits = search.search_sql(search.index(v["g_body"].withColumn("indexed", F.lit(True))), "select name from part_7 where size = 0")
+    return search.trace_sql(hits, e)
 
 
 @query(
@@ -552,13 +581,12 @@ def _(spark, sf):
 # ---- names ----------------------------------------------------------------------------------------------------------
 
 _ROUTINES = """r AS (SELECT 'proc:r' || p_partkey AS routine_key, CASE p_partkey % 4 WHEN 0 THEN NULL ELSE 'sch' || (p_partkey % 4) END AS sch, CASE WHEN p_partkey % 3 = 0 THEN 'pkg' || (p_partkey % 5) END AS pkg,
-  CASE WHEN p_partkey % 7 = 0 THEN 'only' || p_partkey ELSE 'fn' || (p_partkey % 40) END AS n FROM part WHERE p_partkey <= 400)"""
+  CASE WHEN p_partkey % 7 = 0 THEN 'only' || p_partkey ELSE 'fn' || (p_partkey % 40) END AS n FROM part)"""
 
 
-def _routines(spark, sf, most: int | None = None):
+def _routines(spark, sf):
     p = F.col("p_partkey")
-    part = spark.read.parquet(f"{sf}/part.parquet")
-    return (part if most is None else part.filter(p <= most)).select(
+    return spark.read.parquet(f"{sf}/part.parquet").select(
         F.concat(F.lit("proc:r"), p).alias("routine_key"), F.when(p % 4 != 0, F.concat(F.lit("sch"), p % 4)).alias("schema_name"), F.when(p % 3 == 0, F.concat(F.lit("pkg"), p % 5)).alias("package_name"),
         F.when(p % 7 == 0, F.concat(F.lit("only"), p)).otherwise(F.concat(F.lit("fn"), p % 40)).alias("name"),
     )
@@ -578,17 +606,12 @@ def _calls(spark, sf):
     "resolve_calls",
     "WITH " + _ROUTINES + """, f AS (SELECT *, concat_ws('.', sch, pkg, n) AS f, count(*) OVER (PARTITION BY n) AS many FROM r),
 c AS (SELECT l_orderkey * 10 + l_linenumber AS call_id, CASE l_linenumber WHEN 1 THEN 'only' || (l_partkey % 50 * 7) WHEN 2 THEN 'SCH' || (l_partkey % 5) || '.FN' || (l_partkey % 45) WHEN 3 THEN 'pkg' || (l_partkey % 6) || '.fn' || (l_partkey % 45) WHEN 4 THEN 'self.x' ELSE 'fn' || (l_partkey % 60) END AS raw,
-  'sch' || (l_suppkey % 5) AS caller FROM lineitem WHERE l_orderkey <= 300),
-m AS (SELECT c.call_id, min(struct_pack(k := CASE WHEN f.f = lower(c.raw) THEN 1 WHEN contains(c.raw, '.') AND f.n = regexp_extract(lower(c.raw), '[^.]*$', 0) AND f.many = 1 THEN 2 WHEN contains(c.raw, '.') AND f.pkg IS NOT NULL AND f.pkg || '.' || f.n = lower(c.raw) THEN 3
-   WHEN NOT contains(c.raw, '.') AND f.many = 1 AND f.n = lower(c.raw) THEN 4 WHEN f.n = regexp_extract(lower(c.raw), '[^.]*$', 0) THEN CASE WHEN f.sch = c.caller THEN 5 WHEN f.sch IS NULL THEN 6 ELSE 7 END END, key := f.routine_key)) AS b
-  FROM c JOIN f ON f.f = lower(c.raw) OR f.n = regexp_extract(lower(c.raw), '[^.]*$', 0) OR f.pkg || '.' || f.n = lower(c.raw) WHERE c.raw <> 'self.x' GROUP BY c.call_id)
-SELECT c.call_id, c.raw, 'S' || m.b.k AS strategy, m.b.key AS routine_key FROM c LEFT JOIN m ON c.call_id = m.call_id WHERE c.raw <> 'self.x'""",
+  'sch' || (l_suppkey % 5) AS caller FROM lineitem), d AS (SELECT *, lower(raw) AS t, regexp_extract(lower(raw), '[^.]*$', 0) AS bare, contains(raw, '.') AS dotted FROM c WHERE raw <> 'self.x'),
+x AS (SELECT d.call_id, 1 AS k, f.routine_key AS key FROM d JOIN f ON f.f = d.t UNION ALL SELECT d.call_id, 3, f.routine_key FROM d JOIN f ON f.pkg || '.' || f.n = d.t WHERE d.dotted
+  UNION ALL SELECT d.call_id, CASE WHEN f.many = 1 THEN CASE WHEN d.dotted THEN 2 ELSE 4 END WHEN f.sch = d.caller THEN 5 WHEN f.sch IS NULL THEN 6 ELSE 7 END, f.routine_key FROM d JOIN f ON f.n = d.bare),
+m AS (SELECT call_id, min(struct_pack(k := k, key := key)) AS b FROM x GROUP BY call_id)
+SELECT d.call_id, d.raw, 'S' || m.b.k AS strategy, m.b.key AS routine_key FROM d LEFT JOIN m ON d.call_id = m.call_id""",
 )
-def _(spark, sf):
-    return search.resolve_calls(_calls(spark, sf).filter("call_id < 3010"), _routines(spark, sf, 400))  # the ids of the SQL
-
-
-@query("resolve_calls_whole")
 def _(spark, sf):
     return search.resolve_calls(_calls(spark, sf), _routines(spark, sf))
 
@@ -602,11 +625,6 @@ def _missing(spark, sf):
     "WITH " + _ROUTINES + """, m AS (SELECT DISTINCT 'onlx' || (p_partkey % 30) AS raw FROM part), d AS (SELECT m.raw, r.n AS name, levenshtein(m.raw, r.n) AS distance FROM m, (SELECT DISTINCT n FROM r) r WHERE levenshtein(m.raw, r.n) <= 3),
 k AS (SELECT *, row_number() OVER (PARTITION BY raw ORDER BY distance, name) AS rank FROM d) SELECT raw, name, CAST(distance AS INT) AS distance, CAST(rank AS INT) AS rank FROM k WHERE rank <= 3""",
 )
-def _(spark, sf):
-    return search.nearest_names(_missing(spark, sf), _routines(spark, sf, 400))  # the ids of the SQL
-
-
-@query("nearest_names_whole")
 def _(spark, sf):
     return search.nearest_names(_missing(spark, sf), _routines(spark, sf))
 
@@ -690,19 +708,17 @@ def _(spark, sf):
     return build(materialize(parse(_sources(spark, sf)), "parsed"))[1].filter("edge_type = 'DirectCall'").select("src_key", "dst_key")
 
 
-_DOC_N = "n AS (SELECT 'd' || (p_partkey % 3) AS doc, 'i' || (p_partkey // 2) AS id, CASE p_partkey % 4 WHEN 0 THEN 'table' WHEN 1 THEN 'view' WHEN 2 THEN 'report' ELSE 'odd' END AS type FROM part WHERE p_partkey <= 300)"
-_DOC_E = "e AS (SELECT 'd' || (l_partkey % 3) AS doc, 'i' || (l_partkey // 2) AS source, 'i' || (l_suppkey % 200) AS target, CASE WHEN l_linenumber = 1 THEN 'feeds' WHEN l_linenumber = 2 THEN 'wrong' ELSE 'DependsOn' END AS type FROM lineitem WHERE l_orderkey <= 200 AND l_partkey <= 300)"
+_DOC_N = "n AS (SELECT 'd' || (p_partkey % 3) AS doc, 'i' || (p_partkey // 2) AS id, CASE p_partkey % 4 WHEN 0 THEN 'table' WHEN 1 THEN 'view' WHEN 2 THEN 'report' ELSE 'odd' END AS type FROM part)"
+_DOC_E = "e AS (SELECT 'd' || (l_partkey % 3) AS doc, 'i' || (l_partkey // 2) AS source, 'i' || (l_suppkey % 200) AS target, CASE WHEN l_linenumber = 1 THEN 'feeds' WHEN l_linenumber = 2 THEN 'wrong' ELSE 'DependsOn' END AS type FROM lineitem)"
 
 
-def _document(spark, sf, whole: bool = False):
+def _document(spark, sf):
     k = F.col("p_partkey")
     doc = lambda c: F.concat(F.lit("d"), c % 3)
     half = lambda c: F.concat(F.lit("i"), F.floor(c / 2))
     kind = F.when(k % 4 == 0, "table").when(k % 4 == 1, "view").when(k % 4 == 2, "report").otherwise("odd")
     key = F.when(k % 8 == 2, F.create_map(F.lit("other"), F.lit("x"))).otherwise(F.create_map(F.lit("name"), k.cast("string")))
     part, li = spark.read.parquet(f"{sf}/part.parquet"), spark.read.parquet(f"{sf}/lineitem.parquet")
-    if not whole:  # the ids of the SQL
-        part, li = part.filter(k <= 300), li.filter("l_orderkey <= 200 AND l_partkey <= 300")
     nodes = part.select(doc(k).alias("doc"), half(k).alias("id"), kind.alias("type"), key.alias("key"))
     p, n = F.col("l_partkey"), F.col("l_linenumber")
     edges = li.select(doc(p).alias("doc"), half(p).alias("source"), F.concat(F.lit("i"), F.col("l_suppkey") % 200).alias("target"), F.when(n == 1, "feeds").when(n == 2, "wrong").otherwise("DependsOn").alias("type"))
@@ -715,7 +731,7 @@ def _document(spark, sf, whole: bool = False):
     "WITH " + _DOC_N + ", " + _DOC_E + """ SELECT doc, 'error' AS level, 'duplicate-id' AS rule, id AS subject FROM n GROUP BY doc, id HAVING count(*) > 1
 UNION ALL SELECT doc, 'error', 'dangling-end', id FROM (SELECT doc, source AS id FROM e UNION SELECT doc, target FROM e) x WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.doc = x.doc AND n.id = x.id)
 UNION ALL SELECT DISTINCT doc, 'error', 'undeclared-node-type', type FROM n WHERE type = 'odd' UNION ALL SELECT DISTINCT doc, 'error', 'undeclared-edge-type', type FROM e WHERE type = 'wrong'
-UNION ALL SELECT 'd' || (p_partkey % 3), 'error', 'missing-key-field', 'i' || (p_partkey // 2) FROM part WHERE p_partkey <= 300 AND p_partkey % 8 = 2""",
+UNION ALL SELECT 'd' || (p_partkey % 3), 'error', 'missing-key-field', 'i' || (p_partkey // 2) FROM part WHERE p_partkey % 8 = 2""",
 )
 def _(spark, sf):
     from codeloom.sources.interchange import validate
@@ -723,13 +739,6 @@ def _(spark, sf):
     return validate(*_document(spark, sf))
 
 
-@query("validate_document_whole")
-def _(spark, sf):
-    from codeloom.sources.interchange import validate
-
-    return validate(*_document(spark, sf, whole=True))
-
-
 @query(
     "export_ndjson",
     with_sql("g_nodes", "g_edges") + """SELECT '1 ' || node_key AS ord, '{"record":"node","id":"' || node_key || '","type_tag":"' || type_tag || '","name":"' || name || '"}' AS line FROM g_nodes
@@ -742,11 +751,12 @@ def _(spark, sf):
     return ndjson(n, e)
 
 
-_FILTERED = """seed AS (SELECT node_key FROM g_nodes WHERE contains(node_key, 'proc:s1')), keep AS (SELECT node_key FROM seed UNION SELECT dst_key FROM g_edges WHERE src_key IN (SELECT node_key FROM seed) UNION SELECT src_key FROM g_edges WHERE dst_key IN (SELECT node_key FROM seed))
+_FILTERED = """seed AS (SELECT node_key FROM g_nodes WHERE contains(node_key, 'proc:s1')),
+keep AS (SELECT node_key FROM seed UNION SELECT dst_key FROM g_edges JOIN seed ON src_key = node_key UNION SELECT src_key FROM g_edges JOIN seed ON dst_key = node_key)
 """
 
 
-@query("export_filtered", with_sql("g_nodes", "g_edges").rstrip() + ", " + _FILTERED + "SELECT src_key, dst_key, edge_type FROM g_edges WHERE src_key IN (SELECT node_key FROM keep) AND dst_key IN (SELECT node_key FROM keep)")
+@query("export_filtered", with_sql("g_nodes", "g_edges").rstrip() + ", " + _FILTERED + "SELECT src_key, dst_key, edge_type FROM g_edges JOIN keep x ON src_key = x.node_key JOIN keep y ON dst_key = y.node_key")
 def _(spark, sf):
     from codeloom.sources.export import filtered
 
@@ -762,9 +772,170 @@ def _(spark, sf):
     return thin(n, e)[1].withColumn("modes", F.array_join("modes", ","))
 
 
-@query("export_dot")
+_DOT_EDGE = """SELECT '3 ' || src_key || ' ' || dst_key || ' ' || edge_type AS ord, '  "' || src_key || '" -> "' || dst_key || '" [color=' || CASE category WHEN 'call' THEN 'black' WHEN 'dataflow' THEN 'blue' ELSE 'gray' END || ', label="' || edge_type || coalesce(' m' || modes, '') || '"];' AS line FROM g_edges
+UNION ALL SELECT '0', 'digraph code {' UNION ALL SELECT '9', '}' """
+
+
+@query("export_dot_plain", with_sql("g_nodes", "g_edges") + _DOT_EDGE + """UNION ALL SELECT '1 ' || node_key, '  "' || node_key || '" [shape=' || CASE type_tag WHEN 'proc' THEN 'box' WHEN 'pkg' THEN 'folder' ELSE 'cylinder' END || '];' FROM g_nodes""")
+def _(spark, sf):
+    from codeloom.sources.export import dot
+
+    n, e, _v = _graph(spark, sf)
+    return dot(n, e)
+
+
+@query(
+    "export_dot",
+    with_sql("g_edges", "g_proc") + _DOT_EDGE.replace("FROM g_edges", "FROM g_edges WHERE category = 'call'")
+    + """UNION ALL SELECT '1 ' || pkg_key || ' 1 ' || node_key, '  "' || node_key || '" [shape=box];' FROM g_proc
+UNION ALL SELECT DISTINCT '1 ' || pkg_key || ' 0', '  subgraph "cluster_' || pkg_key || '" {' FROM g_proc UNION ALL SELECT DISTINCT '1 ' || pkg_key || ' 2', '  }' FROM g_proc""",
+)
 def _(spark, sf):
     from codeloom.sources.export import dot
 
     n, e, v = _graph(spark, sf)
     return dot(n.filter("type_tag = 'proc'"), e.filter("category = 'call'"), v["g_proc"].select("node_key", F.col("pkg_key").alias("cluster")))
+
+
+@query(
+    "export_mermaid",
+    with_sql("g_nodes", "g_edges") + """SELECT '0' AS ord, 'flowchart LR' AS line UNION ALL SELECT '1 ' || node_key, '  n' || substr(md5(node_key), 1, 12) || '["' || node_key || '"]' FROM g_nodes
+UNION ALL SELECT '2 ' || src_key || ' ' || dst_key || ' ' || edge_type, '  n' || substr(md5(src_key), 1, 12) || ' -->|' || edge_type || '| n' || substr(md5(dst_key), 1, 12) FROM g_edges""",
+)
+def _(spark, sf):
+    from codeloom.sources.export import mermaid
+
+    n, e, _v = _graph(spark, sf)
+    return mermaid(n, e)
+
+
+# ---- more of traversal, search and stores ---------------------------------------------------------------------------
+
+_BOTH = "b(d, s, t) AS (SELECT DISTINCT 'out', src_key, dst_key FROM g_edges WHERE category = 'call' UNION SELECT DISTINCT 'in', dst_key, src_key FROM g_edges WHERE category = 'call')"
+
+
+@query(
+    "trace_both_ways",
+    with_sql("g_edges", recursive=_BOTH + ", w(d, k, p, n) AS (SELECT DISTINCT d, 'proc:s8', ['proc:s8'], 0 FROM b UNION ALL SELECT w.d, b.t, list_append(w.p, b.t), w.n + 1 FROM w JOIN b ON b.d = w.d AND b.s = w.k WHERE w.n < 4 AND NOT list_contains(w.p, b.t)), "
+             "o AS (SELECT *, array_to_string(p, ' > ') AS path, row_number() OVER (ORDER BY n, d, p) AS i FROM w), z AS (SELECT * FROM o WHERE n <= 3 AND i <= 14), "
+             "q AS (SELECT w.d, array_to_string(w.p[1:len(w.p) - 1], ' > ') AS path, count(*) AS all_ FROM w WHERE n > 0 GROUP BY 1, 2), y AS (SELECT d, array_to_string(p[1:len(p) - 1], ' > ') AS path, count(*) AS shown FROM z WHERE n > 0 GROUP BY 1, 2)")
+    + "SELECT z.d AS direction, z.path, z.k AS node_key, z.n AS depth, CAST(coalesce(q.all_, 0) - coalesce(y.shown, 0) AS BIGINT) AS more FROM z LEFT JOIN q ON q.d = z.d AND q.path = z.path LEFT JOIN y ON y.d = z.d AND y.path = z.path",
+)
+def _(spark, sf):
+    return traverse.trace(_graph(spark, sf)[1].filter("category = 'call'"), "proc:s8", 3, 12)
+
+
+@query(
+    "impact_both_ways",
+    with_sql("g_edges", "g_nodes", recursive="s AS (SELECT node_key FROM g_nodes WHERE file = 'src/n1.sql'), b(d, s, t) AS (SELECT 'out', src_key, dst_key FROM g_edges UNION ALL SELECT 'in', dst_key, src_key FROM g_edges), w(d, k, n) AS (SELECT d, node_key, 0 FROM s, (VALUES ('in'), ('out')) x(d) UNION SELECT w.d, b.t, w.n + 1 FROM w JOIN b ON b.d = w.d AND b.s = w.k WHERE w.n < 2)")
+    + "SELECT d AS direction, k AS node_key, file, CAST(min(n) AS INT) AS depth FROM w JOIN g_nodes ON k = node_key WHERE n > 0 AND k NOT IN (SELECT node_key FROM s) GROUP BY 1, 2, 3",
+)
+def _(spark, sf):
+    n, e, _v = _graph(spark, sf)
+    wanted = spark.createDataFrame([("n1.sql",)], "wanted string")
+    return traverse.impact(e, n, traverse.in_files(n, wanted).select("node_key"), 2)
+
+
+@query("file_targets", with_sql("g_nodes") + "SELECT 'n' || n_nationkey || '.sql' AS wanted, file, node_key FROM nation JOIN g_nodes ON file = 'src/n' || n_nationkey || '.sql'")
+def _(spark, sf):
+    n, _e, _v = _graph(spark, sf)
+    return traverse.in_files(n, spark.read.parquet(f"{sf}/nation.parquet").select(F.concat(F.lit("n"), "n_nationkey", F.lit(".sql")).alias("wanted")))
+
+
+@query("chain_files",
+       with_sql("g_edges", "g_nodes", recursive="w(k, d) AS (SELECT 'proc:s1', 0 UNION SELECT e.dst_key, w.d + 1 FROM w JOIN g_edges e ON w.k = e.src_key WHERE w.d < 3), h AS (SELECT DISTINCT k FROM w WHERE d > 0)")
+       + "SELECT file, string_agg(node_key, ',' ORDER BY node_key) AS nodes, count(*) AS n FROM h JOIN g_nodes ON k = node_key GROUP BY file")
+def _(spark, sf):
+    n, e, _v = _graph(spark, sf)
+    found = traverse.reachable(e, spark.createDataFrame([("proc:s1",)], "node_key string"), "out", 3)
+    return traverse.chain_files(found, n).withColumn("nodes", F.array_join("nodes", ","))
+
+
+@query(
+    "nearest_paths",
+    with_sql("g_edges", recursive="c AS (SELECT DISTINCT src_key AS s, dst_key AS d FROM g_edges WHERE category = 'call'), w(k, p, n) AS (SELECT 'proc:s8', ['proc:s8'], 0 UNION ALL SELECT c.s, list_prepend(c.s, w.p), w.n + 1 FROM w JOIN c ON w.k = c.d WHERE w.n < 12 AND NOT list_contains(w.p, c.s)), "
+             "r AS (SELECT k, p, n, row_number() OVER (PARTITION BY k ORDER BY n, p) AS i FROM w WHERE n > 0)")
+    + "SELECT k AS node_key, n AS depth, array_to_string(p, ' > ') AS path FROM r WHERE i = 1",
+)
+def _(spark, sf):
+    return traverse.nearest_paths(_graph(spark, sf)[1].filter("category = 'call'"), "proc:s8").filter("depth <= 12").select("node_key", "depth", F.array_join("path", " > ").alias("path"))
+
+
+@query("query_paths", with_sql("g_edges", "g_nodes", recursive=_CALLS + ", w(k, p, n) AS (SELECT node_key, [node_key], 0 FROM g_nodes WHERE contains(node_key, 'proc:s8') UNION ALL SELECT c.d, list_append(w.p, c.d), w.n + 1 FROM w JOIN c ON w.k = c.s WHERE w.n < 4 AND w.k <> 'proc:s57' AND NOT list_contains(w.p, c.d))")
+       + "SELECT array_to_string(p, ' > ') AS path, n FROM w WHERE n > 0 AND (n = 4 OR k = 'proc:s57' OR NOT EXISTS (SELECT 1 FROM c WHERE c.s = w.k AND NOT list_contains(w.p, c.d)))")
+def _(spark, sf):
+    n, e, _v = _graph(spark, sf)
+    return queryspec.execute(n, e, '{"start": {"name": "proc:s8"}, "steps": [{"direction": "out", "edges": ["call"], "depth": 4, "until": "proc:s57"}], "collect": "paths"}')
+
+
+@query("search_exact", _D + "SELECT node_key, 0 AS rank, total FROM d WHERE node_key = 'proc:s17' OR name = 's17'")
+def _(spark, sf):
+    n, e, _v = _graph(spark, sf)
+    return search.search_names(n, listing.degrees(n, e), "s17", "exact")
+
+
+@query("search_regex", _D + "SELECT node_key, 2 AS rank, total FROM d WHERE regexp_matches(node_key, '^table:p[0-9]5$') ORDER BY total DESC, node_key LIMIT 20")
+def _(spark, sf):
+    n, e, _v = _graph(spark, sf)
+    return search.search_names(n, listing.degrees(n, e), "^table:p[0-9]5$", "regex")
+
+
+@query("noise_rules", "SELECT DISTINCT l_linenumber AS n, CASE l_linenumber WHEN 1 THEN 'self-member' WHEN 2 THEN 'collection-method' WHEN 3 THEN 'builtin-function' WHEN 4 THEN 'syntax-dump' END AS rule FROM lineitem")
+def _(spark, sf):
+    k = F.col("l_linenumber")
+    raw = F.when(k == 1, "Self.x").when(k == 2, "list.count").when(k == 3, "NVL").when(k == 4, "BinaryOp { a }").otherwise("pay")
+    return spark.read.parquet(f"{sf}/lineitem.parquet").select(k.alias("n"), search.noise(raw).alias("rule")).distinct()
+
+
+@query("merge_edges", "WITH " + _STORES + ", e AS (SELECT ord, k AS s, lag(k) OVER (PARTITION BY ord ORDER BY rk, k) AS d, len(payload) % 4 AS m FROM s), f AS (SELECT e.ord, x.canonical AS s, y.canonical AS d, e.m FROM e JOIN (SELECT DISTINCT k, canonical FROM c) x ON x.k = e.s JOIN (SELECT DISTINCT k, canonical FROM c) y ON y.k = e.d) "
+       "SELECT s AS src_key, d AS dst_key, 'TableAccess' AS edge_type, CAST(bit_or(m) AS INT) AS modes FROM f WHERE m > 0 GROUP BY 1, 2 UNION ALL SELECT DISTINCT s, d, 'DirectCall', CAST(NULL AS INT) FROM f WHERE m = 0 AND ord = 0 UNION ALL SELECT DISTINCT s, d, 'DirectCall', CAST(NULL AS INT) FROM f WHERE m = 0 AND ord = 1")
+def _(spark, sf):
+    from pyspark.sql import Window
+
+    st = _stores(spark, sf)
+    before = F.lag("node_key").over(Window.partitionBy("store_ord").orderBy("relaxed_key", "node_key"))
+    m = (F.length("payload") % 4).cast("int")
+    e = st.select("store_ord", F.col("node_key").alias("src_key"), before.alias("dst_key"), F.when(m > 0, "TableAccess").otherwise("DirectCall").alias("edge_type"), m.alias("modes")).filter("dst_key IS NOT NULL")
+    return merge.merge_edges(e, merge.canonical_keys(st)).select("src_key", "dst_key", "edge_type", "modes")
+
+
+@query("dedup", "WITH n AS (SELECT lower('Table:P' || (p_partkey // 3)) AS k, p_size > 10 AS x FROM part) SELECT k AS node_key, bool_or(x) AS explicit FROM n GROUP BY k")
+def _(spark, sf):
+    k = F.col("p_partkey")
+    tag = F.when(k % 3 == 0, "Table:P").otherwise("table:p")
+    nodes = spark.read.parquet(f"{sf}/part.parquet").select(F.concat(tag, F.floor(k / 3)).alias("node_key"), (F.col("p_size") > 10).alias("explicit"), F.lit(False).alias("partial"))
+    edges = nodes.select(F.col("node_key").alias("src_key"), F.col("node_key").alias("dst_key"), F.lit("DirectCall").alias("edge_type"))
+    return merge.dedup(nodes, edges)[0].select(F.lower("node_key").alias("node_key"), "explicit")
+
+
+@query("table_operations", with_sql("g_access", "g_raw") + "SELECT 'table:p' || table_id AS \"table\", string_agg(DISTINCT op, ',' ORDER BY op) AS operations FROM (SELECT table_id, write_kind AS op FROM g_raw WHERE write_kind IS NOT NULL UNION ALL SELECT table_id, 'read' FROM g_access WHERE modes & 1 <> 0) GROUP BY table_id")
+def _(spark, sf):
+    from codeloom.operators import columns
+
+    m = listing.merge_access(_graph(spark, sf)[2]["g_raw"], ["proc_id", "table_id"])
+    e = m.select(F.concat(F.lit("proc:s"), "proc_id").alias("src_key"), F.concat(F.lit("table:p"), "table_id").alias("dst_key"), F.lit("TableAccess").alias("edge_type"), "modes", "write_kinds")
+    return columns.table_operations(e).withColumn("operations", F.array_join("operations", ","))
+
+
+@query("store_round_trip", with_sql("g_nodes", "g_edges") + "SELECT 'parquet' AS form, (SELECT count(*) FROM g_nodes) AS nodes, (SELECT count(*) FROM g_edges) AS edges, (SELECT CAST(sum(modes) AS BIGINT) FROM g_edges) AS modes UNION ALL SELECT 'json', (SELECT count(*) FROM g_nodes), (SELECT count(*) FROM g_edges), (SELECT CAST(sum(modes) AS BIGINT) FROM g_edges)")
+def _(spark, sf):
+    from codeloom.sources import store
+    from codeloom.work import new_path
+
+    n, e, v = _graph(spark, sf)
+    out = None
+    for form in ("parquet", "json"):
+        path = new_path(spark, "store")
+        store.save(path, n, e, v["g_colmap"], form=form)
+        got = store.load(spark, path, {"nodes": n.schema, "edges": e.schema})
+        one = got["nodes"].agg(F.count(F.lit(1)).alias("nodes")).crossJoin(got["edges"].agg(F.count(F.lit(1)).alias("edges"), F.sum("modes").alias("modes"))).select(F.lit(form).alias("form"), "nodes", "edges", "modes")  # one row each
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("sub_tags", with_sql("g_nodes") + "SELECT node_key, rtrim(type_tag, '*') AS tag, CASE WHEN ends_with(type_tag, '*') THEN 'inferred' ELSE 'defined' END AS sub_tag, rtrim(type_tag, '*') || ' ' || name AS display FROM g_nodes")
+def _(spark, sf):
+    return listing.tags(_graph(spark, sf)[0])
+
+
+from codeloom.plans import source_queries  # noqa: E402, F401  registers the queries over generated sources

@@ -16,8 +16,11 @@ edges ARRAY<STRUCT<source: STRING, target: STRING, type: STRING, location: STRUC
 BUILT_IN = {"procedure": "proc", "function": "func", "table": "table", "view": "view", "package": "pkg", "trigger": "trigger", "sequence": "seq", "type": "type", "mapper": "mapper", "java_method": "method", "java_class": "class"}
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SCHEMA).json(path, multiLine=True).withColumn("doc", F.input_file_name())
+def read(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Documents with their names: one a file, or one a line."""
+    docs = spark.read.schema(SCHEMA).json(path, multiLine=not lines)
+    name = F.input_file_name()
+    return docs.withColumn("doc", F.concat_ws("#", name, F.monotonically_increasing_id().cast("string")) if lines else name)
 
 
 def tables(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -50,7 +53,7 @@ def validate_documents(docs: DataFrame) -> DataFrame:
 
 def map_path(path: Column, prefix: str = "") -> Column:
     p = F.regexp_replace(path, r"^(?:\./)+", "")
-    return F.when(p.startswith("/") | F.lit(not prefix), p).otherwise(F.concat_ws("/", F.lit(prefix.rstrip("/")), p))
+    return F.when(p.startswith("/") | F.lit(not prefix), p).otherwise(F.concat(F.lit(prefix.rstrip("/") + "/"), p))
 
 
 def import_graph(docs: DataFrame, prefix: str = "") -> tuple[DataFrame, DataFrame]:

@@ -470,7 +470,16 @@ class Reader:
     def body(self, r: Routine) -> None:
         """Statements from BEGIN to its END. Blocks, branches and loops only nest."""
         self.take("begin")
-        depth, values, branch = 1, {}, 0
+        depth, values = 1, {}
+        # Of each open IF or CASE: the values before it, those after its branches so far, and whether it has an ELSE.
+        forks: list[list] = []
+
+        def turn() -> None:
+            """Ends a branch and begins the next one where the fork began."""
+            forks[-1][1].append(dict(values))
+            values.clear()
+            values.update(forks[-1][0])
+
         while self.i < len(self.t) and depth:
             w = self.at()
             if w == "begin":
@@ -483,13 +492,26 @@ class Reader:
                 self.i += 1
                 inner = self.at()
                 if inner in ("if", "case", "loop"):
-                    branch -= inner in ("if", "case")
+                    if inner != "loop" and forks:
+                        before, after, other = forks.pop()
+                        after += [dict(values)] if other else [dict(values), before]
+                        values.clear()
+                        for v in {v for a in after for v in a}:
+                            sets = [a.get(v, set()) for a in after]
+                            values[v] = None if None in sets else set().union(*sets)
                     self.statement()
                 else:
                     depth -= 1
                     self.statement()
             elif w in ("if", "elsif", "elseif", "while", "when"):
-                branch += w == "if"
+                if w == "if":
+                    forks.append([dict(values), [], False])
+                elif w in ("elsif", "elseif") and forks:
+                    turn()
+                elif w == "when" and forks and forks[-1][2] is None:
+                    forks[-1][2] = False
+                elif w == "when" and forks and len(forks[-1]) == 3 and self.t[self.i - 1].low == ";":
+                    turn()
                 self.i += 1
                 start = self.i
                 stop = ("then",) if w != "while" else ("loop",)
@@ -504,9 +526,12 @@ class Reader:
                     self.predicate(self.t[start : self.i], r)
                 self.i += 1
             elif w in ("else", "loop", "exception", "<<", ">>"):
+                if w == "else" and forks:
+                    turn()
+                    forks[-1][2] = True
                 self.i += 1
             elif w == "case":
-                branch += 1
+                forks.append([dict(values), [], None])
                 self.i += 1
                 start = self.i
                 while self.i < len(self.t) and self.at() not in ("when", ";"):
@@ -537,7 +562,7 @@ class Reader:
             else:
                 s = self.statement()
                 if s:
-                    self.pl(s, r, values, branch > 0)
+                    self.pl(s, r, values)
 
     def record(self, r: Routine, name: str, outputs: list) -> None:
         r.fields[name] = _fields(outputs)
@@ -575,7 +600,7 @@ class Reader:
             return known["*"][0], parts[1]
         return (r.records[parts[0]], parts[1]) if parts[0] in r.records and not known else None
 
-    def pl(self, s: list[Token], r: Routine, values: dict[str, set[str] | None], branching: bool) -> None:
+    def pl(self, s: list[Token], r: Routine, values: dict[str, set[str] | None]) -> None:
         w, line = s[0].low, s[0].line
         if w in ("select", "insert", "update", "delete", "merge", "with", "truncate", "lock", "alter", "drop", "vacuum", "analyze", "cluster", "reindex", "create"):
             r.body.append((" ".join(x.text for x in s), w, line))
@@ -615,10 +640,7 @@ class Reader:
         else:
             k = next((j for j, x in enumerate(s) if x.text == ":=" or (x.text == "=" and j and not any(y.text == "(" for y in s[:j]))), None)
             if k is not None:
-                got = self.possible(s[k + 1 :], values)
-                old = values.get(w, set()) if branching else set()
-                new = None if got is None or old is None else old | got
-                values[w] = new if new is None or len(new) <= MOST_VALUES else None
+                values[w] = self.possible(s[k + 1 :], values)
                 self.expression(s[k + 1 :], r, line)
             else:
                 parts, j = _name_at(s, 0)
@@ -888,6 +910,8 @@ class Reader:
         out: dict[str, str] = {}
         self.known = (s, out)
         for k, x in enumerate(s):
+            if x.low == "into" and not (k and s[k - 1].low in ("insert", "merge", "all", "first", "overwrite") or s[0].low == "insert"):
+                continue  # variables
             if x.low in _BEFORE_TABLE and x.kind == "name" or (x.text == "," and out):
                 parts, j = _name_at(s, k + 1)
                 if not parts or parts[-1] in KEYWORDS or (j < len(s) and s[j].text in ("(", ".", "=")):
@@ -1027,7 +1051,8 @@ class Reader:
     def enum_values(self, owner: str, s: list[Token]) -> None:
         """CASE column WHEN literal THEN literal, and DECODE(column, literal, result, ...)."""
         alias = self.aliases(s)
-        tables = set(alias.values())
+        tables = set(self.aliases(_level(s, len(s) - 1)).values()) if any(x.low == "select" for x in s[1:]) else set(alias.values())
+        self.known = (s, alias)
         only = next(iter(tables)) if len(tables) == 1 else None
         place = lambda parts: alias.get(parts[-2]) if len(parts) > 1 else only
         literal = lambda x: x.kind in ("string", "number")
@@ -1063,11 +1088,13 @@ class Reader:
         a cross-table equality.
         """
         alias = self.aliases(s)
-        tables = set(alias.values())
-        only = next(iter(tables)) if len(tables) == 1 else None
+        nested = any(x.low == "select" for x in s[1:])
         for k, x in enumerate(s):
             if x.kind == "name" and x.low in ("where", "on", "having"):
-                self.conjuncts(owner, _condition(s, k + 1), alias, only)
+                # A bare column belongs to the one table of its own query.
+                tables = set(self.aliases(_level(s, k)).values()) if nested else set(alias.values())
+                self.conjuncts(owner, _condition(s, k + 1), alias, next(iter(tables)) if len(tables) == 1 else None)
+        self.known = (s, alias)
 
     def conjuncts(self, owner: str, s: list[Token], alias: dict[str, str], only: str | None) -> None:
         while len(s) > 1 and s[0].text == "(" and _closing(s, 0) == len(s) - 1 and s[1].low != "select":
@@ -1189,6 +1216,25 @@ def _condition(s: list[Token], k: int) -> list[Token]:
     return s[k:]
 
 
+def _level(s: list[Token], k: int) -> list[Token]:
+    """The tokens of the query around k, without what stands in parentheses within it."""
+    depth, start = 0, k
+    while start > 0:
+        depth += (s[start - 1].text == ")") - (s[start - 1].text == "(")
+        if depth < 0:
+            break
+        start -= 1
+    out, depth = [], 0
+    for x in s[start:]:
+        depth -= x.text == ")"
+        if depth < 0:
+            break
+        if depth == 0:
+            out.append(x)
+        depth += x.text == "("
+    return out
+
+
 def _operator_at(s: list[Token]) -> int | None:
     """Where the comparison of a condition stands, outside parentheses and CASE."""
     depth = 0
