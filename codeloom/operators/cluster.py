@@ -14,6 +14,10 @@ from codeloom.work import materialize, small
 
 PARTICIPANTS = ("proc", "func", "method", "mapper", "class")
 TOP_K, TAU, LAMBDA = 10, 0.1, 0.3
+#: Units of a component that one worker clusters; a larger component is contracted on the cluster first.
+MOST_UNITS = 200_000
+#: Settings of the sweep: resolutions, and wanted numbers of clusters.
+GAMMAS, COUNTS = (1.0, 0.5, 0.25, 0.1, 0.05), (3, 5, 10, 20, 50)
 
 
 def edge_weight(edge_type: Column, category: Column) -> Column:
@@ -68,8 +72,9 @@ def modularity(graph: DataFrame, clusters: DataFrame) -> DataFrame:
     return sums.select(F.when(F.col("w") > 0, F.col("i") / F.col("w") - F.col("d2") / (F.col("w") * F.col("w"))).otherwise(0.0).alias("modularity"))
 
 
-def _agglomerate(units: list[str], edges: list[tuple[str, str, float]], total: float, gamma: float, least: float) -> list[tuple[str, str, float]]:
-    """Greedy merges of one component: (kept, merged, gain). Ties go to the smaller pair of keys."""
+def _agglomerate(units: list[str], edges: list[tuple[str, str, float]], total: float, gamma: float, least: float, count: int | None = None) -> list[tuple[str, str, float]]:
+    """Greedy merges: (kept, merged, gain). Ties go to the smaller pair of keys. With a count, merges go on at a loss until so
+    many clusters are left or none of them is joined by an edge."""
     near: dict[str, dict[str, float]] = {u: defaultdict(float) for u in units}
     degree = dict.fromkeys(units, 0.0)
     for a, b, w in edges:
@@ -87,7 +92,7 @@ def _agglomerate(units: list[str], edges: list[tuple[str, str, float]], total: f
         g, a, b, i, j = heapq.heappop(heap)
         if a not in age or b not in age or age[a] != i or age[b] != j:
             continue
-        if -g <= least:
+        if len(age) <= count if count is not None else -g <= least:
             break
         out.append((a, b, -g))
         for c, w in near.pop(b).items():
@@ -105,45 +110,150 @@ def _agglomerate(units: list[str], edges: list[tuple[str, str, float]], total: f
     return out
 
 
-def cnm(graph: DataFrame, units: DataFrame, gamma: float = 1.0, least: float = 0.0) -> DataFrame:
+def _tops(root: dict[str, str]) -> dict[str, str]:
+    def top(u: str) -> str:
+        while root[u] != u:
+            u = root[u]
+        return u
+
+    return {u: top(u) for u in root}
+
+
+def weight_of(graph: DataFrame) -> float:
+    """Sum of the degrees of a condensed graph."""
+    return graph.agg(F.sum(F.when(F.col("a") == F.col("b"), F.col("weight")).otherwise(2 * F.col("weight")))).first()[0] or 0.0
+
+
+def contracted(graph: DataFrame, groups: DataFrame) -> DataFrame:
+    """A condensed graph over groups (unit, cluster) of the units of another; edges within a group become its loop.
+
+    A loop weighs twice what the edges in it do, as each of them has two ends there.
+    """
+    a, b = groups.select(F.col("unit").alias("a"), F.col("cluster").alias("ca")), groups.select(F.col("unit").alias("b"), F.col("cluster").alias("cb"))
+    w = F.when((F.col("ca") == F.col("cb")) & (F.col("a") != F.col("b")), 2 * F.col("weight")).otherwise(F.col("weight"))
+    e = graph.join(a, "a").join(b, "b")
+    return e.groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum(w).alias("weight"))
+
+
+def contract(graph: DataFrame, units: DataFrame, total: float, gamma: float = 1.0, most: int = MOST_UNITS) -> DataFrame:
+    """unit, cluster: units of components of more than most units are merged in pairs until the components are small enough.
+
+    In each round every unit of such a component chooses the neighbour with the greatest gain of modularity, and pairs that
+    choose each other merge; no merge lowers modularity. A round is a few joins, whatever the size of a component.
+    """
+    named = units.select("unit", F.col("unit").alias("cluster"))
+    while True:
+        nodes = named.select(F.col("cluster").alias("node_key")).distinct()
+        comp = components(graph.select(F.col("a").alias("src_key"), F.col("b").alias("dst_key")), nodes)
+        large = materialize(comp.join(comp.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("component"), "component", "left_semi").select("node_key"), "large")
+        if large.isEmpty():
+            return named
+        loop = F.col("a") == F.col("b")
+        ends = graph.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("weight").alias("w")), F.struct(F.col("b").alias("u"), F.when(loop, 0.0).otherwise(F.col("weight")).alias("w")))).alias("x"))
+        degree = ends.groupBy("x.u").agg(F.sum("x.w").alias("d"))
+        e = graph.filter(~loop).join(degree.select(F.col("u").alias("a"), F.col("d").alias("da")), "a").join(degree.select(F.col("u").alias("b"), F.col("d").alias("db")), "b")
+        gain = F.col("weight") - gamma * F.col("da") * F.col("db") / F.lit(total)
+        e = e.withColumn("gain", gain).filter("gain > 0").join(large.withColumnRenamed("node_key", "a"), "a", "left_semi")
+        either = e.select("gain", F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("x"))
+        # Equal gains are told apart by a hash of the pair, so that chains of equal units do not wait for each other.
+        chosen = either.groupBy(F.col("x.u").alias("u")).agg(F.max(F.struct("gain", F.xxhash64(F.least("x.u", "x.v"), F.greatest("x.u", "x.v")).alias("h"), F.col("x.v").alias("v")))["v"].alias("v"))
+        chosen = materialize(chosen, "chosen")
+        mutual = chosen.join(chosen.select(F.col("u").alias("_u"), F.col("v").alias("_v")), (F.col("v") == F.col("_u")) & (F.col("u") == F.col("_v"))).filter("u > v").select("u", "v")
+        mutual = materialize(mutual, "mutual")
+        if mutual.isEmpty():
+            return named  # no merge gains anything
+        step = nodes.join(mutual, F.col("node_key") == F.col("u"), "left").select(F.col("node_key").alias("unit"), F.coalesce("v", "node_key").alias("cluster"))
+        step = materialize(step, "step")
+        graph = materialize(contracted(graph, step), "contracted")
+        named = materialize(named.join(step.select(F.col("unit").alias("cluster"), F.col("cluster").alias("_to")), "cluster").select("unit", F.col("_to").alias("cluster")), "named")
+
+
+def cnm(graph: DataFrame, units: DataFrame, gamma: float = 1.0, least: float = 0.0, count: int | None = None, most: int = MOST_UNITS) -> DataFrame:
     """unit, cluster: greedy modularity clusters of a condensed graph (a, b, weight).
 
     Without a wanted number of clusters, what happens in one component does not depend on the others but for the total
-    weight, so components are clustered apart and in parallel. Without any edge all units are one cluster.
+    weight, so components are clustered apart and in parallel; one of more than most units is contracted first. Without any
+    edge all units are one cluster. With a count, the clusters so found are merged further at the least loss, and when no
+    edges are left, the smallest goes to the largest, until count are left; that last step works on clusters, not on units.
     """
-    total = graph.agg(F.sum(F.when(F.col("a") == F.col("b"), F.col("weight")).otherwise(2 * F.col("weight")))).first()[0]
+    total = weight_of(graph)
     if not total:
-        return units.select("unit", F.min("unit").over(Window.partitionBy()).alias("cluster"))
-    comp = components(graph.select(F.col("a").alias("src_key"), F.col("b").alias("dst_key")), units.withColumnRenamed("unit", "node_key"))
-    rows = graph.join(comp.select(F.col("node_key").alias("a"), "component"), "a")
-    alone = units.join(rows.select(F.explode(F.array("a", "b")).alias("unit")).distinct(), "unit", "left_anti").select("unit", F.col("unit").alias("cluster"))
+        return units.crossJoin(F.broadcast(units.agg(F.min("unit").alias("cluster"))))  # one row
+    grouped = contract(graph, units, total, gamma, most)
+    inner = materialize(contracted(graph, grouped), "inner")
+    names = grouped.select(F.col("cluster").alias("unit")).distinct()
+    comp = components(inner.select(F.col("a").alias("src_key"), F.col("b").alias("dst_key")), names.withColumnRenamed("unit", "node_key"))
+    rows = inner.join(comp.select(F.col("node_key").alias("a"), "component"), "a")
+    alone = names.join(rows.select(F.explode(F.array("a", "b")).alias("unit")).distinct(), "unit", "left_anti").select("unit", F.col("unit").alias("cluster"))
 
     def run(pdf):
         import pandas as pd
 
         edges = list(pdf[["a", "b", "weight"]].itertuples(index=False, name=None))
-        names = sorted(set(pdf["a"]) | set(pdf["b"]))
-        root = {u: u for u in names}
-        for kept, merged, _ in _agglomerate(names, edges, total, gamma, least):
+        root = {u: u for u in sorted(set(pdf["a"]) | set(pdf["b"]))}
+        for kept, merged, _ in _agglomerate(sorted(root), edges, total, gamma, least):
+            root[merged] = kept
+        return pd.DataFrame(list(_tops(root).items()), columns=["unit", "cluster"])
+
+    found = rows.groupBy("component").applyInPandas(run, "unit string, cluster string").unionByName(alone)
+    found = grouped.withColumnRenamed("cluster", "_g").join(found.withColumnRenamed("unit", "_g"), "_g").select("unit", "cluster")
+    return found if count is None else forced(graph, materialize(found, "natural"), total, gamma, count)
+
+
+def forced(graph: DataFrame, found: DataFrame, total: float, gamma: float, count: int) -> DataFrame:
+    """unit, cluster with no more than count clusters."""
+    sizes = found.groupBy("cluster").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    # One group of clusters and the edges between them; the sizes come along as rows without a second end.
+    rows = contracted(graph, found).unionByName(sizes.select(F.col("cluster").alias("a"), F.lit(None).cast("string").alias("b"), "weight"))
+
+    def run(pdf):
+        import pandas as pd
+
+        size = {r.a: r.weight for r in pdf[pdf["b"].isna()].itertuples(index=False)}
+        edges = list(pdf[~pdf["b"].isna()][["a", "b", "weight"]].itertuples(index=False, name=None))
+        root = {u: u for u in sorted(size)}
+        for kept, merged, _ in _agglomerate(sorted(root), edges, total, gamma, 0.0, count):
             root[merged] = kept
+            size[kept] += size.pop(merged)
+        order = sorted(size, key=lambda u: (size[u], u))
+        for u in order[: max(0, len(order) - max(1, count))]:
+            root[u] = order[-1]
+        return pd.DataFrame(list(_tops(root).items()), columns=["unit", "cluster"])
+
+    merged = rows.groupBy(F.lit(0).alias("one")).applyInPandas(run, "unit string, cluster string")
+    return found.withColumnRenamed("cluster", "_g").join(merged.withColumnRenamed("unit", "_g"), "_g").select("unit", "cluster")
 
-        def top(u: str) -> str:
-            while root[u] != u:
-                u = root[u]
-            return u
 
-        return pd.DataFrame({"unit": names, "cluster": [top(u) for u in names]})
+def units_of(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node_key, unit of every participant; members of a strongly connected component of the whole graph are one unit."""
+    keep = nodes.filter(F.col("type_tag").isin(*PARTICIPANTS)).select("node_key")
+    return materialize(strong_components(edges, nodes).join(keep, "node_key", "left_semi").select("node_key", F.col("scc").alias("unit")), "members")
+
 
-    return rows.groupBy("component").applyInPandas(run, "unit string, cluster string").unionByName(alone)
+def projected(edges: DataFrame, members: DataFrame, weight: float = LAMBDA) -> DataFrame:
+    """a, b, weight of units whose routines access tables alike: weight times their similarity."""
+    access = edges.filter("edge_type = 'TableAccess'").select(F.col("src_key").alias("proc_key"), F.col("dst_key").alias("table_key")).distinct()
+    near = tfidf(access.join(members.select(F.col("node_key").alias("proc_key")), "proc_key", "left_semi"))
+    a, b = members.select(F.col("node_key").alias("proc_a"), F.col("unit").alias("x")), members.select(F.col("node_key").alias("proc_b"), F.col("unit").alias("y"))
+    met = near.join(a, "proc_a").join(b, "proc_b")
+    return met.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg((F.sum("sim") * weight).alias("weight"))
 
 
-def partition(nodes: DataFrame, edges: DataFrame, gamma: float = 1.0) -> DataFrame:
+def condensed_units(nodes: DataFrame, edges: DataFrame, projection: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The condensed graph of the participants and their units; with projection, similar table access adds to it."""
+    members = units_of(nodes, edges)
+    graph = condensed(edges, members)
+    if projection:
+        graph = graph.unionByName(projected(edges, members)).groupBy("a", "b").agg(F.sum("weight").alias("weight"))
+    return materialize(graph, "condensed"), members
+
+
+def partition(nodes: DataFrame, edges: DataFrame, gamma: float = 1.0, count: int | None = None, projection: bool = False) -> DataFrame:
     """unit, cluster of every participant. Strongly connected components of the whole graph are condensed first, so the members
     of a cycle share a cluster.
     """
-    keep = nodes.filter(F.col("type_tag").isin(*PARTICIPANTS)).select("node_key")
-    members = materialize(strong_components(edges, nodes).join(keep, "node_key", "left_semi").select("node_key", F.col("scc").alias("unit")), "members")
-    found = cnm(condensed(edges, members), members.select("unit").distinct(), gamma)
+    graph, members = condensed_units(nodes, edges, projection)
+    found = cnm(graph, members.select("unit").distinct(), gamma, count=count)
     return members.join(found, "unit").select(F.col("node_key").alias("unit"), "cluster")
 
 
@@ -172,11 +282,24 @@ def topology(comp: DataFrame) -> DataFrame:
     return sizes.agg(F.count(F.lit(1)).alias("components"), F.max("n").alias("giant"), (F.count(F.lit(1)) - 1).alias("isolates"))
 
 
-def sweep(graph: DataFrame, units: DataFrame, gammas: tuple[float, ...] = (1.0, 0.5, 0.25, 0.1, 0.05)) -> list[dict]:
-    """Clusters, largest share and modularity for each resolution; a bounded list of settings, not of data."""
+def sweep(graph: DataFrame, units: DataFrame, gammas: tuple[float, ...] = GAMMAS, counts: tuple[int, ...] = ()) -> list[dict]:
+    """Clusters, largest share and modularity for each resolution, then for each wanted number of clusters at the first one.
+
+    A bounded list of settings, not of data.
+    """
     out = []
-    for g in gammas:
-        c = materialize(cnm(graph, units, g), "sweep")
+    for g, k in [(g, None) for g in gammas] + [(gammas[0], k) for k in counts]:
+        c = materialize(cnm(graph, units, g, count=k), "sweep")
         sizes = c.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)), F.max("n"), F.sum("n")).first()
-        out.append({"gamma": g, "k": sizes[0], "largest": sizes[1] / sizes[2], "modularity": modularity(graph, c).first()[0]})
+        out.append({"gamma": g, "wanted": k, "k": sizes[0], "largest": sizes[1] / sizes[2], "modularity": modularity(graph, c).first()[0]})
     return out
+
+
+def recommended(found: list[dict]) -> dict:
+    """Of a sweep the setting to use: the fewest clusters if the first resolution gives no more than 20; else the greatest
+    modularity among 5 to 20 clusters, else the first of at most 20, else the fewest."""
+    fewest = min(found, key=lambda x: x["k"])
+    if found[0]["k"] <= 20:
+        return fewest
+    fit = [x for x in found if 5 <= x["k"] <= 20]
+    return max(fit, key=lambda x: x["modularity"]) if fit else next((x for x in found if x["k"] <= 20), fewest)

@@ -323,8 +323,8 @@ def _(spark, sf):
 
 # ---- lineage --------------------------------------------------------------------------------------------------------
 
-_HOPS = """r AS (SELECT DISTINCT routine, tab FROM g_stmt WHERE modes & 1 <> 0),
-h AS (SELECT DISTINCT w.tab AS p, w.routine AS r, a.tab AS c FROM g_stmt w JOIN g_stmt a ON w.statement = a.statement AND w.tab <> a.tab JOIN r ON r.routine = w.routine AND r.tab = a.tab WHERE w.modes & 2 <> 0)
+_HOPS = """rd AS (SELECT DISTINCT routine, tab FROM g_stmt WHERE modes & 1 <> 0),
+h AS (SELECT DISTINCT w.tab AS p, w.routine AS r, a.tab AS c FROM g_stmt w JOIN g_stmt a ON w.statement = a.statement AND w.tab <> a.tab JOIN rd ON rd.routine = w.routine AND rd.tab = a.tab WHERE w.modes & 2 <> 0)
 """
 
 
@@ -700,7 +700,7 @@ def _(spark, sf):
     return parse(_sources(spark, sf)).filter("record = 'call'").select(F.col("a").alias("caller"), F.col("b").alias("callee")).distinct()
 
 
-@query("build_graph", with_sql("g_call") + "SELECT DISTINCT 'proc:s' || src AS src_key, 'proc:s' || dst AS dst_key FROM g_call")
+@query("build_graph", with_sql("g_call", "g_proc") + "SELECT DISTINCT 'proc:s' || src AS src_key, CASE WHEN id IS NULL THEN 'unres:s' ELSE 'proc:s' END || dst AS dst_key FROM g_call LEFT JOIN g_proc ON id = dst")
 def _(spark, sf):
     from codeloom.sources.ingest import build, parse
     from codeloom.work import materialize

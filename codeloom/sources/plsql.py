@@ -860,7 +860,9 @@ class Reader:
                             if any(y.low == word for y in s[j:]):
                                 add(parts, WRITE, kind)
                     else:
-                        add(parts, WRITE, "insert_select" if any(y.low == "select" for y in s[j:]) else "insert")
+                        listed = j + 1 < len(s) and s[j].text == "(" and s[j + 1].low not in ("select", "with")
+                        rest = s[_closing(s, j) + 1 :] if listed else s[j:]
+                        add(parts, WRITE, "insert_select" if rest and rest[0].low not in ("values", "default") and any(y.low == "select" for y in rest) else "insert")
                     k = j
                     continue
                 if w == "update" and not (k and s[k - 1].low in ("for", "then", "on", "key", "or")):

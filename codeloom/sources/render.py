@@ -42,10 +42,27 @@ def chains(paths: DataFrame, arrow: str = " → ", separator: str = " > ") -> st
 
 
 def document(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row with a JSON document of nodes, edges and the types that occur."""
-    n = nodes.agg(F.array_sort(F.collect_list(F.struct("node_key", "type_tag", "name"))).alias("nodes"), F.array_sort(F.collect_set("type_tag")).alias("node_types"))
-    e = edges.agg(F.array_sort(F.collect_list(F.struct("src_key", "dst_key", "edge_type"))).alias("edges"), F.array_sort(F.collect_set("edge_type")).alias("edge_types"))
-    return n.join(F.broadcast(e)).select(F.to_json(F.struct(F.struct("node_types", "edge_types").alias("_meta"), "nodes", "edges")).alias("json"))  # one row each
+    """ord, line: one JSON document of nodes, edges and the types that occur, a row for each of them.
+
+    export.write_lines() sorts the rows by ord; nothing but the few types is gathered. The first element of a list is the one
+    without a comma before it.
+    """
+    spark = nodes.sparkSession
+    kinds = nodes.agg(F.array_sort(F.collect_set("type_tag")).alias("node_types")).crossJoin(edges.agg(F.array_sort(F.collect_set("edge_type")).alias("edge_types")))  # one row each
+    head = kinds.select(F.lit("0").alias("ord"), F.concat(F.lit('{"_meta":'), F.to_json(F.struct("node_types", "edge_types")), F.lit(',"nodes":[')).alias("line"))
+    frame = spark.createDataFrame([("2", '],"edges":['), ("9", "]}")], "ord string, line string")
+    place = F.concat_ws(" ", "src_key", "dst_key", "edge_type")
+    n = nodes.select(F.concat(F.lit("1 "), "node_key").alias("ord"), F.to_json(F.struct("node_key", "type_tag", "name")).alias("json"))
+    e = edges.select(F.concat(F.lit("3 "), place).alias("ord"), F.to_json(F.struct("src_key", "dst_key", "edge_type")).alias("json"))
+    out = head.unionByName(frame)
+    for rows in (n, e):
+        first = rows.agg(F.min(F.struct("ord", "json")).alias("first"))
+        # Of rows with one ord only one has no comma, as the rest come with a comma and a later place.
+        numbered = rows.crossJoin(F.broadcast(first)).select("ord", "json", (F.struct("ord", "json") == F.col("first")).alias("is_first")).groupBy("ord", "json", "is_first").agg(F.count(F.lit(1)).alias("k"))
+        again = numbered.select("ord", "json", "is_first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("i"))
+        lead = F.when(F.col("is_first") & (F.col("i") == 0), "").otherwise(",")
+        out = out.unionByName(again.select(F.concat("ord", F.when(lead == ",", F.lit(" ,")).otherwise(F.lit(""))).alias("ord"), F.concat(lead, "json").alias("line")))
+    return out
 
 
 def read_statements(df: DataFrame) -> DataFrame:

@@ -21,6 +21,11 @@ def _hadoop(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _hadoop(spark, path)
+    return fs.exists(p)
+
+
 def work_dir(spark: SparkSession) -> str:
     """A folder of this application below spark.checkpoint.dir, which goes when the application ends.
 

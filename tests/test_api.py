@@ -29,7 +29,9 @@ def test_project_from_sources_to_answers(spark, tmp_path):
     p.analyze()
     assert {r.what: r.n for r in p.run("stats").collect()}["node:proc"] == 2
     assert [r.change for r in p.diff().collect()] == ["unchanged"]
-    assert {r.node_key for r in p.run("impact", name="table:audit_log", depth=3).collect()} == {"proc:audit_it", "proc:main_p"}
+    assert {r.node_key for r in p.run("impact", name="table:audit_log", depth=3).filter("direction = 'in'").collect()} == {"proc:audit_it", "proc:main_p"}
+    assert {r.node_key for r in p.run("impact", name="a.sql").collect()} == set()  # all of it is in the file
+    assert [(r.parent, r.child, r.role) for r in p.run("sources").collect()] == [("audit_log", "orders", "flow")]
     assert {(r.proc_a, r.proc_b, r.table_key) for r in p.run("conflicts").collect()} == {("proc:audit_it", "proc:main_p", "table:orders")}
     assert [r.path for r in p.run("lineage", name="audit_log.id").collect()] == ["audit_log.id < orders.id"]
     assert {r.table for r in p.run("lineage", name="table:audit_log").collect()} == {"table:orders"}
@@ -37,7 +39,7 @@ def test_project_from_sources_to_answers(spark, tmp_path):
     assert p.run("columns", name="main_p").first().parameters[0].name == "p"
     assert {tuple(r.operations) for r in columns.table_operations(p.graph()["edges"]).collect()} == {("read", "truncate"), ("insert_select",)}
     assert [r.node_key for r in p.run("trace-sql", name="INSERT INTO audit_log (id) SELECT o.id FROM orders o WHERE o.status = 'Z'").select("node_key").distinct().collect()] == ["proc:audit_it"]
-    for command in ("nodes", "files", "trace", "detail", "partition", "cycles", "dedup", "predicates"):
-        p.run(command, name="main_p" if command in ("trace", "detail") else None).collect()
-    p.export("dot", f"file://{tmp_path}/dot")
+    for command in ("nodes", "files", "trace", "detail", "chain-files", "relations", "partition", "cycles", "dedup", "predicates"):
+        p.run(command, name="main_p" if command in ("trace", "detail", "chain-files") else None).collect()
+    p.export("json", f"file://{tmp_path}/json")
     json.dumps(config.__dict__)

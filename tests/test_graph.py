@@ -198,6 +198,24 @@ def test_clusters_of_two_cliques(spark):
     assert [x["gamma"] for x in cluster.sweep(g, units, (1.0, 0.5))] == [1.0, 0.5]
 
 
+def test_clusters_of_a_wanted_number_and_of_contracted_components(spark):
+    pairs = [(f"{g}{i}", f"{g}{j}") for g in "abcd" for i in range(4) for j in range(i)] + [("a0", "b0"), ("b1", "c0"), ("x0", "x1")]
+    n, e = graph(spark, pairs)
+    g = cluster.condensed(e, n.select("node_key", F.col("node_key").alias("unit")))
+    units = n.select(F.col("node_key").alias("unit"))
+    for k in (4, 2, 1):
+        assert cluster.cnm(g, units, count=k).select("cluster").distinct().count() == k
+    whole, parts = cluster.cnm(g, units), cluster.cnm(g, units, most=5)
+    torn = parts.join(traverse.components(e, n), F.col("unit") == F.col("node_key")).groupBy("cluster").agg(F.count_distinct("component").alias("k")).filter("k > 1")
+    assert torn.isEmpty() and parts.count() == units.count()
+    q = [cluster.modularity(g, x).first()[0] for x in (whole, parts)]
+    assert q[1] > 0.7 * q[0] > 0.3
+    found = cluster.sweep(g, units, (1.0,), (2,))
+    assert [x["k"] for x in found] == [5, 2] and cluster.recommended(found)["k"] == 2
+    assert cluster.recommended([{"k": 30, "modularity": 1}, {"k": 9, "modularity": 0.2}, {"k": 7, "modularity": 0.3}])["k"] == 7
+    assert cluster.recommended([{"k": 30, "modularity": 1}, {"k": 25, "modularity": 0.2}])["k"] == 25
+
+
 def test_lineage_roles(spark):
     m = spark.createDataFrame([("t", f"c{i}", "s", f"c{i}") for i in range(10)] + [("t", "c0", "r", "c1"), ("t", "c0", "u", "z")], "target_table string, target_column string, source_table string, source_column string")
     ddl = spark.createDataFrame([("s", f"c{i}") for i in range(10)] + [("r", "c1")], "table string, column string")

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 
 from codeloom.operators import columns
@@ -39,7 +41,9 @@ def test_text_views(spark):
     assert render.chains(paths).splitlines()[1] == "a → b"
     nodes = spark.createDataFrame([("n", "proc", "n")], "node_key string, type_tag string, name string")
     edges = spark.createDataFrame([("n", "n", "DirectCall")], "src_key string, dst_key string, edge_type string")
-    assert '"_meta":{"node_types":["proc"],"edge_types":["DirectCall"]}' in render.document(nodes, edges).first().json
+    doc = json.loads("".join(r.line for r in render.document(nodes, edges.union(edges)).orderBy("ord").collect()))
+    assert doc == {"_meta": {"node_types": ["proc"], "edge_types": ["DirectCall"]}, "nodes": [{"node_key": "n", "type_tag": "proc", "name": "n"}], "edges": [{"src_key": "n", "dst_key": "n", "edge_type": "DirectCall"}] * 2}
+    assert json.loads("".join(r.line for r in render.document(nodes.limit(0), edges.limit(0)).orderBy("ord").collect()))["nodes"] == []
     csv = spark.createDataFrame([("1", "x", "y")], ["Unique SQL ID", "SQL_Text", "other"])
     assert render.read_statements(csv).columns == ["unique_sql_id", "sql_text", "other"]
     with pytest.raises(ValueError):

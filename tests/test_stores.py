@@ -67,3 +67,19 @@ def test_stream_parses_new_files_once(spark, tmp_path):
     (src / "b.sql").write_text("SELECT * FROM t2;")
     incremental.start(spark, f"file://{src}", out, check).awaitTermination()
     assert sorted(r.b for r in incremental.current(spark, out).filter("record = 'access'").collect()) == ["t1", "t2"]
+
+
+def test_refresh_sees_changed_and_deleted_files(spark, tmp_path):
+    src = tmp_path / "src"
+    src.mkdir()
+    root, out = f"file://{src}", f"file://{tmp_path}/out"
+    tables = lambda: sorted(r.b for r in incremental.refreshed(spark, out).filter("record = 'access'").collect())
+    changes = lambda: {r.path: r.change for r in incremental.refresh(spark, root, out).collect()}
+    for name in "abc":
+        (src / f"{name}.sql").write_text(f"SELECT * FROM {name}1;")
+    assert changes() == {"a.sql": "added", "b.sql": "added", "c.sql": "added"} and tables() == ["a1", "b1", "c1"]
+    (src / "a.sql").write_text("SELECT * FROM a2;")
+    (src / "b.sql").unlink()
+    assert changes() == {"a.sql": "modified", "b.sql": "deleted", "c.sql": "unchanged"} and tables() == ["a2", "c1"]
+    (src / "b.sql").write_text("SELECT * FROM b3;")
+    assert changes()["b.sql"] == "added" and tables() == ["a2", "b3", "c1"]

