@@ -20,7 +20,7 @@ def duck():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
-@pytest.mark.parametrize("name", ["conflicts", "access_labels", "degrees", "package_tables", "sql_fingerprints", "resolve_calls", "change_set", "merge_nodes", "parse_sources"])
+@pytest.mark.parametrize("name", ["conflicts", "access_labels", "degrees", "package_tables", "sql_fingerprints", "resolve_calls", "change_set", "merge_nodes", "parse_sources", "table_lineage", "lineage_children", "trace_both_ways", "export_dot", "object_access", "column_mappings", "source_filters", "statement_kinds", "java_graph"])
 def test_query_equals_sql(spark, duck, name):
     df = registry.QUERIES[name](spark, SF)
     columns = sorted(df.columns)

@@ -1,3 +1,4 @@
+from codeloom.operators import columns
 from codeloom.sources import ingest
 from codeloom.sources.other import lex_jsp, read_java, read_jsp, read_mapper
 
@@ -61,3 +62,26 @@ def test_analyze_resolves_over_all_files(spark, tmp_path):
     assert ("class:com.x.OrderService", "class:com.x.Base", "Extends") in e and ("class:com.x.OrderService", "class:com.x.OrderMapper", "CallsJava") in e
     n = {r.node_key: r for r in nodes.collect()}
     assert not n["table:other"].explicit and n["table:other"].type_tag == "table*" and n["table:s.orders"].explicit and "table:hidden" not in n
+
+
+def test_names_go_to_the_owner_schema_views_and_synonyms(spark, tmp_path):
+    (tmp_path / "a.sql").write_text("""
+    CREATE TABLE a.t (id INT); CREATE TABLE b.t (id INT); CREATE TABLE hr.emp (id INT); CREATE VIEW hr.v AS SELECT e.id FROM emp e;
+    CREATE SYNONYM pub.people FOR hr.emp; CREATE PROCEDURE b.p AS BEGIN UPDATE t SET id = 1; DELETE FROM c.t; END;
+    CREATE PROCEDURE q AS BEGIN INSERT INTO people (id) SELECT v.id FROM v; SELECT 1 INTO x FROM t; END;
+    """)
+    nodes, edges, mappings = ingest.analyze(spark, f"file://{tmp_path}")
+    e = {(r.src_key, r.dst_key, r.edge_type) for r in edges.collect()}
+    assert {("proc:b.p", "table:b.t", "TableAccess"), ("proc:b.p", "table:c.t", "TableAccess"), ("view:hr.v", "table:hr.emp", "DependsOn"), ("synonym:pub.people", "table:hr.emp", "AliasesObject")} <= e
+    assert {("proc:q", "table:hr.emp", "TableAccess"), ("proc:q", "view:hr.v", "TableAccess"), ("proc:q", "table:t", "TableAccess")} <= e
+    assert {r.node_key for r in nodes.filter("NOT explicit").collect()} == {"table:c.t", "table:t"}
+    assert {(r.target_table, r.source_table) for r in mappings.filter("source_table IS NOT NULL").collect()} == {("hr.v", "hr.emp"), ("hr.emp", "hr.v")}
+    assert {tuple(r.read_tables) for r in edges.filter("src_key = 'proc:q' AND read_tables IS NOT NULL").collect()} == {("view:hr.v",)}
+
+
+def test_bounded_variants_say_so(spark):
+    body = "".join(f'<if test="a{i}">AND a{i} = 1</if>' for i in range(9))
+    xml = f'<mapper namespace="m"><select id="many">SELECT 1 FROM t <where>{body}</where></select><select id="few">SELECT 1 FROM t</select></mapper>'
+    files = spark.createDataFrame([("m.xml", "xml", bytearray(xml.encode()))], "path string, kind string, content binary")
+    rows = ingest.parse(files)
+    assert [(r.rule, r.subject) for r in columns.schema_diagnostics(rows).collect()] == [("only-some-variants", "mapper:m.many")]
