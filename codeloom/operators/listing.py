@@ -66,8 +66,12 @@ def parse_sort(spec: str) -> list[Column]:
 def list_nodes(
     nodes: DataFrame, edges: DataFrame, search: str | None = None, tag_prefix: str | None = None, tag: str | None = None, inferred: bool = False,
     most_degree: int | None = None, sort: str = "name", offset: int = 0, limit: int | None = 100, system: bool | None = None, known: DataFrame | None = None,
+    partitioned: bool = False, distributed: bool = False,
 ) -> DataFrame:
-    """A page of nodes with their degrees. The cheap filters come before the degree join.
+    """A page of nodes with their degrees. The cheap filters come before the degree join. Without a limit it is the whole list,
+    whose count is the total of its pages.
+
+    partitioned, distributed: tables whose definition (sql) has such a clause.
 
     known: degrees that are stored beside the graph; without them they are counted from all edges.
     """
@@ -80,6 +84,9 @@ def list_nodes(
         out = out.filter(node_filter(tag))
     if inferred:
         out = out.filter(~F.col("explicit"))
+    for wanted, clause in ((partitioned, r"\bpartition\s+by\b"), (distributed, r"\bdistribute\s+by\b")):
+        if wanted:
+            out = out.filter(F.lower("sql").rlike(clause))
     if system is not None:
         out = out.filter(F.coalesce("system", F.lit(False)) == system)
     out = out.join(degrees(out, edges) if known is None else known, "node_key")

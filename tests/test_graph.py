@@ -233,6 +233,13 @@ def test_merge_is_idempotent_and_dedup_keeps_the_richer(spark):
     merge.merge_edges(edges.selectExpr("*", "0 AS store_ord", "1 AS modes"), spark.createDataFrame([("k", "k"), ("j", "j")], "node_key string, canonical string")).collect()
 
 
+def test_listing_filters_on_definitions(spark):
+    n, e = graph(spark, [("a", "b"), ("b", "c")])
+    n = n.withColumn("sql", F.when(F.col("node_key") == "a", "( id INT ) PARTITION  BY RANGE ( id )").when(F.col("node_key") == "b", "( x INT ) DISTRIBUTE BY HASH ( x )")).withColumn("system", F.col("node_key") == "c")
+    keys = lambda **a: [r.node_key for r in listing.list_nodes(n, e, **a).collect()]
+    assert keys(partitioned=True) == ["a"] and keys(distributed=True) == ["b"] and keys(system=True) == ["c"] and keys(system=False, known=listing.degrees(n, e)) == ["a", "b"]
+
+
 def test_sort_specs():
     assert len(listing.parse_sort("name:asc,total:desc")) == 3
     with pytest.raises(ValueError):
