@@ -39,16 +39,28 @@ def tfidf(access: DataFrame, tau: float = TAU, top_k: int = TOP_K) -> DataFrame:
     """proc_a, proc_b, sim: cosine of binary TF-IDF vectors of tables; the top_k nearest of each routine with sim >= tau.
 
     access: distinct proc_key, table_key. Only routines that share a table meet. A table of all routines has idf 0 and is
-    left out before the join; norms are folded into the vectors, so the join needs no second pass.
+    left out before the join; norms are folded into the vectors.
+
+    Tables of many routines do not bring routines together if they need not: of each routine the most frequent tables are set
+    aside as long as their part of the vector is shorter than tau. Two routines that are as near as tau share another table
+    besides, as the rarest that they share is set aside by neither. What was set aside is added for the pairs so found.
     """
     n = access.select(F.count_distinct("proc_key")).first()[0]
     df = access.groupBy("table_key").agg(F.count(F.lit(1)).alias("df"))
     idf = df.withColumn("idf", F.log(F.lit(float(n)) / F.col("df"))).filter("idf > 0").select("table_key", "idf")
     v = access.join(idf, "table_key")
     norm = v.groupBy("proc_key").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm"))
-    v = materialize(v.join(norm, "proc_key").select("proc_key", "table_key", (F.col("idf") / F.col("norm")).alias("x")), "tfidf")
-    o = v.select(F.col("proc_key").alias("proc_b"), "table_key", F.col("x").alias("y"))
-    sims = v.withColumnRenamed("proc_key", "proc_a").join(o, "table_key").filter("proc_a < proc_b").groupBy("proc_a", "proc_b").agg(F.sum(F.col("x") * F.col("y")).alias("sim"))
+    v = v.join(norm, "proc_key").select("proc_key", "table_key", "idf", (F.col("idf") / F.col("norm")).alias("x"))
+    length = F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("proc_key").orderBy("idf", "table_key").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    v = materialize(v.select("proc_key", "table_key", "x", (length < tau * tau * (1 - 1e-9)).alias("aside")), "tfidf")
+    side = lambda df, proc, x: df.select(F.col("proc_key").alias(proc), "table_key", F.col("x").alias(x))
+    total = lambda df: df.groupBy("proc_a", "proc_b").agg(F.sum(F.col("x") * F.col("y")).alias("sim"))
+    main, rest = v.filter("NOT aside"), v.filter("aside")
+    met = materialize(total(side(main, "proc_a", "x").join(side(main, "proc_b", "y"), "table_key").filter("proc_a < proc_b")), "met")
+    pairs = met.select("proc_a", "proc_b")
+    more = total(pairs.join(side(rest, "proc_a", "x"), "proc_a").join(side(v, "proc_b", "y"), ["proc_b", "table_key"]))
+    more = more.unionByName(total(pairs.join(side(rest, "proc_b", "y"), "proc_b").join(side(main, "proc_a", "x"), ["proc_a", "table_key"])))
+    sims = met.unionByName(more).groupBy("proc_a", "proc_b").agg(F.sum("sim").alias("sim"))
     sims = materialize(sims.filter(F.col("sim") >= tau), "sims")
     both = sims.unionByName(sims.select(F.col("proc_b").alias("proc_a"), F.col("proc_a").alias("proc_b"), "sim"))
     # Rounded in the order, so that ties do not hang on the order of sums.

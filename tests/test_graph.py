@@ -1,5 +1,6 @@
 """Traversals, clustering, search and merging against plain Python on small random graphs."""
 
+import math
 import random
 
 import pytest
@@ -240,6 +241,22 @@ def test_listing_filters_on_definitions(spark):
     assert keys(partitioned=True) == ["a"] and keys(distributed=True) == ["b"] and keys(system=True) == ["c"] and keys(system=False, known=listing.degrees(n, e)) == ["a", "b"]
 
 
+def test_tfidf_sets_frequent_tables_aside(spark):
+    r = random.Random(6)
+    rows = {(f"p{i:02}", f"t{j}") for i in range(30) for j in (*([0] if i % 3 else []), *([1] if i % 2 else []), *(r.randrange(2, 25) for _ in range(5)))}
+    procs = sorted({p for p, _ in rows})
+    df = {t: sum(u == t for _, u in rows) for _, t in rows}
+    v = {p: {t: math.log(len(procs) / df[t]) for q, t in rows if q == p} for p in procs}
+    norm = {p: math.sqrt(sum(x * x for x in v[p].values())) for p in procs}
+    for tau in (0.1, 0.45):
+        want = {}
+        for p in procs:
+            sims = sorted((-round(sum(x * v[q].get(t, 0) for t, x in v[p].items()) / norm[p] / norm[q], 9), q) for q in procs if q != p)
+            want |= {tuple(sorted((p, q))): -s for s, q in [x for x in sims if -x[0] >= tau][:4]}
+        got = {(x.proc_a, x.proc_b): x.sim for x in cluster.tfidf(spark.createDataFrame(list(rows), "proc_key string, table_key string"), tau, 4).collect()}
+        assert got == pytest.approx(want, abs=1e-8) and got
+
+
 def test_sort_specs():
     assert len(listing.parse_sort("name:asc,total:desc")) == 3
     with pytest.raises(ValueError):
