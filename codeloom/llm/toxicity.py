@@ -80,15 +80,13 @@ def _grams(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def layout(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each word, the distinct hashes of its n-grams laid end to end, and where those of each word begin and end."""
-    own, begin = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+    """Hash of each word, the hashes of its n-grams laid end to end, and where those of each word begin and end."""
+    own, count = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
     for a in range(0, len(vocabulary), CHUNK_WORDS):
         hashes, valid, starts = _grams(vocabulary[a : a + CHUNK_WORDS])
-        word = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, hashes.shape[1])))
-        pairs = np.unique((np.broadcast_to(word, hashes.shape)[valid].astype(np.int64) << GRAM_BITS) | hashes[valid])
-        own.append((pairs & ((1 << GRAM_BITS) - 1)).astype(np.int32))
-        begin.append(begin[-1][-1] + np.cumsum(np.bincount(pairs >> GRAM_BITS, minlength=len(starts))))
-    return _word_hash(vocabulary), np.concatenate(own), np.concatenate(begin)
+        own.append(hashes.T[valid.T])
+        count.append(np.add.reduceat(valid.sum(axis=0), starts))
+    return _word_hash(vocabulary), np.concatenate(own), np.append(0, np.cumsum(np.concatenate(count)))
 
 
 def _part(of: tuple[np.ndarray, np.ndarray, np.ndarray], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,21 +118,17 @@ class Tables:
         odds = np.log((count[1] + 0.5) / (n[1] + 1)) - np.log((count[0] + 0.5) / (n[0] + 1))
         return (odds * seen / (seen + 4) / 3).astype(np.float32)
 
-    def inputs(self, vocabulary: list[str]) -> np.ndarray:
-        parts = [self._inputs(vocabulary[a : a + CHUNK_WORDS]) for a in range(0, len(vocabulary), CHUNK_WORDS)]
-        return np.concatenate(parts) if parts else np.zeros((0, STATISTICS), np.float32)
-
-    def _inputs(self, vocabulary: list[str]) -> np.ndarray:
-        out = np.zeros((len(vocabulary), STATISTICS), np.float32)
-        hashes, valid, starts = _grams(vocabulary)
-        v = self.gram[hashes]
-        n = np.maximum(np.add.reduceat(valid.sum(axis=0), starts), 1)
-        out[:, 0] = self.word[_word_hash(vocabulary)]
-        out[:, 1] = np.maximum.reduceat(np.where(valid, v, -9).max(axis=0), starts)
-        out[:, 2] = np.minimum.reduceat(np.where(valid, v, 9).min(axis=0), starts)
-        out[:, 3] = np.add.reduceat(np.where(valid, v, 0).sum(axis=0), starts) / n
-        # A word without n-grams (none is shorter than 3 with its marks) would leave the fillers.
-        out[:, 1:3] = np.where(np.abs(out[:, 1:3]) > 8, 0, out[:, 1:3])
+    def inputs(self, of: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        """The statistics of words, whose layout is given."""
+        word, grams, begin = of
+        out = np.zeros((len(word), STATISTICS), np.float32)
+        if len(word):
+            # Every word has an n-gram, as its marked ends make it three characters long at least.
+            v = self.gram[grams]
+            out[:, 0] = self.word[word]
+            out[:, 1] = np.maximum.reduceat(v, begin[:-1])
+            out[:, 2] = np.minimum.reduceat(v, begin[:-1])
+            out[:, 3] = np.add.reduceat(v, begin[:-1]) / np.diff(begin)
         return out
 
 
@@ -150,6 +144,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
+def _sums(rows: np.ndarray, d: np.ndarray, size: int) -> np.ndarray:
+    """Sums of the rows of d by number."""
+    return np.stack([np.bincount(rows, c, size) for c in d.T], axis=1)
+
+
 class Network:
     def __init__(self, seed: int = 3):
         r = np.random.default_rng(seed)
@@ -165,18 +164,17 @@ class Network:
         word, grams, begin = of
         if not len(word):
             return np.zeros((0, INPUTS), np.float32)
-        # Every word has an n-gram, as its marked ends make it three characters long at least.
         mean = np.add.reduceat(self.e["gram"][grams >> (GRAM_BITS - EMBEDDING_BITS)], begin[:-1]) / np.diff(begin)[:, None]
         return np.concatenate([statistics, self.e["word"][word >> (WORD_BITS - EMBEDDING_BITS)], mean], axis=1).astype(statistics.dtype, copy=False)
 
     def embedding_gradient(self, of: tuple[np.ndarray, np.ndarray, np.ndarray], d: np.ndarray) -> dict[str, np.ndarray]:
         """By both tables, from d by the inputs of words."""
         word, grams, begin = of
-        out = {k: np.zeros_like(v) for k, v in self.e.items()}
-        np.add.at(out["word"], word >> (WORD_BITS - EMBEDDING_BITS), d[:, STATISTICS : STATISTICS + EMBEDDING])
-        n = np.diff(begin)
-        np.add.at(out["gram"], grams >> (GRAM_BITS - EMBEDDING_BITS), np.repeat(d[:, STATISTICS + EMBEDDING :] / n[:, None], n, axis=0))
-        return out
+        n, size = np.diff(begin), 1 << EMBEDDING_BITS
+        return {
+            "word": _sums(word >> (WORD_BITS - EMBEDDING_BITS), d[:, STATISTICS : STATISTICS + EMBEDDING], size),
+            "gram": _sums(grams >> (GRAM_BITS - EMBEDDING_BITS), np.repeat(d[:, STATISTICS + EMBEDDING :] / n[:, None], n, axis=0), size),
+        }
 
     def gates(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """What the inputs add to the gates, for each direction; made once for each word of a vocabulary."""
@@ -281,10 +279,10 @@ class Model:
             while len(at) >= len(self.known[0]):  # room is doubled, so that growth copies little
                 self.known = [np.concatenate([g, np.zeros_like(g)]) for g in self.known]
             for a in range(0, len(new), CHUNK_WORDS):
-                some = new[a : a + CHUNK_WORDS]
+                of = layout(new[a : a + CHUNK_WORDS])
                 first = len(at) + 1 - len(new) + a
-                for known, g in zip(self.known, self.net.gates(self.net.embed(self.tables.inputs(some), layout(some)))):
-                    known[first : first + len(some)] = g
+                for known, g in zip(self.known, self.net.gates(self.net.embed(self.tables.inputs(of), of))):
+                    known[first : first + len(g)] = g
         return np.array(out, np.int64)
 
     def logits(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
@@ -326,7 +324,7 @@ def fit(rows: list[tuple[str, int]], rate: float, rounds: int = 3, epochs: int =
     counted, kept = turn < 2, turn == 4
     model.tables = Tables([np.unique(d) for d, c in zip(docs, counted) if c], of, y[counted])
     model.net = net = Network(seed)
-    statistics = model.tables.inputs(list(places))
+    statistics = model.tables.inputs(of)
     del places
     own, label = [d for d, c in zip(docs, (turn == 2) | (turn == 3)) if c], y[(turn == 2) | (turn == 3)]
     # Word 0 is padding, which the masks hide.
@@ -369,8 +367,7 @@ def fit(rows: list[tuple[str, int]], rate: float, rounds: int = 3, epochs: int =
                 x = np.zeros((len(used), INPUTS), np.float32)
                 x[used > 0] = net.embed(statistics[known], some)
                 g = net.gradient(x[back.reshape(WINDOW, -1)], step < n[k], target[i], weight[i] / len(i))
-                dx = np.zeros_like(x)
-                np.add.at(dx, back.ravel(), g.pop("x").reshape(-1, INPUTS))
+                dx = _sums(back.ravel(), g.pop("x").reshape(-1, INPUTS), len(x))
                 t += 1
                 # Embeddings of rare words move slowly, or they would learn their few documents by heart.
                 for table, grads, pace in ((net.p, g, 0.02), (net.e, net.embedding_gradient(some, dx[used > 0]), 0.002)):
@@ -379,10 +376,13 @@ def fit(rows: list[tuple[str, int]], rate: float, rounds: int = 3, epochs: int =
                         moment[name] = 0.9 * moment.get(name, 0.0) + 0.1 * d
                         square[name] = 0.99 * square.get(name, 0.0) + 0.01 * d * d
                         table[name] -= (pace * moment[name] / (1 - 0.9**t) / (np.sqrt(square[name] / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
-    unseen = [words(text) for (text, _), k in zip(rows, kept) if k]
-    logit, count = model.logits(unseen)
+    del ids, doc, first, n, padded, of, statistics, own, docs, moment, square
+    unseen = [text for (text, _), k in zip(rows, kept) if k]
+    seen = [model.logits([words(t) for t in unseen[a : a + 64]]) for a in range(0, len(unseen), 64)]
+    logit, count = (np.concatenate(x) for x in zip(*seen))
     share = y[kept].mean()
     model.calibration = logistic(np.column_stack([logit, np.log(count)]), y[kept], np.where(y[kept] == 1, rate / share, (1 - rate) / (1 - share)), ridge=0.05)
+    del model.at, model.known
     return model
 
 
