@@ -15,7 +15,7 @@ highest window, calibrated on its logit and the number of windows, at the base r
 The statistics, the network and the calibration are fitted on different parts of the sample (two, two and one of five
 documents of a class), so none trusts what its own documents made.
 
-Defined cases: a null or empty text, or one of white space only, is one empty window and has a low score of its own; texts
+Defined cases: a null or empty text, or one of white space only, has the logit of the lowest document that the calibration has seen; texts
 of any length are scored whole; repeated rows get equal scores; without labels of both classes all scores are the base
 rate; an empty table gives an empty result; other columns are not read.
 """
@@ -71,7 +71,8 @@ def _grams(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     hashes, valid = np.zeros((len(GRAMS), len(codes)), np.int32), np.zeros((len(GRAMS), len(codes)), bool)
     h = np.zeros(len(codes), np.uint32)
     for k in range(max(GRAMS)):
-        h[: len(codes) - k] = h[: len(codes) - k] * np.uint32(0x01000193) + codes[k:]
+        n = max(0, len(codes) - k)  # a chunk may be shorter than the longest n-gram
+        h[:n] = h[:n] * np.uint32(0x01000193) + codes[k:]
         if k + 1 in GRAMS:
             mixed = (h ^ np.uint32(k * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)
             hashes[GRAMS.index(k + 1)] = mixed >> np.uint32(32 - GRAM_BITS)
@@ -256,7 +257,7 @@ class Network:
 
 class Model:
     def __init__(self, rate: float):
-        self.rate, self.tables, self.net, self.calibration = rate, None, None, None
+        self.rate, self.tables, self.net, self.calibration, self.lowest = rate, None, None, None, 0.0
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k not in ("at", "known")}
@@ -304,7 +305,10 @@ class Model:
     def score(self, texts: list[str]) -> np.ndarray:
         if self.net is None:
             return np.full(len(texts), self.rate)
-        logit, n = self.logits([words(t) for t in texts])
+        docs = [words(t) for t in texts]
+        logit, n = self.logits(docs)
+        # A text without words says nothing toxic: it is as low as the lowest document of the calibration.
+        logit = np.where([not d for d in docs], self.lowest, logit)
         x = np.column_stack([logit, np.log(n)])
         return 1 / (1 + np.exp(-np.clip(x @ self.calibration[:2] + self.calibration[2], -30, 30)))
 
@@ -380,7 +384,7 @@ def fit(rows: list[tuple[str, int]], rate: float, rounds: int = 3, epochs: int =
     unseen = [text for (text, _), k in zip(rows, kept) if k]
     seen = [model.logits([words(t) for t in unseen[a : a + 64]]) for a in range(0, len(unseen), 64)]
     logit, count = (np.concatenate(x) for x in zip(*seen))
-    share = y[kept].mean()
+    share, model.lowest = y[kept].mean(), float(logit.min())
     model.calibration = logistic(np.column_stack([logit, np.log(count)]), y[kept], np.where(y[kept] == 1, rate / share, (1 - rate) / (1 - share)), ridge=0.05)
     del model.at, model.known
     return model

@@ -11,6 +11,7 @@ import pytest
 
 from codeloom.llm import decontaminate, media, ngram_join, quality, toxicity, warc
 from codeloom.llm.common import new_path
+from tests_llm_corpus import labelled_corpus
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -134,23 +135,6 @@ def test_media_formats():
 # ---- classifiers
 
 
-def labelled_corpus(n=400, seed=1):
-    r = random.Random(seed)
-    words = ["".join(r.choice("etaoinshr") for _ in range(r.randint(2, 7))) for _ in range(300)]
-    out = []
-    for i in range(n):
-        text = [r.choice(words) for _ in range(r.randint(20, 200))]
-        bad = i % 4 == 0
-        if bad:
-            text = [w + r.choice(["###", "$$$"]) for w in text]
-        toxic = i % 3 == 0
-        if toxic:
-            for _ in range(4):
-                text.insert(r.randrange(len(text)), r.choice(["zorgblat", "zorgquux", "zorgnit"]))
-        out.append((" ".join(text), int(not bad), int(toxic)))
-    return out
-
-
 def test_quality_on_held_out_text():
     rows = labelled_corpus()
     model = quality.fit([(t, q) for t, q, _ in rows[:300]], 0.75)
