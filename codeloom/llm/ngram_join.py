@@ -52,6 +52,8 @@ ALL_PAIRS = 24
 SPLIT = 100_000
 #: Shingles gathered by a task before it sends them on, and shingles that one bucket of lists should hold.
 FLUSH, PER_BUCKET = 1_000_000, 1_500_000
+#: A set is hot if it has more than this part of all rows, so there are fewer than that many hot sets.
+HOT = 10_000
 #: Ids that may be broadcast; their bytes are checked too.
 MOST_IDS = 1_000_000
 #: Pairs, and bytes of texts, that one group of the verification should hold.
@@ -507,7 +509,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     often = first.filter("key >= 0").select("key", "df").orderBy(F.desc("df"), "key").limit(MOST_FREQUENT).toArrow()
     order = _Order(often.column("key").to_numpy().astype(np.uint64), often.column("df").to_numpy(), bits)
     lists = _lists(docs, order, light)
-    reps = materialize(rows.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("bytes").alias("bytes")), "join-reps")
+    reps = materialize(rows.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("bytes").alias("bytes"), F.count(F.lit(1)).alias("rows")), "join-reps")
 
     pairs = materialize(lists.filter("kind >= -1").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("kind").alias("kind")), "join-pairs")
 
@@ -535,8 +537,14 @@ def _classes(docs: DataFrame) -> DataFrame:
 
     # The root is the smallest node, and its doc_id the smallest of the class.
     named = reps.join(roots.select(F.col("node.sid").alias("_n"), "root"), F.col("sid") == F.col("_n"), "left")
-    named = named.select(F.col("sid").alias("_s"), F.coalesce("root", F.struct(F.col("rep").isNull().alias("none"), "rep", "sid")).alias("root"))
-    return rows.join(named, F.col("sid") == F.col("_s"), "left").select("doc_id", "n", "sid", "root")
+    named = named.select(F.col("sid").alias("_s"), F.coalesce("root", F.struct(F.col("rep").isNull().alias("none"), "rep", "sid")).alias("root"), "rows")
+    # Sets of one of HOT rows or more, of which there are HOT at most, do not move their copies; the others meet by shuffle.
+    often = max(1, (reps.agg(F.sum("rows")).first()[0] or 0) // HOT)
+    named = materialize(named, "join-named")
+    hot = F.broadcast(named.filter(F.col("rows") > often).select("_s", "root"))
+    same = F.col("sid") == F.col("_s")
+    cold = rows.join(hot, same, "left_anti").join(named.filter(F.col("rows") <= often).select("_s", "root"), same, "left")
+    return rows.join(hot, same).unionByName(cold).select("doc_id", "n", "sid", "root")
 
 
 def classes(docs: DataFrame) -> DataFrame:
