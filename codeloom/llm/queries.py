@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codeloom.llm import chat, decontaminate, media, mixing, ngram_join, pii, quality, toxicity, url_filter, warc
+from codeloom.llm import audit, chat, decontaminate, media, mixing, ngram_join, pii, quality, sharding, toxicity, trie, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_media_columns": media.op9_media_columns,
     "op10_mixing": mixing.op10_mixing,
+    "op11_filter_audit": audit.op11_filter_audit,
+    "op12_sharding": sharding.op12_sharding,
+    "op13_prefix_trie": trie.op13_prefix_trie,
 }
 
 ORACLE_SQL = {
@@ -22,4 +25,6 @@ ORACLE_SQL = {
     "op4_chat_format": chat.SQL,
     "op7_warc": warc.SQL,
     "op10_mixing": mixing.sql(),
+    "op11_filter_audit": audit.SQL,
+    "op13_prefix_trie": trie.SQL,
 }
