@@ -12,17 +12,20 @@ Two documents link if 100 * |A and B| >= 75 * |A or B|. Every document gets the
 3. Lists of up to ALL_PAIRS sets give all pairs that sizes and places allow. Longer lists give a star first, around the set
    in which the shingle stands first: that is the one with the fewest rare shingles of its own. The list of a shingle of more
    than SPLIT documents is dealt to parts by its members' names, each with a star of its own.
-4. The best partner of each set is verified exactly. What links is merged. Pairs within a merged class need no look; pairs
-   across classes, from short lists and from long ones that still hold several classes, are verified exactly too. So no link
-   between different texts is lost, and large groups of near copies cost a star instead of all pairs.
+4. The best partner of each set is verified exactly. What links is merged. In long lists that still hold several classes one
+   member of each class meets the first of the list, round by round until none links, so parts of a split list come together.
+   Pairs within a merged class need no look; pairs across classes, from short lists and from long ones that still hold
+   several, are verified exactly too. So no link between different texts is lost, and large groups of near copies cost stars
+   instead of all pairs.
 5. Classes come from alternating large-star and small-star steps on the links until nothing changes, with each round written
-   to the shared folder. A set is known there by its smallest doc_id and its name, so the root of a class holds its answer. Nothing about documents is gathered on the driver besides counts and the most frequent shingles, which are a
-   bounded list and only order the prefixes.
+   to the shared folder; neighbours of a hub meet its least one by broadcast. A set is known there by its smallest doc_id and
+   its name, so the root of a class holds its answer. Nothing about documents is gathered on the driver besides counts and
+   the most frequent shingles, which are a bounded list and only order the prefixes.
 
 Defined cases: a null, empty or white text has 0 shingles and links with nothing, itself included in its class; fewer than
-5 words make one shingle; repeated rows and equal sets are in one class; rows with a null doc_id link through equal sets
-only, and have the smallest non-null doc_id of their class or null; texts of any length are read whole; an empty table gives
-an empty result; other columns may have any name.
+5 words make one shingle; repeated rows and equal sets are in one class; rows with a null doc_id link like others, and have
+the smallest non-null doc_id of their class or null; texts of rows that share an id, or have none, are found by their sets and not by
+their ids; texts of any length are read whole; an empty table gives an empty result; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -39,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codeloom.llm.common import materialize, slices, small
+from codeloom.llm.common import materialize, meet, slices, small
 
 WORDS = 5
 #: The threshold as a fraction of whole numbers.
@@ -213,14 +216,14 @@ class _Order:
             return s[:k]
         return s[np.argsort(often, kind="stable")[:k]]
 
-    def parts(self, keys: np.ndarray) -> np.ndarray:
-        """Into how many parts the list of each key is split; 0 for one that stays whole."""
-        if not len(self.keys) or self.counts.max() <= SPLIT:
+    def parts(self, keys: np.ndarray, split: int) -> np.ndarray:
+        """Into how many parts the list of each key is split, if it has more than `split` documents; 0 for one that stays whole."""
+        if not len(self.keys) or self.counts.max() <= split:
             return np.zeros(len(keys), np.int64)
         key = keys >> np.uint64(32 - self.bits)
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         count = np.where(self.keys[at] == key, self.counts[at], 0)
-        return np.where(count > SPLIT, -(-count // SPLIT) * 2, 0)
+        return np.where(count > split, -(-count // split) * 2, 0)
 
 
 def _split(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -303,7 +306,7 @@ def _first_pass(docs: DataFrame, bits: int) -> DataFrame:
     return materialize(got, "join-first")
 
 
-def _lists(docs: DataFrame, order: _Order, light: int) -> DataFrame:
+def _lists(docs: DataFrame, order: _Order, light: int, split: int) -> DataFrame:
     """kind 0: pairs (a, b) of short lists; -1: stars (a, b) of long ones, both with the number of lists; -2: members (a) of
     long lists (key) with size n and place."""
     held_order = docs.sparkSession.sparkContext.broadcast((order.keys, order.counts, order.bits))
@@ -320,7 +323,7 @@ def _lists(docs: DataFrame, order: _Order, light: int) -> DataFrame:
             o, n, p = np.repeat(np.arange(len(owners)), count), np.repeat(np.array(sizes, np.uint32), count), np.concatenate(places)
             at = np.argsort(k, kind="stable")
             k, o, n, p = k[at], o[at], n[at], p[at]
-            of = order.parts(k)
+            of = order.parts(k, split)
             parts = np.zeros(len(k), np.int32)
             if of.any():
                 # Parts of a list go by what is left of their members' names, and to groups of their own by their keys.
@@ -432,7 +435,40 @@ def _place_most(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return n - (-(-NUM * (n + m) // (NUM + DEN))) + 1
 
 
-def _verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
+class _Texts:
+    """Texts of sets, found by the id of a document; a set whose id is null or on several rows is found by its name instead."""
+
+    def __init__(self, docs: DataFrame, rows: DataFrame) -> None:
+        """rows: doc_id and sid of every document, written."""
+        self._docs = docs
+        twice = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_t"))
+        self._twice = materialize(twice, "join-shared-ids")
+        self._by_name = None if self._twice.isEmpty() else self._named()
+
+    def _named(self) -> DataFrame:
+        doc_id = F.col("_row.doc_id").cast("long")
+        odd = self._docs.select(F.struct("doc_id", "text").alias("_row")).join(small(self._twice, MOST_IDS), doc_id.eqNullSafe(F.col("_t")), "left_semi")
+        named = _with_sid(odd.select("_row.*")).filter("_sid IS NOT NULL").groupBy(F.col("_sid").alias("_s")).agg(F.min("_row.text").alias("text"))
+        return materialize(named.select("_s", F.col("text").cast("binary").alias("text")), "join-named-texts")
+
+    def of(self, need: DataFrame) -> DataFrame:
+        """g, a, sid, rep, first and text of the written rows `need`."""
+        columns = ("g", "a", "sid", "rep", "first", "text")
+        texts = self._docs.select(F.col("doc_id").cast("long").alias("_d"), F.col("text").cast("binary").alias("text"))
+        # Only texts that take part are moved: the ids are broadcast while they are few, and filter the scan otherwise.
+        ids = need.select("rep").distinct()
+        if self._by_name is None:
+            texts = texts.join(small(ids, MOST_IDS), F.col("_d") == F.col("rep"), "left_semi")
+            return small(need, MOST_IDS).join(texts, F.col("rep") == F.col("_d")).select(*columns)
+        twice = small(self._twice, MOST_IDS)
+        one = materialize(need.join(twice, F.col("rep").eqNullSafe(F.col("_t")), "left_anti"), "join-need-one")
+        texts = texts.join(small(one.select("rep").distinct(), MOST_IDS), F.col("_d") == F.col("rep"), "left_semi")
+        by_id = small(one, MOST_IDS).join(texts, F.col("rep") == F.col("_d")).select(*columns)
+        several = need.join(twice, F.col("rep").eqNullSafe(F.col("_t")), "left_semi")
+        return by_id.unionByName(several.join(self._by_name, F.col("sid") == F.col("_s")).select(*columns))
+
+
+def _verify(texts: _Texts, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) that link, exactly, as x and y: texts come together in groups of about PER_GROUP pairs or GROUP_BYTES."""
     named = lambda c: reps.select(F.col("sid").alias(f"_{c}"), F.col("rep").alias(f"rep_{c}"), F.col("bytes").alias(f"bytes_{c}"))
     pairs = pairs.select("a", "b").join(named("a"), F.col("a") == F.col("_a")).join(named("b"), F.col("b") == F.col("_b")).drop("_a", "_b")
@@ -446,17 +482,13 @@ def _verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     pairs = pairs.withColumn("g", F.pmod(F.xxhash64("a", salt), F.lit(groups)))
     need = pairs.select("g", "a", F.col("b").alias("sid"), F.col("rep_b").alias("rep"), F.lit(False).alias("first"))
     need = materialize(need.unionByName(pairs.select("g", "a", F.col("a").alias("sid"), F.col("rep_a").alias("rep"), F.lit(True).alias("first")).distinct()), "join-need")
-    texts = docs.select(F.col("doc_id").cast("long").alias("_d"), F.col("text").cast("binary").alias("text"))
-    # Only texts that take part are moved: the ids are broadcast while they are few, and filter the scan otherwise.
-    texts = texts.join(small(need.select("rep").distinct(), MOST_IDS), F.col("_d").eqNullSafe(F.col("rep")), "left_semi")
-    rows = small(need, MOST_IDS).join(texts, F.col("rep").eqNullSafe(F.col("_d"))).select("g", "a", "sid", "rep", "first", "text")
+    rows = texts.of(need)
 
     def look(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         a, sid, rep, first = (table.column(c).to_pylist() for c in ("a", "sid", "rep", "first"))
         sets: dict[bytes, np.ndarray] = {}
         for s, x in zip(sid, shingle_sets(table.column("text").to_pylist())):
-            if s not in sets and set_digest(x) == s:  # an id may stand for several texts
-                sets[s] = x
+            sets[s] = x
         ids = dict(zip(sid, rep))
         out = set()
         for p, s, f in zip(a, sid, first):
@@ -477,16 +509,20 @@ def components(edges: DataFrame) -> DataFrame:
 
     The steps end when a round changes nothing; their number follows the logarithm of the size.
     """
+
+    def least_met(pairs: DataFrame) -> DataFrame:
+        """Written pairs (u, v) and the smallest v of each u, m. A hub's many pairs stay where they are (see common.meet)."""
+        least = materialize(pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "cc-least")
+        return meet(pairs, least, ["u"], "n", F.col("v"), "_m").select("u", "v", F.col("_m.m").alias("m"))
+
     edges = materialize(edges.filter("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "cc")
     last = None
     while True:
         # Large star: of all neighbours, the larger ones move to the smallest.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("u", "m").alias("m"))
-        large = both.join(least, F.col("u") == F.col("_u")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = least_met(both).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         # Small star: the smaller neighbours and the node itself move to the smallest.
-        least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), "m")
-        joined = large.join(least, F.col("u") == F.col("_u"))
+        joined = least_met(materialize(large, "cc-large"))
         edges = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         edges = materialize(edges, "cc")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
@@ -496,7 +532,21 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _classes(docs: DataFrame) -> DataFrame:
+def _heads(long: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members of long lists: the first member of each class of a list with the first one of the whole list.
+
+    long: key, a, p, n and class ra of members of lists that hold several classes, written. A pair for each class, list and
+    band of sizes, so near copies that ended in several classes, as in the parts of a split list, meet without all pairs.
+    """
+    band = F.floor(F.log("n") / math.log(DEN / NUM))
+    first = long.groupBy("key", band.alias("band"), "ra").agg(F.min(F.struct("p", "a")).alias("m"))
+    first = materialize(first, "join-heads")
+    whole = materialize(first.groupBy("key", "band").agg(F.min("m").alias("w"), F.count(F.lit(1)).alias("rows")).filter("rows > 1"), "join-head")
+    met = meet(first, whole, ["key", "band"], "rows", F.col("m"), "h", "inner").select(F.col("m.a").alias("x"), F.col("h.w.a").alias("y")).filter("x <> y")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _classes(docs: DataFrame, split: int = SPLIT) -> DataFrame:
     """doc_id, n, sid and root (none, rep, sid) of every row of docs; sid and root are null without shingles."""
     # About as many shingles as words; this only sets the number of buckets.
     total = docs.select(F.sum(F.octet_length("text") / 6)).first()[0] or 0
@@ -508,7 +558,8 @@ def _classes(docs: DataFrame) -> DataFrame:
     # Frequent shingles only order the prefixes, so a bounded list of them is enough for any corpus.
     often = first.filter("key >= 0").select("key", "df").orderBy(F.desc("df"), "key").limit(MOST_FREQUENT).toArrow()
     order = _Order(often.column("key").to_numpy().astype(np.uint64), often.column("df").to_numpy(), bits)
-    lists = _lists(docs, order, light)
+    lists = _lists(docs, order, light, split)
+    texts = _Texts(docs, rows)
     reps = materialize(rows.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("bytes").alias("bytes"), F.count(F.lit(1)).alias("rows")), "join-reps")
 
     pairs = materialize(lists.filter("kind >= -1").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("kind").alias("kind")), "join-pairs")
@@ -517,21 +568,32 @@ def _classes(docs: DataFrame) -> DataFrame:
     either = pairs.select("shared", F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e"))
     best = either.groupBy("e.x").agg(F.max(F.struct("shared", "e.y")).alias("m")).select(F.least("x", "m.y").alias("a"), F.greatest("x", "m.y").alias("b")).distinct()
     best = materialize(best, "join-best")
-    links = _verify(docs, reps, best)
+    links = _verify(texts, reps, best)
     roots = components(links)
+    label = lambda df, c, roots: df.join(roots.select(F.col("node.sid").alias("_n"), F.col("root.sid").alias(f"r{c}")), F.col(c) == F.col("_n"), "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c)).drop("_n")
+    unasked = lambda df, asked: df.join(asked.select(F.col("a").alias("_a"), F.col("b").alias("_b")), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti")
+    # Long lists that still hold several classes: one member of each class meets the first of the list, until none links.
+    members, asked = lists.filter("kind = -2").select("key", "a", F.col("place").alias("p"), "n"), best
+    while True:
+        long = materialize(label(members, "a", roots), "join-long")
+        mixed = long.groupBy("key").agg(F.min("ra").alias("x"), F.max("ra").alias("y"), F.count(F.lit(1)).alias("m")).filter("x <> y")
+        long = materialize(meet(long, materialize(mixed.select("key", "m"), "join-mixed-keys"), ["key"], "m", F.col("a"), "_k", "inner").drop("_k"), "join-mixed")
+        heads = materialize(unasked(_heads(long), asked), "join-heads-asked")
+        more = None if heads.isEmpty() else _verify(texts, reps, heads)
+        asked = asked.unionByName(heads)
+        if more is None or more.isEmpty():
+            break
+        links = links.unionByName(more)
+        roots, members = components(links), long.drop("ra")
     # Then all pairs across classes.
-    label = lambda df, c: df.join(roots.select(F.col("node.sid").alias("_n"), F.col("root.sid").alias(f"r{c}")), F.col(c) == F.col("_n"), "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c)).drop("_n")
-    across = label(label(pairs.filter("kind = 0").select("a", "b"), "a"), "b").filter("ra <> rb").select("a", "b")
-    long = materialize(label(lists.filter("kind = -2").select("key", "a", F.col("place").alias("p"), "n"), "a"), "join-long")
-    mixed = long.groupBy("key").agg(F.min("ra").alias("x"), F.max("ra").alias("y")).filter("x <> y").select(F.col("key").alias("_k"))
-    long = materialize(long.join(mixed, F.col("key") == F.col("_k"), "left_semi"), "join-mixed")
+    across = label(label(pairs.filter("kind = 0").select("a", "b"), "a", roots), "b", roots).filter("ra <> rb").select("a", "b")
     other = long.select(F.col("key").alias("_k"), F.col("a").alias("b"), F.col("p").alias("pb"), F.col("n").alias("nb"), F.col("ra").alias("rb"))
     last = f"1 - ceil({NUM} * (n + nb) / {NUM + DEN}.0)"
     fits = F.expr(f"a < b AND ra <> rb AND {DEN} * least(n, nb) >= {NUM} * greatest(n, nb) AND p <= n + {last} AND pb <= nb + {last}")
     across = across.unionByName(long.join(other, (F.col("key") == F.col("_k")) & fits).select("a", "b")).distinct()
-    across = materialize(across.join(best.select(F.col("a").alias("_a"), F.col("b").alias("_b")), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti"), "join-across")
+    across = materialize(unasked(across, asked), "join-across")
     if not across.isEmpty():
-        more = _verify(docs, reps, across)
+        more = _verify(texts, reps, across)
         if not more.isEmpty():
             roots = components(links.unionByName(more))
 
@@ -547,9 +609,9 @@ def _classes(docs: DataFrame) -> DataFrame:
     return rows.join(hot, same).unionByName(cold).select("doc_id", "n", "sid", "root")
 
 
-def classes(docs: DataFrame) -> DataFrame:
+def classes(docs: DataFrame, split: int = SPLIT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs."""
-    out = _classes(docs)
+    out = _classes(docs, split)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNotNull(), F.col("root.rep")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

@@ -305,13 +305,39 @@ def corpus(seed=3):
 def test_join_equals_brute_force(spark, monkeypatch, all_pairs, split):
     # Short lists are made long by a small bound and are split, so that stars and their second look are tried too.
     monkeypatch.setattr(ngram_join, "ALL_PAIRS", all_pairs)
-    monkeypatch.setattr(ngram_join, "SPLIT", split)
     rows = corpus()
     df = docs(spark, rows).selectExpr("*", "1 AS sid", "2 AS n")
-    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.classes(df).collect())
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.classes(df, split).collect())
     assert got == classes_by_brute_force(rows)
 
 
+def asked(monkeypatch):
+    """Numbers of pairs that are verified from now on."""
+    counts, plain = [], ngram_join._verify
+    monkeypatch.setattr(ngram_join, "_verify", lambda texts, reps, pairs: (counts.append(pairs.count()), plain(texts, reps, pairs))[1])
+    return counts
+
+
+@pytest.mark.parametrize("split", [100_000, 40])
+def test_join_of_near_copies_needs_stars_and_not_all_pairs(spark, monkeypatch, split):
+    counts = asked(monkeypatch)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join([*base[: i % 190], f"own{i}", *base[i % 190 + 1 :]])) for i in range(800)]
+    got = ngram_join.classes(docs(spark, rows), split).select("component_id").distinct().collect()
+    assert [r[0] for r in got] == [0]
+    assert sum(counts) < 5000
+
+
+def test_join_of_rows_without_ids_or_with_one_id(spark, monkeypatch):
+    counts = asked(monkeypatch)
+    base = [f"w{i}" for i in range(100)]
+    near = lambda i, tag: " ".join([*base[: i % 90], f"{tag}{i}", *base[i % 90 + 1 :]])
+    rows = [(None, near(i, "a")) for i in range(1000)] + [(5, near(i, "b")) for i in range(1000)] + [(None, f"alone {i} x y z other") for i in range(30)] + [(9, "alone 3 x y z other")]
+    got = ngram_join.classes(docs(spark, rows)).groupBy("doc_id", "component_id").count().collect()
+    assert {tuple(r) for r in got} == {(None, 5, 1000), (5, 5, 1000), (None, None, 29), (None, 9, 1), (9, 9, 1)}
+    assert sum(counts) < 10_000
+
+
 def test_join_subsets_cover_every_linked_pair_of_small_sets():
     for n in range(1, 15):
         for m in range(n, 15):
