@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from codeloom.functions.sqltext import fingerprint, lock_clause, matches, normalize, relevance
 from codeloom.operators.traverse import nearest_paths
 from codeloom.sources.plsql import BUILTINS
-from codeloom.work import small
+from codeloom.work import materialize, small
 
 #: Rounds of edit distance and number of suggestions for a name that resolves to nothing.
 NEAR_EDITS, NEAR_MOST = 3, 3
@@ -72,18 +72,27 @@ def trace_sql(hits: DataFrame, edges: DataFrame) -> DataFrame:
     return hits.join(callers, "node_key", "left")
 
 
-def mark(statements: DataFrame, edges: DataFrame, routines: DataFrame, target: str, target_name: str) -> DataFrame:
-    """statements (unique_sql_id, sql_text) with mark and path for one target.
+def mark(statements: DataFrame, edges: DataFrame, routines: DataFrame, target: str, target_name: str, bodies: DataFrame | None = None) -> DataFrame:
+    """statements (unique_sql_id, sql_text) with mark and path for one target, each row by its own text.
 
-    direct: the text names the target; indirect: it names a routine (node_key, name) that leads to the target, of which the
-    nearest is taken, then the first by key, and a shortest way from it. One search back from the target finds all callers.
+    direct: the text names the target; indirect: it names a routine (node_key, name) that leads to the target, or has the
+    fingerprint of a statement in such a routine's body (bodies: node_key and fingerprint, or sql_text). Of several routines
+    the nearest is taken, then the first by key, with a shortest way from it. One search back from the target finds all callers.
     """
     callers = nearest_paths(edges, target).join(routines, "node_key").select("node_key", "name", "depth", F.array_join("path", " > ").alias("path"))
-    # Words of a text meet names in an equi-join, so no text is held against every caller.
-    words = statements.select("unique_sql_id", F.explode(F.array_distinct(F.split(F.lower("sql_text"), "[^a-z0-9_]+"))).alias("word"))
-    named = words.join(small(callers.withColumn("word", F.lower("name"))), "word").groupBy("unique_sql_id").agg(F.min(F.struct("depth", "node_key", "path")).alias("best"))
-    direct = F.col("sql_text").rlike(rf"(?i)(?<![A-Za-z0-9_]){re.escape(target_name)}(?![A-Za-z0-9_])")
-    out = statements.join(named, "unique_sql_id", "left")
+    callers = materialize(callers, "mark-callers")
+    texts = statements.select("sql_text").filter("sql_text IS NOT NULL").distinct().select("sql_text", F.sha2("sql_text", 256).alias("digest"))
+    # Words of a text meet names in an equi-join, so no text is held against every caller. Names may hold $ and #.
+    words = texts.select("digest", F.explode(F.array_distinct(F.split(F.lower("sql_text"), r"[^\p{L}\p{N}_$#]+"))).alias("word"))
+    found = words.join(small(callers.withColumn("word", F.lower("name"))), "word").select("digest", "depth", "node_key", "path")
+    if bodies is not None:
+        made = F.col("fingerprint") if "fingerprint" in bodies.columns else fingerprint(F.col("sql_text"))
+        held = bodies.select("node_key", made.alias("print")).distinct().join(small(callers), "node_key")
+        prints = texts.select("digest", fingerprint(F.col("sql_text")).alias("print"))
+        found = found.unionByName(prints.join(held, "print").select("digest", "depth", "node_key", "path"))
+    best = found.groupBy("digest").agg(F.min(F.struct("depth", "node_key", "path")).alias("best"))
+    direct = F.coalesce(F.col("sql_text").rlike(rf"(?i)(?<![\p{{L}}\p{{N}}_$#]){re.escape(target_name)}(?![\p{{L}}\p{{N}}_$#])"), F.lit(False))
+    out = statements.withColumn("digest", F.sha2("sql_text", 256)).join(best, "digest", "left")
     m = F.when(direct, F.lit(f"direct to {target}")).when(F.col("best").isNotNull(), F.lit(f"indirect to {target}"))
     return out.select("unique_sql_id", "sql_text", m.alias("mark"), F.when(direct, F.lit(target)).otherwise(F.col("best.path")).alias("path"))
 

@@ -26,25 +26,26 @@ def reachable(edges: DataFrame, starts: DataFrame, direction: str = "out", depth
     until: a condition on node_key; nodes that meet it are returned and not expanded. depth None or 0: no bound.
     """
     hops = materialize(directed(edges, direction).distinct(), "hops")
-    front = materialize(starts.select("node_key").distinct(), "front")
-    seen = front.withColumn("depth", F.lit(0))
-    back, level = [], 0
+    front = starts = materialize(starts.select("node_key").distinct(), "front")
+    first = small(starts.withColumn("start", F.lit(True)))
+    found, level = None, 0
     while level < (depth or 1 << 30):
         level += 1
         step = hops.join(small(front.withColumnRenamed("node_key", "src")), "src").select(F.col("dst").alias("node_key")).distinct()
-        if not with_start:
-            back.append(step.join(small(seen.filter("depth = 0").select("node_key")), "node_key", "left_semi").withColumn("depth", F.lit(level)))
-        new = materialize(step.join(seen.select("node_key"), "node_key", "left_anti").withColumn("depth", F.lit(level)), "front")
+        if found is not None:
+            step = step.join(found.select("node_key"), "node_key", "left_anti")
+        # A start that is met again is found, once, and not expanded a second time.
+        new = step.join(first, "node_key", "left").select("node_key", F.lit(level).alias("depth"), F.coalesce("start", F.lit(False)).alias("start"))
+        new = materialize(new, "front")
         if new.isEmpty():
             break
-        seen = _short(seen.unionByName(new), level)
-        front = new.select("node_key") if until is None else new.filter(~until).select("node_key")
+        found = new if found is None else _short(found.unionByName(new), level)
+        front = new.filter("NOT start").select("node_key") if until is None else new.filter("NOT start").filter(~until).select("node_key")
+    if found is None:
+        found = starts.limit(0).select("node_key", F.lit(0).alias("depth"), F.lit(False).alias("start"))
     if with_start:
-        return seen
-    out = seen.filter("depth > 0")
-    for b in back:
-        out = out.unionByName(b)
-    return out.groupBy("node_key").agg(F.min("depth").alias("depth"))
+        return starts.withColumn("depth", F.lit(0)).unionByName(found.filter("NOT start").select("node_key", "depth"))
+    return found.select("node_key", "depth")
 
 
 def _short(seen: DataFrame, level: int) -> DataFrame:

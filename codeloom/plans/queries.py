@@ -78,13 +78,9 @@ def _(spark, sf):
     return conflicts.modes_in_conflict(_access(_graph(spark, sf)[2])).withColumn("pairs", F.col("pairs").cast("double"))
 
 
-@query("conflict_order", with_sql("g_access").rstrip() + ", " + _CONFLICT.split(")\nSELECT")[0] + "), z AS (SELECT" + _CONFLICT.split(")\nSELECT")[1] + ") SELECT row_number() OVER (ORDER BY CASE severity WHEN 'high' THEN 0 ELSE 1 END, table_key, proc_a, proc_b) AS place, table_key, proc_a, proc_b FROM z ORDER BY place LIMIT 500")
+@query("conflict_order", with_sql("g_access").rstrip() + ", " + _CONFLICT.split(")\nSELECT")[0] + "), z AS (SELECT" + _CONFLICT.split(")\nSELECT")[1] + ") SELECT row_number() OVER (ORDER BY CASE severity WHEN 'high' THEN 0 ELSE 1 END, table_key, proc_a, proc_b) AS place, table_key, proc_a, proc_b FROM z")
 def _(spark, sf):
-    from pyspark.sql import Window
-
-    top = conflicts.ordered(conflicts.find_conflicts(_access(_graph(spark, sf)[2]))).limit(500)  # the first page of a report
-    place = F.row_number().over(Window.orderBy(F.when(F.col("severity") == "high", 0).otherwise(1), "table_key", "proc_a", "proc_b"))
-    return top.select(place.cast("long").alias("place"), "table_key", "proc_a", "proc_b")
+    return conflicts.placed(conflicts.find_conflicts(_access(_graph(spark, sf)[2]))).select("place", "table_key", "proc_a", "proc_b")
 
 
 @query("lock_levels", with_sql("g_access") + f"SELECT modes, {LEVEL('modes')} AS level, count(*) AS n FROM g_access GROUP BY modes")
@@ -569,13 +565,29 @@ def _(spark, sf):
 
 @query(
     "mark_statements",
-    with_sql("g_edges", "g_proc", recursive=_CALLS + ", w(k, n) AS (SELECT 'proc:s8', 0 UNION SELECT c.s, w.n + 1 FROM w JOIN c ON w.k = c.d WHERE w.n < 10), r AS (SELECT k, min(n) AS n FROM w WHERE n > 0 GROUP BY k), x AS (SELECT 'q' || id AS unique_sql_id, 'call ' || name || '(1)' AS sql_text, node_key FROM g_proc)")
-    + "SELECT unique_sql_id, CASE WHEN node_key = 'proc:s8' THEN 'direct to proc:s8' WHEN node_key IN (SELECT k FROM r) THEN 'indirect to proc:s8' END AS mark FROM x",
-)
+    with_sql("g_edges", "g_proc", recursive=_CALLERS + ", w(k, p, n) AS (SELECT 'proc:s8', ['proc:s8'], 0 UNION ALL SELECT c.s, list_prepend(c.s, w.p), w.n + 1 FROM w JOIN c ON w.k = c.d WHERE w.n < 12 AND NOT list_contains(w.p, c.s)), "
+             "r AS (SELECT k, p, row_number() OVER (PARTITION BY k ORDER BY n, p) AS i FROM w WHERE n > 0), x AS (SELECT 'q' || (id // 2) AS unique_sql_id, 'call ' || name || '(1)' AS sql_text, node_key FROM g_proc)")
+    + "SELECT unique_sql_id, sql_text, CASE WHEN node_key = 'proc:s8' THEN 'direct to proc:s8' WHEN k IS NOT NULL THEN 'indirect to proc:s8' END AS mark, CASE WHEN node_key = 'proc:s8' THEN 'proc:s8' ELSE array_to_string(p, ' > ') END AS path FROM x LEFT JOIN r ON k = node_key AND i = 1",
+)
 def _(spark, sf):
     _n, e, v = _graph(spark, sf)
-    s = v["g_proc"].select(F.concat(F.lit("q"), "id").alias("unique_sql_id"), F.concat(F.lit("call "), "name", F.lit("(1)")).alias("sql_text"))
-    return search.mark(s, e.filter("category = 'call'"), v["g_proc"].select("node_key", "name"), "proc:s8", "s8").select("unique_sql_id", "mark")
+    # Two rows of each id.
+    s = v["g_proc"].select(F.concat(F.lit("q"), F.expr("id div 2")).alias("unique_sql_id"), F.concat(F.lit("call "), "name", F.lit("(1)")).alias("sql_text"))
+    return search.mark(s, e.filter("category = 'call'"), v["g_proc"].select("node_key", "name"), "proc:s8", "s8")
+
+
+@query(
+    "mark_by_body",
+    with_sql("g_edges", "g_proc", "g_body", recursive=_CALLERS + ", w(k, p, n) AS (SELECT 'proc:s8', ['proc:s8'], 0 UNION ALL SELECT c.s, list_prepend(c.s, w.p), w.n + 1 FROM w JOIN c ON w.k = c.d WHERE w.n < 12 AND NOT list_contains(w.p, c.s)), "
+             "r AS (SELECT k, p, n, row_number() OVER (PARTITION BY k ORDER BY n, p) AS i FROM w WHERE n > 0), x AS (SELECT p_partkey AS id, p_partkey % 30 AS part FROM part), "
+             "h AS (SELECT part, p, row_number() OVER (PARTITION BY part ORDER BY n, k) AS i FROM r JOIN g_proc ON k = node_key JOIN (SELECT DISTINCT part FROM x) ON part = id % 20 WHERE r.i = 1)")
+    + "SELECT 'q' || id AS unique_sql_id, CASE WHEN p IS NOT NULL THEN 'indirect to proc:s8' END AS mark, array_to_string(p, ' > ') AS path FROM x LEFT JOIN h ON x.part = h.part AND h.i = 1",
+)
+def _(spark, sf):
+    _n, e, v = _graph(spark, sf)
+    k = F.col("p_partkey")
+    s = spark.read.parquet(f"{sf}/part.parquet").select(F.concat(F.lit("q"), k).alias("unique_sql_id"), F.concat(F.lit("select  NAME from part_"), k % 30, F.lit("\nwhere size = "), k).alias("sql_text"))
+    return search.mark(s, e.filter("category = 'call'"), v["g_proc"].select("node_key", "name"), "proc:s8", "s8", v["g_body"]).drop("sql_text")
 
 
 # ---- names ----------------------------------------------------------------------------------------------------------
@@ -858,7 +870,7 @@ def _(spark, sf):
     + "SELECT k AS node_key, n AS depth, array_to_string(p, ' > ') AS path FROM r WHERE i = 1",
 )
 def _(spark, sf):
-    return traverse.nearest_paths(_graph(spark, sf)[1].filter("category = 'call'"), "proc:s8").filter("depth <= 12").select("node_key", "depth", F.array_join("path", " > ").alias("path"))
+    return traverse.nearest_paths(_graph(spark, sf)[1].filter("category = 'call'"), "proc:s8").select("node_key", "depth", F.array_join("path", " > ").alias("path"))
 
 
 @query("query_paths", with_sql("g_edges", "g_nodes", recursive=_CALLS + ", w(k, p, n) AS (SELECT node_key, [node_key], 0 FROM g_nodes WHERE contains(node_key, 'proc:s8') UNION ALL SELECT c.d, list_append(w.p, c.d), w.n + 1 FROM w JOIN c ON w.k = c.s WHERE w.n < 4 AND w.k <> 'proc:s57' AND NOT list_contains(w.p, c.d))")

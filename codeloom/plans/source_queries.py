@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from codeloom.operators import columns, search
 from codeloom.plans.queries import query
-from codeloom.sources import ingest
+from codeloom.operators.merge import change_set
+from codeloom.sources import delta, ingest
 from codeloom.work import materialize
 
 #: Marks in the texts: @k key, @m key modulo 7, @h key modulo 10, @z size.
@@ -76,6 +77,32 @@ REINDEX TABLE s12_@k;
 INSERT INTO s13_@k VALUES (1);
 SELECT EXTRACT(YEAR FROM d1) FROM s14_@k WHERE x IS NOT DISTINCT FROM y HAVING max(x) > (SELECT 1 FROM s15_@k);
 """
+# A package's specification and body in two files; a schema with a synonym of its own beside a table of that name elsewhere.
+SPEC = """CREATE PACKAGE d.k@k AS
+  TYPE ids IS TABLE OF INT; v_ids ids; v_last INT := 0;
+  CURSOR c IS SELECT x.ref, x.note FROM g.t@k x;
+  PROCEDURE run;
+END;
+/
+CREATE TABLE g.t@k (id INT, ref INT, note VARCHAR(10)); CREATE TABLE g.o@k (id INT, note VARCHAR(10)); CREATE TABLE e.y@k (id INT, note INT);
+@?CREATE SYNONYM d.y@k FOR g.o@k;
+"""
+BODY = """CREATE PACKAGE BODY d.k@k AS
+  w_seen INT;
+  PROCEDURE run IS v_a INT; v_b VARCHAR(10); BEGIN
+    OPEN c; FETCH c INTO v_a, v_b; INSERT INTO g.o@k (id, note) VALUES (v_a, v_b);
+    v_ids(1) := 2; k@k.v_ids(3) := 1; v_ids.extend(1); w_seen := v_last; absent@m(1);
+  END;
+END;
+/
+"""
+USE = """CREATE PROCEDURE d.u@k AS BEGIN
+  k@k.v_ids(1) := 3; k@k.run();
+  UPDATE y@k SET (id, note) = (SELECT t.ref, upper(t.note) FROM g.t@k t WHERE t.id = 1);
+  INSERT ALL INTO e.y@k (id) VALUES (ref) WHEN ref > 1 THEN INTO e.z@k (id, k) VALUES (ref + 1, 'x') INTO e.w@k SELECT id AS ref, note FROM g.t@k;
+END;
+/
+"""
 MAPPER = """<?xml version="1.0"?><mapper namespace="m.M@k">
  <select id="find">SELECT id FROM a.t@k <where><if test="x">AND size = #{x}</if><choose><when test="y">AND kind = 'a'</when><otherwise>AND kind = 'b'</otherwise></choose></where></select>
  <update id="go" statementType="CALLABLE">{call a.p@k(#{id})}</update>
@@ -124,6 +151,18 @@ def _rows(spark: SparkSession, sf: str) -> DataFrame:
     return _once(spark, sf, "sql-rows", lambda: ingest.parse(_files(spark, sf, ("a_sql", SCHEMA_A), ("b_sql", SCHEMA_B))))
 
 
+def _package_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return _once(spark, sf, "package-rows", lambda: ingest.parse(_files(spark, sf, ("spec_sql", SPEC), ("body_sql", BODY), ("use_sql", USE))))
+
+
+def _package_graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    key = (spark.sparkContext.applicationId, sf, "package-graph")
+    if key not in _held:
+        n, e, m = ingest.build(_package_rows(spark, sf))
+        _held[key] = (materialize(n, "nodes"), e, materialize(m, "mappings"))
+    return _held[key]
+
+
 def _statement_rows(spark: SparkSession, sf: str) -> DataFrame:
     return _once(spark, sf, "statement-rows", lambda: ingest.parse(_files(spark, sf, ("s_sql", STATEMENTS))))
 
@@ -150,6 +189,11 @@ def _each(*rows: str) -> str:
     return " UNION ALL ".join(f"SELECT {r} FROM {base}" if " WHERE " not in r else f"SELECT {r.split(' WHERE ')[0]} FROM {base} WHERE {r.split(' WHERE ')[1]}" for r in rows)
 
 
+def _edited(sql: str) -> str:
+    """The same over files of which every hundredth has lost its statement after @?."""
+    return sql.replace("p_partkey % 2 = 0 AS even", "p_partkey % 2 = 0 AND p_partkey % 100 <> 0 AS even")
+
+
 _B = "CASE WHEN even THEN 'table:b.t' || k ELSE 'table:b.t' || k END"  # b.t of an odd key is used but not defined
 
 # ---- objects --------------------------------------------------------------------------------------------------------
@@ -203,18 +247,78 @@ def _(spark, sf):
 # ---- edges that the resolver decides --------------------------------------------------------------------------------
 
 
-@query(
-    "object_access",
-    _each(
+_ACCESS = _each(
         "'proc:a.p' || k AS src_key, 'table:a.t' || k AS dst_key, 3 AS modes, 'insert,merge_insert,merge_update,update' AS write_kinds", f"'proc:a.p' || k, {_B}, 1, ''", "'proc:a.p' || k, 'view:a.v' || k, 1, ''",
         "'proc:a.p' || k, 'table:d1', 2, 'delete'", "'proc:a.p' || k, 'table:d2', 2, 'delete'", "'view:a.v' || k, 'table:a.t' || k, 1, ''", "'index:a.i' || k, 'table:a.t' || k, 32, 'create_index'",
         # In schema b the bare name is b's own table where it exists, else the only one of that name; the synonym leads to b.
         "'proc:b.p' || k, 'table:b.t' || k, 3, 'update' WHERE even", "'proc:b.p' || k, 'table:a.t' || k, 1, '' WHERE even", "'proc:b.p' || k, 'table:a.t' || k, 3, 'update' WHERE NOT even", "'proc:b.p' || k, 'table:b.t' || k, 1, '' WHERE NOT even", "'proc:b.p' || k, 'table:log_' || m, 2, 'insert_select'",
-    ),
+    )
+
+
+def _accesses(edges: DataFrame) -> DataFrame:
+    e = edges.filter(F.col("edge_type") == "TableAccess").filter(~F.substring_index("src_key", ":", 1).isin("mapper", "sql", "jspsql"))
+    return e.select("src_key", "dst_key", "modes", F.array_join("write_kinds", ",").alias("write_kinds"))
+
+
+@query("object_access", _ACCESS)
+def _(spark, sf):
+    return _accesses(_graph(spark, sf)[1])
+
+
+def _delta(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The graph after every hundredth file of schema b has lost its table, from the graph before."""
+    key = (spark.sparkContext.applicationId, sf, "delta")
+    if key in _held:
+        return _held[key]
+    parts = (("a_sql", SCHEMA_A), ("b_sql", SCHEMA_B), ("m_xml", MAPPER), ("j_java", JAVA), ("w_jsp", JSP))
+    before = _files(spark, sf, *parts)
+    lost = F.col("path").rlike("^b_sql_(0|[0-9]+00)[.]sql$")
+    after = before.withColumn("content", F.when(lost, F.regexp_replace(F.col("content").cast("string"), "CREATE TABLE [^;]*;", "").cast("binary")).otherwise(F.col("content")))
+    manifest = lambda files, time: files.select("path", F.lit(time).alias("mtime"), F.sha2("content", 256).alias("hash"))
+    _n, e, m = _graph(spark, sf)
+    old = _once(spark, sf, "graph-rows", lambda: _rows(spark, sf).unionByName(_other_rows(spark, sf)))
+    new, dirty = delta.reparse(old, after, change_set(manifest(before, 1), manifest(after, 2)))
+    _held[key] = delta.rebuild(old, new, dirty, e, m)
+    return _held[key]
+
+
+@query("delta_access", _edited(_ACCESS))
+def _(spark, sf):
+    return _accesses(_delta(spark, sf)[1])
+
+
+# Linked anew are the routines of changed files and those that name a table which came or went; never all of them.
+_TOUCHED = "SELECT 'proc:b.p' || p_partkey AS owner FROM part WHERE p_partkey % 100 = 0 UNION ALL SELECT 'proc:a.p' || p_partkey FROM part WHERE p_partkey % 100 = 0"
+
+
+@query("delta_owners", _TOUCHED)
+def _(spark, sf):
+    return _delta(spark, sf)[3].filter("owner LIKE 'proc:a.p%' AND owner NOT LIKE '%.pk%' OR owner LIKE 'proc:b.p%'")
+
+
+@query(
+    "package_scope",
+    "SELECT DISTINCT * FROM (" + _each("'DirectCall' AS edge_type, 'proc:d.u' || k AS src_key, 'proc:d.k' || k || '.run' AS dst_key", "'DirectCall', 'proc:d.k' || k || '.run', 'unres:absent' || m", "'TableAccess', 'proc:d.k' || k || '.run', 'table:g.o' || k", "'TableAccess', 'proc:d.u' || k, 'table:g.t' || k",
+    # The owner's own synonym counts before the only table of that name elsewhere.
+    "'TableAccess', 'proc:d.u' || k, 'table:g.o' || k WHERE even", "'TableAccess', 'proc:d.u' || k, 'table:e.y' || k", "'TableAccess', 'proc:d.u' || k, 'table:e.z' || k", "'TableAccess', 'proc:d.u' || k, 'table:e.w' || k") + ")",
 )
 def _(spark, sf):
-    e = _edges(spark, sf, "TableAccess").filter(~F.substring_index("src_key", ":", 1).isin("mapper", "sql", "jspsql"))
-    return e.select("src_key", "dst_key", "modes", F.array_join("write_kinds", ",").alias("write_kinds"))
+    return _package_graph(spark, sf)[1].filter("edge_type IN ('DirectCall', 'TableAccess')").select("edge_type", "src_key", "dst_key")
+
+
+@query(
+    "package_mappings",
+    "SELECT DISTINCT * FROM (" + _each(
+        *(f"'{o}' || k AS owner_key, '{t}' || k AS target_table, '{c}' AS target_column, 'g.t' || k AS source_table, '{x}' AS source_column, '{w}' AS mapping_kind{cond}" for o, t, c, x, w, cond in (
+            ("proc:d.k", "g.o", "id", "ref", "direct", ""), ("proc:d.u", "g.o", "id", "ref", "direct", " WHERE even"), ("proc:d.u", "g.o", "note", "note", "derived", " WHERE even"),
+            ("proc:d.u", "e.y", "id", "ref", "direct", " WHERE NOT even"), ("proc:d.u", "e.y", "note", "note", "derived", " WHERE NOT even"), ("proc:d.u", "e.y", "id", "id", "direct", ""),
+            ("proc:d.u", "e.z", "id", "id", "derived", ""), ("proc:d.u", "e.w", "ref", "id", "direct", ""), ("proc:d.u", "e.w", "note", "note", "direct", ""), ("proc:d.k", "g.o", "note", "note", "direct", ""),
+        )),
+    ) + ")",
+)
+def _(spark, sf):
+    m = _package_graph(spark, sf)[2].filter("source_kind = 'column' AND source_table IS NOT NULL")
+    return m.select(F.regexp_replace("owner_key", "[.]run$", "").alias("owner_key"), "target_table", "target_column", "source_table", "source_column", "mapping_kind").distinct()
 
 
 @query(

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from codeloom.model import CATEGORY, WRITE
 from codeloom.operators.search import noise, resolve_calls
 from codeloom.sources.other import read_java, read_jsp, read_mapper
-from codeloom.sources.plsql import read_sql
+from codeloom.sources.plsql import package_heads, read_sql
 from codeloom.work import materialize, small
 
 #: Kinds of files by ending, which is compared as it is written.
@@ -57,8 +57,8 @@ def _glob(pattern: str) -> str:
     return f"^{out}$"
 
 
-def _rows(path: str, kind: str, content: bytes) -> Iterator[tuple]:
-    """record, file, a to f, n, line: all rows of a file in one wide shape."""
+def _rows(path: str, kind: str, content: bytes, specs: dict[str, str] | None = None) -> Iterator[tuple]:
+    """record, file, a to f, n, line: all rows of a file in one wide shape. specs: see plsql.Reader."""
     if kind == "xml":
         for s in read_mapper(content):
             key = f"mapper:{s['namespace']}.{s['statement_id']}"
@@ -71,7 +71,7 @@ def _rows(path: str, kind: str, content: bytes) -> Iterator[tuple]:
         return
     text = decode(content)
     if kind == "sql":
-        f = read_sql(text, path)
+        f = read_sql(text, path, specs)
         for n in f.nodes:
             yield ("node", path, n["node_key"], n["type_tag"], n["schema_name"], n["name"], n["sql"] or json.dumps(n.get("body_sql") or []), n["package_name"], int(n["partial"]), n["line"])
             for i, (p, mode, kind_) in enumerate(n.get("params") or []):
@@ -145,26 +145,70 @@ def _found_rows(path: str, f) -> Iterator[tuple]:
         yield ("enum", path, owner, table, column, literal, result, None, None, line)
     for src, dst, kind, line in f.edges:
         yield ("edge", path, src, dst, kind, None, None, None, None, line)
+    for package, name, kind, text, spec, i, line in f.items:
+        yield ("item", path, package, name, kind, text, "spec" if spec else "body", None, i, line)
     for line, message in f.errors:
         yield ("error", path, message, None, None, None, None, None, None, line)
 
 
-def parse(files: DataFrame, deal: bool = True) -> DataFrame:
+def heads(files: DataFrame) -> DataFrame:
+    """path, name, body, text of every package of SQL files (path, kind, content); text holds a specification's declarations."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                found = [(path, *x) for x in package_heads(decode(content))]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.string(), pa.string(), pa.bool_(), pa.string()))], ["path", "name", "body", "text"])
+
+    some = F.lower(F.col("content").cast("string")).contains("package")
+    return files.filter((F.col("kind") == "sql") & some).select("path", "content").mapInArrow(run, "path string, name string, body boolean, text string")
+
+
+def specs_of(found: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """path, specs: for each file with package bodies, the declarations of their specifications by name.
+
+    found: as of heads, written; known: name, text of specifications of files that are not read now. A body takes the specification
+    of its very name, else, if one of both names has no schema, the only one of its bare name. Of two of one name that
+    of the first file counts.
+    """
+    text = found.filter("NOT body").select("name", "path", "text")
+    if known is not None:
+        # What is read now counts more than what was known of the same name.
+        text = text.unionByName(known.select("name", F.lit(None).cast("string").alias("path"), "text").join(text.select("name"), "name", "left_anti"))
+    text = text.groupBy("name").agg(F.min(F.struct("path", "text"))["text"].alias("text"))
+    bare = lambda c: F.substring_index(c, ".", -1)
+    single = text.groupBy(bare(F.col("name")).alias("bare")).agg(F.min(F.struct("name", "text")).alias("one"), F.count(F.lit(1)).alias("n")).filter("n = 1")
+    asked = found.filter("body").select("path", "name").distinct()
+    exact = asked.join(text, "name")
+    loose = asked.join(text.select("name"), "name", "left_anti").withColumn("bare", bare(F.col("name"))).join(single, "bare")
+    loose = loose.filter((F.col("name") == F.col("bare")) | (F.col("one.name") == F.col("bare"))).select("name", "path", F.col("one.text").alias("text"))
+    given = exact.select("name", "path", "text").unionByName(loose).filter("text <> ''")
+    return given.groupBy(F.col("path").alias("_path")).agg(F.map_from_entries(F.collect_list(F.struct("name", "text"))).alias("specs"))
+
+
+def parse(files: DataFrame, deal: bool = True, known: DataFrame | None = None) -> DataFrame:
     """Rows of all files (path, kind, content); a file is parsed by one task.
 
+    Two passes: the first reads the specifications of packages only and hands each file with bodies what theirs declare, the
+    second reads everything. known: specifications of files that are not among these (see specs_of).
     deal: files come in few partitions and are dealt to four tasks a core by their paths. A scan of a folder is dealt by the
     sizes of its files already.
     """
+    found = materialize(heads(files), "package-heads")
+    given = None
+    if not found.filter("body").isEmpty():
+        given = materialize(specs_of(found, known), "package-specs")
     names = [x.split()[0] for x in RAW.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string()] * 8 + [pa.int64(), pa.int32()]
         batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
         for b in batches:
-            for path, kind, content in zip(*(b.column(i) for i in range(3))):
+            for path, kind, content, specs in zip(*(b.column(i) for i in range(4))):
                 held = []
                 try:
-                    for row in _rows(path.as_py(), kind.as_py(), content.as_py()):
+                    for row in _rows(path.as_py(), kind.as_py(), content.as_py(), dict(specs.as_py() or ())):
                         held.append(row)
                         if len(held) == ROWS_PER_BATCH:
                             yield batch(held)
@@ -177,6 +221,10 @@ def parse(files: DataFrame, deal: bool = True) -> DataFrame:
     rows = files.select("path", "kind", "content")
     if deal:
         rows = rows.repartition(4 * files.sparkSession.sparkContext.defaultParallelism, F.xxhash64("path"))
+    if given is None:
+        rows = rows.withColumn("specs", F.lit(None).cast("map<string,string>"))
+    else:
+        rows = rows.join(small(given), F.col("path") == F.col("_path"), "left").drop("_path")
     return rows.mapInArrow(run, RAW)
 
 
@@ -185,52 +233,84 @@ def category(edge_type: Column) -> Column:
 
 
 RELATIONS = ("table", "view", "mview")
+OTHERS = ("proc", "func", "pkg", "seq", "type")
 
 
-def resolve_objects(uses: DataFrame, defined: DataFrame, tags: tuple[str, ...]) -> DataFrame:
+def resolve_objects(uses: DataFrame, defined: DataFrame, tags: tuple[str, ...], synonyms: DataFrame | None = None) -> DataFrame:
     """text, schema, key: the defined object of each name as it is written (text) in an owner's schema (or null).
 
     A qualified text is only the object of that name. A bare text is, in this order, the object of the owner's schema, the one
-    without a schema, and the only one of that name in any schema. Synonyms stand for their targets. Of a table and a view of
-    one name the view counts. A text that is nothing of these has no row. One equi-join on (text, how) and one minimum.
+    without a schema, the only one of that name in any schema, and the only synonym of that name. At each of the first two
+    steps a synonym (full, name, key of its target) counts after an object, and before the next step. Of a table and a view
+    of one name the view counts. A text that is nothing of these has no row. One equi-join on (text, how) and one minimum.
     """
     own = defined.filter(F.regexp_replace("type_tag", r"\*$", "").isin(*tags)).select("node_key", "type_tag", F.substring_index("node_key", ":", -1).alias("full"), "name")
     keys = own.select("node_key", (F.col("type_tag") == "table").alias("late"), F.explode(F.array(F.struct(F.lit("full").alias("how"), F.col("full").alias("name")), F.struct(F.lit("name").alias("how"), F.col("name").alias("name")))).alias("x"))
+    keys = keys.select("node_key", F.col("late").cast("int").alias("late"), "x.how", "x.name", F.substring_index("node_key", ":", -1).alias("full"))
+    if synonyms is not None:
+        ways = F.explode(F.array(F.struct(F.lit("full").alias("how"), F.col("full").alias("name")), F.struct(F.lit("synonym").alias("how"), F.col("name").alias("name")))).alias("x")
+        keys = keys.unionByName(synonyms.select(F.col("key").alias("node_key"), F.lit(2).alias("late"), ways, "full").select("node_key", "late", "x.how", "x.name", "full"))
     # A name counts as the only one if all its objects have one full name.
     first = F.min(F.struct("late", "node_key"))["node_key"]
-    table = keys.groupBy("x.how", "x.name").agg(first.alias("key"), F.count_distinct(F.substring_index("node_key", ":", -1)).alias("many")).filter("how = 'full' OR many = 1")
+    table = keys.groupBy("how", "name").agg(first.alias("key"), F.count_distinct("full").alias("many")).filter("how = 'full' OR many = 1")
     asked = uses.select("text", "schema").distinct()
     bare = F.instr("text", ".") == 0
     ask = F.explode(F.array(
         F.struct(F.lit(1).alias("rank"), F.lit("full").alias("how"), F.when(bare & F.col("schema").isNotNull(), F.concat_ws(".", "schema", "text")).alias("name")),
         F.struct(F.lit(2).alias("rank"), F.lit("full").alias("how"), F.col("text").alias("name")),
         F.struct(F.lit(3).alias("rank"), F.lit("name").alias("how"), F.when(bare, F.col("text")).alias("name")),
+        F.struct(F.lit(4).alias("rank"), F.lit("synonym").alias("how"), F.when(bare, F.col("text")).alias("name")),
     )).alias("x")
     met = asked.select("text", "schema", ask).select("text", "schema", "x.*").join(small(table), ["how", "name"])
     return met.groupBy("text", "schema").agg(F.min(F.struct("rank", "key"))["key"].alias("key"))
 
 
+def synonym_targets(defined: DataFrame, tags: tuple[str, ...]) -> DataFrame:
+    """full, name, key of every synonym that leads to an object of these tags, or to a table that nothing defines."""
+    own = defined.filter("type_tag = 'synonym'").select(F.substring_index("node_key", ":", -1).alias("full"), "name", F.lower("schema_name").alias("schema"), F.col("sql").alias("text"))
+    own = own.withColumn("text", F.lower(F.regexp_replace(F.regexp_extract("text", r"(?i)\bfor\s+(.*)$", 1), r'[\s"]', ""))).filter("text <> ''")
+    own = materialize(own, "synonyms")
+    hit = _renamed(own.withColumnsRenamed({"schema": "_schema"}).withColumn("key", F.col("text")), "key", materialize(resolve_objects(own, defined, tags), "synonym-relations"), F.lit(None).cast("string"))
+    hit = _renamed(hit, "text", materialize(resolve_objects(own, defined, OTHERS), "synonym-others"), F.concat(F.lit("table:"), "text"))
+    return hit.withColumn("key", F.coalesce("key", "text")).filter(F.substring_index("key", ":", 1).isin(*tags)).select("full", "name", "key")
+
+
 def _renamed(df: DataFrame, column: str, names: DataFrame, otherwise: Column) -> DataFrame:
     """df with the key of a name in column and the schema in _schema, or what stands for it if it has none."""
     hit = names.select(F.col("text").alias("_text"), F.col("schema").alias("_s"), F.col("key").alias("_key"))
     return df.join(small(hit), (F.col(column) == F.col("_text")) & F.col("_schema").eqNullSafe(F.col("_s")), "left").withColumn(column, F.coalesce("_key", otherwise)).drop("_text", "_s", "_key")
 
 
+def definitions(rows: DataFrame) -> DataFrame:
+    """One row for each defined node; of several definitions the complete and first one stays."""
+    defined = rows.filter("record = 'node'").select(
+        F.col("a").alias("node_key"), F.col("b").alias("type_tag"), F.col("c").alias("schema_name"), F.col("d").alias("name"), F.col("f").alias("package_name"), "file", "line",
+        F.lit(True).alias("explicit"), F.coalesce(F.col("n") == 1, F.lit(False)).alias("partial"), F.col("e").alias("sql"),
+    )
+    return defined.groupBy("node_key").agg(F.min(F.struct("partial", "file", "line", "type_tag", "schema_name", "name", "package_name", "explicit", "sql")).alias("x")).select("node_key", "x.*")
+
+
+def package_items(rows: DataFrame) -> DataFrame:
+    """package_key, name of what the specifications of packages declare besides routines."""
+    return rows.filter("record = 'item' AND e = 'spec'").select(F.col("a").alias("package_key"), F.col("b").alias("name")).distinct()
+
+
 def build(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """nodes, edges and column mappings of parsed rows (materialised by the caller).
+    """nodes, edges and column mappings of parsed rows (materialised by the caller)."""
+    defined = materialize(definitions(rows), "defined")
+    edges, mappings = link(rows, defined, package_items(rows))
+    return finish(defined, edges), edges, mappings
+
+
+def link(rows: DataFrame, defined: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges and column mappings of the owners of rows, by the definitions and items of packages of the whole graph.
 
     Every name of a table, view or other object goes through resolve_objects, in accesses, dependencies, anchors, triggers,
     indexes, synonyms and column mappings alike. Calls are resolved by the cascade of search.resolve_calls; what stays open
-    becomes an unresolved node. Tables and sequences that are used and nowhere defined become inferred nodes. An access edge
-    carries read_tables: what else the statements of its writes access, or what values of theirs come from.
+    becomes an unresolved node, unless it is a package's variable or type. An access edge carries read_tables: what else the
+    statements of its writes access, or what values of theirs come from. All edges of an owner follow from its own rows and from the
+    definitions of the names that these hold, so a part of the owners can be linked by itself.
     """
-    defined = rows.filter("record = 'node'").select(
-        F.col("a").alias("node_key"), F.col("b").alias("type_tag"), F.col("c").alias("schema_name"), F.col("d").alias("name"), F.col("f").alias("package_name"), "file", "line",
-        F.lit(True).alias("explicit"), F.coalesce(F.col("n") == 1, F.lit(False)).alias("partial"), F.col("e").alias("sql"),
-    )
-    # Of several definitions the complete and first one stays.
-    defined = defined.groupBy("node_key").agg(F.min(F.struct("partial", "file", "line", "type_tag", "schema_name", "name", "package_name", "explicit", "sql")).alias("x")).select("node_key", "x.*")
-    defined = materialize(defined, "defined")
     routines = defined.filter("substr(type_tag, 1, 4) IN ('proc', 'func')").select(F.col("node_key").alias("routine_key"), "schema_name", "package_name", "name")
     schemas = defined.select(F.col("node_key").alias("_owner"), F.lower("schema_name").alias("_schema"), F.col("package_name").alias("_package"))
     schemas = materialize(schemas.filter("_schema IS NOT NULL OR _package IS NOT NULL"), "schemas")
@@ -244,7 +324,11 @@ def build(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     own = routines.filter("package_name is not null").select(F.lower("package_name").alias("caller_package"), F.lower("name").alias("raw"), F.col("routine_key").alias("own_key"))
     own = own.groupBy("caller_package", "raw").agg(F.min("own_key").alias("own_key"))
     found = resolve_calls(one.select("call_id", "raw", "caller_schema"), routines).select("call_id", "strategy", "routine_key")
+    whole = F.substring_index("package_key", ":", -1)
+    declared = items.select(F.explode(F.array(F.concat_ws(".", whole, "name"), F.concat_ws(".", F.substring_index(whole, ".", -1), "name"))).alias("raw")).distinct()
     calls = one.join(small(own), ["caller_package", "raw"], "left").join(found, "call_id", "left")
+    # A call of a routine stays even if an item of another package has its text.
+    calls = calls.join(small(materialize(declared, "package-items").withColumn("_item", F.lit(True))), "raw", "left").filter("_item IS NULL OR own_key IS NOT NULL OR routine_key IS NOT NULL").drop("_item")
     calls = calls.filter(noise(F.col("raw")).isNull()).withColumn("dst_key", F.coalesce("own_key", "routine_key", F.concat(F.lit("unres:"), "raw")))
     none = {"modes": F.lit(None).cast("int"), "write_kinds": F.lit(None).cast("array<string>"), "read_tables": F.lit(None).cast("array<string>"), "detail": F.lit(None).cast("string")}
     shaped = lambda df: df.select("src_key", "dst_key", "edge_type", *((F.col(c) if c in df.columns else v).alias(c) for c, v in none.items()), "file", "line")
@@ -267,16 +351,14 @@ def build(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     name_of = lambda df, c: df.filter(F.col(c).isNotNull()).select(F.col(c).alias("text"), F.col("_schema").alias("schema"))
     uses = name_of(used, "name").unionByName(name_of(anchors, "name")).unionByName(pointed).unionByName(name_of(mapped, "target_table")).unionByName(name_of(mapped, "source_table"))
     uses = uses.unionByName(name_of(aliases, "dst_key")).distinct()
-    # A synonym's own target first; then a name that is nothing else but a synonym goes where that goes.
-    relations = materialize(resolve_objects(uses, defined, RELATIONS), "relations")
-    others = materialize(resolve_objects(name_of(aliases, "dst_key"), defined, ("proc", "func", "pkg", "seq", "type")), "others")
-    aliases = _renamed(aliases.withColumn("text", F.col("dst_key")), "dst_key", relations, F.lit(None).cast("string"))
+    # Targets of synonyms first; then a synonym stands for its target wherever a name is looked for.
+    of_aliases = name_of(aliases, "dst_key")
+    to_relations = materialize(resolve_objects(of_aliases, defined, RELATIONS), "alias-relations")
+    others = materialize(resolve_objects(of_aliases, defined, OTHERS), "alias-others")
+    aliases = _renamed(aliases.withColumn("text", F.col("dst_key")), "dst_key", to_relations, F.lit(None).cast("string"))
     aliases = _renamed(aliases, "text", others, F.concat(F.lit("table:"), "text")).withColumn("dst_key", F.coalesce("dst_key", "text")).drop("text")
     aliases = materialize(aliases, "aliases")
-    synonyms = defined.filter("type_tag = 'synonym'")
-    by_synonym = resolve_objects(uses.join(relations, ["text"], "left_anti"), synonyms, ("synonym",))
-    by_synonym = by_synonym.join(aliases.select(F.col("src_key").alias("key"), F.col("dst_key").alias("to")), "key").filter(F.substring_index("to", ":", 1).isin(*RELATIONS)).select("text", "schema", F.col("to").alias("key"))
-    names = materialize(relations.unionByName(by_synonym), "names")
+    names = materialize(resolve_objects(uses, defined, RELATIONS, synonym_targets(defined, RELATIONS)), "names")
 
     in_table = lambda c: F.concat(F.lit("table:"), c)
     used = materialize(_renamed(used, "name", names, in_table("name")).withColumnRenamed("name", "dst_key"), "accesses")
@@ -309,6 +391,14 @@ def build(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     edges = edges.unionByName(shaped(java_edges(rows, defined))).dropDuplicates(["src_key", "dst_key", "edge_type", "detail"])
     edges = materialize(edges.withColumn("category", category(F.col("edge_type"))), "edges")
 
+    mappings = mapped
+    for c in ("target_table", "source_table"):
+        mappings = _renamed(mappings, c, names, F.col(c)).withColumn(c, F.substring_index(c, ":", -1))
+    return edges, mappings.select("owner_key", "target_table", "target_column", "source_kind", "source_table", "source_column", "mapping_kind", "expression", "line").distinct()
+
+
+def finish(defined: DataFrame, edges: DataFrame) -> DataFrame:
+    """All nodes: those defined, and inferred ones for what edges lead to and nothing defines."""
     missing = edges.select(F.col("dst_key").alias("node_key")).distinct().join(defined, "node_key", "left_anti")
     tag, name = F.substring_index("node_key", ":", 1), F.regexp_replace("node_key", "^[^:]*:", "")
     inferred = missing.select(
@@ -318,11 +408,7 @@ def build(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     )
     nodes = defined.unionByName(inferred)
     nodes = nodes.withColumn("system", F.coalesce(F.lower("schema_name").isin(*SYSTEM_SCHEMAS), F.lit(False)) | (tag.eqNullSafe("table") & F.lower("name").isin(*SYSTEM_TABLES)))
-    mappings = mapped
-    for c in ("target_table", "source_table"):
-        mappings = _renamed(mappings, c, names, F.col(c)).withColumn(c, F.substring_index(c, ":", -1))
-    mappings = mappings.select("owner_key", "target_table", "target_column", "source_kind", "source_table", "source_column", "mapping_kind", "expression", "line").distinct()
-    return nodes, edges, mappings
+    return nodes
 
 
 def statements(rows: DataFrame, nodes: DataFrame) -> DataFrame:

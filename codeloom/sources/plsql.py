@@ -109,6 +109,7 @@ class Found:
     comments: list[tuple] = field(default_factory=list)  # table_key, column or None, text, line
     enums: list[tuple] = field(default_factory=list)  # owner_key, table, column, literal, result, line
     errors: list[tuple] = field(default_factory=list)  # line, message
+    items: list[tuple] = field(default_factory=list)  # package_key, name, kind, declaration, in the specification, position, line
 
 
 _BEFORE_TABLE = {"from", "join", "into", "update", "using"}
@@ -117,8 +118,11 @@ _BEFORE_TABLE = {"from", "join", "into", "update", "using"}
 class Reader:
     """Reads the tokens of one file."""
 
-    def __init__(self, text: str, file: str):
+    def __init__(self, text: str, file: str, specs: dict[str, str] | None = None):
+        """specs: declarations of the specification of each package, by its name as it stands in its body."""
         self.file, self.out, self.t, self.i = file, Found(), tokenize(text), 0
+        self.specs = specs or {}
+        self.scope: Routine | None = None  # what the package that is read declares
         self.known: tuple[list[Token], dict[str, str]] | None = None  # aliases of the last statement
         self.r: Routine | None = None  # the routine that statements belong to
 
@@ -329,6 +333,14 @@ class Reader:
         while self.i < len(self.t) and self.at() not in ("is", "as"):
             self.i += 1
         self.i += 1
+        self.scope = Routine(key, "package", schema, pkg, pkg, line, self.file)
+        given = self.specs.get(".".join(parts)) if body else None
+        if given:
+            spec = Reader(given, self.file)
+            while spec.i < len(spec.t):
+                x = spec.statement()
+                if x:
+                    spec.declared(x, self.scope)
         while self.i < len(self.t):
             if self.at() == "end":
                 self.statement()
@@ -342,7 +354,25 @@ class Reader:
                 r = self.routine(kind, self.name(), schema, pkg, at)
                 self.out.edges.append((key, r.key, "ContainsRoutine", at))
             else:
-                self.statement()
+                self.item(self.statement(), key, body)
+
+    def item(self, s: list[Token], key: str, body: bool) -> None:
+        """A variable, type, cursor or exception of a package: known to all of its routines from here on."""
+        if not s or s[0].low == "pragma":
+            return
+        named = 1 if s[0].low in ("cursor", "type", "subtype") and len(s) > 1 else 0
+        kind = s[0].low if named else "exception" if len(s) > 1 and s[1].low == "exception" else "variable"
+        if s[named].kind in ("name", "quoted"):
+            self.out.items.append((key, s[named].low, kind, " ".join(x.text for x in s), not body, len(self.out.items), s[0].line))
+            self.declared(s, self.scope)
+
+    def declared(self, s: list[Token], scope: Routine) -> None:
+        """Enters a declaration into the scope of its package; what it refers to is not the work of any routine."""
+        kept, self.out = self.out, Found()
+        known = set(scope.locals)
+        self.declaration(s, scope)
+        self.out = kept
+        scope.locals |= {f"{scope.package}.{x}" for x in scope.locals - known}
 
     # -- routines
 
@@ -352,6 +382,10 @@ class Reader:
         name = parts[-1]
         full = ".".join(x for x in (schema, package, name) if x)
         r = Routine(f"{'proc' if kind == 'procedure' else 'func'}:{full}", kind, schema, package, name, line, self.file)
+        if package and self.scope and self.scope.package == package:
+            r.locals |= self.scope.locals
+            for mine, theirs in ((r.cursors, self.scope.cursors), (r.records, self.scope.records), (r.fields, self.scope.fields)):
+                mine.update(theirs)
         if self.take("("):
             depth, part = 1, []
             while self.i < len(self.t) and depth:
@@ -415,18 +449,20 @@ class Reader:
                 self.out.edges.append((r.key, nested.key, "ContainsRoutine", line))
                 continue
             s = self.statement()
-            if not s:
-                continue
-            if s[0].low == "cursor" and len(s) > 1:
-                r.locals.add(s[1].low)
-                start = next((k for k, x in enumerate(s) if x.low in ("is", "for")), None)
-                if start is not None:
-                    self.dml(s[start + 1 :], r.key, r.schema, r.locals, r)
-                    r.cursors[s[1].low] = self.outputs(s[start + 1 :])
-            elif s[0].low in ("type", "subtype") and len(s) > 1:
-                r.locals.add(s[1].low)
-            else:
-                self.variable(s, r)
+            if s:
+                self.declaration(s, r)
+
+    def declaration(self, s: list[Token], r: Routine) -> None:
+        if s[0].low == "cursor" and len(s) > 1:
+            r.locals.add(s[1].low)
+            start = next((k for k, x in enumerate(s) if x.low in ("is", "for")), None)
+            if start is not None:
+                self.dml(s[start + 1 :], r.key, r.schema, r.locals, r)
+                r.cursors[s[1].low] = self.outputs(s[start + 1 :])
+        elif s[0].low in ("type", "subtype") and len(s) > 1:
+            r.locals.add(s[1].low)
+        else:
+            self.variable(s, r)
 
     def variable(self, s: list[Token], r: Routine) -> None:
         """A declared variable: its anchor or its type, and the fields of a record."""
@@ -708,7 +744,7 @@ class Reader:
         return out
 
     def call(self, r: Routine, parts: list[str], line: int) -> None:
-        if parts[0] in r.locals or (len(parts) == 1 and (parts[0] in KEYWORDS or parts[0] in BUILTINS)):
+        if parts[0] in r.locals or ".".join(parts) in r.locals or ".".join(parts[-2:]) in r.locals or (len(parts) == 1 and (parts[0] in KEYWORDS or parts[0] in BUILTINS)):
             if len(parts) == 1 and parts[0] in BUILTINS:
                 self.out.edges.append((r.key, f"builtin:{parts[0]}", "UsesBuiltinFunction", line))
             return
@@ -977,6 +1013,9 @@ class Reader:
         parts, j = _name_at(s, k + 1)
         table = ".".join(parts)
         names: list[str] = []
+        if s[1].low in ("all", "first"):
+            self.insert_all(owner, s)
+            return
         if j < len(s) and s[j].text == "(" and not (j + 1 < len(s) and s[j + 1].low == "select"):
             close = _closing(s, j)
             names = [x.low for x in s[j + 1 : close] if x.kind in ("name", "quoted")]
@@ -996,6 +1035,67 @@ class Reader:
                 if n and v:
                     self.map(owner, table, n, v, alias, only)
 
+    def insert_all(self, owner: str, s: list[Token]) -> None:
+        """INSERT ALL and INSERT FIRST: each INTO takes its values from the outputs of the one query at the end."""
+        depth, intos, start = 0, [], None
+        for k, x in enumerate(s):
+            depth += (x.text == "(") - (x.text == ")")
+            if depth == 0 and x.low == "into" and x.kind == "name":
+                intos.append(k)
+            elif depth == 0 and x.low in ("select", "with") and x.kind == "name":
+                start = k
+                break
+        items, alias, only = self.select_items(s[start:]) if start is not None else ([], {}, None)
+        outs = {_output_name(v): v for v in items if v}
+        for k in intos:
+            parts, j = _name_at(s, k + 1)
+            groups = []
+            while j < len(s) and (s[j].text == "(" or s[j].low == "values"):
+                if s[j].text == "(":
+                    groups.append((s[j - 1].low == "values", _split_commas(s[j + 1 : _closing(s, j)])))
+                    j = _closing(s, j)
+                j += 1
+            names = next((["".join(x.low for x in g[-1:]) for g in v] for is_values, v in groups if not is_values), [])
+            values = next((v for is_values, v in groups if is_values), items)
+            for n, v in zip(names or list(outs), values):
+                if n and v:
+                    self.map(owner, ".".join(parts), n, self.through(v, outs) if v not in items else v, alias, only)
+
+    def through(self, value: list[Token], outs: dict[str, list[Token]]) -> list[Token]:
+        """A value over the outputs of a query as a value over the query's own columns."""
+        if len(value) == 1 and value[0].low in outs:
+            return outs[value[0].low]
+        out = []
+        for k, x in enumerate(value):
+            bare = x.kind in ("name", "quoted") and not (k and value[k - 1].text == ".") and not (k + 1 < len(value) and value[k + 1].text in (".", "("))
+            made = outs.get(x.low) if bare else None
+            if made:
+                end = len(made) - 2 if len(made) > 2 and made[-2].low == "as" else len(made) - 1 if len(made) > 1 and made[-2].kind == made[-1].kind == "name" else len(made)
+                out += [Token("op", "(", x.line), *made[:end], Token("op", ")", x.line)]
+            else:
+                out.append(x)
+        return out
+
+    def assign(self, owner: str, table: str, item: list[Token], alias: dict[str, str], only: str | None) -> None:
+        """An assignment of SET: column = value, or (columns) = (values or a query) by position."""
+        if item and item[0].text == "(":
+            close = _closing(item, 0)
+            names = [_name_at(x, 0)[0] for x in _split_commas(item[1:close])]
+            at = next((i for i in range(close, len(item)) if item[i].text == "("), None)
+            if at is None:
+                return
+            inner = item[at + 1 : _closing(item, at)]
+            values = _split_commas(inner)
+            if inner and inner[0].low in ("select", "with"):
+                values, alias, only = self.select_items(inner)
+            for n, v in zip(names, values):
+                if n and v:
+                    self.map(owner, table, n[-1], v, alias, only)
+            return
+        eq, parts = next((i for i, x in enumerate(item) if x.text == "="), None), _name_at(item, 0)[0]
+        if eq and parts:
+            self.map(owner, table, parts[-1], item[eq + 1 :], alias, only)
+
     def select_items(self, s: list[Token]) -> tuple[list[list[Token]], dict[str, str], str | None]:
         k = next((j for j, x in enumerate(s) if x.low == "select"), None)
         if k is None:
@@ -1024,9 +1124,7 @@ class Reader:
                 break
         alias = self.aliases(s)
         for item in _split_commas(s[k + 1 : end]):
-            eq = next((i for i, x in enumerate(item) if x.text == "="), None)
-            if eq:
-                self.map(owner, ".".join(parts), _name_at(item, 0)[0][-1] if _name_at(item, 0)[0] else "", item[eq + 1 :], alias, ".".join(parts))
+            self.assign(owner, ".".join(parts), item, alias, ".".join(parts))
 
     def merge_columns(self, owner: str, s: list[Token]) -> None:
         """The assignments of the update arm and the pairs of the insert arm; a delete arm gives none."""
@@ -1039,9 +1137,7 @@ class Reader:
             if x.low == "set":
                 end = next((i for i in range(j, len(s)) if s[i].low in ("when", "where")), len(s))
                 for item in _split_commas(s[j + 1 : end]):
-                    eq = next((i for i, y in enumerate(item) if y.text == "="), None)
-                    if eq and _name_at(item, 0)[0]:
-                        self.map(owner, target, _name_at(item, 0)[0][-1], item[eq + 1 :], alias, None)
+                    self.assign(owner, target, item, alias, None)
             if x.low == "insert" and j + 1 < len(s) and s[j + 1].text == "(":
                 close = _closing(s, j + 1)
                 names = [y.low for y in s[j + 2 : close] if y.kind in ("name", "quoted")]
@@ -1323,5 +1419,40 @@ def _output_name(v: list[Token]) -> str | None:
     return v[-1].low if v and v[-1].kind in ("name", "quoted") else None
 
 
-def read_sql(text: str, file: str) -> Found:
-    return Reader(text, file).read()
+def read_sql(text: str, file: str, specs: dict[str, str] | None = None) -> Found:
+    return Reader(text, file, specs).read()
+
+
+_PACKAGE = re.compile(r"""\bcreate\s+(?:or\s+replace\s+)?(?:(?:non)?editionable\s+)?package\s+(body\s+)?((?:[\w$\#]+|"[^"]+")(?:\s*\.\s*(?:[\w$\#]+|"[^"]+"))*)""", re.I)
+
+
+def package_heads(text: str) -> list[tuple[str, bool, str | None]]:
+    """Name, whether it is a body, and the declarations (of a specification) of each package of a file.
+
+    Only specifications are read, and each only up to its END.
+    """
+    out = []
+    for m in _PACKAGE.finditer(text):
+        name = re.sub(r'[\s"]', "", m[2]).lower()
+        if m[1]:
+            out.append((name, True, None))
+            continue
+        held, part, depth, begun = [], [], 0, False
+        for t in _TOKEN.finditer(text, m.end()):
+            if t.lastgroup == "space":
+                continue
+            x = t[0]
+            if not begun:
+                begun = x.lower() in ("is", "as")
+                continue
+            depth += (x == "(") - (x == ")")
+            if x == ";" and depth <= 0:
+                if part and part[0].lower() not in ("procedure", "function", "pragma"):
+                    held.append(" ".join(part))
+                part = []
+            elif not part and x.lower() == "end":
+                break
+            else:
+                part.append(x)
+        out.append((name, False, " ; ".join(held)))
+    return out
