@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # Replacements of the normal form, in order.
@@ -147,10 +147,24 @@ def parts_in_query(normal: Column, query: Column) -> Column:
 
 def matches(sql: Column, query: Column) -> Column:
     """Whether a statement matches a query (both raw): keyword, containment, table, wildcards both ways, then similarity."""
-    normal, q = normalize(F.lower(sql)), normalize(F.lower(query))
-    table = main_table(spaced(F.lower(query)))
+    low, q = F.lower(sql), F.lower(query)
+    return matches_forms(normalize(low), spaced(low), normalize(q), main_table(spaced(q)))
+
+
+def matches_forms(normal: Column, plain: Column, q: Column, table: Column) -> Column:
+    """matches() for texts whose forms are known: a statement's normal and spaced form, the query's normal form and table.
+
+    The forms are used many times over, so columns that hold them keep the expression small.
+    """
     wild, own_wild = q.contains("?"), normal.contains("?")
     forward = F.regexp_like(normal, F.concat(F.lit("(?s)"), F.array_join(F.transform(F.filter(F.split(q, r"\?"), lambda p: p != ""), lambda p: F.concat(F.lit("\\Q"), p, F.lit("\\E"))), ".*")))
-    alike = tables_fit(table, spaced(F.lower(sql))) & (jaccard(q, normal) >= 0.8)
+    alike = tables_fit(table, plain) & (jaccard(q, normal) >= 0.8)
     by_parts = (wild & (F.replace(q, F.lit("?"), F.lit("")) != "") & forward) | (own_wild & parts_in_query(normal, q)) | alike
     return keywords_fit(keyword(q), keyword(normal)) & (F.position(q, normal).__gt__(0) | (tables_fit(table, normal) & (wild | own_wild) & by_parts))
+
+
+def forms_of(spark: SparkSession, query: str) -> tuple[Column, Column]:
+    """The normal form and the table of one query, as literals."""
+    q = F.lower(F.lit(query))
+    normal, table = spark.range(1).select(normalize(q), main_table(spaced(q))).first()
+    return F.lit(normal), F.lit(table).cast("string")

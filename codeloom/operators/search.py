@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.functions.sqltext import fingerprint, lock_clause, matches, normalize, relevance
+from codeloom.functions.sqltext import fingerprint, forms_of, lock_clause, matches_forms, normalize, relevance, spaced
 from codeloom.operators.traverse import nearest_paths
 from codeloom.sources.plsql import BUILTINS
 from codeloom.work import materialize, small
@@ -53,13 +53,27 @@ def search_sql(statements: DataFrame, query: str) -> DataFrame:
     locks = statements.filter("indexed").filter((F.col("lock") if made else lock_clause(F.col("sql_text"))) == lock_clause(q))
     if not locks.isEmpty():
         return locks.select("node_key", F.lit(0.9).alias("score")).distinct()
-    hit = statements.filter(matches(F.col("sql_text"), q))
-    return hit.groupBy("node_key").agg(F.max(relevance(normalize(F.lower(q)), normalize(F.lower("sql_text")))).alias("score"))
+    return matched(statements, query)
+
+
+def matched(statements: DataFrame, query: str) -> DataFrame:
+    """node_key, score of the statements that match a query; forms that index() made are used."""
+    q, table = forms_of(statements.sparkSession, query)
+    if "normal" not in statements.columns:
+        # Written, so that the forms are made once a text and not once for each place where the match uses them.
+        statements = materialize(forms(statements).select("node_key", "normal", "plain"), "forms")
+    hit = statements.filter(matches_forms(F.col("normal"), F.col("plain"), q, table))
+    return hit.groupBy("node_key").agg(F.max(relevance(q, F.col("normal"))).alias("score"))
+
+
+def forms(statements: DataFrame) -> DataFrame:
+    low = F.lower("sql_text")
+    return statements.withColumns({"normal": normalize(low), "plain": spaced(low)})
 
 
 def index(statements: DataFrame) -> DataFrame:
-    """statements with fingerprint and lock, to be stored beside a graph."""
-    return statements.withColumns({"fingerprint": fingerprint(F.col("sql_text")), "lock": lock_clause(F.col("sql_text"))})
+    """statements with fingerprint, lock and the forms that matches are decided by, to be stored beside a graph."""
+    return forms(statements).withColumns({"fingerprint": fingerprint(F.col("sql_text")), "lock": lock_clause(F.col("sql_text"))})
 
 
 def ordered(hits: DataFrame) -> DataFrame:

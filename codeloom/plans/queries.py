@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from codeloom.functions import access as acc
 from codeloom.functions import sqltext
 from codeloom.model import CONFLICTS
-from codeloom.operators import cluster, conflicts, lineage, listing, merge, search, traverse
+from codeloom.operators import cluster, conflicts, indexes, lineage, listing, merge, search, traverse
 from codeloom.plans import queryspec
 from codeloom.plans.fixture import views, with_sql
+from codeloom.work import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -535,6 +536,22 @@ def _(spark, sf):
     return search.search_sql(s, "SELECT name FROM part_7 WHERE size = 99 AND brand = 'x'")
 
 
+#: Statements that differ by table, column, literals and ending, and queries that are in, around or alike some of them.
+_TEXTS = "t AS (SELECT 'mapper:w' || p_partkey AS node_key, p_partkey % 10 AS a, p_partkey % 7 AS k, p_partkey % 3 AS o FROM part)"
+
+
+@query("search_by_index", f"WITH {_TEXTS} SELECT 'inside' AS query, node_key FROM t WHERE a = 9 AND k = 2 UNION ALL SELECT 'around', node_key FROM t WHERE a = 9 AND k = 2 UNION ALL SELECT 'alike', node_key FROM t WHERE a = 8 AND (k = 3 OR o > 0)")
+def _(spark, sf):
+    k = F.col("p_partkey")
+    text = F.concat(F.lit("SELECT name, size FROM area"), k % 10, F.lit(" WHERE kind"), k % 7, F.lit(" = "), "p_size", F.lit(" AND brand = "), k, F.when(k % 3 == 0, " ORDER BY name").otherwise(""))
+    s = spark.read.parquet(f"{sf}/part.parquet").select(F.concat(F.lit("mapper:w"), k).alias("node_key"), text.alias("sql_text"), F.lit(True).alias("indexed"))
+    s = materialize(search.index(s), "statements")
+    index = materialize(indexes.statement_index(s), "statement-index")
+    asked = {"inside": "size from area9 where kind2 = 1 and brand", "around": "explain select name, size from area9 where kind2 = 5 and brand = 7", "alike": "select size, name from area8 where brand = 4 and kind3 = 4"}
+    parts = [indexes.search_sql(s, index, text).select(F.lit(name).alias("query"), "node_key") for name, text in asked.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("search_by_lock", with_sql("g_sql") + "SELECT 'mapper:m' || id AS node_key, 0.9::DOUBLE AS score FROM g_sql WHERE contains(sql_text, 'FOR UPDATE')")
 def _(spark, sf):
     s = _graph(spark, sf)[2]["g_sql"].select(F.concat(F.lit("mapper:m"), "id").alias("node_key"), "sql_text", F.lit(True).alias("indexed"))
@@ -550,6 +567,18 @@ def _(spark, sf):
     return search.search_names(n, listing.degrees(n, e), "s1")
 
 
+@query(
+    "name_index_search",
+    _D + "SELECT '1' AS query, node_key, CASE WHEN name = '1' THEN 0 ELSE 2 END AS rank, total FROM d WHERE contains(node_key, '1') UNION ALL SELECT ':s1', node_key, 2, total FROM d WHERE contains(node_key, ':s1') "
+    "UNION ALL SELECT 's17', node_key, CASE WHEN name = 's17' THEN 0 WHEN contains(node_key, ':s17') THEN 1 ELSE 2 END, total FROM d WHERE contains(node_key, 's17') UNION ALL SELECT '=P21', node_key, 0, total FROM d WHERE name = 'p21'",
+)
+def _(spark, sf):
+    n, e, _v = _graph(spark, sf)
+    index = materialize(indexes.name_index(n, listing.degrees(n, e)), "name-index")
+    parts = [indexes.search_names(index, q.lstrip("="), "exact" if q[0] == "=" else "contains", None).withColumn("query", F.lit(q)) for q in ("1", ":s1", "s17", "=P21")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 _CALLERS = "c AS (SELECT DISTINCT src_key AS s, dst_key AS d FROM g_edges WHERE category = 'call')"
 
 
@@ -579,8 +608,8 @@ def _(spark, sf):
 @query(
     "mark_by_body",
     with_sql("g_edges", "g_proc", "g_body", recursive=_CALLERS + ", w(k, p, n) AS (SELECT 'proc:s8', ['proc:s8'], 0 UNION ALL SELECT c.s, list_prepend(c.s, w.p), w.n + 1 FROM w JOIN c ON w.k = c.d WHERE w.n < 12 AND NOT list_contains(w.p, c.s)), "
-             "r AS (SELECT k, p, n, row_number() OVER (PARTITION BY k ORDER BY n, p) AS i FROM w WHERE n > 0), x AS (SELECT p_partkey AS id, p_partkey % 30 AS part FROM part), "
-             "h AS (SELECT part, p, row_number() OVER (PARTITION BY part ORDER BY n, k) AS i FROM r JOIN g_proc ON k = node_key JOIN (SELECT DISTINCT part FROM x) ON part = id % 20 WHERE r.i = 1)")
+             "r AS (SELECT k, p, n, row_number() OVER (PARTITION BY k ORDER BY n, p) AS i FROM w WHERE n > 0), x AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 30 < 10 THEN p_partkey % 30 ELSE 100 + p_partkey % 30 // 10 END AS part FROM part), "
+             "h AS (SELECT part, p, row_number() OVER (PARTITION BY part ORDER BY n, k) AS i FROM r JOIN g_proc ON k = node_key JOIN (SELECT DISTINCT part FROM x) ON part = CASE WHEN id % 20 < 10 THEN id % 20 ELSE 100 + id % 20 // 10 END WHERE r.i = 1)")
     + "SELECT 'q' || id AS unique_sql_id, CASE WHEN p IS NOT NULL THEN 'indirect to proc:s8' END AS mark, array_to_string(p, ' > ') AS path FROM x LEFT JOIN h ON x.part = h.part AND h.i = 1",
 )
 def _(spark, sf):
