@@ -8,17 +8,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.work import materialize, new_path, release, small  # noqa: F401
+from codeloom.work import materialize, meet, new_path, release, small  # noqa: F401
 
 #: White space and words of the contracts: ASCII white space only.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-#: Keys that hold more than this part of all rows are met by a broadcast: by count there cannot be more than so many of them.
-MOST_HOT = 10_000
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -43,23 +39,3 @@ def ascii_lower(c: Column) -> Column:
 def held_out(doc_id: Column) -> Column:
     """crc32 of doc_id as text, mod 5, is 0; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
-
-
-def meet(rows: DataFrame, keyed: DataFrame, on: list[str], n: str, spread: Column, name: str, how: str = "left") -> DataFrame:
-    """rows with the row of `keyed` that has their values of `on`, as a struct of its other columns called `name`.
-
-    `keyed` is a written table with unique keys without nulls; its column n tells how many rows have the key. Keys with more than a
-    MOST_HOT-th of all those rows come by broadcast, the rest by a shuffled join in which no key is hot. Rows that met a hot
-    key are dealt by `spread` there. how: left, or inner.
-    """
-    total = keyed.agg(F.sum(n)).first()[0] or 0
-    bound = max(64, total // MOST_HOT)
-    kept = F.struct(*[c for c in keyed.columns if c not in on])
-    named = lambda side, tag: side.select(*(F.col(c).alias(f"_{tag}{i}") for i, c in enumerate(on)), kept.alias(f"_{tag}"))
-    hot, light = named(keyed.filter(F.col(n) > bound), "h"), named(keyed.filter(F.col(n) <= bound), "l").withColumn("_z", F.lit(0).cast("long"))
-    same = lambda tag: [F.col(c) == F.col(f"_{tag}{i}") for i, c in enumerate(on)]
-    met = rows.join(F.broadcast(hot), same("h"), "left")
-    met = met.withColumn("_s", F.when(F.col("_h").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(1 << 30))))
-    met = met.join(light, [*same("l"), F.col("_s") == F.col("_z")], "left").withColumn(name, F.coalesce("_h", "_l"))
-    met = met.select(*rows.columns, name)
-    return met if how == "left" else met.filter(F.col(name).isNotNull())
