@@ -504,10 +504,17 @@ def _verify(texts: _Texts, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     return materialize(found.select(node("a").alias("x"), node("b").alias("y")), "join-links")
 
 
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether distinct edges (u, v) with u > v are stars around their smallest nodes: no u has two edges or is a v as well."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))).alias("e"))
+    odd = ends.groupBy("e.node").agg(F.sum("e.up").alias("ups"), F.count(F.lit(1)).alias("edges")).filter("ups > 0 AND edges > 1")
+    return odd.isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, root for every node of the edges (x, y): the smallest node of its component, by large-star and small-star.
+    """node, root for every node of the edges (x, y) but the smallest of each component, which is the root of the others.
 
-    The steps end when a round changes nothing; their number follows the logarithm of the size.
+    Large-star and small-star steps alternate. They end when each node has one edge to a node that has none; their number follows the logarithm of the size.
     """
 
     def least_met(pairs: DataFrame) -> DataFrame:
@@ -516,8 +523,7 @@ def components(edges: DataFrame) -> DataFrame:
         return meet(pairs, least, ["u"], "n", F.col("v"), "_m").select("u", "v", F.col("_m.m").alias("m"))
 
     edges = materialize(edges.filter("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "cc")
-    last = None
-    while True:
+    while not _all_stars(edges):
         # Large star: of all neighbours, the larger ones move to the smallest.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = least_met(both).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
@@ -525,13 +531,14 @@ def components(edges: DataFrame) -> DataFrame:
         joined = least_met(materialize(large, "cc-large"))
         edges = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         edges = materialize(edges, "cc")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == last:
-            break
-        last = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Links (x, y) with what is known of classes, as edges."""
+    return links.unionByName(roots.select(F.col("node").alias("x"), F.col("root").alias("y")))
+
+
 def _heads(long: DataFrame) -> DataFrame:
     """Pairs (a, b) of members of long lists: the first member of each class of a list with the first one of the whole list.
 
@@ -583,8 +590,7 @@ def _classes(docs: DataFrame, split: int = SPLIT) -> DataFrame:
         asked = asked.unionByName(heads)
         if more is None or more.isEmpty():
             break
-        links = links.unionByName(more)
-        roots, members = components(links), long.drop("ra")
+        roots, members = components(_merged(roots, more)), long.drop("ra")
     # Then all pairs across classes.
     across = label(label(pairs.filter("kind = 0").select("a", "b"), "a", roots), "b", roots).filter("ra <> rb").select("a", "b")
     other = long.select(F.col("key").alias("_k"), F.col("a").alias("b"), F.col("p").alias("pb"), F.col("n").alias("nb"), F.col("ra").alias("rb"))
@@ -595,7 +601,7 @@ def _classes(docs: DataFrame, split: int = SPLIT) -> DataFrame:
     if not across.isEmpty():
         more = _verify(texts, reps, across)
         if not more.isEmpty():
-            roots = components(links.unionByName(more))
+            roots = components(_merged(roots, more))
 
     # The root is the smallest node, and its doc_id the smallest of the class.
     named = reps.join(roots.select(F.col("node.sid").alias("_n"), "root"), F.col("sid") == F.col("_n"), "left")
