@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.work import materialize, small
+from codeloom.work import all_stars, materialize, meet, small
 
 
 def directed(edges: DataFrame, direction: str) -> DataFrame:
@@ -215,41 +215,99 @@ def inspect(edges: DataFrame, targets: list[str], depth: int = 6, per_pair: int
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """node_key, component: the smallest key that undirected edges (src_key, dst_key) reach. Nodes without edges are their own.
 
-    Alternating large-star and small-star steps until nothing changes; the number of rounds follows the logarithm of the size,
-    not the diameter.
+    Alternating large-star and small-star steps until all edges are stars; the number of rounds follows the logarithm of the
+    size, not the diameter.
     """
+
+    def least_met(pairs: DataFrame) -> DataFrame:
+        least = materialize(pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "cc-least")
+        return meet(pairs, least, ["u"], "n", F.col("v"), "_m").select("u", "v", F.col("_m.m").alias("m"))
+
     e = materialize(edges.filter("src_key <> dst_key").select(F.greatest("src_key", "dst_key").alias("u"), F.least("src_key", "dst_key").alias("v")).distinct(), "cc")
-    last = None
-    while True:
+    while not all_stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("u", "m").alias("m"))
-        large = both.join(least, F.col("u") == F.col("_u")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), "m")
-        met = large.join(least, F.col("u") == F.col("_u"))
+        large = least_met(both).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        met = least_met(materialize(large, "cc-large"))
         e = materialize(met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(met.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "cc")
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == last:
-            break
-        last = now
     found = e.select(F.col("u").alias("node_key"), F.col("v").alias("component"))
     if nodes is None:
         return found.unionByName(found.select(F.col("component").alias("node_key"), "component").distinct())
     return nodes.select("node_key").join(found, "node_key", "left").select("node_key", F.coalesce("component", "node_key").alias("component"))
 
 
+def _rake(left: DataFrame) -> DataFrame:
+    """Edges (s, d) between nodes that have edges both in and out: others cannot be in a component of several."""
+    ends, begins = left.select(F.col("d").alias("s")).distinct(), left.select(F.col("s").alias("d")).distinct()
+    return materialize(left.join(ends, "s", "left_semi").join(begins, "d", "left_semi").select("s", "d"), "scc")
+
+
+def _compress(left: DataFrame) -> tuple[DataFrame, tuple[list[DataFrame], DataFrame, DataFrame] | None]:
+    """Edges without the nodes that have one edge out, and what _expand needs to place these nodes.
+
+    Such nodes form ways; pointer jumping finds where each way ends, in rounds that follow the logarithm of its length. Edges
+    into a way go to its end instead. A way without end runs into a ring, which is a component, and nothing comes back from it.
+    """
+    one = left.groupBy("s").agg(F.min("d").alias("j"), F.count(F.lit(1)).alias("n")).filter("n = 1")
+    jumps = materialize(one.select(F.col("s").alias("v"), "j", F.col("s").alias("m")), "jump")
+    total = jumps.count()
+    if not total:
+        return left, None
+    keys, steps = jumps.select("v"), [jumps]
+    while 1 << (len(steps) - 1) < total:
+        onward = jumps.select(F.col("v").alias("_v"), F.col("j").alias("_j"), F.col("m").alias("_m"))
+        new = jumps.join(onward, F.col("j") == F.col("_v"), "left").select("v", F.coalesce("_j", "j").alias("j"), F.least("m", "_m").alias("m"), F.col("_v").isNotNull().alias("moved"))
+        new = materialize(new, "jump")
+        if new.filter("moved").isEmpty():
+            break
+        jumps = new.select("v", "j", "m")
+        steps.append(jumps)
+    # What has an end by now, and what runs in a ring. m is the smallest of all nodes that a node of a ring passes.
+    inside = keys.select(F.col("v").alias("_v"))
+    ended = materialize(jumps.join(inside, F.col("j") == F.col("_v"), "left_anti").select("v", F.col("j").alias("t")), "ended")
+    ring = jumps.join(inside, F.col("j") == F.col("_v"), "left_semi").select(F.col("j").alias("_v")).distinct()
+    ring = materialize(jumps.join(ring, F.col("v") == F.col("_v"), "left_semi").select(F.col("v").alias("k"), F.col("m").alias("c")), "ring")
+    rest = left.join(keys, F.col("s") == F.col("v"), "left_anti")
+    entries = materialize(rest.join(ended, F.col("d") == F.col("v")).select("s", "v", "t"), "entries")
+    rest = rest.join(keys, F.col("d") == F.col("v"), "left_anti").unionByName(entries.select("s", F.col("t").alias("d")))
+    return materialize(rest.filter("s <> d").distinct(), "scc"), (steps, entries, ring)
+
+
+def _expand(stage: tuple[list[DataFrame], DataFrame, DataFrame], found: DataFrame) -> DataFrame:
+    """found (k, c) with the nodes that _compress took out: those on a way from a component back to it, and rings.
+
+    Where an edge of the component enters a way that ends in it, all of the way from there on belongs to it; marks go along
+    by jumps of falling powers of two.
+    """
+    steps, entries, ring = stage
+    of = lambda c: found.select(F.col("k").alias(f"_{c}"), F.col("c").alias(f"c{c}"))
+    met = entries.join(of("s"), F.col("s") == F.col("_s"), "left").join(of("t"), F.col("t") == F.col("_t"), "left")
+    met = met.withColumn("c", F.coalesce("ct", "t")).filter(F.coalesce("cs", "s") == F.col("c"))
+    marks = materialize(met.select("v", "c").distinct(), "marks")
+    if not marks.isEmpty():
+        inside = steps[0].select(F.col("v").alias("_v"))
+        for step in reversed(steps):
+            ahead = marks.join(step.select("v", "j"), "v").join(inside, F.col("j") == F.col("_v"), "left_semi").select(F.col("j").alias("v"), "c")
+            marks = materialize(marks.unionByName(ahead).distinct(), "marks")
+    return materialize(found.unionByName(marks.select(F.col("v").alias("k"), "c")).unionByName(ring), "placed")
+
+
 def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node_key, scc: the smallest key of the strongly connected component, by colouring.
+    """node_key, scc: the smallest key of the strongly connected component, by contraction and colouring.
 
-    Each turn: nodes without edges in or out of the rest are done; the smallest key that reaches a node is its colour; of a
-    colour, the nodes that lead back to the colour's own node are one component and leave.
+    Nodes without edges in or out are taken off, and ways of nodes with one edge out are contracted, until neither is left; so
+    chains, trees and rings need rounds by the logarithm of their length. Each turn on the core that stays: the smallest key
+    that reaches a node is its colour; of a colour, the nodes that lead back to the colour's own node are one component and
+    leave. Then what was contracted is placed, in reverse. Edges to nodes that are not listed count; repeated edges and loops
+    of one node change nothing.
     """
     left = materialize(edges.filter("src_key <> dst_key").select(F.col("src_key").alias("s"), F.col("dst_key").alias("d")).distinct(), "scc")
-    done = None
+    found = materialize(left.limit(0).select(F.col("s").alias("k"), F.col("s").alias("c")), "placed")
+    stages = []
     while not left.isEmpty():
-        # Only nodes with edges both in and out can be in a component of several.
-        while True:
-            n = left.count()
-            left = materialize(left.join(left.select(F.col("d").alias("s")).distinct(), "s", "left_semi").join(left.select(F.col("s").alias("d")).distinct(), "d", "left_semi").select("s", "d"), "scc")
+        while (n := left.count()) > 0:
+            left, stage = _compress(_rake(left))
+            if stage is not None:
+                stages.append(stage)
             if left.count() == n:
                 break
         if left.isEmpty():
@@ -270,12 +328,16 @@ def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             if front.isEmpty():
                 break
             got = materialize(got.unionByName(front), "got")
-        done = got if done is None else done.unionByName(got)
+        stages.append(got)
         gone = got.select("k")
         left = materialize(left.join(gone.withColumnRenamed("k", "s"), "s", "left_anti").join(gone.withColumnRenamed("k", "d"), "d", "left_anti").select("s", "d"), "scc")
-    if done is None:
-        return nodes.select("node_key", F.col("node_key").alias("scc"))
-    return nodes.select("node_key").join(done, F.col("node_key") == F.col("k"), "left").select("node_key", F.coalesce("c", "node_key").alias("scc"))
+    for stage in reversed(stages):
+        found = materialize(found.unionByName(stage), "placed") if isinstance(stage, DataFrame) else _expand(stage, found)
+    # A component is known by one of its nodes so far; its name is the smallest of all.
+    all_of = found.unionByName(found.select(F.col("c").alias("k"), "c")).distinct()
+    low = materialize(all_of.groupBy("c").agg(F.min("k").alias("scc"), F.count(F.lit(1)).alias("n")), "scc-names")
+    named = meet(materialize(all_of, "scc-members"), low, ["c"], "n", F.col("k"), "_m").select("k", F.col("_m.scc").alias("scc"))
+    return nodes.select("node_key").join(named, F.col("node_key") == F.col("k"), "left").select("node_key", F.coalesce("scc", "node_key").alias("scc"))
 
 
 def cycles(edges: DataFrame, nodes: DataFrame) -> DataFrame:

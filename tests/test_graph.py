@@ -65,6 +65,42 @@ def test_components_and_strong_components(spark, seed):
     assert scc == {x: min([x, *(y for y in reach[x] if x in reach[y])]) for x in names}
 
 
+def test_strong_components_of_many_graphs_chains_and_rings(spark, monkeypatch):
+    pairs, expected = [], {}
+    for seed in range(60):
+        n = 3 + seed % 9
+        own = [(f"g{seed}:{a}", f"g{seed}:{b}") for a, b in random_pairs(seed, n, n + seed % 7)]
+        pairs += own
+        names = {x for p in own for x in p}
+        reach = {x: set(closure(own, {x}, 99)) for x in names}
+        expected |= {x: min([x, *(y for y in reach[x] if x in reach[y])]) for x in names}
+    chain = [f"chain:{i * 7919 % 10000:05}" for i in range(10000)]
+    ring = [f"ring:{i * 389 % 1000:04}" for i in range(1000)]
+    tail = [f"tail:{i:03}" for i in range(300)]
+    pairs += [*zip(chain, chain[1:]), *zip(ring, ring[1:] + ring[:1]), *zip(tail, tail[1:]), (tail[-1], ring[5]), (ring[9], "leaf")]
+    # A hub that many ways lead back to, each of its own length, entered in its midst; what comes before the entry is not in it.
+    for i in range(20):
+        way = [f"way:{i:02}:{j:02}" for j in range(i + 2)]
+        pairs += [*zip(way, way[1:]), (way[-1], "way:hub"), ("way:hub", way[i // 2])]
+        expected |= {x: "way:00:00" if j >= i // 2 else x for j, x in enumerate(way)}
+    expected |= {x: x for x in [*chain, *tail, "leaf"]} | dict.fromkeys(ring, min(ring)) | {"way:hub": "way:00:00"}
+    n, e = graph(spark, pairs, ["alone"])
+    written, write = [], traverse.materialize
+    monkeypatch.setattr(traverse, "materialize", lambda df, name: written.append(name) or write(df, name))
+    got = {r.node_key: r.scc for r in traverse.strong_components(e, n).collect()}
+    assert got == expected | {"alone": "alone"}
+    # Rounds follow the logarithm of the longest way, 10,000 here.
+    assert written.count("jump") < 60 and len(written) < 200
+
+
+def test_components_of_a_long_way_and_a_hub(spark):
+    way = [f"w{i * 37 % 400:03}" for i in range(400)]
+    pairs = [*zip(way, way[1:]), *(("hub", f"x{i:03}") for i in range(300)), ("x007", "x008"), ("a", "a")]
+    n, e = graph(spark, pairs)
+    got = {r.node_key: r.component for r in traverse.components(e, n).collect()}
+    assert got == dict.fromkeys(way, "w000") | {"hub": "hub", "a": "a"} | {f"x{i:03}": "hub" for i in range(300)}
+
+
 def test_paths_stop_at_cycles_targets_and_until(spark):
     _, e = graph(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("b", "d"), ("d", "e")])
     start = spark.createDataFrame([("a",)], "node_key string")
