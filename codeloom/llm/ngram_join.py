@@ -17,7 +17,7 @@ Two documents link if 100 * |A and B| >= 75 * |A or B|. Every document gets the
    Pairs within a merged class need no look; pairs across classes, from short lists and from long ones that still hold
    several, are verified exactly too. So no link between different texts is lost, and large groups of near copies cost stars
    instead of all pairs.
-5. Classes come from alternating large-star and small-star steps on the links until nothing changes, with each round written
+5. Classes come from alternating large-star and small-star steps on the links until all are stars, with each round written
    to the shared folder; neighbours of a hub meet its least one by broadcast. A set is known there by its smallest doc_id and
    its name, so the root of a class holds its answer. Nothing about documents is gathered on the driver besides counts and
    the most frequent shingles, which are a bounded list and only order the prefixes.
@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codeloom.llm.common import materialize, meet, slices, small
+from codeloom.work import all_stars
 
 WORDS = 5
 #: The threshold as a fraction of whole numbers.
@@ -504,13 +505,6 @@ def _verify(texts: _Texts, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     return materialize(found.select(node("a").alias("x"), node("b").alias("y")), "join-links")
 
 
-def _all_stars(edges: DataFrame) -> bool:
-    """Whether distinct edges (u, v) with u > v are stars around their smallest nodes: no u has two edges or is a v as well."""
-    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))).alias("e"))
-    odd = ends.groupBy("e.node").agg(F.sum("e.up").alias("ups"), F.count(F.lit(1)).alias("edges")).filter("ups > 0 AND edges > 1")
-    return odd.isEmpty()
-
-
 def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of the edges (x, y) but the smallest of each component, which is the root of the others.
 
@@ -523,7 +517,7 @@ def components(edges: DataFrame) -> DataFrame:
         return meet(pairs, least, ["u"], "n", F.col("v"), "_m").select("u", "v", F.col("_m.m").alias("m"))
 
     edges = materialize(edges.filter("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "cc")
-    while not _all_stars(edges):
+    while not all_stars(edges):
         # Large star: of all neighbours, the larger ones move to the smallest.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = least_met(both).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
