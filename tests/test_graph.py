@@ -235,6 +235,14 @@ def test_clusters_of_two_cliques(spark):
     assert [x["gamma"] for x in cluster.sweep(g, units, (1.0, 0.5))] == [1.0, 0.5]
 
 
+def test_condensed_edges_to_ends_without_a_node(spark):
+    n, e = graph(spark, [("a", "b"), ("b", "a"), ("a", "gone")])
+    key = lambda rows: sorted((r.a, r.b, r.weight) for r in rows.collect())
+    assert key(cluster.condensed(e)) == [("a", "b", 2.0), ("a", "gone", 1.0)]
+    members = n.filter("node_key <> 'gone'").select("node_key", F.col("node_key").alias("unit"))
+    assert key(cluster.condensed(e, members)) == [("a", "b", 2.0)]
+
+
 def test_clusters_of_a_wanted_number_and_of_contracted_components(spark):
     pairs = [(f"{g}{i}", f"{g}{j}") for g in "abcd" for i in range(4) for j in range(i)] + [("a0", "b0"), ("b1", "c0"), ("x0", "x1")]
     n, e = graph(spark, pairs)
