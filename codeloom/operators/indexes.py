@@ -98,8 +98,9 @@ def name_index(nodes: DataFrame, degrees: DataFrame) -> DataFrame:
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(key) - GRAM + 1)), lambda i: F.substring(key, i, F.lit(GRAM)))
     exact = F.transform(F.array_distinct(F.array(key, name, F.substring_index(name, ".", -1))), lambda t: F.struct(F.lit("exact").alias("kind"), t.alias("text")))
     gram = F.transform(F.array_distinct(grams), lambda t: F.struct(F.lit("gram").alias("kind"), t.alias("text")))
-    rows = nodes.select("node_key", F.explode(F.concat(exact, gram)).alias("x")).select("x.text", "x.kind", "node_key")
-    rows = rows.join(degrees.select("node_key", "total"), "node_key")
+    # Joined before they are exploded, and shuffled: the planner takes exploded rows for as few as the nodes and would broadcast them.
+    rows = nodes.select("node_key").join(degrees.select("node_key", "total").hint("merge"), "node_key")
+    rows = rows.select(F.explode(F.concat(exact, gram)).alias("x"), "node_key", "total").select("x.text", "x.kind", "node_key", "total")
     # Grams that most keys share are spread over partitions by their keys.
     return rows.repartitionByRange("kind", "text", "node_key").sortWithinPartitions("kind", "text")
 

@@ -103,3 +103,12 @@ def test_changed_files_give_what_a_full_build_gives(spark):
     want = ingest.build(materialize(ingest.parse(files(spark, new)), "rows"))
     for a, b in zip(got, want):
         assert as_set(a) == as_set(b)
+
+
+def test_name_index_broadcasts_no_exploded_rows(spark):
+    # Tables that look small to the planner; their grams are not.
+    nodes = materialize(spark.createDataFrame([("proc:s1",), ("table:p21",)], "node_key string"), "n")
+    totals = materialize(spark.createDataFrame([("proc:s1", 3), ("table:p21", 1)], "node_key string, total long"), "d")
+    index = indexes.name_index(nodes, totals)
+    assert "Broadcast" not in index._jdf.queryExecution().executedPlan().toString()
+    assert {(r.node_key, r.total) for r in indexes.search_names(materialize(index, "ix"), "p21", limit=None).collect()} == {("table:p21", 1)}
