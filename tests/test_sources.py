@@ -85,3 +85,23 @@ def test_bounded_variants_say_so(spark):
     files = spark.createDataFrame([("m.xml", "xml", bytearray(xml.encode()))], "path string, kind string, content binary")
     rows = ingest.parse(files)
     assert [(r.rule, r.subject) for r in columns.schema_diagnostics(rows).collect()] == [("only-some-variants", "mapper:m.many")]
+
+
+def test_rows_and_edges_by_need_are_those_of_all(spark):
+    from codeloom.plans import source_queries as q
+    from codeloom.work import materialize
+
+    fill = lambda text, k: text.replace("@?", "").replace("@k", str(k)).replace("@m", str(k % 7)).replace("@h", "1").replace("@z", "5")
+    texts = [("a", "sql", q.SCHEMA_A), ("b", "sql", q.SCHEMA_B), ("m", "xml", q.MAPPER), ("j", "java", q.JAVA), ("w", "jsp", q.JSP), ("s", "sql", q.SPEC + q.BODY + q.USE)]
+    files = spark.createDataFrame([(f"{n}{k}.{kind}", kind, bytearray(fill(t, k).encode())) for n, kind, t in texts for k in (1, 2)], "path string, kind string, content binary")
+    key = lambda df: sorted(map(repr, df.collect()))
+    whole = materialize(ingest.parse(files), "whole")
+    for records in (("call",), ("access", "node"), ingest.GRAPH):
+        assert key(ingest.parse(files, records=records)) == key(whole.filter(whole.record.isin(*records)))
+    defined = materialize(ingest.definitions(whole), "defined")
+    edges, mappings = ingest.link(whole, defined, ingest.package_items(whole))
+    for kinds in (("DirectCall",), ("TableAccess",), ("DependsOn", "AnchorsOn"), ("InvokesMapper", "ContainsMethod")):
+        rows = whole.filter(whole.record.isin(*ingest.records_of(kinds)))
+        assert key(ingest.link(rows, defined, ingest.package_items(rows), kinds)[0]) == key(edges.filter(edges.edge_type.isin(*kinds)))
+    only = whole.filter(whole.record.isin("mapping", "node"))
+    assert key(ingest.link(only, defined, ingest.package_items(only), ())[1]) == key(mappings)
