@@ -25,7 +25,10 @@ def table_hops(access: DataFrame, depends: DataFrame | None = None) -> DataFrame
     if "read_tables" in access.columns:
         # The tables of a statement meet the routine's reads one by one; only writes without them meet all reads.
         some = w.filter("read_tables IS NOT NULL").select("routine", "table", F.explode("read_tables").alias("child")).distinct()
-        hops = out(some.join(r, ["routine", "child"])).unionByName(out(w.filter("read_tables IS NULL").join(r, "routine"))).distinct()
+        hops = out(some.join(r, ["routine", "child"]))
+        # Both sides are distinct, so these hops are; a column that is never null spares the rest.
+        if access.schema["read_tables"].nullable:
+            hops = hops.unionByName(out(w.filter("read_tables IS NULL").join(r, "routine"))).distinct()
     else:
         hops = out(w.join(r, "routine")).distinct()
     if depends is not None:
@@ -111,9 +114,10 @@ def children(hops: DataFrame, roles: DataFrame) -> DataFrame:
 
 def external_sources(hops: DataFrame) -> DataFrame:
     """table: sources that no hop writes, so their data comes from outside."""
-    return hops.select(F.col("child").alias("table")).distinct().join(hops.select(F.col("parent").alias("table")).distinct(), "table", "left_anti")
+    ends = hops.select(F.explode(F.array(F.struct(F.col("child").alias("table"), F.lit(False).alias("written")), F.struct(F.col("parent").alias("table"), F.lit(True).alias("written")))).alias("x"))
+    return ends.groupBy("x.table").agg(F.bool_or("x.written").alias("written")).filter("NOT written").select("table")
 
 
 def relations(hops: DataFrame) -> DataFrame:
     """parent, child, routines, n: one row a pair of tables, with the routines between them."""
-    return hops.groupBy("parent", "child").agg(F.array_sort(F.collect_set("routine")).alias("routines"), F.count_distinct("routine").alias("n"))
+    return hops.groupBy("parent", "child").agg(F.array_sort(F.collect_set("routine")).alias("routines")).withColumn("n", F.size("routines").cast("long"))

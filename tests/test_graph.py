@@ -345,3 +345,16 @@ def test_partition_keeps_a_cycle_together(spark):
     got = {r.unit: r.cluster for r in cluster.partition(n, e).collect()}
     assert sorted(got) == sorted(x for c in cliques for x in c)
     assert len({got[x] for c in cliques[:2] for x in c}) == 1
+
+
+def test_hops_of_statements_that_all_name_their_reads(spark):
+    rows = [("r", "a", 2, ["b", "x"]), ("r", "b", 3, ["a"]), ("r", "a", 1, []), ("s", "c", 2, ["b"]), ("s", "b", 1, [])]
+    named = spark.createDataFrame(rows, "routine string, table string, modes int, read_tables array<string>")
+    some = named.withColumn("read_tables", F.coalesce("read_tables", F.array().cast("array<string>")))
+    key = lambda df: sorted((r.parent, r.routine, r.child) for r in df.collect())
+    hops = lineage.table_hops(some)
+    assert key(hops) == key(lineage.table_hops(named)) == [("a", "r", "b"), ("b", "r", "a"), ("c", "s", "b")]
+    # Without nulls nothing is looked for twice.
+    assert "Union" not in hops._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.table for r in lineage.external_sources(hops.filter("parent <> 'b'")).collect()] == ["b"]
+    assert [(r.parent, r.routines, r.n) for r in lineage.relations(hops).orderBy("parent").collect()] == [("a", ["r"], 1), ("b", ["r"], 1), ("c", ["s"], 1)]
