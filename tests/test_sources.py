@@ -105,3 +105,33 @@ def test_rows_and_edges_by_need_are_those_of_all(spark):
         assert key(ingest.link(rows, defined, ingest.package_items(rows), kinds)[0]) == key(edges.filter(edges.edge_type.isin(*kinds)))
     only = whole.filter(whole.record.isin("mapping", "node"))
     assert key(ingest.link(only, defined, ingest.package_items(only), ())[1]) == key(mappings)
+
+
+def test_files_are_made_and_read_by_many_tasks(spark):
+    from codeloom.plans import source_queries as q
+
+    # The table of parts is one small file, which comes as one partition.
+    assert spark.read.parquet("/root/testdata/sf0.001/part.parquet").rdd.getNumPartitions() == 1
+    files = q._files(spark, "/root/testdata/sf0.001", ("a_sql", q.SCHEMA_A))
+    many = 4 * spark.sparkContext.defaultParallelism
+    assert files.rdd.getNumPartitions() == many
+    assert ingest.heads(files.coalesce(1), deal=True).rdd.getNumPartitions() == many
+
+
+def test_pieces_of_a_text_are_those_of_the_grammar():
+    from codeloom.sources import plsql
+
+    def plain(text):
+        line = 1
+        for m in plsql._TOKEN.finditer(text):
+            kind, t = m.lastgroup, m[0]
+            low = t.lower() if kind == "name" else t[1:-1].lower() if kind == "quoted" else t
+            if kind != "space":
+                yield kind, t, low, low if kind in ("op", "name", "quoted") else "", line
+            line += t.count("\n")
+
+    texts = ["a  :=\n  'x''\n' || $t$ b\n$t$ -- c\n/* d\n*/ \"Q r\".é_1 1.5e3..2", "  ", "$ $a$ 'open\n", "e'x' n 'y' \"z", "x/* open"]
+    for text in texts + texts:
+        assert [(t.kind, t.text, t.low, t.word, t.line) for t in plsql.tokenize(text)] == list(plain(text))
+    long = " ".join(f"n{i}" for i in range(plsql.MOST_KEPT + 10))
+    assert len(plsql.tokenize(long)) == plsql.MOST_KEPT + 10 and len(plsql._kinds) <= plsql.MOST_KEPT
