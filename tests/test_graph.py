@@ -358,3 +358,18 @@ def test_hops_of_statements_that_all_name_their_reads(spark):
     assert "Union" not in hops._jdf.queryExecution().optimizedPlan().toString()
     assert [r.table for r in lineage.external_sources(hops.filter("parent <> 'b'")).collect()] == ["b"]
     assert [(r.parent, r.routines, r.n) for r in lineage.relations(hops).orderBy("parent").collect()] == [("a", ["r"], 1), ("b", ["r"], 1), ("c", ["s"], 1)]
+
+
+def test_components_are_found_once_for_clusters_that_need_no_contraction(spark, monkeypatch):
+    from codeloom.operators import cluster
+    from codeloom.plans import queries
+
+    graph, units, _ = queries._units(spark, "/root/testdata/sf0.001", kept=True)
+    assert graph.inputFiles() and all("/condensed-" in f for f in graph.inputFiles())  # written, and not made anew by each use
+    calls, made = [], cluster.components
+    monkeypatch.setattr(cluster, "components", lambda *a: calls.append(1) or made(*a))
+    found = {tuple(r) for r in cluster.cnm(graph, units).collect()}
+    assert len(calls) == 1 and len(found) == units.count()
+    # Contraction changes the components' graph, so they are found anew.
+    cluster.cnm(graph, units, most=3).collect()
+    assert len(calls) > 2
