@@ -373,3 +373,15 @@ def test_components_are_found_once_for_clusters_that_need_no_contraction(spark,
     # Contraction changes the components' graph, so they are found anew.
     cluster.cnm(graph, units, most=3).collect()
     assert len(calls) > 2
+
+
+def test_impact_finds_the_pairs_of_nodes_once(spark, monkeypatch):
+    from codeloom.operators import traverse
+
+    edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("c", "e")], "src_key string, dst_key string")
+    nodes = spark.createDataFrame([(k, "f") for k in "abcde"], "node_key string, file string")
+    names, write = [], traverse.materialize
+    monkeypatch.setattr(traverse, "materialize", lambda df, name: names.append(name) or write(df, name))
+    got = {(r.direction, r.node_key, r.depth) for r in traverse.impact(edges, nodes, spark.createDataFrame([("a",)], "node_key string"), 2).collect()}
+    assert got == {("out", "b", 1), ("out", "c", 2), ("in", "c", 1), ("in", "d", 1), ("in", "b", 2)}
+    assert names.count("pairs") == 1 and "hops" not in names
