@@ -411,3 +411,18 @@ def test_declared_types_are_broadcast_to_the_nodes(spark, capsys):
     assert {(r.rule, r.subject) for r in found.collect()} == {("missing-key-field", "2"), ("undeclared-node-type", "odd"), ("undeclared-edge-type", "wrong"), ("dangling-end", "9")}
     found.explain("formatted")
     assert capsys.readouterr().out.count("BroadcastHashJoin") >= 3
+
+
+def test_tasks_follow_the_size_of_the_input(spark, monkeypatch, tmp_path):
+    from codeloom import work
+    from codeloom.plans import fixture
+
+    sf = "/root/testdata/sf0.001"
+    least = spark.sparkContext.defaultParallelism
+    spark.range(5000).coalesce(1).write.parquet(f"{tmp_path}/t")
+    size = sum(f.stat().st_size for f in (tmp_path / "t").iterdir())
+    assert work.tasks_for(spark, f"{tmp_path}/t") == least and work.tasks_for(spark, f"{tmp_path}/t", 100) in range(size // 200, size // 100 + 2)
+    want = {tuple(r) for r in fixture.views(spark, sf)["g_access"].collect()}
+    monkeypatch.setattr(fixture, "tasks_for", lambda spark, path: least + 3)
+    access = fixture.views(spark, sf)["g_access"]
+    assert access.rdd.getNumPartitions() == least + 3 and {tuple(r) for r in access.collect()} == want
