@@ -111,13 +111,17 @@ def file_counts(nodes: DataFrame) -> DataFrame:
     return nodes.filter("file is not null").groupBy("file").agg(F.count(F.lit(1)).alias("n"))
 
 
-def reverse_file_deps(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """file, used_by: files whose nodes have edges into the file, itself excluded."""
+def reverse_file_deps(nodes: DataFrame, edges: DataFrame, tasks: int | None = None) -> DataFrame:
+    """file, used_by: files whose nodes have edges into the file, itself excluded.
+
+    tasks: how many tasks pairs of file and node are dealt to; None: as many as a shuffle has partitions.
+    """
     where = nodes.select("node_key", "file").filter("file is not null")
     src = where.select(F.col("node_key").alias("src_key"), F.col("file").alias("used_by"))
     dst = where.select(F.col("node_key").alias("dst_key"), "file")
     # Edges shrink to distinct pairs of file and node before the second join.
-    half = edges.select("src_key", "dst_key").join(src, "src_key").select("used_by", "dst_key").distinct()
+    half = edges.select("src_key", "dst_key").join(src, "src_key").select("used_by", "dst_key")
+    half = (half if tasks is None else half.repartition(tasks, "dst_key")).distinct()
     return half.join(dst, "dst_key").filter("file <> used_by").select("file", "used_by").distinct()
 
 

@@ -426,3 +426,14 @@ def test_tasks_follow_the_size_of_the_input(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(fixture, "tasks_for", lambda spark, path: least + 3)
     access = fixture.views(spark, sf)["g_access"]
     assert access.rdd.getNumPartitions() == least + 3 and {tuple(r) for r in access.collect()} == want
+
+
+def test_file_deps_are_dealt_to_the_given_tasks(spark, capsys):
+    n = spark.createDataFrame([(k, f) for k, f in zip("abcd", ["f", "g", "f", None])], "node_key string, file string")
+    e = spark.createDataFrame([("a", "b"), ("c", "b"), ("b", "a"), ("a", "c"), ("b", "d"), ("d", "a")], "src_key string, dst_key string")
+    want = {("g", "f"), ("f", "g")}
+    assert {tuple(r) for r in listing.reverse_file_deps(n, e).collect()} == want
+    dealt = listing.reverse_file_deps(n, e, 37)
+    assert {tuple(r) for r in dealt.collect()} == want
+    dealt.explain()
+    assert ", 37)" in capsys.readouterr().out
