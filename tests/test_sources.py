@@ -1,3 +1,5 @@
+import pytest
+
 from codeloom.operators import columns
 from codeloom.sources import ingest
 from codeloom.sources.other import lex_jsp, read_java, read_jsp, read_mapper
@@ -135,3 +137,38 @@ def test_pieces_of_a_text_are_those_of_the_grammar():
         assert [(t.kind, t.text, t.low, t.word, t.line) for t in plsql.tokenize(text)] == list(plain(text))
     long = " ".join(f"n{i}" for i in range(plsql.MOST_KEPT + 10))
     assert len(plsql.tokenize(long)) == plsql.MOST_KEPT + 10 and len(plsql._kinds) <= plsql.MOST_KEPT
+
+
+HEADED = "CREATE TABLE a.t (id INT);\nCREATE PACKAGE BODY a.k AS\n  PROCEDURE one(x INT) IS BEGIN UPDATE t SET id = 1; EXECUTE IMMEDIATE 'DROP TABLE ' || 'u'; END;\nEND;\n/\nCREATE PROCEDURE a.p AS v a.t.id%TYPE; PROCEDURE inner_p IS BEGIN f(1); END; BEGIN IF (SELECT 1 FROM t) = 1 THEN BEGIN DELETE FROM t; END; END IF; END;\n/\nCREATE VIEW a.v AS SELECT id FROM t;\n"
+
+
+def test_heads_of_nodes_are_read_without_statements(spark, monkeypatch):
+    from codeloom.sources.plsql import Reader
+
+    files = spark.createDataFrame([("a.sql", "sql", HEADED.encode())], "path string, kind string, content binary")
+    whole = [tuple(r) for r in ingest.parse(files).collect() if r.record in ("node", "item")]
+    routines = ("proc:a.k.one", "proc:a.p", "proc:a.inner_p")
+    assert {r[2] for r in whole if r[0] == "node"} >= {*routines, "pkg:a.k", "table:a.t", "view:a.v"}
+    # No record here can depend on a specification, so no file is read twice.
+    monkeypatch.setattr(ingest, "heads", lambda *a: pytest.fail("a first pass"))
+    got = [tuple(r) for r in ingest.parse(files, records=("head", "item")).collect()]
+    assert sorted(map(repr, got)) == sorted(repr(r[:6] + (None,) + r[7:]) if r[2] in routines and r[0] == "node" else repr(r) for r in whole)
+    seen = []
+    monkeypatch.setattr(Reader, "query", lambda self, *a: seen.append("query"))
+    monkeypatch.setattr(Reader, "possible", lambda self, *a: seen.append("possible"))
+    list(ingest._rows("a.sql", "sql", HEADED.encode(), None, frozenset(("head", "item", "anchor"))))
+    assert not seen
+
+
+def test_pieces_are_shared_but_rows_stay_the_same():
+    from codeloom.sources import plsql
+
+    a, b = plsql.tokenize("x x\nx"), plsql.tokenize("x x\nx")
+    assert a[0] is a[1] is b[0] and [t.line for t in a] == [1, 1, 2] and a[2] is not a[0]
+    text = "CREATE FUNCTION g.f() RETURN INT AS $$\nBEGIN\n  FOR r IN (SELECT id FROM g.t WHERE id IN (1, 2)) LOOP h(1); END LOOP;\n  INSERT ALL INTO g.y (id) VALUES (b) SELECT ref AS b, c FROM g.s;\nEND $$;\nDROP TABLE g.z;"
+    first, again = (plsql.read_sql(text, "f.sql") for _ in range(2))
+    assert first == again and [(c[1], c[3]) for c in first.calls] == [("h", 3)] and first.accesses[-1][-1] == 6
+    assert [f[1:5] for f in first.filters] == [("g.t", "id", "in", "1,2")]
+    assert [m[1:6] for m in first.mappings] == [("g.y", "id", "column", "g.s", "ref")]
+    for text in ("a=>b n'x' N 'y' e\"z\" E'q''r'", "f(1..2)<<l>>x::y", "a$b$c $t$ ; $t$ d"):
+        assert [(t.kind, t.text) for t in plsql.tokenize(text)] == [(m.lastgroup if m.lastgroup != "tag" else "dollar", m[0]) for m in plsql._TOKEN.finditer(text) if m.lastgroup != "space"]
