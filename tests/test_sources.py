@@ -172,3 +172,16 @@ def test_pieces_are_shared_but_rows_stay_the_same():
     assert [m[1:6] for m in first.mappings] == [("g.y", "id", "column", "g.s", "ref")]
     for text in ("a=>b n'x' N 'y' e\"z\" E'q''r'", "f(1..2)<<l>>x::y", "a$b$c $t$ ; $t$ d"):
         assert [(t.kind, t.text) for t in plsql.tokenize(text)] == [(m.lastgroup if m.lastgroup != "tag" else "dollar", m[0]) for m in plsql._TOKEN.finditer(text) if m.lastgroup != "space"]
+
+
+def test_mappers_are_read_without_a_second_reader(monkeypatch):
+    import xml.sax
+
+    monkeypatch.setattr(xml.sax, "make_parser", lambda *a: pytest.fail("a reader of events"))
+    assert [s["line"] for s in read_mapper(MAPPER)] == [4, 5]
+    # Entities of a document type elsewhere are passed over; without one an unknown entity is an error. Nothing is fetched.
+    one = '<?xml version="1.0"?>{}<mapper namespace="m"><select id="x">a &far; b\x0a c &lt; #d.e#</select></mapper>'
+    assert [s["sql"] for s in read_mapper(one.format('<!DOCTYPE mapper SYSTEM "http://x/y.dtd">').encode())] == ["a b c < ?"]
+    assert read_mapper(one.format("").encode()) == []
+    own = one.format('<!DOCTYPE mapper [<!ENTITY far SYSTEM "file:///etc/hostname">]>')
+    assert [s["sql"] for s in read_mapper(own.encode())] == ["a b c < ?"]
