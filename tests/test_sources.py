@@ -198,3 +198,20 @@ def test_nodes_of_java_need_no_edges(spark, monkeypatch):
     monkeypatch.setattr(ingest, "link", lambda *a: pytest.fail("edges are made"))
     monkeypatch.setattr(q, "_held", {})
     assert {tuple(r) for r in QUERIES["java_nodes"](spark, sf).collect()} == want and len(want) > 100
+
+
+def test_inferred_nodes_are_those_that_edges_lead_to(spark):
+    from codeloom.plans import source_queries as q
+    from codeloom.work import materialize
+
+    fill = lambda text, k: (text.replace("@?", "") if k % 2 else "".join(x if "@?" not in x else "" for x in text.splitlines(True))).replace("@k", str(k)).replace("@m", str(k % 7)).replace("@h", "1").replace("@z", "5")
+    odd = "CREATE SYNONYM h.s FOR h.far; CREATE SYNONYM h.f FOR a.p1; CREATE SYNONYM y9 FOR y8; CREATE PROCEDURE h.q AS BEGIN UPDATE s SET x = 1; DELETE FROM \"T 1\"; k1.run(1); run; own; two(3); z.nextval; a.g(nvl(1, 2)); END;"
+    texts = [("a", "sql", q.SCHEMA_A), ("b", "sql", q.SCHEMA_B), ("m", "xml", q.MAPPER), ("j", "java", q.JAVA), ("w", "jsp", q.JSP), ("s", "sql", q.SPEC + q.BODY + q.USE), ("o", "sql", odd)]
+    files = spark.createDataFrame([(f"{n}{k}.{kind}", kind, bytearray(fill(t, k).encode())) for n, kind, t in texts for k in (1, 2)], "path string, kind string, content binary")
+    whole = materialize(ingest.parse(files), "whole")
+    defined, items = materialize(ingest.definitions(whole), "defined"), ingest.package_items(whole)
+    key = lambda df: sorted(repr(r.asDict()) for r in df.collect())
+    for kinds in ((*ingest.CALLS, *ingest.POINTING, "TableAccess", "AnchorsOn", "AliasesObject"), ("TableAccess",), ingest.CALLS, ("AliasesObject", "DependsOn")):
+        want = ingest.finish(defined, ingest.link(whole, defined, items, kinds)[0]).filter("NOT explicit")
+        got = ingest.inferred(whole.filter("record <> 'mapping'"), defined, items, kinds)
+        assert key(got) == key(want) and got.count() > 0
