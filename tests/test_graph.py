@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -13,6 +14,7 @@ from codeloom.functions import sqltext
 from codeloom.model import CONFLICTS, LEVEL_OF_BIT
 from codeloom.operators import cluster, conflicts, lineage, listing, merge, search, traverse
 from codeloom.plans import queryspec
+from codeloom.work import materialize
 
 EDGE = "src_key string, dst_key string, edge_type string, category string, modes int"
 
@@ -437,3 +439,22 @@ def test_file_deps_are_dealt_to_the_given_tasks(spark, capsys):
     assert {tuple(r) for r in dealt.collect()} == want
     dealt.explain()
     assert ", 37)" in capsys.readouterr().out
+
+
+def test_tfidf_sends_lists_and_no_pairs(spark, monkeypatch):
+    # Blocks of few routines, and tables set aside from two routines on: the same as one block and nothing aside.
+    r = random.Random(9)
+    rows = sorted({(f"p{i}", f"t{j}") for i in range(60) for j in (0, *([1] if i % 9 else []), *([2] if i % 4 else []), *(r.randrange(3, 40) for _ in range(6)))})
+    df = spark.createDataFrame(rows, "proc_key string, table_key string")
+    found = lambda **a: {(x.proc_a, x.proc_b): round(x.sim, 8) for x in cluster.tfidf(df, **a).collect()}
+    for tau in (0.1, 0.4):
+        whole = found(tau=tau, hot=1000)
+        monkeypatch.setattr(cluster, "PAIRS_PER_TASK", 150)
+        assert found(tau=tau, hot=2) == whole and len(whole) > 60
+        monkeypatch.undo()
+    shuffled = []
+    monkeypatch.setattr(cluster, "materialize", lambda x, name: shuffled.append((name, x._jdf.queryExecution().executedPlan().toString())) or materialize(x, name))
+    cluster.tfidf(df)
+    # Between the lists and the sums of pairs rows are of a block and a table.
+    plan = dict(shuffled)["met"]
+    assert "hashpartitioning(block#" in plan and not re.search(r"hashpartitioning\([^)]*\bb#", plan)
