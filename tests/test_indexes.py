@@ -112,3 +112,16 @@ def test_name_index_broadcasts_no_exploded_rows(spark):
     index = indexes.name_index(nodes, totals)
     assert "Broadcast" not in index._jdf.queryExecution().executedPlan().toString()
     assert {(r.node_key, r.total) for r in indexes.search_names(materialize(index, "ix"), "p21", limit=None).collect()} == {("table:p21", 1)}
+
+
+def test_changed_accesses_alone_are_those_of_a_full_build(spark):
+    records, kinds = ("access", "edge", "head", "item"), ("TableAccess",)
+    rows = materialize(ingest.parse(files(spark, BASE), records=records), "rows")
+    e, m = ingest.link(rows, materialize(ingest.definitions(rows), "defined"), ingest.package_items(rows), kinds)
+    new = BASE | {"t.sql": BASE["t.sql"].replace("CREATE SYNONYM s.y FOR b.o;", "")}
+    after, dirty = delta.reparse(rows, files(spark, new), change_set(manifest(spark, BASE), manifest(spark, new)), records)
+    assert {r.record for r in after.select("record").distinct().collect()} <= {"access", "edge", "node", "item", "error"}
+    got = delta.rebuild(rows, after, dirty, e, m, kinds)
+    want = ingest.build(materialize(ingest.parse(files(spark, new)), "rows"))[1].filter("edge_type = 'TableAccess'")
+    ends = ("src_key", "dst_key", "modes", "write_kinds")
+    assert as_set(got[1].select(*ends)) == as_set(want.select(*ends)) and "proc:z.far" not in {r.owner for r in got[3].collect()}
